@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingscope.llm import bpe, token_counts
+from ratingscope.llm import bpe, decontaminate, jaccard, kneser_ney, line_dedup, media, sharding, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +20,45 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > limit)
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return jaccard.similar(_table(spark, sf_dir, "documents"), words=3, threshold=0.9).drop("set_key")
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards, counts at most one apart."""
+    placed = sharding.assign(_table(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents less the runs of 25 words or more that an earlier document, or place, has."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), run_words=25)
+    return out.select("doc_id", "text", F.col("line_stats.n_removed").alias("lines_removed"), F.col("line_stats.words_removed").alias("words_removed"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the benchmark items that they leak."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=6, coverage=0.5).drop("_key")
+
+
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the model of the trusted ones (labelled good and not toxic), and whether it is kept."""
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0")
+    return kneser_ney.score(_table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the multilingual ranks, and the bytes they decode to, as digests."""
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), *vocab), *vocab))
 
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op9_byte_bpe": op9_byte_bpe}
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a progressive JPEG, read back, as digests and features."""
+    return media.digests(media.load(media.store(_table(spark, sf_dir, "documents"))))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.leaks_sql(window=6, coverage=0.5)}
