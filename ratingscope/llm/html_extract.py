@@ -186,6 +186,13 @@ def plain(text: str) -> str:
     return _BLANK.sub(" ", html.unescape(text)).strip()
 
 
+def all_text(page: str | None) -> str:
+    """The text of all blocks of a page."""
+    blocks: list[list[str]] = [[]]
+    _walk(parse(page or ""), blocks, set(), whole=True)
+    return "\n".join(x for x in (plain("".join(b)) for b in blocks) if x)
+
+
 def main_text(page: str | None, reference: str | None = None, constant: list[int] | None = None) -> str:
     """The text of a page's article, blocks joined by line breaks. Text nodes that match a constant node of the reference
     and have its text are template."""
@@ -206,21 +213,22 @@ def main_text(page: str | None, reference: str | None = None, constant: list[int
 
 
 def _articles(root: Node) -> list[Node]:
-    """The outermost <article> elements that aren't apart, or else <main> elements."""
-    for want in ("article", "main"):
+    """The outermost <article> elements outside of what is apart, or else <main> elements; if there are none, those
+    that a <div> or <section> with such a name holds."""
+    for want, loose in (("article", False), ("main", False), ("article", True), ("main", True)):
         out, stack = [], [root]
         while stack:
             node = stack.pop()
             if node.tag == want and not node.apart:
                 out.append(node)
-            elif not (node.apart and node.tag not in ("div", "section", "body", "html")):
+            elif not node.apart or loose and node.tag in ("div", "section") or node.tag in ("body", "html"):
                 stack.extend(reversed(node.children))
         if out:
             return out
     return []
 
 
-def _walk(top: Node, blocks: list[list[str]], template: set[int]) -> None:
+def _walk(top: Node, blocks: list[list[str]], template: set[int], whole: bool = False) -> None:
     stack: list[Node | None] = [top]
     while stack:
         node = stack.pop()
@@ -231,7 +239,7 @@ def _walk(top: Node, blocks: list[list[str]], template: set[int]) -> None:
                 blocks[-1].append(node.text)
         elif node.tag in ("br", "img", "wbr"):
             blocks[-1].append("" if node.tag == "wbr" else " ")
-        elif node is not top and _leaves(node):
+        elif not whole and node is not top and _leaves(node):
             blocks.append([])
         else:
             block = node.tag in BLOCKS

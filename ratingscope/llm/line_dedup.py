@@ -1,13 +1,14 @@
 """Removal of repeated runs of lines by winnowing (operator 5).
 
 A text is cut into lines: at line breaks, and after the end of a sentence or clause, so that a passage
-pasted into the middle of a paragraph has lines of its own. A window is the shortest run of lines from a line
-on that has ``run_words`` words; the least line hash of every window is a fingerprint. So each run of that
-many words that two texts share has a fingerprint in common, wherever it stands.
+pasted into the middle of a paragraph has lines of its own. A gram is the shortest run of lines from a line on that
+has ``run_words`` words, a window the shortest that has ``sure_words``; the least gram hash in every window is
+a fingerprint. So each run of ``sure_words`` words that two texts share has a fingerprint in common, wherever it
+stands, and shorter ones down to ``run_words`` words may have one.
 
 Fingerprints are joined on their hash: each later place meets the first one (the smallest id, then the
-smallest position). A meeting is an alignment of two texts; it is extended both ways over equal lines, and when
-the run has ``run_words`` words or more, the later text loses it.
+smallest position). A meeting is an alignment of two texts; it is extended both ways over equal lines, and the
+later text loses the run.
 """
 
 from __future__ import annotations
@@ -36,24 +37,32 @@ def hashed(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64), np.array(list(map(len, words)), np.int64)
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, run_words: int) -> np.ndarray:
-    """Positions of the window minima, ascending; of equal hashes the rightmost."""
-    n = len(hashes)
-    ends = np.searchsorted(np.cumsum(words), np.concatenate([[0], np.cumsum(words)[:-1]]) + run_words) + 1  # of the window from each line
-    keep, stack, right = set(), [], 0
-    values = hashes.tolist()
-    for start in range(n):
-        if ends[start] > n:
-            break
-        while right < ends[start]:
-            while stack and values[stack[-1]] >= values[right]:
-                stack.pop()
-            stack.append(right)
+def _ends(words: np.ndarray, least: int) -> np.ndarray:
+    """Where the shortest run of ``least`` words from each line ends; beyond the text if there is none."""
+    sums = np.cumsum(words)
+    return np.searchsorted(sums, sums - words + least) + 1
+
+
+def fingerprints(hashes: np.ndarray, words: np.ndarray, run_words: int, sure_words: int) -> tuple[list[int], list[int]]:
+    """Positions and hashes of the window minima among the text's grams; of equal hashes the rightmost. A text that is
+    shorter than a window is one window."""
+    ends, n = _ends(words, run_words), len(hashes)
+    many = int(np.searchsorted(ends, n, side="right"))  # lines that a gram begins at
+    data, stops = hashes.tobytes(), ends.tolist()
+    grams = [xxhash.xxh64_intdigest(data[8 * k : 8 * stops[k]]) for k in range(many)]
+    windows = [e for e in _ends(words, sure_words).tolist() if e <= n] or [n]
+    keep, queue, head, right = {}, [], 0, 0
+    for start, end in enumerate(windows):
+        while right < many and stops[right] <= end:
+            while len(queue) > head and grams[queue[-1]] >= grams[right]:
+                queue.pop()
+            queue.append(right)
             right += 1
-        while stack[0] < start:
-            stack.pop(0)
-        keep.add(stack[0])
-    return np.array(sorted(keep), np.int64)
+        while head < len(queue) and queue[head] < start:
+            head += 1
+        if head < len(queue):
+            keep[queue[head]] = grams[queue[head]]
+    return list(keep), list(keep.values())
 
 
 def repeated_runs(own: np.ndarray, words: np.ndarray, meetings: list[tuple[int, int, np.ndarray, bool]], run_words: int) -> np.ndarray:
@@ -76,15 +85,15 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.withColumns({"_id": F.col(id_col).cast("long"), "_key": F.xxhash64(F.col(id_col), F.col(text_col))})
 
 
-def find_repeats(df: DataFrame, run_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(_key long, runs array<struct<starts int, stops int>>): of each text with later repeated runs, the lines
     [starts, stops) to delete. _key is xxhash64(id, text)."""
     texts = _keyed(df, id_col, text_col).where(F.col(text_col).isNotNull()).select("_id", "_key", F.col(text_col).alias("text"))
 
     def cut(cols: list[list]) -> list[list]:
         out = [hashed(lines(t)) for t in cols[2]]
-        marks = [fingerprints(h, w, run_words) for h, w in out]
-        return [cols[0], cols[1], [h.tobytes() for h, _ in out], [w.astype("<u4").tobytes() for _, w in out], marks, [h[m] for (h, _), m in zip(out, marks)]]
+        marks = [fingerprints(h, w, run_words, sure_words) for h, w in out]
+        return [cols[0], cols[1], [h.tobytes() for h, _ in out], [w.astype("<u4").tobytes() for _, w in out], [m for m, _ in marks], [np.array(m, np.uint64).view(np.int64) for _, m in marks]]
 
     # repeated rows (same id and text) are one text
     cut_up = map_slices(texts, cut, "_id long, _key long, hashes binary, words binary, at array<int>, marks array<long>")
@@ -113,20 +122,20 @@ def find_repeats(df: DataFrame, run_words: int = 25, id_col: str = "doc_id", tex
     return runs.groupBy("_key").agg(F.collect_list(F.struct("starts", "stops")).alias("runs"))  # at most its lines for each text
 
 
-def dedup_lines(df: DataFrame, run_words: int = 25, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with ``text`` less the later repeated runs, and a column line_stats more, struct<n_removed
     int, words_removed int>: the lines and words that went.
 
-    A run of ``run_words`` words or more that stands in several texts stays where the id is smallest (a null id
+    A run of ``sure_words`` words or more that stands in several texts is found, one of ``run_words`` or more may be. It stays where the id is smallest (a null id
     comes last; then by a hash of the text, then by position) and goes elsewhere, also when it repeats within one
     text. Rows equal in id and text are one text and get the same result. An exact copy of an earlier text
     becomes empty. Shorter repeated lines stay. A null text stays null with null line_stats, an empty one empty.
     ``df`` may have any further columns; one named line_stats is replaced."""
-    runs = find_repeats(df, run_words, id_col, text_col)
+    runs = find_repeats(df, run_words, sure_words, id_col, text_col)
     df = df.drop("line_stats")
     names = df.columns
-    joined = _keyed(df, id_col, text_col).join(runs.withColumnRenamed("_key", "_run_key"), F.col("_key") == F.col("_run_key"), "left")
-    rows = joined.select(*names, F.transform("runs", lambda r: r["starts"]).alias("_starts"), F.transform("runs", lambda r: r["stops"]).alias("_stops"))
+    joined = _keyed(df, id_col, text_col).join(runs.withColumnsRenamed({"_key": "_run_key", "runs": "_runs"}), F.col("_key") == F.col("_run_key"), "left")
+    rows = joined.select(*names, F.transform("_runs", lambda r: r["starts"]).alias("_starts"), F.transform("_runs", lambda r: r["stops"]).alias("_stops"))
 
     def clean(text: str | None, starts: list[int] | None, stops: list[int] | None):
         if text is None:

@@ -6,13 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingscope.llm import bpe, decontaminate, jaccard, kneser_ney, line_dedup, media, sharding, token_counts
+from ratingscope.llm import bpe, decontaminate, html_extract, jaccard, kneser_ney, line_dedup, media, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of all pages, with the links between them."""
+    records = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages"), date="2024-01-01T00:00:00Z"), keep="source")
+    return records.select(
+        F.col("source").alias("page_id"),
+        "record_id",
+        "type",
+        "target_uri",
+        "date",
+        "refers_to",
+        F.col("fields")["WARC-Concurrent-To"].alias("concurrent_to"),
+        F.col("fields")["WARC-Block-Digest"].alias("block_digest"),
+        F.octet_length("block").cast("long").alias("content_length"),
+        F.decode("block", F.lit("UTF-8")).alias("block"),
+    )
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document under the 50k byte-level vocabulary; over_limit: more than 1,024."""
     limit = 1024
@@ -32,11 +49,16 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents less the runs of 25 words or more that an earlier document, or place, has."""
-    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), run_words=25)
+    """All documents less the runs that an earlier document, or place, has: all of 50 words, and those of 25 that are met."""
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), run_words=25, sure_words=50)
     return out.select("doc_id", "text", F.col("line_stats.n_removed").alias("lines_removed"), F.col("line_stats.words_removed").alias("words_removed"))
 
 
+def op6_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the benchmark items that they leak."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=6, coverage=0.5).drop("_key")
@@ -59,6 +81,6 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.load(media.store(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op6_wrapper_induction, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns)}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.leaks_sql(window=6, coverage=0.5)}
