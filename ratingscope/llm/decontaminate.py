@@ -118,14 +118,14 @@ def leaks_sql(window: int = 6, coverage: float = 0.5) -> str:
     return f"""
 WITH b0 AS (SELECT DISTINCT item_id, {words} AS w FROM benchmark WHERE text IS NOT NULL),
 b1 AS (SELECT item_id, w, {kinds} AS k FROM b0 WHERE len(w) > 0),
-b2 AS (SELECT item_id, w, k, {size} AS size, unnest(range(1, len(k) - {size} + 2)) AS at FROM b1),
-b3 AS (SELECT item_id, w, size, at, array_to_string(k[at:at + size - 1], ' ') AS part, k[at:at + size - 1] AS ks FROM b2),
+b2 AS (SELECT item_id, w, k, {size} AS size, unnest(range(1, len(k) - {size} + 2)) AS pos FROM b1),
+b3 AS (SELECT item_id, w, size, pos, array_to_string(k[pos:pos + size - 1], ' ') AS part, k[pos:pos + size - 1] AS ks FROM b2),
 b4 AS (SELECT *, count(*) OVER (PARTITION BY item_id, w) AS windows FROM b3 WHERE len(list_filter(ks, lambda x: x < chr(5))) * 2 <= size),
 d0 AS (SELECT DISTINCT doc_id, text, {words} AS w FROM documents WHERE text IS NOT NULL),
 d1 AS (SELECT doc_id, text, w, {kinds} AS k FROM d0),
-d2 AS (SELECT doc_id, text, w, k, s.size, unnest(range(1, len(k) - s.size + 2)) AS at FROM d1, (SELECT DISTINCT size FROM b4) s WHERE len(k) >= s.size),
-d3 AS (SELECT doc_id, text, w, size, at, array_to_string(k[at:at + size - 1], ' ') AS part FROM d2),
-h AS (SELECT DISTINCT d3.doc_id, d3.text, d3.w AS dw, b4.item_id, b4.w AS bw, b4.windows, d3.at - b4.at AS diagonal, b4.at FROM d3 JOIN b4 USING (size, part)),
+d2 AS (SELECT doc_id, text, w, k, s.size, unnest(range(1, len(k) - s.size + 2)) AS pos FROM d1, (SELECT DISTINCT size FROM b4) s WHERE len(k) >= s.size),
+d3 AS (SELECT doc_id, text, w, size, pos, array_to_string(k[pos:pos + size - 1], ' ') AS part FROM d2),
+h AS (SELECT DISTINCT d3.doc_id, d3.text, d3.w AS dw, b4.item_id, b4.w AS bw, b4.windows, d3.pos - b4.pos AS diagonal, b4.pos FROM d3 JOIN b4 USING (size, part)),
 l AS (SELECT doc_id, text, dw, item_id, bw, windows, diagonal, count(*) AS matched FROM h GROUP BY ALL HAVING count(*) >= windows * {coverage}),
 m AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, item_id, bw ORDER BY matched DESC, diagonal) AS rn FROM l),
 p AS (SELECT *, list_distinct(list_filter(list_transform(range(1, len(bw) + 1), lambda i: {{'a': bw[i], 'b': dw[i + diagonal]}}), lambda x: x.a < chr(5) AND x.a[1] = x.b[1])) AS pairs FROM m WHERE rn = 1)

@@ -250,20 +250,10 @@ def _walk(top: Node, blocks: list[list[str]], template: set[int], whole: bool =
 
 
 def _leaves(node: Node) -> bool:
-    """Whether an element is left out: it is apart, and neither is nor holds the article."""
-    if not node.apart or node.tag in ("html", "body", "article", "main"):
-        return node.apart and node.tag in ("article", "main")  # a comment may be an <article> too
-    if node.tag == "header":  # a header inside the article holds its heading
-        return not any(c.tag in ("h1", "h2", "hgroup") for c in node.children)
-    if node.tag in APART:
-        return True
-    stack = list(node.children)
-    while stack:
-        c = stack.pop()
-        if c.tag in ("article", "main") and not c.apart:
-            return False
-        stack.extend(c.children)
-    return True
+    """Whether an element is left out. A header with a heading of the first or second level is the article's own."""
+    if node.tag == "header" and any(c.tag in ("h1", "h2", "hgroup") for c in node.children):
+        return False
+    return node.apart and node.tag not in ("html", "body")
 
 
 # ---------------------------------------------------------------- Spark

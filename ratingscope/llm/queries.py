@@ -26,7 +26,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("fields")["WARC-Concurrent-To"].alias("concurrent_to"),
         F.col("fields")["WARC-Block-Digest"].alias("block_digest"),
         F.octet_length("block").cast("long").alias("content_length"),
-        F.decode("block", F.lit("UTF-8")).alias("block"),
+        F.decode("block", "UTF-8").alias("block"),
     )
 
 

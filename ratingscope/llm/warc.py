@@ -120,7 +120,7 @@ def write_text_records(records: DataFrame, path: str) -> None:
     the two line breaks that end a record."""
     order = ["WARC-Type", "WARC-Record-ID", "WARC-Refers-To", "WARC-Concurrent-To", "WARC-Target-URI", "WARC-Date", "WARC-Block-Digest", "Content-Type", "Content-Length"]
     lines = F.concat(*(F.when(F.col("fields")[n].isNotNull(), F.concat(F.lit(f"{n}: "), F.col("fields")[n], F.lit(CRLF))).otherwise(F.lit("")) for n in order))
-    records.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), lines, F.lit(CRLF), F.decode("block", F.lit("UTF-8"))).alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    records.select(F.concat(F.lit(f"WARC/1.1{CRLF}"), lines, F.lit(CRLF), F.decode("block", "UTF-8")).alias("value")).write.option("lineSep", CRLF * 2).text(path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
