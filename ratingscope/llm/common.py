@@ -79,3 +79,19 @@ def components(edges: DataFrame, name: str = "components", max_rounds: int = 50)
         raise RuntimeError("components did not converge")
     roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(roots)
+
+
+#: Most rows of one number that are broadcast (some 50 MB in a task); more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, name: str) -> DataFrame:
+    """A narrow table for a join, written once; with the hint to broadcast it if it has ``BROADCAST_ROWS`` rows at most."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids`` (one column)."""
+    gone = if_small(ids.toDF("_gone").where("_gone is not null").distinct(), "ids")
+    return df.join(gone, df[id_col] == F.col("_gone"), "left_anti")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratingscope.llm.common import written
+from ratingscope.llm.common import if_small, written
 
 #: Units that count as such right after a number.
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|h|min|s|ms|mph|kmh|ft|in|usd|eur|gbp|percent|dollars|euros|pounds|miles|hours|minutes|seconds|days|weeks|years"
@@ -102,6 +102,7 @@ def _consistent(found: DataFrame, docs: DataFrame, items: DataFrame, item_id: st
 def decontaminate(df: DataFrame, items: DataFrame, window: int = 6, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` whose text leaks no item, with their columns as they are; rows with null text stay."""
     leaks = find_leaks(df, items, window, coverage, id_col, text_col).select(F.col("_key").alias("_leaked")).distinct()
+    leaks = if_small(leaks, "leaked")
     return df.join(leaks, F.xxhash64(df[id_col], df[text_col]) == F.col("_leaked"), "left_anti")
 
 

@@ -159,3 +159,9 @@ def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return map_slices(rows, run, f"{schema}, line_stats struct<n_removed: int, words_removed: int>")
+
+
+def drop_emptied(df: DataFrame, text_col: str = "text", **more) -> DataFrame:
+    """The rows of ``df`` with the text that ``dedup_lines`` leaves; those of which it leaves nothing go."""
+    out = dedup_lines(df, text_col=text_col, **more)
+    return out.where(~((F.col("line_stats.n_removed") > 0) & (F.col(text_col) == "")) | F.col(text_col).isNull()).drop("line_stats")
