@@ -1,6 +1,307 @@
-"""Named queries and their SQL twins."""
+"""Named queries over the ratings view, and their SQL twins for DuckDB.
+
+Numbers that come from sums of floats are rounded to six digits on both sides, for the order of additions differs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratingscope.operators import archetypes, atypical, compare, fingerprint, members, models, perturb, report
+from ratingscope.plans import sql
+from ratingscope.schema import KEYS
+from ratingscope.sources import sessions
+from ratingscope.sources.ratings_view import ratings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
+
+
+def _query(fn: Callable[[DataFrame], DataFrame], whole: bool = False, name: str | None = None) -> Callable:
+    """Register a query over the kept ratings (all of them if ``whole``)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        r = ratings(spark, sf_dir)
+        return fn(r if whole else members.kept(r))
+
+    QUERIES[name or fn.__name__] = run
+    return fn
+
+
+def _rounded(df: DataFrame, *cols: str) -> DataFrame:
+    """Six digits, and no negative zero."""
+    return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in cols})
+
+
+def _counts(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in cols})
+
+
+def _model(name: str) -> None:
+    def run(r: DataFrame) -> DataFrame:
+        iwf = models.score(r, (name,)).where("error is null")
+        hub = ["hub"] if "peerhits" in name else []
+        return _rounded(iwf.select(*KEYS, "email", "iwf", *hub), "iwf", *hub)
+
+    _query(run, name=f"{name.replace('-', '_')}_iwf")
+
+
+for _name in (*models.NAMES, "peerrank", "peerhits"):
+    _model(_name)
+
+
+@_query
+def run_failures(r: DataFrame) -> DataFrame:
+    """Teams for which a model fails."""
+    return models.run_status(models.score(r)).where("error is not null").select(*KEYS, "model", "error")
+
+
+@_query
+def convergence_stats(r: DataFrame) -> DataFrame:
+    out = report.convergence_stats(models.convergence(models.score(r)))
+    return _rounded(out, "mean_iterations", "median_iterations")
+
+
+@_query
+def iwf_pivot(r: DataFrame) -> DataFrame:
+    wide = compare.side_by_side(models.score(r, ("baseline", "webpa")), ("baseline", "webpa"))
+    return _rounded(wide, "baseline", "webpa", "max_delta")
+
+
+@_query
+def iwf_side_by_side(r: DataFrame) -> DataFrame:
+    """All six models."""
+    wide = compare.side_by_side(models.score(r))
+    names = [n.replace("-", "_") for n in models.NAMES]
+    return _rounded(wide.toDF(*KEYS, "email", *names, "max_delta"), *names, "max_delta")
+
+
+@_query
+def iwf_bands(r: DataFrame) -> DataFrame:
+    return compare.banded(models.score(r, ("baseline", "webpa"))).groupBy("model", "band").agg(F.count("*").alias("n"))
+
+
+@_query
+def session_results(r: DataFrame) -> DataFrame:
+    """The result rows of a run, all models, as they are written to files."""
+    return compare.results(models.score(r), r)
+
+
+@_query
+def member_grades(r: DataFrame) -> DataFrame:
+    return _rounded(compare.grades(models.webpa(r), 80.0).where("error is null").select(*KEYS, "email", "grade"), "grade")
+
+
+def _whole(fn):
+    return _query(fn, whole=True)
+
+
+@_whole
+def team_exclusions(r: DataFrame) -> DataFrame:
+    return _counts(members.excluded_teams(r).select(*KEYS, "n_members", "n_missing"), "n_members", "n_missing")
+
+
+@_whole
+def rater_missing(r: DataFrame) -> DataFrame:
+    return members.rater_missing(r).select(*KEYS, "student_email")
+
+
+@_query
+def point_total_mismatch(r: DataFrame) -> DataFrame:
+    off = members.point_totals(r).where(F.abs(F.col("total") - F.col("team_median")) > 1.0)
+    return _rounded(off.select(*KEYS, "giver", "total", "team_median"), "total", "team_median")
+
+
+@_whole
+def diagnostic_events(r: DataFrame) -> DataFrame:
+    return report.event_counts(members.diagnostics(r))
+
+
+@_whole
+def non_submitter_kinds(r: DataFrame) -> DataFrame:
+    """How many raters are missing under each of the four notions."""
+    kinds = {"a": members.missing_in_file(r), "b": members.without_peer_scores(r), "c": members.without_scores(r), "d": members.active_raters(r)}
+    out = None
+    for k, df in kinds.items():
+        part = df.agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@_query
+def rank_reversal_pairs(r: DataFrame) -> DataFrame:
+    pairs = compare.reversal_pairs(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute")))
+    return _rounded(pairs, "base_diff", "adv_diff", "magnitude")
+
+
+@_query
+def rank_reversal_summary(r: DataFrame) -> DataFrame:
+    s = compare.reversal_summary(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute")))
+    return _rounded(s, "rate")
+
+
+@_query
+def rank_reversal_aggregate(r: DataFrame) -> DataFrame:
+    s = compare.reversal_summary(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute")))
+    return _rounded(compare.reversal_aggregate(s), "mean_rate", "pooled_rate")
+
+
+@_query
+def cross_model_delta(r: DataFrame) -> DataFrame:
+    return _rounded(compare.cross_model_delta(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute"))), "delta")
+
+
+@_query
+def model_pair_delta(r: DataFrame) -> DataFrame:
+    return _rounded(compare.pair_delta(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute"))), "delta")
+
+
+@_query
+def batch_totals(r: DataFrame) -> DataFrame:
+    return report.totals(models.run_status(models.score(r)))
+
+
+@_query
+def distinct_teams(r: DataFrame) -> DataFrame:
+    return report.distinct_teams(r)
+
+
+@_query
+def team_size_stats(r: DataFrame) -> DataFrame:
+    return _rounded(_counts(report.team_sizes(r), "min_size", "max_size"), "mean_size", "median_size")
+
+
+@_query
+def iwf_range(r: DataFrame) -> DataFrame:
+    return _rounded(report.iwf_range(models.baseline(r)), "min_iwf", "max_iwf", "mean_iwf", "std_iwf")
+
+
+def _transform(name: str, fn: Callable[[DataFrame], DataFrame]) -> None:
+    _query(lambda r: _rounded(fn(r).select(*KEYS, "giver", "recipient", "score"), "score"), name=name)
+
+
+_transform("uniform_inflation", perturb.uniform_inflation)
+_transform("zero_self_full", perturb.zero_self)
+_transform("zero_self_partial", lambda r: perturb.zero_self(r, colluders=2))
+_transform("targeted_downvote", perturb.targeted_downvote)
+_transform("single_outlier", perturb.single_outlier)
+_transform("strategic_silence", perturb.strategic_silence)
+_transform("sabotage_of_the_best", perturb.sabotage_of_the_best)
+
+
+@_query
+def attack_delta(r: DataFrame) -> DataFrame:
+    """Every perturbation under baseline and WebPA, by team."""
+    keys = [*KEYS, "variant", "perm"]
+    d = perturb.deltas(models.score(perturb.variants(r), ("baseline", "webpa"), keys))
+    return _rounded(d.where("error is null").select(*KEYS, "variant", "model", "delta"), "delta")
+
+
+@_query
+def permutation_robustness(r: DataFrame) -> DataFrame:
+    """Ten permutations of one rater under baseline and PeerRank."""
+    keys = [*KEYS, "variant", "perm"]
+    d = perturb.deltas(models.score(perturb.variants(r, n_perms=10), ("baseline", "peerrank-impute"), keys))
+    return _rounded(perturb.permutation_robustness(d), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
+
+
+@_query
+def robustness_matrix(r: DataFrame) -> DataFrame:
+    keys = [*KEYS, "variant", "perm"]
+    d = perturb.deltas(models.score(perturb.variants(r, n_perms=3), keys=keys))
+    wide = perturb.robustness_matrix(perturb.attack_summary(d))
+    names = [n.replace("-", "_") for n in models.NAMES]
+    return _rounded(wide.toDF("variant", *names), *names)
+
+
+def _feature(name: str, fn: Callable[[DataFrame], DataFrame], *cols: str) -> None:
+    _query(lambda r: _rounded(fn(r).select(*KEYS, *cols), *cols), name=name)
+
+
+_feature("reciprocity", fingerprint.pair_features, "reciprocity")
+_feature("asymmetry", fingerprint.pair_features, "asymmetry")
+_feature("gini_in_degree", fingerprint.gini, "gini_in_degree")
+_feature("rater_std", fingerprint.rater_spread, "mean_rater_std", "std_rater_std")
+_feature("self_share", fingerprint.submission, "non_submitter_frac", "mean_self_share")
+_feature("assortativity", fingerprint.assortativity, "assortativity")
+_feature("clustering", fingerprint.triple_features, "clustering")
+_feature("triad_census", fingerprint.triple_features, *(f"triad_{t}" for t in fingerprint.TRIADS))
+_feature("member_degrees", lambda r: fingerprint.degrees(r).withColumn("question", F.concat_ws("/", "question", "email")), "in_weight", "out_weight")
+_feature("scaled_edges", lambda r: fingerprint.scaled_edges(r).withColumn("question", F.concat_ws("/", "question", "giver", "recipient")), "scaled")
+
+
+@_query
+def feature_matrix(r: DataFrame) -> DataFrame:
+    return _rounded(_counts(fingerprint.features(r), "n_students", "non_submitter_count"), *fingerprint.FEATURES)
+
+
+@_query
+def degenerate_cause(r: DataFrame) -> DataFrame:
+    return atypical.degenerate(fingerprint.features(r)).select(*KEYS, "cause")
+
+
+@_query
+def metric_profile(r: DataFrame) -> DataFrame:
+    return _rounded(fingerprint.metric_profile(fingerprint.features(r)), *fingerprint.BEHAVIOUR[:6])
+
+
+def _scaled(r: DataFrame) -> tuple[DataFrame, DataFrame, atypical.Scale]:
+    f = atypical.degenerate(atypical.imputed(fingerprint.features(r))).persist()
+    scale = atypical.fit_scale(f)
+    return f, atypical.standardised(f, scale), scale
+
+
+@_query
+def standardised_features(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    return _rounded(z.select(*KEYS, *scale.names), *scale.names)
+
+
+@_query
+def atypicality(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    return _rounded(atypical.atypicality(z, scale).select(*KEYS, "cause", "distance", "flag"), "distance")
+
+
+@_query
+def nearest_prototype(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    out = atypical.nearest_prototype(z, scale, atypical.prototype_features(r.sparkSession))
+    numbers = [c for c in out.columns if c.startswith(("dist_", "weight_"))]
+    return _rounded(out.select(*KEYS, "label", *numbers), *numbers)
+
+
+@_query
+def delta_by_label(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    labelled = atypical.nearest_prototype(z, scale, atypical.prototype_features(r.sparkSession))
+    return _rounded(atypical.delta_by_label(labelled, compare.cross_model_delta(models.score(r))), "mean", "std", "median", "max")
+
+
+@_query
+def delta_correlation(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    return _rounded(atypical.delta_correlation(atypical.atypicality(z, scale), compare.cross_model_delta(models.score(r))), "r", "p")
+
+
+@_query
+def principal_components(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    return _rounded(atypical.principal_components(z, scale)[0].select(*KEYS, "pc1", "pc2"), "pc1", "pc2")
+
+
+@_query
+def archetype_weights(r: DataFrame) -> DataFrame:
+    """Three archetypes, a short fit: each team's weights."""
+    _, z, scale = _scaled(r)
+    _, rows, _ = archetypes.fit(z.select(*KEYS, *scale.names), scale.names, k=3, max_iter=8)
+    return rows.select(*KEYS, *(F.round(F.col("w")[j], 6).alias(f"weight_{j}") for j in range(3)))
+
+
+@_whole
+def session_parse_roundtrip(r: DataFrame) -> DataFrame:
+    """The view rendered as session exports and parsed again."""
+    return sessions.parse(sessions.as_lines(r))["ratings"].select(*KEYS, "year", "semester", F.col("session_number").cast("long").alias("session_number"), "giver", "recipient", "score")
