@@ -28,14 +28,15 @@ def member_pairs(iwf: DataFrame, base: str = "baseline", keys: list[str] = KEYS)
 
 
 def _judged(pairs: DataFrame, delta: float) -> DataFrame:
-    """Adds eligible, reversed and the pair oriented by the base model, ties as they are."""
+    """Adds eligible, reversed and the pair oriented by the base model, ties as they are. Differences count to nine digits, so
+    that the order of additions decides nothing."""
     known = F.col("base_a").isNotNull() & F.col("base_b").isNotNull() & F.col("adv_a").isNotNull() & F.col("adv_b").isNotNull()
     up = F.col("base_a") >= F.col("base_b")
     base = F.abs(F.col("base_a") - F.col("base_b"))
     adv = F.when(up, F.col("adv_a") - F.col("adv_b")).otherwise(F.col("adv_b") - F.col("adv_a"))
     out = pairs.withColumns({"base_diff": base, "adv_diff": adv, "higher": F.when(up, F.col("email_a")).otherwise(F.col("email_b")), "lower": F.when(up, F.col("email_b")).otherwise(F.col("email_a"))})
-    eligible = F.coalesce(known & (F.col("base_diff") >= delta), F.lit(False))
-    return out.withColumn("eligible", eligible).withColumn("reversed", F.col("eligible") & (F.col("adv_diff") < 0))
+    eligible = F.coalesce(known & (F.round("base_diff", 9) >= delta), F.lit(False))
+    return out.withColumn("eligible", eligible).withColumn("reversed", F.col("eligible") & (F.round("adv_diff", 9) < 0))
 
 
 def reversal_pairs(iwf: DataFrame, delta: float = 1.5, base: str = "baseline", keys: list[str] = KEYS) -> DataFrame:

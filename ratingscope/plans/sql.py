@@ -69,8 +69,8 @@ UNION ALL SELECT {K}, email, 'peerrank-impute', iwf FROM peerrank_impute UNION A
 PAIRS = f"""x1 AS (SELECT a.csv_path, a.team, a.question, a.email, a.model, b.iwf AS base, a.iwf AS adv FROM f4 a JOIN baseline b USING ({K}, email) WHERE a.model <> 'baseline'),
 x2 AS (SELECT p.csv_path, p.team, p.question, p.model, p.email AS ea, q.email AS eb, p.base AS ba, q.base AS bb, p.adv AS aa, q.adv AS ab FROM x1 p JOIN x1 q USING ({K}, model) WHERE p.email < q.email),
 x3 AS (SELECT *, ba >= bb AS up, abs(ba - bb) AS base_diff, CASE WHEN ba >= bb THEN aa - ab ELSE ab - aa END AS adv_diff FROM x2),
-x4 AS (SELECT *, coalesce(base_diff >= 1.5 AND aa IS NOT NULL AND ab IS NOT NULL, false) AS eligible FROM x3),
-x5 AS (SELECT *, eligible AND adv_diff < 0 AS reversed FROM x4)"""
+x4 AS (SELECT *, coalesce(round(base_diff, 9) >= 1.5 AND aa IS NOT NULL AND ab IS NOT NULL, false) AS eligible FROM x3),
+x5 AS (SELECT *, eligible AND round(adv_diff, 9) < 0 AS reversed FROM x4)"""
 SUMMARY = f"x6 AS (SELECT {K}, model, count(*) FILTER (WHERE reversed) AS reversed, count(*) FILTER (WHERE eligible) AS eligible, count(*) AS pairs FROM x5 GROUP BY ALL)"
 
 ACTIVE = f"""g0 AS (SELECT *, count(score) OVER (PARTITION BY {K}, giver) > 0 AS active FROM k),
