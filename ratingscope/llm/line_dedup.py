@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 from ratingscope.llm.common import map_slices, written
 
 #: Ends of lines: a line break, or white space after a clause.
-_LINE = re.compile(r"[^\n]*?(?:[.!?;:,…]+(?=\s)|\n|$)[^\S\n]*\n*", re.S)
+_END = re.compile(r"[.!?;:,…]+\s+|\n\s*")
 
 
 def lines(text: str) -> list[str]:
     """The lines of a text with the white space after them; joined they are the text."""
-    return [x for x in _LINE.findall(text) if x]
+    ends = [m.end() for m in _END.finditer(text)]
+    return [x for x in map(text.__getitem__, map(slice, [0, *ends], [*ends, len(text)])) if x]
 
 
 def hashed(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each line; case and the white space around and between words don't count."""
+    """Hash and number of words of each line (at most 255, more than any run needs); case and the white space around and
+    between words don't count."""
     words = [x.lower().split() for x in parts]
-    return np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64), np.array(list(map(len, words)), np.int64)
+    return np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64), np.minimum(np.array(list(map(len, words)), np.int64), 255)
 
 
 def _ends(words: np.ndarray, least: int) -> np.ndarray:
@@ -65,20 +67,16 @@ def fingerprints(hashes: np.ndarray, words: np.ndarray, run_words: int, sure_wor
     return list(keep), list(keep.values())
 
 
-def repeated_runs(own: np.ndarray, words: np.ndarray, meetings: list[tuple[int, int, np.ndarray, bool]], run_words: int) -> np.ndarray:
-    """Which lines of a text to delete. meetings: (position, place in the source, hashes of the source, whether the
-    source is the text itself)."""
-    gone = np.zeros(len(own), bool)
-    for offset, source, itself in {(at - place, source.tobytes(), itself) for at, place, source, itself in meetings}:
-        source = np.frombuffer(source, np.int64)
-        low, high = max(0, offset), min(len(own), len(source) + offset)
-        same = own[low:high] == source[low - offset : high - offset]
-        border = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
-        for a, b in zip(border[::2] + low, border[1::2] + low):
-            # in the text itself a later run may overlap the run that it repeats; then only what follows it goes
-            if words[a:b].sum() >= run_words:
-                gone[a:b] = True
-    return gone
+def repeated_runs(offset: int, theirs: np.ndarray, their_words: np.ndarray, own: np.ndarray, words: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of the runs of a text that are equal to those of a source, line k of the text standing opposite line
+    k - offset of the source, and have ``run_words`` words or more."""
+    low, high = max(0, offset), min(len(own), len(theirs) + offset)
+    same = (own[low:high] == theirs[low - offset : high - offset]) & (words[low:high] == their_words[low - offset : high - offset])
+    border = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))) + low
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    starts, stops = border[::2], border[1::2]
+    enough = sums[stops] - sums[starts] >= run_words
+    return starts[enough], stops[enough]
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -93,31 +91,32 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     def cut(cols: list[list]) -> list[list]:
         out = [hashed(lines(t)) for t in cols[2]]
         marks = [fingerprints(h, w, run_words, sure_words) for h, w in out]
-        return [cols[0], cols[1], [h.tobytes() for h, _ in out], [w.astype("<u4").tobytes() for _, w in out], [m for m, _ in marks], [np.array(m, np.uint64).view(np.int64) for _, m in marks]]
+        return [cols[0], cols[1], [h.tobytes() for h, _ in out], [w.astype(np.uint8).tobytes() for _, w in out], [m for m, _ in marks], [np.array(m, np.uint64).view(np.int64) for _, m in marks]]
 
     # repeated rows (same id and text) are one text
     cut_up = map_slices(texts, cut, "_id long, _key long, hashes binary, words binary, at array<int>, marks array<long>")
     lined = written(cut_up.where(F.size("marks") > 0), "lines")
     marks = lined.select("_id", "_key", F.explode(F.arrays_zip("at", "marks")).alias("m")).select("_id", "_key", F.col("m.at").alias("at"), F.col("m.marks").alias("mark"))
     place = F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("id"), F.col("_key").alias("key"), F.col("at").alias("at"))
-    first = marks.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("mark", "first")
+    first = written(marks.groupBy("mark").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first"), "first")
     # a line that a third of all texts have meets one row here, so its rows can be dealt to many tasks
     meets = marks.join(first, "mark").where(F.col("first") != place)
-    meets = meets.groupBy("_key", F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset")).agg(F.min("at").alias("at"))
-    sources = lined.groupBy("_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
-    # (rows with the same _key have the same text, so any of them will do)
-    pairs = meets.join(sources.select(F.col("_key").alias("source"), F.col("hashes").alias("theirs")), "source")
-    pairs = pairs.join(sources, "_key")
+    meets = meets.select(F.col("_key").alias("later"), F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset")).distinct()
+    # rows with the same _key have the same text, so any of them will do; both joins read one shuffle of this
+    each = lined.groupBy("_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
+    theirs, own = each.alias("theirs"), each.alias("own")
+    pairs = meets.join(theirs, F.col("source") == F.col("theirs._key"))
+    pairs = pairs.select("later", "offset", F.col("theirs.hashes").alias("their_hashes"), F.col("theirs.words").alias("their_words"))
+    pairs = pairs.join(own, F.col("later") == F.col("own._key")).select("later", "offset", "their_hashes", "their_words", "own.hashes", "own.words")
 
     def extend(cols: list[list]) -> list[list]:
-        gone = []
-        for key, source, offset, at, theirs, own, words in zip(*cols):
-            n = np.frombuffer(own, np.int64)
-            gone.append(repeated_runs(n, np.frombuffer(words, "<u4").astype(np.int64), [(at, at - offset, np.frombuffer(theirs, np.int64), key == source)], run_words))
-        spans = [np.flatnonzero(np.diff(np.concatenate([[0], g, [0]]).astype(np.int8))) for g in gone]
-        return [cols[0], [s[::2] for s in spans], [s[1::2] for s in spans]]
-
-    runs = map_slices(pairs.select("_key", "source", "offset", "at", "theirs", "hashes", "words"), extend, "_key long, starts array<int>, stops array<int>")
+        spans = []
+        for offset, *data in zip(*cols[1:]):
+            lines_ = [np.frombuffer(x, np.int64 if k % 2 == 0 else np.uint8) for k, x in enumerate(data)]
+            spans.append(repeated_runs(offset, *lines_, run_words))
+        return [cols[0], [a for a, _ in spans], [b for _, b in spans]]
+
+    runs = map_slices(pairs, extend, "_key long, starts array<int>, stops array<int>")
     runs = runs.where(F.size("starts") > 0).select("_key", F.explode(F.arrays_zip("starts", "stops")).alias("r")).select("_key", "r.starts", "r.stops").distinct()
     return runs.groupBy("_key").agg(F.collect_list(F.struct("starts", "stops")).alias("runs"))  # at most its lines for each text
 
