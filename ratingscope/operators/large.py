@@ -1,0 +1,46 @@
+"""PeerRank for teams too large for a packed row: every step is a join of shares with grades and a grouping.
+
+Teams that have converged are set aside, so a step costs what the open teams cost; lineage is cut every few steps.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ratingscope.operators import members
+from ratingscope.schema import KEYS
+from ratingscope.shared import checkpointed
+
+
+def peerrank(ratings: DataFrame, alpha: float = 0.1, epsilon: float = 1e-6, most: int = 1000, every: int = 10, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, email, iwf, converged, iterations, final_l1): what ``operators.models`` gives for peerrank. Teams in which a rater
+    gave only zeros, or nobody rated anybody, are left out."""
+    peer = ratings.where("giver <> recipient and score is not null")
+    by_giver, by_team = Window.partitionBy(*keys, "giver"), Window.partitionBy(*keys)
+    share = peer.withColumn("total", F.sum("score").over(by_giver)).withColumn("_bad", F.max((F.col("total") == 0).cast("int")).over(by_team))
+    share = checkpointed(share.where("_bad = 0").select(*keys, "giver", "recipient", (F.col("score") / F.col("total")).alias("a")))
+    got = share.groupBy(*keys, F.col("recipient").alias("email")).agg(F.sum("a").alias("x"))
+    teams = share.select(*keys).distinct()
+    x = members.members(ratings, keys).drop("idx").join(teams, keys).join(got, [*keys, "email"], "left").fillna(0.0, ["x"])
+    x = checkpointed(x.withColumn("x", F.col("x") / F.sum("x").over(by_team)).withColumns({"iterations": F.lit(0), "l1": F.lit(None).cast("double")}))
+    done = None
+    for step in range(1, most + 1):
+        flow = share.join(x.select(*keys, F.col("email").alias("giver"), "x"), [*keys, "giver"]).groupBy(*keys, F.col("recipient").alias("email")).agg(F.sum(F.col("x") * F.col("a")).alias("flow"))
+        around = F.sum("x").over(by_team) - F.col("x")
+        update = F.when(around > 0, F.coalesce("flow", F.lit(0.0)) / around).otherwise(0.0)
+        new = x.join(flow, [*keys, "email"], "left").withColumn("new", (1 - alpha) * F.col("x") + alpha * update)
+        new = new.withColumn("l1", F.sum(F.abs(F.col("new") - F.col("x"))).over(by_team))
+        x = new.select(*keys, "email", F.col("new").alias("x"), F.lit(step).alias("iterations"), "l1")
+        if step % every and step < most:
+            x = x.cache()
+        else:
+            x = checkpointed(x)
+        ready = x.where(F.col("l1") < epsilon)
+        done = ready if done is None else done.unionByName(ready)
+        x = x.where(F.col("l1") >= epsilon)
+        if x.isEmpty():
+            break
+    out = done.unionByName(x)
+    mean = F.avg("x").over(by_team)
+    return out.select(*keys, "email", (F.col("x") / mean * 10).alias("iwf"), (F.col("l1") < epsilon).alias("converged"), "iterations", F.col("l1").alias("final_l1"))

@@ -1,9 +1,16 @@
+import os
+import sys
 import tempfile
 
 import pytest
 from pyspark.sql import SparkSession
 
 
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = f"{HERE}:{os.environ.get('PYTHONPATH', '')}"  # for the Python workers
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (

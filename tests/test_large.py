@@ -1,0 +1,14 @@
+import pytest
+
+from ratingscope.operators import large, models
+from tests.test_models import table
+
+
+def test_joins_give_what_packed_rows_give(spark):
+    quick = [[10, 9, 11], [9, 10, 9], [11, 11, 10]]
+    r = table(spark, quick, [[0, 1], [1, 0]], [[5, 0], [0, 5]])
+    got = {(x.team, x.email): x for x in large.peerrank(r, epsilon=1e-3, every=3).collect()}
+    assert {t for t, _ in got} == {"t0", "t1"}
+    want = {(x.team, x.email): x.iwf for x in models.iterative(r, ("peerrank",)).where("error is null").collect()}
+    for k, x in got.items():
+        assert x.iwf == pytest.approx(want[k], abs=0.1) and x.converged
