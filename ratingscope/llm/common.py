@@ -43,14 +43,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+#: Tables that ``written`` has made and ``drop_tables`` may delete.
+_tables: list[str] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors. ``keep``: it is a
+    result, which ``drop_tables`` leaves alone."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not keep:
+        _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Delete the tables written so far. For callers who have written what they got from the operators, and so need
+    no operator's DataFrame of before any more."""
+    while _tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
     """Connected components of an undirected edge table (a long, b long).
 
