@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,27 +44,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-#: Tables that ``written`` has made and ``drop_tables`` may delete.
+#: Tables that ``written`` has made inside ``stage_tables``, and whether such a block is open.
 _tables: list[str] = []
+_in_stage = False
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors. ``keep``: it is a
-    result, which ``drop_tables`` leaves alone."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table in the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if not keep:
+    if _in_stage:
         _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_tables(spark: SparkSession) -> None:
-    """Delete the tables written so far. For callers who have written what they got from the operators, and so need
-    no operator's DataFrame of before any more."""
+@contextmanager
+def stage_tables(spark: SparkSession) -> Iterator[None]:
+    """A block in which a stage calls operators. Deletes the intermediate tables of the block before: when a stage begins,
+    what the stage before gave back has been written, so nothing needs them any more."""
+    global _in_stage
     while _tables:
         path = spark._jvm.org.apache.hadoop.fs.Path(_tables.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _in_stage = True
+    try:
+        yield
+    finally:
+        _in_stage = False
 
 
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 50) -> DataFrame:
