@@ -101,20 +101,24 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     first = written(marks.groupBy("mark").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first"), "first")
     # a line that a third of all texts have meets one row here, so its rows can be dealt to many tasks
     meets = marks.join(first, "mark").where(F.col("first") != place)
-    meets = meets.select(F.col("_key").alias("later"), F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset")).distinct()
+    meets = meets.select(F.col("_key").alias("later"), F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset"))
+    # two texts meet once, with all offsets between them (at most the lines of the later text)
+    meets = meets.groupBy("later", "source").agg(F.collect_set("offset").alias("offsets"))
     # rows with the same _key have the same text, so any of them will do; both joins read one shuffle of this
     each = lined.groupBy("_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
     theirs, own = each.alias("theirs"), each.alias("own")
     pairs = meets.join(theirs, F.col("source") == F.col("theirs._key"))
-    pairs = pairs.select("later", "offset", F.col("theirs.hashes").alias("their_hashes"), F.col("theirs.words").alias("their_words"))
-    pairs = pairs.join(own, F.col("later") == F.col("own._key")).select("later", "offset", "their_hashes", "their_words", "own.hashes", "own.words")
+    pairs = pairs.select("later", "offsets", F.col("theirs.hashes").alias("their_hashes"), F.col("theirs.words").alias("their_words"))
+    pairs = pairs.join(own, F.col("later") == F.col("own._key")).select("later", "offsets", "their_hashes", "their_words", "own.hashes", "own.words")
 
     def extend(cols: list[list]) -> list[list]:
-        spans = []
-        for offset, *data in zip(*cols[1:]):
+        starts, stops = [], []
+        for offsets, *data in zip(*cols[1:]):
             lines_ = [np.frombuffer(x, np.int64 if k % 2 == 0 else np.uint8) for k, x in enumerate(data)]
-            spans.append(repeated_runs(offset, *lines_, run_words))
-        return [cols[0], [a for a, _ in spans], [b for _, b in spans]]
+            found = [repeated_runs(offset, *lines_, run_words) for offset in offsets]
+            starts.append(np.concatenate([a for a, _ in found]))
+            stops.append(np.concatenate([b for _, b in found]))
+        return [cols[0], starts, stops]
 
     runs = map_slices(pairs, extend, "_key long, starts array<int>, stops array<int>")
     runs = runs.where(F.size("starts") > 0).select("_key", F.explode(F.arrays_zip("starts", "stops")).alias("r")).select("_key", "r.starts", "r.stops").distinct()
