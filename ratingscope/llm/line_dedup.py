@@ -1,13 +1,12 @@
-"""Removal of repeated runs of lines by winnowing (operator 5).
+"""Removal of repeated runs of words by winnowing (operator 5).
 
-A text is cut into lines: at line breaks, and after the end of a sentence or clause, so that a passage
-pasted into the middle of a paragraph has lines of its own. A gram is the shortest run of lines from a line on that
-has ``run_words`` words, a window the shortest that has ``sure_words``; the least gram hash in every window is
-a fingerprint. So each run of ``sure_words`` words that two texts share has a fingerprint in common, wherever it
-stands, and shorter ones down to ``run_words`` words may have one.
+A text is cut into words, each with the white space after it, so that a passage has the same parts wherever it is
+pasted: no border of a line has to fall on its own. A gram is a run of ``run_words`` words, a window one of
+``sure_words``; the least gram hash in every window is a fingerprint. So each run of ``sure_words`` words that two
+texts share has a fingerprint in common, wherever it begins, and shorter ones down to ``run_words`` words may have one.
 
 Fingerprints are joined on their hash: each later place meets the first one (the smallest id, then the
-smallest position). A meeting is an alignment of two texts; it is extended both ways over equal lines, and the
+smallest position). A meeting is an alignment of two texts; it is extended both ways over equal words, and the
 later text loses the run.
 """
 
@@ -20,63 +19,82 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingscope.llm.common import map_slices, written
+from ratingscope.llm.common import if_small, map_slices, written
 
-#: Ends of lines: a line break, or white space after a clause.
-_END = re.compile(r"[.!?;:,…]+\s+|\n\s*")
+_PART = re.compile(r"\s*\S+\s*")
+#: Ends of the lines that are counted: a line break, or white space after a clause.
+_END = re.compile(r"[.!?;:,…]\s+\Z|\n")
+#: Most words whose hashes a worker remembers.
+KNOWN_WORDS = 500_000
+
+
+class _Known(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+
+_known = _Known()
 
 
 def lines(text: str) -> list[str]:
-    """The lines of a text with the white space after them; joined they are the text."""
-    ends = [m.end() for m in _END.finditer(text)]
-    return [x for x in map(text.__getitem__, map(slice, [0, *ends], [*ends, len(text)])) if x]
+    """The parts of a text, words with the white space after them; joined they are the text."""
+    return _PART.findall(text) or [text] * bool(text)
 
 
-def hashed(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and number of words of each line (at most 255, more than any run needs); case and the white space around and
-    between words don't count."""
-    words = [x.lower().split() for x in parts]
-    return np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words], np.uint64).view(np.int64), np.minimum(np.array(list(map(len, words)), np.int64), 255)
+def hashed(text: str) -> np.ndarray:
+    """Hash of each word; case doesn't count."""
+    words = text.lower().split()
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
-def _ends(words: np.ndarray, least: int) -> np.ndarray:
-    """Where the shortest run of ``least`` words from each line ends; beyond the text if there is none."""
-    sums = np.cumsum(words)
-    return np.searchsorted(sums, sums - words + least) + 1
+def _slide(values: np.ndarray, span: int, least) -> np.ndarray:
+    """Minimum or maximum of every ``span`` values in a row."""
+    size = 1
+    while 2 * size <= span:
+        values, size = least(values[:-size], values[size:]), 2 * size
+    return least(values[: len(values) - (span - size)], values[span - size :])
 
 
-def fingerprints(hashes: np.ndarray, words: np.ndarray, run_words: int, sure_words: int) -> tuple[list[int], list[int]]:
+def fingerprints(hashes: np.ndarray, run_words: int, sure_words: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the window minima among the text's grams; of equal hashes the rightmost. A text that is
     shorter than a window is one window."""
-    ends, n = _ends(words, run_words), len(hashes)
-    many = int(np.searchsorted(ends, n, side="right"))  # lines that a gram begins at
-    data, stops = hashes.tobytes(), ends.tolist()
-    grams = [xxhash.xxh64_intdigest(data[8 * k : 8 * stops[k]]) for k in range(many)]
-    windows = [e for e in _ends(words, sure_words).tolist() if e <= n] or [n]
-    keep, queue, head, right = {}, [], 0, 0
-    for start, end in enumerate(windows):
-        while right < many and stops[right] <= end:
-            while len(queue) > head and grams[queue[-1]] >= grams[right]:
-                queue.pop()
-            queue.append(right)
-            right += 1
-        while head < len(queue) and queue[head] < start:
-            head += 1
-        if head < len(queue):
-            keep[queue[head]] = grams[queue[head]]
-    return list(keep), list(keep.values())
-
-
-def repeated_runs(offset: int, theirs: np.ndarray, their_words: np.ndarray, own: np.ndarray, words: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Begins and ends of the runs of a text that are equal to those of a source, line k of the text standing opposite line
-    k - offset of the source, and have ``run_words`` words or more."""
-    low, high = max(0, offset), min(len(own), len(theirs) + offset)
-    same = (own[low:high] == theirs[low - offset : high - offset]) & (words[low:high] == their_words[low - offset : high - offset])
-    border = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8))) + low
-    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
-    starts, stops = border[::2], border[1::2]
-    enough = sums[stops] - sums[starts] >= run_words
-    return starts[enough], stops[enough]
+    many = len(hashes) - run_words + 1
+    if many < 1:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    data, size = hashes.tobytes(), 8 * run_words
+    grams = np.fromiter((xxhash.xxh64_intdigest(data[k : k + size]) for k in range(0, 8 * many, 8)), np.uint64, many)
+    span = min(many, sure_words - run_words + 1)
+    none = np.zeros(span - 1, np.uint64)
+    lows = _slide(grams, span, np.minimum)
+    # a gram is the least of a window if it is the largest minimum of the windows that it lies in
+    keep = np.flatnonzero(_slide(np.concatenate([none, lows, none]), span, np.maximum) == grams)
+    if (np.diff(keep)[grams[keep[1:]] == grams[keep[:-1]]] < span).any():
+        last = np.lib.stride_tricks.sliding_window_view(grams, span)[:, ::-1].argmin(axis=1)
+        keep = np.unique(np.arange(len(lows)) + span - 1 - last)
+    return keep, grams[keep]
+
+
+def repeated_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_words: int) -> tuple[list[int], list[int]]:
+    """Begins and ends of the runs of a text that are equal to those of a source, word k of the text standing opposite word
+    k - offset of the source for one of the offsets, and have ``run_words`` words or more."""
+    gone = np.zeros(len(own), bool)
+    for offset in sorted(offsets):
+        low, high = max(0, offset), min(len(own), len(theirs) + offset)
+        if gone[low:high].all():
+            continue  # nothing is left that this offset could reach
+        border = _borders(own[low:high] == theirs[low - offset : high - offset])
+        for start, stop in zip(border[::2].tolist(), border[1::2].tolist()):
+            if stop - start >= run_words:
+                gone[low + start : low + stop] = True
+    border = _borders(gone)
+    return border[::2].tolist(), border[1::2].tolist()
+
+
+def _borders(same: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -84,17 +102,16 @@ def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_key long, runs array<struct<starts int, stops int>>): of each text with later repeated runs, the lines
+    """(_key long, runs array<struct<starts int, stops int>>): of each text with later repeated runs, the words
     [starts, stops) to delete. _key is xxhash64(id, text)."""
     texts = _keyed(df, id_col, text_col).where(F.col(text_col).isNotNull()).select("_id", "_key", F.col(text_col).alias("text"))
 
     def cut(cols: list[list]) -> list[list]:
-        out = [hashed(lines(t)) for t in cols[2]]
-        marks = [fingerprints(h, w, run_words, sure_words) for h, w in out]
-        return [cols[0], cols[1], [h.tobytes() for h, _ in out], [w.astype(np.uint8).tobytes() for _, w in out], [m for m, _ in marks], [np.array(m, np.uint64).view(np.int64) for _, m in marks]]
+        found = [fingerprints(hashed(t), run_words, sure_words) for t in cols[2]]
+        return [cols[0], cols[1], [at for at, _ in found], [m.view(np.int64) for _, m in found]]
 
     # repeated rows (same id and text) are one text
-    cut_up = map_slices(texts, cut, "_id long, _key long, hashes binary, words binary, at array<int>, marks array<long>")
+    cut_up = map_slices(texts, cut, "_id long, _key long, at array<int>, marks array<long>")
     lined = written(cut_up.where(F.size("marks") > 0), "lines")
     marks = lined.select("_id", "_key", F.explode(F.arrays_zip("at", "marks")).alias("m")).select("_id", "_key", F.col("m.at").alias("at"), F.col("m.marks").alias("mark"))
     place = F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("id"), F.col("_key").alias("key"), F.col("at").alias("at"))
@@ -102,37 +119,35 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     # a line that a third of all texts have meets one row here, so its rows can be dealt to many tasks
     meets = marks.join(first, "mark").where(F.col("first") != place)
     meets = meets.select(F.col("_key").alias("later"), F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset"))
-    # two texts meet once, with all offsets between them (at most the lines of the later text)
-    meets = meets.groupBy("later", "source").agg(F.collect_set("offset").alias("offsets"))
+    # two texts meet once, with all offsets between them (at most the words of the later text)
+    meets = written(meets.groupBy("later", "source").agg(F.collect_set("offset").alias("offsets")), "meets")
+    # only texts that meet are needed again, as the lower halves of their hashes: the fingerprints have agreed in full
+    keys = if_small(meets.select(F.explode(F.array("later", "source")).alias("k")).distinct(), "keys")
+    again = texts.join(keys, F.col("_key") == F.col("k"), "left_semi").select("_key", "text")
+    words = map_slices(again, lambda cols: [cols[0], [hashed(t).astype(np.uint32).tobytes() for t in cols[1]]], "_key long, words binary")
     # rows with the same _key have the same text, so any of them will do; both joins read one shuffle of this
-    each = lined.groupBy("_key").agg(F.first("hashes").alias("hashes"), F.first("words").alias("words"))
+    each = words.groupBy("_key").agg(F.first("words").alias("words"))
     theirs, own = each.alias("theirs"), each.alias("own")
-    pairs = meets.join(theirs, F.col("source") == F.col("theirs._key"))
-    pairs = pairs.select("later", "offsets", F.col("theirs.hashes").alias("their_hashes"), F.col("theirs.words").alias("their_words"))
-    pairs = pairs.join(own, F.col("later") == F.col("own._key")).select("later", "offsets", "their_hashes", "their_words", "own.hashes", "own.words")
+    pairs = meets.join(theirs, F.col("source") == F.col("theirs._key")).select("later", "offsets", F.col("theirs.words").alias("their_words"))
+    pairs = pairs.join(own, F.col("later") == F.col("own._key")).select("later", "offsets", "their_words", "own.words")
 
     def extend(cols: list[list]) -> list[list]:
-        starts, stops = [], []
-        for offsets, *data in zip(*cols[1:]):
-            lines_ = [np.frombuffer(x, np.int64 if k % 2 == 0 else np.uint8) for k, x in enumerate(data)]
-            found = [repeated_runs(offset, *lines_, run_words) for offset in offsets]
-            starts.append(np.concatenate([a for a, _ in found]))
-            stops.append(np.concatenate([b for _, b in found]))
-        return [cols[0], starts, stops]
-
-    runs = map_slices(pairs, extend, "_key long, starts array<int>, stops array<int>")
+        found = [repeated_runs(offsets, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), run_words) for offsets, a, b in zip(*cols[1:])]
+        return [cols[0], [a for a, _ in found], [b for _, b in found]]
+
+    runs = map_slices(pairs, extend, "_key long, starts array<int>, stops array<int>", rows=64)
     runs = runs.where(F.size("starts") > 0).select("_key", F.explode(F.arrays_zip("starts", "stops")).alias("r")).select("_key", "r.starts", "r.stops").distinct()
-    return runs.groupBy("_key").agg(F.collect_list(F.struct("starts", "stops")).alias("runs"))  # at most its lines for each text
+    return runs.groupBy("_key").agg(F.collect_list(F.struct("starts", "stops")).alias("runs"))  # at most its words for each text
 
 
 def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with ``text`` less the later repeated runs, and a column line_stats more, struct<n_removed
-    int, words_removed int>: the lines and words that went.
+    int, words_removed int>: the lines (up to a break or the end of a clause) that went whole, and the words that went.
 
     A run of ``sure_words`` words or more that stands in several texts is found, one of ``run_words`` or more may be. It stays where the id is smallest (a null id
     comes last; then by a hash of the text, then by position) and goes elsewhere, also when it repeats within one
     text. Rows equal in id and text are one text and get the same result. An exact copy of an earlier text
-    becomes empty. Shorter repeated lines stay. A null text stays null with null line_stats, an empty one empty.
+    becomes empty. Shorter repeated runs stay. A null text stays null with null line_stats, an empty one empty.
     ``df`` may have any further columns; one named line_stats is replaced."""
     runs = find_repeats(df, run_words, sure_words, id_col, text_col)
     df = df.drop("line_stats")
@@ -149,9 +164,11 @@ def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col
         gone = np.zeros(len(parts), bool)
         for a, b in zip(starts, stops):
             gone[a:b] = True
-        words = sum(len(p.split()) for p, g in zip(parts, gone) if g)
+        ends = np.fromiter((_END.search(p) is not None for p in parts), bool, len(parts))
+        begins = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+        whole = np.logical_and.reduceat(gone, begins)
         kept = "".join(p for p, g in zip(parts, gone) if not g)
-        return kept.strip() and kept.rstrip(), (int(gone.sum()), words)
+        return kept.strip() and kept.rstrip(), (int(whole.sum()), int(gone.sum()))
 
     at = names.index(text_col)
 
@@ -167,4 +184,4 @@ def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col
 def drop_emptied(df: DataFrame, text_col: str = "text", **more) -> DataFrame:
     """The rows of ``df`` with the text that ``dedup_lines`` leaves; those of which it leaves nothing go."""
     out = dedup_lines(df, text_col=text_col, **more)
-    return out.where(~((F.col("line_stats.n_removed") > 0) & (F.col(text_col) == "")) | F.col(text_col).isNull()).drop("line_stats")
+    return out.where(~((F.col("line_stats.words_removed") > 0) & (F.col(text_col) == "")) | F.col(text_col).isNull()).drop("line_stats")

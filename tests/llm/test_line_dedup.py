@@ -104,3 +104,32 @@ def test_repeats_within_one_text_and_null_ids(spark):
     df = spark.createDataFrame([(1, block * 3), (None, block), (None, block)], "doc_id long, text string")
     got = [tuple(x)[:2] for x in ld.dedup_lines(df).collect()]
     assert sorted(got, key=str) == sorted([(1, block.rstrip()), (None, ""), (None, "")], key=str)
+
+
+def test_every_shared_run_of_51_words_goes_wherever_it_begins(spark):
+    """Against raw runs of words: what several texts share stands once, also inside a line."""
+    r = random.Random(8)
+    own = lambda n: [f"u{r.randrange(10**9)}" + ("," if k % 11 == 10 else "") for k in range(n)]
+    rows, known = [], []
+    for k in range(60):
+        passage = own(51)
+        known.append(passage)
+        rows += [(2 * k, " ".join(own(r.randint(0, 60)) + passage + own(r.randint(0, 60)))), (2 * k + 1, " ".join(own(r.randint(0, 60)) + passage + own(r.randint(0, 60))))]
+    got = {x.doc_id: x for x in ld.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, passage in enumerate(known):
+        first, later = rows[2 * k][1], rows[2 * k + 1][1].split()
+        assert got[2 * k].text == first
+        assert got[2 * k + 1].text.split() == [w for w in later if w not in set(passage)]
+        assert got[2 * k + 1].line_stats.words_removed == 51
+
+
+def test_window_minima_against_a_loop():
+    r = random.Random(3)
+    for n in [0, 24, 25, 26, 49, 50, 51, 200] * 4:
+        for vocab in (1, 3, 10**6):
+            words = " ".join(str(r.randrange(vocab)) for _ in range(n))
+            at, marks = ld.fingerprints(h := ld.hashed(words), 25, 50)
+            grams = [xxhash.xxh64_intdigest(h[k : k + 25].tobytes()) for k in range(n - 24)]
+            ends = range(26, len(grams) + 1) if len(grams) > 26 else [len(grams)] * bool(grams)
+            want = {min(range(max(0, e - 26), e), key=lambda k: (grams[k], -k)) for e in ends}
+            assert at.tolist() == sorted(want) and marks.tolist() == [grams[k] for k in sorted(want)]
