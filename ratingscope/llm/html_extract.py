@@ -1,11 +1,12 @@
 """Main text of web pages by wrapper induction (operator 6).
 
-The pages of a host are aligned with one of them, the host's reference, by simple tree matching: two trees match
+The pages of a host are aligned with one of them, the reference, by simple tree matching: two trees match
 in their roots' labels and in the best ordered matching of their children. Runs of like siblings (paragraphs, list
 items) are matched as one, member by member, so a page costs what its markup costs, not its square.
 
-Spark counts, for each text node of the reference, how many pages have it and how many have it with the same text.
-Nodes that stay constant are the host's template and leave every page; varying slots are content, unless they
+The pages of a host that have the same frame of containers are a layout, and each layout has a reference of its own. Spark
+counts, for each text node of a reference, in how many pages of the layout it stands with the same text; pages
+with one main text count once. Nodes that stay constant over the layout are template and leave its pages; varying slots are content, unless they
 lie in a part that isn't the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
 """
 
@@ -17,10 +18,11 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingscope.llm.common import map_slices, written
+from ratingscope.llm.common import if_small, map_slices, written
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -36,13 +38,19 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPES = frozenset("table ul ol dl article section div main body html td th".split())
 #: Elements that are nested deeper are kept flat.
 DEPTH = 200
-#: A text node of the reference is constant if so many pages have it, and so large a share of them with the same text.
+#: A text node of the reference is constant if so large a share of the layout's pages has it with the same text; a layout has so
+#: many pages with different main texts at least.
 LEAST_PAGES, SAME_SHARE = 5, 0.95
+#: Constant nodes inside <article> or <main> that make up a larger share of its text are no template: the pages are copies.
+MOST_TEMPLATE = 0.5
+#: Containers that make a layout, and how deep they are looked at; layouts with too few pages are pooled as one.
+FRAME, FRAME_DEPTH, POOLED = frozenset("html body div section main article center table tbody tr td".split()), 5, 0
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANK = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 
 
 class Node:
@@ -133,6 +141,18 @@ def texts(root: Node) -> list[Node]:
     return out
 
 
+def texts_below(top: Node) -> list[Node]:
+    """The numbered text nodes of an element."""
+    out, stack = [], [top]
+    while stack:
+        node = stack.pop()
+        if node.tag == "#text":
+            out += [node] * (node.index >= 0)
+        elif node is top or not _leaves(node):
+            stack.extend(reversed(node.children))
+    return out
+
+
 # ---------------------------------------------------------------- simple tree matching
 
 
@@ -203,6 +223,7 @@ def main_text(page: str | None, reference: str | None = None, constant: list[int
     if constant and reference:
         other, fixed = parse(reference), set(constant)
         texts(root), texts(other)
+        fixed -= _copied(other, fixed)
         template = {p.index for r, p in match(other, root)[1] if r.index in fixed and plain(r.text) == plain(p.text)}
     tops = _articles(root) or [root]
     blocks: list[list[str]] = [[]]
@@ -212,6 +233,13 @@ def main_text(page: str | None, reference: str | None = None, constant: list[int
     return "\n".join(x for x in (plain("".join(b)) for b in blocks) if x)
 
 
+def _copied(root: Node, fixed: set[int]) -> set[int]:
+    """The constant nodes inside the articles of a reference, if they make up most of their text."""
+    inside = [n for top in _articles(root) for n in texts_below(top)]
+    same = [n for n in inside if n.index in fixed]
+    return {n.index for n in same} if sum(len(plain(n.text)) for n in same) > MOST_TEMPLATE * sum(len(plain(n.text)) for n in inside) else set()
+
+
 def _articles(root: Node) -> list[Node]:
     """The outermost <article> elements outside of what is apart, or else <main> elements; if there are none, those
     that a <div> or <section> with such a name holds."""
@@ -264,45 +292,92 @@ def with_host(pages: DataFrame, url_col: str) -> DataFrame:
     return pages.withColumn("_host", F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit("")))
 
 
-def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_host, reference string, constant array<int>): the wrapper of each host that has constant text nodes.
-
-    The reference is the page with the least hash. Equal pages of a host count once, so copies don't turn content
-    into template."""
-    own = with_host(pages, url_col).where(F.length(html_col) > 0).select("_host", F.col(html_col).alias("html"))
-    own = own.groupBy("_host", F.xxhash64("html").alias("_hash")).agg(F.first("html").alias("html"))
-    reference = written(own.groupBy("_host").agg(F.min_by("html", "_hash").alias("reference"), F.count("*").alias("n")).where(F.col("n") >= LEAST_PAGES).drop("n"), "references")
+def layout(root: Node) -> int:
+    """A number for the frame of a page: its containers outside of articles and of what is apart, numbers in names left out."""
+    found, stack = set(), [(root, 0)]
+    while stack:
+        node, depth = stack.pop()
+        for c in node.children:
+            if c.tag in FRAME and (not c.apart or c.tag in ("html", "body")):
+                found.add(f"{depth} {_DIGITS.sub('', c.label)}")
+                if depth < FRAME_DEPTH and c.tag not in ("article", "main"):
+                    stack.append((c, depth + 1))
+    return xxhash.xxh64_intdigest("\n".join(sorted(found))) - (1 << 63)
+
+
+def _page(pages: DataFrame, html_col: str) -> DataFrame:
+    """Adds _page: a hash of host and html."""
+    return pages.withColumn("_page", F.xxhash64("_host", F.col(html_col)))
+
+
+def layouts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(_page long, _layout long, counts boolean) of each different page of a host: its layout, and whether it is the one that
+    counts for its main text (by its own markup). Layouts with fewer than ``LEAST_PAGES`` such pages are pooled; if the
+    pool has too few as well, it goes by the host's largest layout."""
+    own = _page(with_host(pages, url_col).where(F.length(html_col) > 0), html_col).select("_host", "_page", F.col(html_col).alias("html"))
+
+    def look(cols: list[list]) -> list[list]:
+        kinds, mains = [], []
+        for page in cols[2]:
+            root = parse(page)
+            kinds.append(layout(root))
+            mains.append(xxhash.xxh64_intdigest(main_text(page).encode("utf-8", "surrogatepass")) - (1 << 63))
+        return [cols[0], cols[1], kinds, mains]
+
+    seen = written(map_slices(own, look, "_host string, _page long, kind long, main long", rows=64).distinct(), "looks")
+    once = seen.groupBy("_host", "kind", "main").agg(F.min("_page").alias("first"))
+    sizes = once.groupBy("_host", "kind").agg(F.count("*").alias("n")).withColumn("big", F.col("n") >= LEAST_PAGES)
+    hosts = sizes.groupBy("_host").agg(F.max(F.when(F.col("big"), F.struct("n", "kind"))).alias("largest"), F.coalesce(F.sum(F.when(~F.col("big"), F.col("n"))), F.lit(0)).alias("pool"))
+    named = F.when(F.col("big"), F.col("kind")).when((F.col("pool") >= LEAST_PAGES) | F.col("largest").isNull(), F.lit(POOLED)).otherwise(F.col("largest.kind"))
+    kinds = sizes.join(hosts, "_host").select("_host", "kind", "big", named.alias("_layout"))
+    placed = seen.join(kinds, ["_host", "kind"]).join(once, ["_host", "kind", "main"])
+    # strays that go by the largest layout don't count in it
+    counts = (F.col("_page") == F.col("first")) & (F.col("big") | (F.col("_layout") == POOLED))
+    # pages with one main text in several pooled layouts count once as well
+    placed = placed.select("_host", "_page", "_layout", "main", counts.alias("counts"))
+    only = placed.where("counts").groupBy("_host", "_layout", "main").agg(F.min("_page").alias("only"))
+    return placed.join(only, ["_host", "_layout", "main"], "left").select("_page", "_layout", F.coalesce(F.col("counts") & (F.col("_page") == F.col("only")), F.lit(False)).alias("counts"))
+
+
+def wrappers(pages: DataFrame, placed: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(_host, _layout, reference string, constant array<int>): the wrapper of each layout (of ``layouts``) that has constant
+    text nodes. The reference is the page with the least hash."""
+    own = _page(with_host(pages, url_col).where(F.length(html_col) > 0), html_col).select("_host", "_page", F.col(html_col).alias("html"))
+    own = own.join(placed.where("counts").drop("counts"), "_page").groupBy("_host", "_layout", "_page").agg(F.first("html").alias("html"))
+    reference = written(own.groupBy("_host", "_layout").agg(F.min_by("html", "_page").alias("reference"), F.count("*").alias("total")).where(F.col("total") >= LEAST_PAGES), "references")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, tuple[Node, list[Node]]] = {}
+        seen: dict[tuple[str, int], Node] = {}
         for batch in batches:
-            counts = defaultdict(lambda: [0, 0])
+            counts = defaultdict(int)
             for at in range(0, batch.num_rows, 64):
-                for host, page, ref in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
-                    if host not in seen:
-                        seen = {host: parse(ref)}  # the rows of a host follow each other
-                        texts(seen[host])
-                    for r, p in match(seen[host], parse(page))[1]:
-                        held = counts[host, r.index]
-                        held[0] += 1
-                        held[1] += r.text == p.text or plain(r.text) == plain(p.text)
-            hosts, nodes = zip(*counts) if counts else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(nodes, pa.int32()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["_host", "node", "pages", "same"])
-
-    counted = own.join(reference, "_host").select("_host", "html", "reference").mapInArrow(align, "_host string, node int, pages long, same long")
-    nodes = counted.groupBy("_host", "node").agg(F.sum("pages").alias("pages"), F.sum("same").alias("same"))
-    constant = nodes.where((F.col("pages") >= LEAST_PAGES) & (F.col("same") >= SAME_SHARE * F.col("pages"))).groupBy("_host").agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return written(reference.join(constant, "_host"), "wrappers")
+                for host, kind, page, ref in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    if (host, kind) not in seen:
+                        seen = {(host, kind): parse(ref)}  # the rows of a layout follow each other
+                        texts(seen[host, kind])
+                    for r, p in match(seen[host, kind], parse(page))[1]:
+                        if r.index >= 0 and (r.text == p.text or plain(r.text) == plain(p.text)):
+                            counts[host, kind, r.index] += 1
+            hosts, kinds, nodes = zip(*counts) if counts else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int64()), pa.array(nodes, pa.int32()), pa.array(counts.values(), pa.int64())], names=["_host", "_layout", "node", "same"])
+
+    by = ["_host", "_layout"]
+    counted = own.join(reference, by).select(*by, "html", "reference").mapInArrow(align, "_host string, _layout long, node int, same long")
+    nodes = counted.groupBy(*by, "node").agg(F.sum("same").alias("same")).join(reference.select(*by, "total"), by)
+    constant = nodes.where(F.col("same") >= SAME_SHARE * F.col("total")).groupBy(*by).agg(F.sort_array(F.collect_list("node")).alias("constant"))
+    return written(reference.drop("total").join(constant, by), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text string, n_chars long): the main text of every page; n_chars its code points.
 
     A null or empty page, and one without text, gives the empty text. A page of a host with fewer than
-    ``LEAST_PAGES`` different pages has no wrapper and is read by its own markup. Pages without an address are taken as
+    ``LEAST_PAGES`` pages of different main texts has no wrapper and is read by its own markup. Pages without an address are taken as
     one host. Repeated rows stay repeated; broken markup never fails; only the three columns are read."""
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col))
-    joined = with_host(pages.select(id_col, url_col, html_col), url_col).join(wrappers(pages, url_col, html_col), "_host", "left")
+    placed = if_small(layouts(pages, url_col, html_col), "layouts")
+    joined = _page(with_host(pages.select(id_col, url_col, html_col), url_col), html_col).join(placed.drop("counts"), "_page", "left")
+    joined = joined.join(wrappers(pages, placed, url_col, html_col), ["_host", "_layout"], "left")
 
     def run(cols: list[list]) -> list[list]:
         out = [main_text(h, r, c) for h, r, c in zip(*cols[2:])]

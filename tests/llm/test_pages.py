@@ -117,3 +117,25 @@ def test_warc_sources(spark, tmp_path):
             text = bytes(r.block).decode()
             assert "source-block-digest: sha1:OWN\r\n" in text and "source-payload-digest: sha1:PAY\r\n" in text and "source-header-x-a: b\r\n" in text
             assert "source-header-content-type: text/html; charset=latin-1\r\n" in text
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    def page(menu, title, paragraphs):
+        body = "".join(f"<p>{x}</p>" for x in paragraphs)
+        return f"<body><div class='menu'>{menu}</div><article><h1>{title}</h1>{body}<div class='x'><p>Call us</p></div></article></body>"
+
+    long = [f"paragraph {k} of the long one" for k in range(12)]
+    rows = [(k, "http://a.example/", page(f"menu {k}", "Long", long)) for k in range(6)]  # copies that differ in their menus
+    rows += [(10 + k, "http://a.example/", page("menu", f"Short {k}", [f"one {k}", f"two {k}"])) for k in range(30)]
+    rows += [(50 + k, "http://mirror.example/", page(f"menu {k}", "Long", long)) for k in range(9)]
+    slot = lambda k: page("menu", "Long", [*long, f"unnamed slot {k}"])
+    rows += [(70 + k, "http://slots.example/", slot(k)) for k in range(9)]
+    other = lambda k: f"<body><div class='top'><p>Welcome back</p></div><section><p>other {k}</p></section></body>"
+    rows += [(90 + k, "http://a.example/", other(k)) for k in range(8)]  # a second layout, with a wrapper of its own
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in hx.extract(df).collect()}
+    assert all(got[k] == "\n".join(["Long", *long]) for k in range(6))
+    assert all(got[10 + k] == f"Short {k}\none {k}\ntwo {k}" for k in range(30))
+    assert all(got[50 + k].startswith("\n".join(["Long", *long])) for k in range(9))
+    assert all(got[70 + k].startswith("\n".join(["Long", *long, f"unnamed slot {k}"])) for k in range(9))
+    assert all(got[90 + k] == f"other {k}" for k in range(8))
