@@ -211,7 +211,7 @@ def permutation_robustness(r: DataFrame) -> DataFrame:
 @_query
 def robustness_matrix(r: DataFrame) -> DataFrame:
     keys = [*KEYS, "variant", "perm"]
-    d = perturb.deltas(models.score(perturb.variants(r, n_perms=3), keys=keys))
+    d = perturb.deltas(models.score(perturb.variants(r, n_perms=100), keys=keys))
     wide = perturb.robustness_matrix(perturb.attack_summary(d))
     names = [n.replace("-", "_") for n in models.NAMES]
     return _rounded(wide.toDF("variant", *names), *names)
@@ -295,12 +295,20 @@ def principal_components(r: DataFrame) -> DataFrame:
 
 @_query
 def archetype_weights(r: DataFrame) -> DataFrame:
-    """Three archetypes, a short fit: each team's weights."""
+    """Three archetypes, the best of five starts: each team's weights."""
     _, z, scale = _scaled(r)
-    _, rows, _ = archetypes.fit(z.select(*KEYS, *scale.names), scale.names, k=3, max_iter=8)
+    _, rows, _ = archetypes.fit_best(z.select(*KEYS, *scale.names), scale.names, k=3, max_iter=400, restarts=5)
     return rows.select(*KEYS, *(F.round(F.col("w")[j], 6).alias(f"weight_{j}") for j in range(3)))
 
 
+@_query
+def archetype_sweep(r: DataFrame) -> DataFrame:
+    """Residual and stability of two to eight archetypes, and which number is the elbow."""
+    _, z, scale = _scaled(r)
+    fits = archetypes.sweep(z.select(*scale.names), scale.names)
+    return _rounded(fits.crossJoin(archetypes.elbow(fits)).select("k", "rss", "stability", (F.col("k") == F.col("elbow")).alias("is_elbow")), "rss", "stability")
+
+
 @_whole
 def session_parse_roundtrip(r: DataFrame) -> DataFrame:
     """The view rendered as session exports and parsed again."""

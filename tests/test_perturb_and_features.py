@@ -171,3 +171,37 @@ def test_archetypes(spark):
     assert 0 <= s <= 1
     fits = spark.createDataFrame([(2, 100.0), (3, 20.0), (4, 15.0), (5, 12.0)], "k int, rss double")
     assert archetypes.elbow(fits).first().elbow == 3
+
+
+def test_archetypes_in_one_task_as_in_steps(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(60, 2))
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(x)], "id long, f double, g double")
+    z, rows, rss = archetypes.fit_best(df, ["f", "g"], 3, max_iter=6, restarts=2)
+    far, many, same = archetypes.fit_best(df, ["f", "g"], 3, max_iter=6, restarts=2, most_cells=0)
+    assert rss == pytest.approx(same) and z == pytest.approx(far)
+    w = {a.id: a.w for a in many.collect()}
+    assert all(a.w == pytest.approx(w[a.id]) for a in rows.collect()) and len(w) == 60
+    assert archetypes.fit_best(df, ["f", "g"], 3)[2] < archetypes.fit(df, ["f", "g"], 3, max_iter=8)[2]
+    stable = [archetypes.stability(df, ["f", "g"], z, n_bootstrap=2, max_iter=4, most_cells=n) for n in (0, 10**6)]
+    assert stable[0] == pytest.approx(stable[1])
+
+
+def test_queries_take_the_whole_job(monkeypatch):
+    from ratingscope.plans import registry
+
+    seen = {}
+
+    def stop(*args, **more):
+        seen.update(more)
+        raise StopIteration
+
+    scale = type("S", (), {"names": []})
+    monkeypatch.setattr(registry.perturb, "variants", stop)
+    monkeypatch.setattr(registry.archetypes, "fit_best", stop)
+    monkeypatch.setattr(registry, "_scaled", lambda r: (None, type("Z", (), {"select": lambda self, *c: None})(), scale))
+    for query in (registry.robustness_matrix, registry.archetype_weights):
+        with pytest.raises(StopIteration):
+            query(None)
+    assert seen["n_perms"] == 100 and seen["max_iter"] == 400 and seen["restarts"] == 5
+    assert "archetype_sweep" in registry.QUERIES
