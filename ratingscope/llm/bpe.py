@@ -20,10 +20,13 @@ import regex
 from pyspark.sql import DataFrame
 
 from ratingscope.llm.common import map_slices
+from ratingscope.llm.memos import Memo
 from ratingscope.llm.pretokens import chunks
 
-#: Entries that a worker keeps of each memo (distinct chunks, distinct pre-tokens); beyond them it starts afresh.
-MEMO_CHUNKS, MEMO_PIECES = 500_000, 1_000_000
+#: Entries that a worker keeps of each memo (distinct chunks, distinct pre-tokens).
+MEMO_CHUNKS, MEMO_PIECES = 120_000, 120_000
+#: Bytes of pre-tokens that share a queue; a single longer one has its own.
+QUEUE_BYTES = 1 << 18
 #: Tokens of up to so many bytes are decoded by a table; a text with a longer one takes the other way.
 TABLE_BYTES = 16
 
@@ -47,8 +50,8 @@ class BytePairEncoder:
             if len(t) <= TABLE_BYTES:
                 self.token_table[i, : len(t)] = list(t)
                 self.token_size[i] = len(t)
-        self.pieces: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # of chunks, with the space before them left off
+        self.pieces = Memo(__name__, MEMO_PIECES)  # packed ids of pre-tokens
+        self.spaced = Memo(__name__, MEMO_CHUNKS)  # and of chunks, with the space before them left off
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token. All share one queue: the merges of different pre-tokens don't touch, so
@@ -64,9 +67,11 @@ class BytePairEncoder:
         ranks = np.full(n, -1)
         ranks[:-1] = self.rank_of_pair[data[:-1] << 8 | data[1:]]
         ranks[stops[stops > 0] - 1] = -1
-        token = self.id_of_byte[data].tolist()  # of the part that begins at i
-        end = list(range(1, n + 1))  # where that part ends
-        before = list(range(-1, n - 1))  # where the part before begins
+        # a very long pre-token takes four bytes a number
+        numbers = list if n <= QUEUE_BYTES else lambda x: array("i", x)
+        token = numbers(self.id_of_byte[data].tolist())  # of the part that begins at i
+        end = numbers(range(1, n + 1))  # where that part ends
+        before = numbers(range(-1, n - 1))  # where the part before begins
         whole, at = self.ranks.get, 0
         for stop, p in zip(stops.tolist(), pieces):  # a pre-token that is itself a token stays whole
             if (known := whole(p)) is not None:
@@ -77,7 +82,7 @@ class BytePairEncoder:
         there = there[np.argsort(ranks[there], kind="stable")]
         kinds, starts = np.unique(ranks[there], return_index=True)
         buckets = dict(zip(kinds.tolist(), map(np.ndarray.tolist, np.split(there, starts[1:])))) if len(there) else {}
-        rank_at = ranks.tolist()  # of the pair that begins at i; -1: no merge
+        rank_at = numbers(ranks.tolist())  # of the pair that begins at i; -1: no merge
         bit, words, top = self.bit, [0] * len(self.bit), 0
         for rank in buckets:  # bit b of words[w]: bucket 256 w + b holds positions; bit w of top: words[w] is not 0
             words[rank >> 8] |= bit[rank & 255]
@@ -130,27 +135,33 @@ class BytePairEncoder:
             out.append(ids)
         return out
 
-    def _learn(self, new: set[str]) -> None:
-        """Make sure that ``pieces`` has all of these pre-tokens."""
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces.clear()
+    def _learn(self, new: set[str]) -> list[str]:
+        """Put those of these pre-tokens that are lacking into ``pieces``, queue by queue, and return them."""
         lacking = [p for p in new if p not in self.pieces]
-        for p, ids in zip(lacking, self.encode_pieces([p.encode() for p in lacking])):
-            self.pieces[p] = _pack(ids)
+        queue, size = [], 0
+        for k, p in enumerate(lacking, 1):
+            queue.append(p)
+            size += len(p)
+            if size >= QUEUE_BYTES // 4 or k == len(lacking):
+                for q, ids in zip(queue, self.encode_pieces([q.encode() for q in queue])):
+                    self.pieces[q] = _pack(ids)
+                queue, size = [], 0
+        return lacking
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
-        if len(self.spaced) > MEMO_CHUNKS:
-            self.spaced.clear()
         parts = [chunks(t) for t in texts]
         new = {c for _, rest in parts for c in rest}.difference(self.spaced)
         split = {c: self.findall(" " + c) for c in new}
         begin = [self.findall(f) for f, _ in parts]
-        self._learn({p for found in (*split.values(), *begin) for p in found})
+        learned = self._learn({p for found in (*split.values(), *begin) for p in found})
         piece = self.pieces.__getitem__
         self.spaced.update({c: b"".join(map(piece, found)) for c, found in split.items()})
         spaced = self.spaced.__getitem__
-        return [b"".join(map(piece, b)) + b"".join(map(spaced, rest)) for b, (_, rest) in zip(begin, parts)]
+        out = [b"".join(map(piece, b)) + b"".join(map(spaced, rest)) for b, (_, rest) in zip(begin, parts)]
+        self.pieces.trim(learned)
+        self.spaced.trim(split)
+        return out
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, dtype="<u4")
@@ -178,7 +189,7 @@ def encoder(path: str, pattern: str) -> BytePairEncoder:
 def encode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary): token ids of every text as little-endian unsigned 32-bit integers.
 
-    One row per input row, repeated rows too. A null or empty text has no ids (empty binary). Only the two
+    One row per input row, repeated rows too. A null or empty text has no ids (empty binary); a null id stays null. Only the two
     named columns are read, so further columns of any name are harmless. A map without shuffle:
     tasks hold slices of rows and bounded memos."""
     kind = df.schema[id_col].dataType.simpleString()

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -12,22 +10,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a task turns into Python objects at once; bounds a worker's memory whatever the Arrow batch size.
-SLICE_ROWS = 512
+from ratingscope.llm import memos
+
+#: Rows and bytes that a task turns into Python objects at once; a single row may be longer. They bound a worker's memory
+#: whatever the size of an Arrow batch.
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
+
+
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows and ``most`` bytes, or of one row."""
+    at = 0
+    while at < batch.num_rows:
+        part = batch.slice(at, rows)
+        while part.num_rows > 1 and part.nbytes > most:
+            part = part.slice(0, part.num_rows // 2)
+        yield part
+        at += part.num_rows
 
 
 def map_slices(df: DataFrame, fn: Callable[[list[list]], list[Iterable]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """Run ``fn`` over slices of at most ``rows`` rows. ``fn`` gets one list per input column and
-    returns one list per output column; output rows need not match input rows in number."""
+    """Run ``fn`` over slices of at most ``rows`` rows and ``SLICE_BYTES`` bytes. ``fn`` gets one list per input column and
+    returns one list per output column; output rows need not match input rows in number. What other operators remember
+    in the same worker is let go first."""
     from pyspark.sql.types import _parse_datatype_string
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow_schema = to_arrow_schema(_parse_datatype_string(schema))
+    arrow_schema, owner = to_arrow_schema(_parse_datatype_string(schema)), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memos.keep_only(owner)
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
+            for part in slices(batch, rows):
                 out = fn([c.to_pylist() for c in part.columns])
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(out, arrow_schema)], schema=arrow_schema)
 
@@ -35,12 +48,11 @@ def map_slices(df: DataFrame, fn: Callable[[list[list]], list[Iterable]], schema
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one
-    where it is unset (tests)."""
+    """The folder that the driver and all executors share, spark.checkpoint.dir. Without it there is none: a folder of one
+    machine would lose data silently."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder
 
 

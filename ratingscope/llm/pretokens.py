@@ -1,10 +1,8 @@
-"""Split a text into pre-tokens, and hold what was worked out for each distinct one."""
+"""Cut a text into chunks that can be tokenised each on its own."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-
 
 _CUT = re.compile(r"(?<!^)(?= \S)")
 _LONE = re.compile(r" (?!\S)")
@@ -24,23 +22,3 @@ def chunks(text: str) -> tuple[str, list[str]]:
     if not first and rest:  # the text begins with a space
         return " " + rest[0], rest[1:]
     return first, rest
-
-
-class Memo(dict):
-    """A bounded memo: ``memo[key]`` computes and keeps ``make(key)``; once ``limit`` entries are held
-    new ones are computed but not kept, and after as many misses again the memo starts afresh."""
-
-    def __init__(self, make: Callable, limit: int):
-        super().__init__()
-        self.make, self.limit, self.spilled = make, limit, 0
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) < self.limit:
-            self[key] = value
-        else:
-            self.spilled += 1
-            if self.spilled > 4 * self.limit:
-                self.clear()
-                self.spilled = 0
-        return value

@@ -10,7 +10,6 @@ questions such as "how much text fits in 1,024 tokens" are read off without enco
 from __future__ import annotations
 
 import json
-import re
 from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
@@ -19,10 +18,11 @@ import regex
 from pyspark.sql import DataFrame
 
 from ratingscope.llm.common import map_slices
-from ratingscope.llm.pretokens import Memo, chunks
+from ratingscope.llm.memos import Memo
+from ratingscope.llm.pretokens import chunks
 
 #: Entries that a worker keeps of each memo.
-MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 800_000, 700_000, 400_000
+MEMO_CHUNKS, MEMO_PIECES, MEMO_PAIRS = 200_000, 150_000, 200_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -52,9 +52,9 @@ class PrefixCounter:
         self.begins = {t[:k]: -1 for t in self.ids for k in range(1, len(t))} | self.ids  # -1: only the beginning of tokens
         self.findall = regex.compile(pattern).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
-        self.pairs = Memo(self._stay_apart, MEMO_PAIRS)
-        self.pieces = Memo(lambda p: self.prefix_counts(p.encode())[-1], MEMO_PIECES)
-        self.spaced = Memo(lambda c: self._chunk(" " + c), MEMO_CHUNKS)
+        self.pairs = Memo(__name__, MEMO_PAIRS, self._stay_apart)
+        self.pieces = Memo(__name__, MEMO_PIECES, lambda p: self.prefix_counts(p.encode())[-1])
+        self.spaced = Memo(__name__, MEMO_CHUNKS, lambda c: self._chunk(" " + c))
 
     def _stay_apart(self, pair: tuple[int, int]) -> bool:
         """Whether tokens a, b in a row stay so when their bytes are encoded: undo the merges that made
@@ -117,14 +117,14 @@ class PrefixCounter:
         out, settled, run, run_from = [0], 0, None, 0
         done = 0  # characters before the piece; settled: their tokens when a non-space comes next
         for piece in self.findall(text):
-            if piece[0].isspace() and not (done and text[done - 1].isspace()):
+            if _SPACE.match(piece) and not (done and _SPACE.match(text, done - 1)):
                 stop = _SPACE.match(text, done).end()
                 run_from, run_base, run = done, settled, self.prefix_counts(text[done:stop].encode())
             contraction = piece[0] == "'" and len(piece) > 1 and piece[1].isalpha()
             table, at = None, 0
             for k, c in enumerate(piece, 1):
                 at += len(c.encode())
-                if c.isspace():  # the white space at the end of a prefix is one pre-token, at each of its lengths
+                if _SPACE.match(c):  # the white space at the end of a prefix is one pre-token, at each of its lengths
                     out.append(run_base + run[len(text[run_from : done + k].encode())])
                 elif contraction and k < len(piece):
                     out.append(settled + self._chunk(piece[:k]))
@@ -150,7 +150,8 @@ class PrefixCounter:
         return sum(map(len, parts[:at])) + max(k for k, n in enumerate(tail) if sums[at] + n <= budget)
 
 
-_SPACE = re.compile(r"\s+")
+#: White space as the pattern has it: without U+001C to U+001F, unlike str.isspace and the module re.
+_SPACE = regex.compile(r"\s+")
 
 
 @lru_cache(maxsize=2)
@@ -164,7 +165,7 @@ def token_counts(df: DataFrame, vocab_path: str, pattern: str, budget: int, id_c
     n_tokens is what the vocabulary's library counts for the whole text without added tokens;
     fit_chars the most characters that keep a prefix within ``budget`` tokens; prefix_tokens, on request,
     the count at every character (element k + 1: of the first k characters). A null text counts as empty:
-    0 bytes, 0 tokens, fit_chars 0, prefix_tokens [0]. Repeated rows give repeated rows; only the
+    0 bytes, 0 tokens, fit_chars 0, prefix_tokens [0]; a null id stays null. Repeated rows give repeated rows; only the
     two named columns are read. A map without shuffle."""
     kind = df.schema[id_col].dataType.simpleString()
 

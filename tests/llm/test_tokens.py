@@ -3,10 +3,11 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 from tokenizers import Tokenizer
 
-from ratingscope.llm import bpe, token_counts
+from ratingscope.llm import bpe, common, memos, token_counts
 
 ODD = ["<|endoftext|>", "'ll", "  ", "\n", " ", "\t \n", "é", "日本", "don't", "x'", "'s", " 12", "½", "a", "😀", "<|end", "!!", " ?", " ", "　b"]
 VOCAB = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
@@ -15,7 +16,7 @@ COUNTS = P.path("byte_bpe_50k.json"), P.PATTERN
 
 def texts():
     r = random.Random(7)
-    return ["", None, "x" * 5000 + "ab" * 5000, " " * 300, "same", "same"] + ["".join(r.choice(ODD) for _ in range(r.randint(1, 9))) for _ in range(400)]
+    return ["", None, "x" * 5000 + "ab" * 5000, " " * 300, "same", "same"] + ["".join(r.choice(ODD) for _ in range(r.randint(1, 9))) for _ in range(1500)]
 
 
 def test_encode_decode_as_tiktoken(spark):
@@ -52,3 +53,33 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, *VOCAB).count() == 0
     assert token_counts.token_counts(docs, *COUNTS, budget=5).count() == 0
+
+
+def test_budget_of_long_texts_with_control_characters():
+    c = token_counts.counter(*COUNTS)
+    for t in ("!\x1f" * 2000, "\xa0\xa0\x1c" * 900, "word \x1e" * 1500):
+        k = c.fit(t, 1024)
+        assert c.count(t[:k]) <= 1024 < c.count(t[: k + 1])
+
+
+def test_null_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(None, "a b", 1, "x"), (1, None, 2, "y"), (None, None, 3, "z")], "doc_id long, text string, n_tokens int, ids string")
+    assert sorted((r.doc_id is None, r.n_tokens) for r in token_counts.token_counts(docs, *COUNTS, budget=5).collect()) == [(False, 0), (True, 0), (True, 2)]
+    assert sorted((r.doc_id is None, len(r.ids)) for r in bpe.encode(docs, *VOCAB).collect()) == [(False, 0), (True, 0), (True, 8)]
+
+
+def test_long_texts_in_bounded_memory():
+    """Slices are bounded in bytes, memos in entries, and long keys aren't kept."""
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1_000_000] * 512 + ["y" * 20_000_000, ""]})
+    parts = list(common.slices(batch))
+    assert sum(p.num_rows for p in parts) == 514 and all(p.num_rows == 1 or p.nbytes <= common.SLICE_BYTES for p in parts)
+    r, enc = random.Random(3), bpe.encoder(*VOCAB)
+    words = ("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 60))) for _ in range(600_000))
+    text = " ".join(words)  # some 20 MB of different words
+    assert enc.decode(enc.encode([text])[0]) == text.encode()
+    for memo in (enc.pieces, enc.spaced):
+        assert len(memo) <= memo.limit and max(map(len, memo)) <= memos.LONGEST_KEY
+    memos.keep_only("another")
+    assert not enc.pieces and not enc.spaced
+    one = "".join(r.choice("abcdefgh") for _ in range(1_000_000))  # one pre-token
+    assert enc.decode(enc.encode([one])[0]) == one.encode()
