@@ -74,3 +74,29 @@ def test_against_sql_with_edits(spark):
     want = sorted(con.sql(dc.leaks_sql()).fetchall())
     got = sorted(tuple(x) for x in dc.find_leaks(d, i).drop("_key").collect())
     assert len(want) > 50 and got == want
+
+
+def test_edits_quotes_and_slot_heavy_items(spark):
+    text = "The farmer near Lake Geneva sold 35 apples for 12 kg of rice and then Anna Smith took 40 more of those apples home to her old mother"
+    words = text.split()
+    heavy = "What is 12 + 7 - 5 * 3 when 4 and 9?"
+    items = spark.createDataFrame([(1, text), (2, heavy)], "item_id long, text string")
+    docs = [
+        (1, f"{FILL}. " + " ".join(words[:12] + ["indeed"] + words[12:])),  # a word more near the middle
+        (2, f"{FILL}. " + " ".join(words[:12] + words[13:])),  # one less
+        (3, f"{FILL}. " + " ".join(words[:17]) + " nothing 7 times and no 8 of 9 or 35 is 4 here"),  # two thirds, then another text
+        (4, f"{FILL}. {text.replace('35', '7').replace('40', '7').replace('12', '9')} {FILL}. {text}"),  # an imitation before it
+        (5, f"{FILL} {heavy}"),
+        (6, f"{FILL} {heavy.replace('12', '13').replace('4', '6')}"),
+        (7, FILL),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in dc.find_leaks(d, items).collect()}
+    assert got >= {(1, 1), (2, 1), (3, 1), (4, 1), (5, 2)} and not got & {(7, 1), (7, 2)}
+
+
+def test_very_long_runs_of_slots(spark):
+    """java.util.regex must not recurse on them."""
+    long = [(1, "a " + "Anna " * 200_000), (2, "1." * 200_000 + "1"), (3, "x" * 200_000), (4, f"a {'B' * 200_000} {ITEMS[1][1]}"), (None, ITEMS[1][1])]
+    got = dc.find_leaks(spark.createDataFrame(long, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(4, 2), (None, 2)}
