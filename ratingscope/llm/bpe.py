@@ -23,8 +23,8 @@ from ratingscope.llm.common import map_slices
 from ratingscope.llm.memos import Memo
 from ratingscope.llm.pretokens import chunks
 
-#: Entries that a worker keeps of each memo (distinct chunks, distinct pre-tokens).
-MEMO_CHUNKS, MEMO_PIECES = 120_000, 120_000
+#: Entries that a worker keeps of each memo: pre-tokens that begin with a space, others, and chunks of several pre-tokens.
+MEMO_WORDS, MEMO_PIECES, MEMO_CHUNKS = 350_000, 20_000, 120_000
 #: Bytes of pre-tokens that share a queue; a single longer one has its own.
 QUEUE_BYTES = 1 << 18
 #: Tokens of up to so many bytes are decoded by a table; a text with a longer one takes the other way.
@@ -50,8 +50,9 @@ class BytePairEncoder:
             if len(t) <= TABLE_BYTES:
                 self.token_table[i, : len(t)] = list(t)
                 self.token_size[i] = len(t)
-        self.pieces = Memo(__name__, MEMO_PIECES)  # packed ids of pre-tokens
-        self.spaced = Memo(__name__, MEMO_CHUNKS)  # and of chunks, with the space before them left off
+        self.words = Memo(__name__, MEMO_WORDS)  # packed ids of pre-tokens, with the space before them left off
+        self.pieces = Memo(__name__, MEMO_PIECES)  # of those without a space before them
+        self.spaced = Memo(__name__, MEMO_CHUNKS)  # of chunks of several pre-tokens, with the space before them left off
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
         """The ids of each pre-token. All share one queue: the merges of different pre-tokens don't touch, so
@@ -135,32 +136,47 @@ class BytePairEncoder:
             out.append(ids)
         return out
 
-    def _learn(self, new: set[str]) -> list[str]:
-        """Put those of these pre-tokens that are lacking into ``pieces``, queue by queue, and return them."""
-        lacking = [p for p in new if p not in self.pieces]
+    def _learn(self, words: set[str], pieces: set[str]) -> tuple[list[str], list[str]]:
+        """Put those of these pre-tokens that are lacking into ``words`` and ``pieces``, queue by queue, and return them."""
+        lacking = [w for w in words if w not in self.words], [p for p in pieces if p not in self.pieces]
         queue, size = [], 0
-        for k, p in enumerate(lacking, 1):
-            queue.append(p)
-            size += len(p)
-            if size >= QUEUE_BYTES // 4 or k == len(lacking):
-                for q, ids in zip(queue, self.encode_pieces([q.encode() for q in queue])):
-                    self.pieces[q] = _pack(ids)
-                queue, size = [], 0
+        for memo, space, new in zip((self.words, self.pieces), (" ", ""), lacking):
+            for k, p in enumerate(new, 1):
+                queue.append(p)
+                size += len(p)
+                if size >= QUEUE_BYTES // 4 or k == len(new):
+                    memo.update(zip(queue, map(_pack, self.encode_pieces([(space + q).encode() for q in queue]))))
+                    queue, size = [], 0
         return lacking
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian unsigned 32-bit integers."""
+        words, pieces, spaced, findall = self.words, self.pieces, self.spaced, self.findall
         parts = [chunks(t) for t in texts]
-        new = {c for _, rest in parts for c in rest}.difference(self.spaced)
-        split = {c: self.findall(" " + c) for c in new}
-        begin = [self.findall(f) for f, _ in parts]
-        learned = self._learn({p for found in (*split.values(), *begin) for p in found})
-        piece = self.pieces.__getitem__
-        self.spaced.update({c: b"".join(map(piece, found)) for c, found in split.items()})
-        spaced = self.spaced.__getitem__
-        out = [b"".join(map(piece, b)) + b"".join(map(spaced, rest)) for b, (_, rest) in zip(begin, parts)]
-        self.pieces.trim(learned)
-        self.spaced.trim(split)
+        new = {c for _, rest in parts for c in rest}
+        new = [c for c in new if c not in words and c not in spaced]
+        split = {c: findall(" " + c) for c in new}
+        begin = [findall(f) for f, _ in parts]
+        need: tuple[set, set] = set(), set()
+        for found in (*split.values(), *begin):
+            for p in found:
+                if len(p) > 1 and p[0] == " ":
+                    need[0].add(p[1:])
+                else:
+                    need[1].add(p)
+        learned = self._learn(*need)
+
+        def ids(found: list[str]) -> bytes:
+            return b"".join([words[p[1:]] if len(p) > 1 and p[0] == " " else pieces[p] for p in found])
+
+        several = {c: ids(found) for c, found in split.items() if len(found) > 1}
+        spaced.update(several)
+        out = []
+        for b, (_, rest) in zip(begin, parts):
+            out.append(ids(b) + b"".join([words[c] if c in words else spaced[c] for c in rest]))
+        words.trim(learned[0])
+        pieces.trim(learned[1])
+        spaced.trim(several)
         return out
 
     def decode(self, packed: bytes) -> bytes:

@@ -77,9 +77,9 @@ def test_long_texts_in_bounded_memory():
     words = ("".join(r.choice("abcdefgh") for _ in range(r.randint(3, 60))) for _ in range(600_000))
     text = " ".join(words)  # some 20 MB of different words
     assert enc.decode(enc.encode([text])[0]) == text.encode()
-    for memo in (enc.pieces, enc.spaced):
-        assert len(memo) <= memo.limit and max(map(len, memo)) <= memos.LONGEST_KEY
+    for memo in (enc.words, enc.pieces, enc.spaced):
+        assert len(memo) <= memo.limit and max(map(len, memo), default=0) <= memos.LONGEST_KEY
     memos.keep_only("another")
-    assert not enc.pieces and not enc.spaced
+    assert not enc.words and not enc.pieces and not enc.spaced
     one = "".join(r.choice("abcdefgh") for _ in range(1_000_000))  # one pre-token
     assert enc.decode(enc.encode([one])[0]) == one.encode()
