@@ -7,7 +7,9 @@ texts share has a fingerprint in common, wherever it begins, and shorter ones do
 
 Fingerprints are joined on their hash: each later place meets the first one (the smallest id, then the
 smallest position). A meeting is an alignment of two texts; it is extended both ways over equal words, and the
-later text loses the run.
+later text loses the run. The first place of a gram may have just the gram of a longer run that others share. So the windows
+that hold a met gram and reach beyond the run are joined on their own hashes in a second step, whole windows, and all but their first place
+go too. Thus no run of ``sure_words`` words stays whole in two places.
 """
 
 from __future__ import annotations
@@ -24,19 +26,9 @@ from ratingscope.llm.common import if_small, map_slices, written
 _PART = re.compile(r"\s*\S+\s*")
 #: Ends of the lines that are counted: a line break, or white space after a clause.
 _END = re.compile(r"[.!?;:,…]\s+\Z|\n")
-#: Most words whose hashes a worker remembers.
-KNOWN_WORDS = 500_000
-
-
-class _Known(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_known = _Known()
+#: A source text with more meetings than this is met in several tasks, so many meetings in each.
+HOT = 1000
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def lines(text: str) -> list[str]:
@@ -47,7 +39,7 @@ def lines(text: str) -> list[str]:
 def hashed(text: str) -> np.ndarray:
     """Hash of each word; case doesn't count."""
     words = text.lower().split()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def _slide(values: np.ndarray, span: int, least) -> np.ndarray:
@@ -58,14 +50,28 @@ def _slide(values: np.ndarray, span: int, least) -> np.ndarray:
     return least(values[: len(values) - (span - size)], values[span - size :])
 
 
-def fingerprints(hashes: np.ndarray, run_words: int, sure_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the window minima among the text's grams; of equal hashes the rightmost. A text that is
+def grams(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every ``size`` words in a row: a polynomial of their hashes, put together from runs of 1, 2, 4, ... words."""
+    whole, done, part, width, factor = None, 0, hashes, 1, _STEP
+    with np.errstate(over="ignore"):
+        while True:
+            if size & width:
+                whole = part if whole is None else whole[: len(part) - done] * factor + part[done:] if len(part) > done else part[:0]
+                done += width
+            if done == size:
+                break
+            part = part[:-width] * factor + part[width:] if len(part) > width else part[:0]
+            width, factor = 2 * width, factor * factor
+        x = (whole ^ (whole >> np.uint64(31))) * _STEP
+    return x ^ (x >> np.uint64(29))
+
+
+def fingerprints(grams: np.ndarray, run_words: int, sure_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the window minima among a text's grams; of equal hashes the rightmost. A text that is
     shorter than a window is one window."""
-    many = len(hashes) - run_words + 1
+    many = len(grams)
     if many < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    data, size = hashes.tobytes(), 8 * run_words
-    grams = np.fromiter((xxhash.xxh64_intdigest(data[k : k + size]) for k in range(0, 8 * many, 8)), np.uint64, many)
     span = min(many, sure_words - run_words + 1)
     none = np.zeros(span - 1, np.uint64)
     lows = _slide(grams, span, np.minimum)
@@ -77,20 +83,28 @@ def fingerprints(hashes: np.ndarray, run_words: int, sure_words: int) -> tuple[n
     return keep, grams[keep]
 
 
-def repeated_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_words: int) -> tuple[list[int], list[int]]:
+def repeated_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_words: int, sure_words: int) -> tuple[list[int], list[int], list[int], list[int]]:
     """Begins and ends of the runs of a text that are equal to those of a source, word k of the text standing opposite word
-    k - offset of the source for one of the offsets, and have ``run_words`` words or more."""
-    gone = np.zeros(len(own), bool)
+    k - offset of the source for one of the offsets, and have ``run_words`` words or more. Then begins and hashes of the
+    windows that share ``run_words`` words or more with such a run and reach beyond it."""
+    gone, open_at = np.zeros(len(own), bool), np.zeros(max(0, len(own) - sure_words + 1), bool)
     for offset in sorted(offsets):
         low, high = max(0, offset), min(len(own), len(theirs) + offset)
         if gone[low:high].all():
             continue  # nothing is left that this offset could reach
         border = _borders(own[low:high] == theirs[low - offset : high - offset])
-        for start, stop in zip(border[::2].tolist(), border[1::2].tolist()):
+        for start, stop in zip((border[::2] + low).tolist(), (border[1::2] + low).tolist()):
             if stop - start >= run_words:
-                gone[low + start : low + stop] = True
-    border = _borders(gone)
-    return border[::2].tolist(), border[1::2].tolist()
+                gone[start:stop] = True
+                open_at[max(0, start + run_words - sure_words) : start] = True
+                open_at[max(start, stop - sure_words + 1) : stop - run_words + 1] = True
+    border, at = _borders(gone), np.flatnonzero(open_at).tolist()
+    if at:
+        covered = np.concatenate([[0], np.cumsum(gone)])
+        at = [k for k in at if covered[k + sure_words] - covered[k] < sure_words]
+    data = own.tobytes()
+    hashes = [xxhash.xxh64_intdigest(data[4 * k : 4 * (k + sure_words)]) - (1 << 63) for k in at]
+    return border[::2].tolist(), border[1::2].tolist(), at, hashes
 
 
 def _borders(same: np.ndarray) -> np.ndarray:
@@ -107,7 +121,11 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     texts = _keyed(df, id_col, text_col).where(F.col(text_col).isNotNull()).select("_id", "_key", F.col(text_col).alias("text"))
 
     def cut(cols: list[list]) -> list[list]:
-        found = [fingerprints(hashed(t), run_words, sure_words) for t in cols[2]]
+        words = [hashed(t) for t in cols[2]]
+        every, found, stop = grams(np.concatenate(words), run_words), [], 0
+        for w in words:
+            stop += len(w)  # of the grams of all texts in a row, those that lie in this one
+            found.append(fingerprints(every[stop - len(w) : max(stop - len(w), stop - run_words + 1)], run_words, sure_words))
         return [cols[0], cols[1], [at for at, _ in found], [m.view(np.int64) for _, m in found]]
 
     # repeated rows (same id and text) are one text
@@ -116,35 +134,54 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     marks = lined.select("_id", "_key", F.explode(F.arrays_zip("at", "marks")).alias("m")).select("_id", "_key", F.col("m.at").alias("at"), F.col("m.marks").alias("mark"))
     place = F.struct(F.coalesce("_id", F.lit(2**63 - 1)).alias("id"), F.col("_key").alias("key"), F.col("at").alias("at"))
     first = written(marks.groupBy("mark").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first"), "first")
-    # a line that a third of all texts have meets one row here, so its rows can be dealt to many tasks
+    # a gram that a third of all texts have meets one narrow row here
     meets = marks.join(first, "mark").where(F.col("first") != place)
-    meets = meets.select(F.col("_key").alias("later"), F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset"))
+    meets = meets.select(place["id"].alias("_id"), F.col("_key").alias("later"), F.col("first.key").alias("source"), (F.col("at") - F.col("first.at")).alias("offset"))
     # two texts meet once, with all offsets between them (at most the words of the later text)
-    meets = written(meets.groupBy("later", "source").agg(F.collect_set("offset").alias("offsets")), "meets")
+    meets = written(meets.groupBy("_id", "later", "source").agg(F.collect_set("offset").alias("offsets")), "meets")
     # only texts that meet are needed again, as the lower halves of their hashes: the fingerprints have agreed in full
     keys = if_small(meets.select(F.explode(F.array("later", "source")).alias("k")).distinct(), "keys")
     again = texts.join(keys, F.col("_key") == F.col("k"), "left_semi").select("_key", "text")
     words = map_slices(again, lambda cols: [cols[0], [hashed(t).astype(np.uint32).tobytes() for t in cols[1]]], "_key long, words binary")
-    # rows with the same _key have the same text, so any of them will do; both joins read one shuffle of this
+    # rows with the same _key have the same text, so any of them will do; all joins read one shuffle of this
     each = words.groupBy("_key").agg(F.first("words").alias("words"))
-    theirs, own = each.alias("theirs"), each.alias("own")
-    pairs = meets.join(theirs, F.col("source") == F.col("theirs._key")).select("later", "offsets", F.col("theirs.words").alias("their_words"))
-    pairs = pairs.join(own, F.col("later") == F.col("own._key")).select("later", "offsets", "their_words", "own.words")
+    pairs = _with_sources(meets, each).join(each.alias("own"), F.col("later") == F.col("own._key")).select("_id", "later", "offsets", "their_words", "own.words")
 
     def extend(cols: list[list]) -> list[list]:
-        found = [repeated_runs(offsets, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), run_words) for offsets, a, b in zip(*cols[1:])]
-        return [cols[0], [a for a, _ in found], [b for _, b in found]]
-
-    runs = map_slices(pairs, extend, "_key long, starts array<int>, stops array<int>", rows=64)
-    runs = runs.where(F.size("starts") > 0).select("_key", F.explode(F.arrays_zip("starts", "stops")).alias("r")).select("_key", "r.starts", "r.stops").distinct()
-    return runs.groupBy("_key").agg(F.collect_list(F.struct("starts", "stops")).alias("runs"))  # at most its words for each text
+        found = [repeated_runs(offsets, np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32), run_words, sure_words) for offsets, a, b in zip(*cols[2:])]
+        return [cols[0], cols[1], *map(list, zip(*found))]
+
+    runs = written(map_slices(pairs, extend, "_id long, _key long, starts array<int>, stops array<int>, at array<int>, windows array<long>", rows=64), "runs")
+    gone = runs.where(F.size("starts") > 0).select("_key", F.explode(F.arrays_zip("starts", "stops")).alias("r")).select("_key", "r.starts", "r.stops")
+    wide = runs.where(F.size("at") > 0).select("_id", "_key", F.explode(F.arrays_zip("at", "windows")).alias("w")).select("w.windows", F.struct("_id", "_key", F.col("w.at").alias("at")).alias("place"))
+    once = wide.groupBy("windows").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first <> last").drop("last")
+    wide = wide.join(once, "windows").where("place <> first").select("place._key", F.col("place.at").alias("starts"), (F.col("place.at") + sure_words).alias("stops"))
+    every = gone.unionByName(wide).distinct()
+    return every.groupBy("_key").agg(F.collect_list(F.struct("starts", "stops")).alias("runs"))  # at most its words for each text
+
+
+def _with_sources(meets: DataFrame, each: DataFrame) -> DataFrame:
+    """Adds their_words, those of the source. A source that very many texts repeat is copied to as many tasks as they need."""
+    hot = written(meets.groupBy("source").count().where(F.col("count") > HOT).select(F.col("source").alias("hot"), F.ceil(F.col("count") / HOT).alias("parts")), "hot")
+    theirs = each.alias("theirs")
+    cols = ["_id", "later", "offsets", F.col("theirs.words").alias("their_words")]
+    cold = meets.join(theirs, F.col("source") == F.col("theirs._key"))
+    if hot.isEmpty():
+        return cold.select(cols)
+    hot = F.broadcast(hot)  # a row stands for a thousand meetings
+    cold = meets.join(hot, F.col("source") == F.col("hot"), "left_anti").join(theirs, F.col("source") == F.col("theirs._key")).select(cols)
+    copies = each.join(hot, F.col("_key") == F.col("hot")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hot", "part", "words").alias("theirs")
+    many = meets.join(hot, F.col("source") == F.col("hot")).withColumn("part", F.pmod(F.xxhash64("later"), "parts")).drop("hot", "parts").alias("m")
+    many = many.join(copies, (F.col("m.source") == F.col("theirs.hot")) & (F.col("m.part") == F.col("theirs.part")))
+    return cold.unionByName(many.select(cols))
 
 
 def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` with ``text`` less the later repeated runs, and a column line_stats more, struct<n_removed
     int, words_removed int>: the lines (up to a break or the end of a clause) that went whole, and the words that went.
 
-    A run of ``sure_words`` words or more that stands in several texts is found, one of ``run_words`` or more may be. It stays where the id is smallest (a null id
+    A run of ``sure_words`` words or more that stands in several texts stays whole in one of them only; one of ``run_words``
+    or more may be found. It stays where the id is smallest (a null id
     comes last; then by a hash of the text, then by position) and goes elsewhere, also when it repeats within one
     text. Rows equal in id and text are one text and get the same result. An exact copy of an earlier text
     becomes empty. Shorter repeated runs stay. A null text stays null with null line_stats, an empty one empty.

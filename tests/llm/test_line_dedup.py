@@ -4,6 +4,17 @@ import xxhash
 
 from ratingscope.llm import line_dedup as ld
 
+STEP = 0x9E3779B97F4A7C15
+
+
+def gram(words):
+    """The polynomial of the words' hashes, word by word, and its scramble."""
+    x = 0
+    for w in words:
+        x = (x * STEP + xxhash.xxh64_intdigest(w)) % 2**64
+    x = (x ^ x >> 31) * STEP % 2**64
+    return x ^ x >> 29
+
 
 def brute(rows, run_words, sure_words):
     """Everything again in plain loops: grams, window minima, first places, extension."""
@@ -19,28 +30,36 @@ def brute(rows, run_words, sure_words):
                 return e + 1
         return None
 
-    def gram(i, k):
-        h = b"".join((xxhash.xxh64_intdigest(x) - (1 << 64 if xxhash.xxh64_intdigest(x) >> 63 else 0)).to_bytes(8, "little", signed=True) for x in norm[i][k : end(i, k, run_words)])
-        return xxhash.xxh64_intdigest(h)
-
     places = {}
     for i, ls in norm.items():
         windows = [(k, end(i, k, sure_words)) for k in range(len(ls)) if end(i, k, sure_words)] or [(0, len(ls))]
         for a, b in windows:
             inside = [k for k in range(a, len(ls)) if end(i, k, run_words) and end(i, k, run_words) <= b]
             if inside:
-                k = min(inside, key=lambda k: (gram(i, k), -k))
-                places.setdefault(gram(i, k), set()).add((i, k))
-    gone = {i: set() for i in norm}
+                k = min(inside, key=lambda k: (gram(norm[i][k : end(i, k, run_words)]), -k))
+                places.setdefault(gram(norm[i][k : end(i, k, run_words)]), set()).add((i, k))
+    gone, met, by_source = {i: set() for i in norm}, {i: [] for i in norm}, {}
     for found in places.values():
         s, q = min(found)
         for i, k in found - {(s, q)}:
             a, b = k, q
             while a and b and norm[i][a - 1] == norm[s][b - 1]:
                 a, b = a - 1, b - 1
+            start = a
             while a < len(norm[i]) and b < len(norm[s]) and norm[i][a] == norm[s][b]:
                 gone[i].add(a)
+                by_source.setdefault((i, s), set()).add(a)
                 a, b = a + 1, b + 1
+            met[i].append((s, start, a))
+    beyond = {}
+    for i, runs in met.items():
+        for s, a, b in runs:
+            for k in range(max(0, a + run_words - sure_words), min(b - run_words, len(norm[i]) - sure_words) + 1):
+                if not all(m in by_source[i, s] for m in range(k, k + sure_words)):
+                    beyond.setdefault(tuple(norm[i][k : k + sure_words]), set()).add((i, k))
+    for found in beyond.values():
+        for i, k in found - {min(found)}:
+            gone[i].update(range(k, k + sure_words))
     out = {}
     for i, ls in cut.items():
         kept = "".join(x for k, x in enumerate(ls) if k not in gone[i])
@@ -128,8 +147,52 @@ def test_window_minima_against_a_loop():
     for n in [0, 24, 25, 26, 49, 50, 51, 200] * 4:
         for vocab in (1, 3, 10**6):
             words = " ".join(str(r.randrange(vocab)) for _ in range(n))
-            at, marks = ld.fingerprints(h := ld.hashed(words), 25, 50)
-            grams = [xxhash.xxh64_intdigest(h[k : k + 25].tobytes()) for k in range(n - 24)]
+            grams = [gram(words.split()[k : k + 25]) for k in range(n - 24)]
+            at, marks = ld.fingerprints(every := ld.grams(ld.hashed(words), 25), 25, 50)
+            assert every.tolist() == grams
             ends = range(26, len(grams) + 1) if len(grams) > 26 else [len(grams)] * bool(grams)
             want = {min(range(max(0, e - 26), e), key=lambda k: (grams[k], -k)) for e in ends}
             assert at.tolist() == sorted(want) and marks.tolist() == [grams[k] for k in sorted(want)]
+
+
+def chains(seed, n=150):
+    """Texts of pieces of few passages, so that earlier texts hold parts of what later ones share."""
+    r = random.Random(seed)
+    passages = [[f"p{k}x{j}" for j in range(90)] for k in range(3)]
+    out = []
+    for _ in range(n):
+        ws = [f"u{r.randrange(10**9)}" for _ in range(r.randint(0, 10))]
+        for _ in range(r.randint(1, 3)):
+            p, a = r.choice(passages), r.randint(0, 60)
+            ws += p[a : a + r.randint(22, 75)] + [f"u{r.randrange(10**9)}" for _ in range(r.randint(0, 30))]
+        out.append(" ".join(ws))
+    return list(enumerate(out))
+
+
+def test_no_run_of_50_words_stays_in_two_places(spark, monkeypatch):
+    """The property itself, whatever the algorithm; with hot sources split as well."""
+    monkeypatch.setattr(ld, "HOT", 20)
+    for seed in range(4):
+        rows = chains(seed)
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        runs = {r["_key"]: r.runs for r in ld.find_repeats(df).collect()}
+        keys = {r.doc_id: r.k for r in df.selectExpr("doc_id", "xxhash64(doc_id, text) as k").collect()}
+        seen, before = {}, {}
+        for i, t in rows:
+            ws = t.split()
+            gone = {k for a, b in runs.get(keys[i], []) for k in range(a, b)}
+            for k in range(len(ws) - 49):
+                if not gone.intersection(range(k, k + 50)):
+                    assert seen.setdefault(tuple(ws[k : k + 50]), (i, k)) == (i, k)
+            for k in range(len(ws) - 24):
+                before.setdefault(tuple(ws[k : k + 25]), (i, k))
+            for k in gone:  # only what an earlier text or place has goes
+                assert any(before[tuple(ws[m : m + 25])] < (i, m) for m in range(max(0, k - 24), min(k, len(ws) - 25) + 1))
+        assert sum(map(bool, runs.values())) > 100
+
+
+def test_very_long_texts(spark):
+    words = [f"v{k}" for k in range(150_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[70_000:90_000])), (3, "x " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ld.dedup_lines(df).collect()}
+    assert got[1].line_stats.words_removed == 0 and got[2].text == "" and len(got[3].text.split()) < 100
