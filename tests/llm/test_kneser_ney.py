@@ -8,15 +8,15 @@ import pytest
 from ratingscope.llm import kneser_ney as kn
 
 
+def padded(text):
+    return bytes([kn.BEGIN]) * (kn.ORDER - 1) + text.encode()
+
+
 def brute(texts):
-    """Interpolated modified Kneser-Ney in dictionaries; returns p(next | context of 3)."""
-    grams = Counter()
-    for t in texts:
-        kinds = [kn.BEGIN] * 3 + [int(g) % kn.SYMBOLS for g in kn.symbols([t])[0]]
-        for k in range(3, len(kinds)):
-            grams[tuple(kinds[k - 3 : k + 1])] += 1
-    tables = {4: grams}
-    for k in (3, 2, 1):
+    """Interpolated modified Kneser-Ney in dictionaries; returns p(context of 4 bytes, next)."""
+    grams = Counter(padded(t)[k : k + kn.ORDER] for t in texts for k in range(len(t.encode())))
+    tables = {kn.ORDER: grams}
+    for k in range(kn.ORDER - 1, 0, -1):
         tables[k] = Counter(g[1:] for g in tables[k + 1])
     stats = {}
     for k, c in tables.items():
@@ -30,12 +30,12 @@ def brute(texts):
 
     def p(context, w):
         k = len(context) + 1
-        lower = p(context[1:], w) if context else 1 / kn.SYMBOLS
+        lower = p(context[1:], w) if context else 1 / 256
         d, by = stats[k]
         if context not in by:
             return lower
         cut = lambda v: d[min(v, 3) - 1]
-        total, v = sum(by[context]), tables[k].get((*context, w), 0)
+        total, v = sum(by[context]), tables[k].get(context + bytes([w]), 0)
         return ((v - cut(v)) if v else 0) / total + sum(map(cut, by[context])) / total * lower
 
     return p
@@ -46,21 +46,32 @@ def test_model_against_dictionaries(spark):
     texts = ["".join(r.choice("aab c\nÉé1.!X") for _ in range(r.randint(0, 40))) for _ in range(60)]
     df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
     model = kn.train(kn.count_ngrams(df))
-    got = {x.context: x.p for x in model.collect()}
-    assert len(got) == kn.SYMBOLS**3
     p = brute(texts)
-    for c in list(range(0, kn.SYMBOLS**3, 997)) + [int(g) // kn.SYMBOLS for t in texts[:20] for g in kn.symbols([t])[0]]:
-        context = (c // kn.SYMBOLS**2, c // kn.SYMBOLS % kn.SYMBOLS, c % kn.SYMBOLS)
-        assert sum(got[c]) == pytest.approx(1)
-        for w in range(kn.SYMBOLS):
-            assert got[c][w] == pytest.approx(p(context, w), rel=1e-9)
+    seen = {g for t in texts for g in (padded(t)[k : k + 5] for k in range(len(t.encode())))}
+    asked = sorted(seen)[::7] + [bytes([g[0], 33, *g[2:]]) for g in sorted(seen)[::5]] + [b"zzzzz", b"zzaab", b"zzzz\x00"]
+    asked = spark.createDataFrame([(int.from_bytes(g, "big"),) for g in asked], "gram long").distinct()
+    got = {x.gram.to_bytes(5, "big"): x.nll for x in kn._scored(asked, model).collect()}
+    assert len(got) == asked.count() > 100
+    for g, nll in got.items():
+        assert math.exp(-nll) == pytest.approx(p(g[:4], g[4]), rel=1e-9), g
+    for context in (b"aab ", b"\xff\xff\xffa", b"zzzz"):
+        assert sum(p(context, w) for w in range(256)) == pytest.approx(1)
+
+
+def test_ngrams_against_a_loop():
+    texts = ["", "a", "né日", "", "abcdefg"]
+    grams, sizes = kn.ngrams(texts)
+    assert sizes.tolist() == [len(t.encode()) for t in texts]
+    assert [int(g).to_bytes(5, "big") for g in grams] == [padded(t)[k : k + 5] for t in texts for k in range(len(t.encode()))]
+    assert kn.ngrams([])[0].tolist() == kn.ngrams(["", ""])[0].tolist() == []
 
 
 def prose(r, n):
     return " ".join(r.choice(["the", "of", "and", "reading", "tion", "ent", "here", "walks"]) for _ in range(n)).capitalize() + "."
 
 
-def test_scores_and_thresholds(spark):
+def test_scores_and_thresholds(spark, monkeypatch):
+    monkeypatch.setattr(kn, "SLICE_BYTES", 5000)  # several slices a task
     r = random.Random(2)
     rows = [(k, prose(r, r.randint(5, 80)), "en") for k in range(400)]
     junk = [(1000, "THE!! OF!! AND!! READING!! ENT!! " * 8, "en"), (1001, "qzx vvkj %%% ### xqj " * 8, "en"), (1002, None, "en"), (1003, "", None), (1004, "was ist das", "de")]
@@ -71,10 +82,11 @@ def test_scores_and_thresholds(spark):
     assert not any(got[k].keep for k in (1000, 1001, 1002, 1003)) and got[1004].keep
     assert got[1002].perplexity is None
     assert sum(not got[k].keep for k in range(400)) <= 6  # held-out and trained prose stays
-    p = brute([t for k, t, _ in rows if k < 300])
-    kinds = [kn.BEGIN] * 3 + [int(g) % kn.SYMBOLS for g in kn.symbols([rows[350][1]])[0]]
-    nll = [-math.log(p(tuple(kinds[k - 3 : k]), kinds[k])) for k in range(3, len(kinds))]
-    assert got[350].perplexity == pytest.approx(math.exp(np.mean(nll)), rel=1e-4)
+    held = {x.k for x in spark.range(300).selectExpr("id k", "pmod(xxhash64(id), 5) h").where("h = 0").collect()}
+    p = brute([t for k, t, _ in [*rows, *rows[:3]] if k < 300 and k not in held])
+    data = padded(rows[350][1])
+    nll = [-math.log(p(data[k : k + 4], data[k + 4])) for k in range(len(data) - 4)]
+    assert got[350].perplexity == pytest.approx(math.exp(np.mean(nll)), rel=1e-9)
 
 
 def test_shuffle_join_of_trusted_ids_and_empty_tables(spark, monkeypatch):
