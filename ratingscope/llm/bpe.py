@@ -228,6 +228,18 @@ def decode(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id",
     return map_slices(df.select(id_col, ids_col), run, f"`{id_col}` {kind}, ids binary, bytes binary")
 
 
+def round_trip(df: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``decode`` returns for what ``encode`` returns, (id, ids, bytes), in one pass of one worker a task."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(cols: list[list]) -> list[list]:
+        enc = encoder(vocab_path, pattern)
+        ids = enc.encode([t or "" for t in cols[1]])
+        return [cols[0], ids, [enc.decode(x) for x in ids]]
+
+    return map_slices(df.select(id_col, text_col), run, f"`{id_col}` {kind}, ids binary, bytes binary")
+
+
 def digests(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256) of what ``decode`` returns, by Spark's own functions."""
     from pyspark.sql import functions as F

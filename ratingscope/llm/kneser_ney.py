@@ -87,10 +87,10 @@ def count_ngrams(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram long, n long): how often each n-gram ends at a byte of the texts."""
 
     def run(batches):
-        memos.keep_only(__name__)
-        for held in _slices(batches):
-            grams, n = _counted(held, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
+        with memos.for_task(__name__):
+            for held in _slices(batches):
+                grams, n = _counted(held, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(n)], names=["gram", "n"])
 
     return texts.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
@@ -161,17 +161,18 @@ def perplexities(df: DataFrame, model: list[DataFrame], id_col: str, text_col: s
         return h.intdigest() - (1 << 63)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memos.keep_only(__name__)
-        for held in _slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([key(held)]), pa.array([_counted(held, 2)[0]], pa.list_(pa.int64()))], names=["slice", "grams"])
+        with memos.for_task(__name__):
+            for held in _slices(batches):
+                yield pa.RecordBatch.from_arrays([pa.array([key(held)]), pa.array([_counted(held, 2)[0]], pa.list_(pa.int64()))], names=["slice", "grams"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in _slices(batches):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                for part in held:
-                    out.write_batch(part)
-            yield pa.RecordBatch.from_arrays([pa.array([key(held)]), pa.array([sink.getvalue().to_pybytes()])], names=["slice", "texts"])
+        with memos.for_task(__name__):
+            for held in _slices(batches):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    for part in held:
+                        out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([key(held)]), pa.array([sink.getvalue().to_pybytes()])], names=["slice", "texts"])
 
     def add_up(texts: pa.Table, grams: pa.Table) -> pa.Table:
         kinds, nll = (grams.column(n).to_numpy() for n in ("gram", "nll"))

@@ -1,10 +1,13 @@
-"""What a Python worker remembers between slices: bounded, short keys only, and of one operator at a time."""
+"""What a Python worker remembers between the slices of a task: bounded, short keys only, and of one operator at a time."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from itertools import islice
 
+import pyarrow as pa
+
 #: Longer keys are worked out anew each time.
 LONGEST_KEY = 40
 _held: dict[str, list[Memo]] = {}
@@ -47,3 +50,14 @@ def keep_only(owner: str) -> None:
         if name != owner:
             for memo in memos:
                 memo.clear()
+
+
+@contextmanager
+def for_task(owner: str) -> Iterator[None]:
+    """A block in which a task of ``owner`` works. What it remembers goes at its end, as the worker may idle beside others."""
+    keep_only(owner)
+    try:
+        yield
+    finally:
+        keep_only("")
+        pa.default_memory_pool().release_unused()

@@ -73,7 +73,7 @@ def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the multilingual ranks, and the bytes they decode to, as digests."""
     vocab = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), *vocab), *vocab))
+    return bpe.digests(bpe.round_trip(_table(spark, sf_dir, "documents"), *vocab))
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ def test_encode_decode_as_tiktoken(spark):
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts())], "doc_id long, text string, ids string")
     rows = bpe.decode(bpe.encode(docs, *VOCAB), *VOCAB).collect()
-    assert len(rows) == docs.count()
+    assert len(rows) == docs.count() and sorted(rows) == sorted(bpe.round_trip(docs, *VOCAB).collect())
     for r, t in zip(sorted(rows), texts()):
         assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode_ordinary(t or "")
         assert r.bytes == (t or "").encode()
