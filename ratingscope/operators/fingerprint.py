@@ -1,8 +1,8 @@
 """Structural fingerprint of a team: 25 numbers from who rated whom.
 
 Everything is joins and groupings within the keys of a team: pairs of members for reciprocity and asymmetry, triples for the
-triad census and for clustering. Triples grow with the cube of a team, so teams beyond ``most_members`` have no triads and
-no clustering (NULL), and are reported by ``too_large``.
+triad census and for clustering. Triples grow with the cube of a team; they are rows of joins on two members, so those of a
+large team are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +18,6 @@ from ratingscope.schema import KEYS, pearson
 TRIADS = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
 BEHAVIOUR = ("reciprocity", "gini_in_degree", "mean_rater_std", "std_rater_std", "asymmetry", "clustering", "assortativity", "non_submitter_frac", "mean_self_share")
 FEATURES = BEHAVIOUR + tuple(f"triad_{t}" for t in TRIADS)
-MOST_MEMBERS = 100
 
 
 def edges(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -111,10 +110,10 @@ def _triples(pairs: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
     return side("a", "b", "ab").join(side("a", "c", "ac"), [*keys, "a"]).where("b < c").join(side("b", "c", "bc"), [*keys, "b", "c"])
 
 
-def _all_pairs(ratings: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """(keys, a, b, ab, ba, up, down): every two members of teams of up to ``most``, their scores, and whether these are
+def _all_pairs(ratings: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b, ab, ba, up, down): every two members of a team, their scores, and whether these are
     above the giver's mean (up: a's for b)."""
-    m = members.members(ratings, keys).withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).where(F.col("_n") <= most)
+    m = members.members(ratings, keys)
     both = m.select(*keys, F.col("email").alias("a")).join(m.select(*keys, F.col("email").alias("b")), keys).where("a < b")
     e = edges(ratings, keys).withColumn("_above", F.col("weight") > F.avg("weight").over(Window.partitionBy(*keys, "giver")))
     fwd = e.select(*keys, F.col("giver").alias("a"), F.col("recipient").alias("b"), F.col("weight").alias("ab"), F.col("_above").alias("up"))
@@ -158,10 +157,10 @@ def triad_class() -> Column:
     )
 
 
-def triple_features(ratings: DataFrame, keys: list[str] = KEYS, most: int = MOST_MEMBERS) -> DataFrame:
+def triple_features(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, clustering, triad_003 .. triad_300), one pass over the triples. clustering: mean over all members of the directed
     weighted coefficient of Fagiolo (2007), weights as the cube root of their share of the team's largest."""
-    p = _all_pairs(ratings, keys, most)
+    p = _all_pairs(ratings, keys)
     top = F.max(F.greatest(F.coalesce("ab", F.lit(0.0)), F.coalesce("ba", F.lit(0.0)))).over(Window.partitionBy(*keys))
     cube = lambda c: F.coalesce(F.cbrt(F.try_divide(F.col(c), F.col("_top"))), F.lit(0.0))
     p = p.withColumn("_top", top).withColumn("tie", cube("ab") + cube("ba"))
@@ -179,18 +178,12 @@ def triple_features(ratings: DataFrame, keys: list[str] = KEYS, most: int = MOST
     return clustering.join(census, keys, "left")
 
 
-def too_large(ratings: DataFrame, keys: list[str] = KEYS, most: int = MOST_MEMBERS) -> DataFrame:
-    n = members.members(ratings, keys).groupBy(*keys).agg(F.count("*").alias("n_members"))
-    return n.where(F.col("n_members") > most).select(*keys, F.lit("team_too_large").alias("event"), F.format_string("%d members: no triads, no clustering", "n_members").alias("detail"), F.lit(None).cast("string").alias("student_email"))
-
-
-def features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS, most: int = MOST_MEMBERS) -> DataFrame:
+def features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS) -> DataFrame:
     """(keys, n_students, non_submitter_count, the 25 features). What a team has no pairs, raters or triples for is 0."""
     out = submission(ratings, pool, keys)
-    for part in (pair_features(ratings, keys), gini(ratings, keys), rater_spread(ratings, keys), assortativity(ratings, keys), triple_features(ratings, keys, most)):
+    for part in (pair_features(ratings, keys), gini(ratings, keys), rater_spread(ratings, keys), assortativity(ratings, keys), triple_features(ratings, keys)):
         out = out.join(part, keys, "left")
-    small = F.col("n_students") <= most
-    fill = {f: F.coalesce(F.col(f), F.when(small, 0.0)) if f.startswith("triad") or f == "clustering" else F.coalesce(F.col(f), F.lit(0.0)) for f in FEATURES}
+    fill = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in FEATURES}
     return out.select(*keys, "n_students", "non_submitter_count", *(c.alias(f) for f, c in fill.items()))
 
 

@@ -2,7 +2,8 @@
 
 The averages are aggregates. The iterative models need a team's matrix over and over, so a team is packed into one row
 (one shuffle for all models) and solved in Arrow batches: teams of one size are one stack of matrices, iterated together until
-each has converged. A team larger than ``MOST_MEMBERS`` doesn't fit a row well; ``operators.large`` iterates it as joins.
+each has converged. A team of n members takes n * n numbers of a row; for teams of thousands
+``operators.large`` iterates PeerRank as joins.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from ratingscope.schema import IWF, KEYS
 
 ITERATIVE = ("peerrank", "peerrank-impute", "peerrank-exclude", "peerhits", "peerhits-impute", "peerhits-exclude")
-MOST_MEMBERS = 500
 #: Cells of the stacks that a task iterates at once.
 STACK_CELLS = 2_000_000
 

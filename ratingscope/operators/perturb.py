@@ -44,7 +44,7 @@ def uniform_inflation(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def zero_self(ratings: DataFrame, colluders: int | None = None, self_share: float | None = None, keys: list[str] = KEYS) -> DataFrame:
     """Raters give themselves nothing and scale what they give by n/(n-1), or 1/(1 - self_share); ``colluders``: only the first
-    so many raters by e-mail. Teams with fewer than two raters fail: they are left out."""
+    so many raters by e-mail. Teams with fewer than two raters are left out (``failures`` names them)."""
     df = _with_raters(ratings, keys).where("_raters >= 2")
     factor = F.lit(1 / (1 - self_share)) if self_share is not None else F.col("_n") / (F.col("_n") - 1)
     chosen = F.col("_active") & (F.lit(True) if colluders is None else F.col("_rank") <= colluders)
@@ -53,7 +53,7 @@ def zero_self(ratings: DataFrame, colluders: int | None = None, self_share: floa
 
 def targeted_downvote(ratings: DataFrame, victim: Column | None = None, keys: list[str] = KEYS) -> DataFrame:
     """The victim (an e-mail; the first rater by default) gets 0 from every other rater, who shares out the freed points to
-    the rest in proportion to what they have, or evenly if that is nothing. Teams without raters fail: they are left out."""
+    the rest in proportion to what they have, or evenly if that is nothing. Teams without raters are left out (``failures`` names them)."""
     df = _with_raters(ratings, keys).where("_raters >= 1")
     first = F.min(F.when(F.col("_rank") == 1, F.col("giver"))).over(Window.partitionBy(*keys))
     df = df.withColumn("_victim", first if victim is None else victim)
@@ -75,7 +75,7 @@ def _order(seed: int, keys: list[str], *cols: str) -> Column:
 
 def single_outlier(ratings: DataFrame, seed: int = 0, keys: list[str] = KEYS) -> DataFrame:
     """One rater, chosen by the seed, has the scores for the others shuffled and none for the own self. With a key
-    ``perm`` among ``keys`` each permutation chooses anew. Teams without raters fail: they are left out."""
+    ``perm`` among ``keys`` each permutation chooses anew. Teams without raters are left out (``failures`` names them)."""
     df = _with_raters(ratings, keys).where("_raters >= 1").withColumn("_by", _order(seed, keys, "giver"))
     chosen = F.min(F.when(F.col("_active"), F.struct("_by", "giver"))).over(Window.partitionBy(*keys))["giver"]
     df = df.withColumn("_out", F.col("giver") == chosen)
@@ -108,6 +108,23 @@ def fixed_budget(ratings: DataFrame, pool: float, keys: list[str] = KEYS) -> Dat
     return ratings.withColumn("score", fine).select(ratings.columns)
 
 
+#: How many active raters a perturbation needs, and what is said of teams with fewer.
+NEEDS: dict[str, tuple[int, str]] = {
+    "zero_self_full": (2, "fewer than two active raters"),
+    "zero_self_partial": (2, "fewer than two active raters"),
+    "targeted_downvote": (1, "no active rater"),
+    "single_outlier": (1, "no active rater"),
+}
+
+
+def failures(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, variant, error): the teams that a perturbation can't be applied to. Its transform leaves them out."""
+    given = ratings.groupBy(*keys, "giver").agg((F.count("score") > 0).alias("active"))
+    teams = given.groupBy(*keys).agg(F.count_if("active").alias("raters"))
+    needs = F.array(*(F.struct(F.lit(v).alias("variant"), F.lit(n).alias("least"), F.lit(e).alias("error")) for v, (n, e) in NEEDS.items()))
+    return teams.withColumn("need", F.explode(needs)).where("raters < need.least").select(*keys, "need.variant", "need.error")
+
+
 PERTURBATIONS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {}
 
 
@@ -138,11 +155,15 @@ def variants(ratings: DataFrame, n_perms: int = 0, seed: int = 0, keys: list[str
 
 def deltas(iwf: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, variant, perm, model, delta, error): mean distance of the scores from those of the clean ratings, over members
-    with both; ``iwf`` is the score of ``variants``."""
-    status = iwf.groupBy(*keys, "variant", "perm", "model").agg(F.max("error").alias("error"), F.max("iterations").alias("iterations"), F.max("converged").alias("converged"))
-    clean = iwf.where("variant = 'clean'").select(*keys, "email", "model", F.col("iwf").alias("clean"))
-    far = iwf.where("variant <> 'clean'").join(clean, [*keys, "email", "model"]).groupBy(*keys, "variant", "perm", "model").agg(F.avg(F.abs(F.col("iwf") - F.col("clean"))).alias("delta"))
-    return status.where("variant <> 'clean'").join(far, [*keys, "variant", "perm", "model"], "left")
+    with both; ``iwf`` is the score of ``variants``. Variants whose members aren't those of the clean ratings are an error."""
+    run = [*keys, "variant", "perm", "model"]
+    status = iwf.groupBy(*run).agg(F.max("error").alias("error"), F.max("iterations").alias("iterations"), F.max("converged").alias("converged"), F.count("email").alias("_n"))
+    clean = iwf.where("variant = 'clean'").select(*keys, "email", "model", F.col("iwf").alias("clean"), F.count("email").over(Window.partitionBy(*keys, "model")).alias("_clean"))
+    far = iwf.where("variant <> 'clean'").join(clean, [*keys, "email", "model"]).groupBy(*run).agg(F.avg(F.abs(F.col("iwf") - F.col("clean"))).alias("delta"), F.count("*").alias("_both"), F.max("_clean").alias("_clean"))
+    out = status.where("variant <> 'clean'").join(far, run, "left")
+    # where nothing failed, all members of both meet
+    differ = F.col("error").isNull() & ((F.coalesce("_both", F.lit(0)) != F.col("_n")) | (F.coalesce("_clean", F.lit(0)) != F.col("_n")))
+    return out.withColumns({"error": F.when(differ, "members differ").otherwise(F.col("error")), "delta": F.when(~differ, F.col("delta"))}).drop("_n", "_both", "_clean")
 
 
 def permutation_robustness(deltas_: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ratingscope.operators import archetypes, atypical, compare, fingerprint, members, models, perturb, report
 from ratingscope.plans import sql
 from ratingscope.schema import KEYS
+from ratingscope.shared import written
 from ratingscope.sources import sessions
 from ratingscope.sources.ratings_view import ratings
 
@@ -192,27 +193,43 @@ _transform("strategic_silence", perturb.strategic_silence)
 _transform("sabotage_of_the_best", perturb.sabotage_of_the_best)
 
 
+def _attacked(r: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NAMES) -> DataFrame:
+    """Deltas of all perturbations. The ratings are written once for all variants, and the scores for their three uses."""
+    slim = written(r.select(*KEYS, "giver", "recipient", "score"), "ratings")
+    scores = models.score(perturb.variants(slim, n_perms=n_perms), names, [*KEYS, "variant", "perm"])
+    return perturb.deltas(written(scores, "scores"))
+
+
 @_query
 def attack_delta(r: DataFrame) -> DataFrame:
     """Every perturbation under baseline and WebPA, by team."""
-    keys = [*KEYS, "variant", "perm"]
-    d = perturb.deltas(models.score(perturb.variants(r), ("baseline", "webpa"), keys))
+    d = _attacked(r, names=("baseline", "webpa"))
     return _rounded(d.where("error is null").select(*KEYS, "variant", "model", "delta"), "delta")
 
 
+@_query
+def attack_runs(r: DataFrame) -> DataFrame:
+    """Every perturbation under all six models, by team; a run that fails is a row with its error."""
+    slim = written(r.select(*KEYS, "giver", "recipient", "score"), "ratings")
+    d = _attacked(slim).select(*KEYS, "variant", "model", "delta", "error")
+    return _rounded(d.unionByName(perturb.failures(slim), allowMissingColumns=True), "delta")
+
+
+@_query
+def attack_failures(r: DataFrame) -> DataFrame:
+    """Teams that a perturbation can't be applied to, and why."""
+    return perturb.failures(r)
+
+
 @_query
 def permutation_robustness(r: DataFrame) -> DataFrame:
-    """Ten permutations of one rater under baseline and PeerRank."""
-    keys = [*KEYS, "variant", "perm"]
-    d = perturb.deltas(models.score(perturb.variants(r, n_perms=10), ("baseline", "peerrank-impute"), keys))
-    return _rounded(perturb.permutation_robustness(d), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
+    """A hundred permutations of one rater under baseline and PeerRank."""
+    return _rounded(perturb.permutation_robustness(_attacked(r, 100, ("baseline", "peerrank-impute"))), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
 
 
 @_query
 def robustness_matrix(r: DataFrame) -> DataFrame:
-    keys = [*KEYS, "variant", "perm"]
-    d = perturb.deltas(models.score(perturb.variants(r, n_perms=100), keys=keys))
-    wide = perturb.robustness_matrix(perturb.attack_summary(d))
+    wide = perturb.robustness_matrix(perturb.attack_summary(_attacked(r, 100)))
     names = [n.replace("-", "_") for n in models.NAMES]
     return _rounded(wide.toDF("variant", *names), *names)
 
@@ -249,7 +266,8 @@ def metric_profile(r: DataFrame) -> DataFrame:
 
 
 def _scaled(r: DataFrame) -> tuple[DataFrame, DataFrame, atypical.Scale]:
-    f = atypical.degenerate(atypical.imputed(fingerprint.features(r))).persist()
+    # written before the means are taken, or the whole fingerprint would be computed for each statistic
+    f = atypical.degenerate(atypical.imputed(written(fingerprint.features(r), "features")))
     scale = atypical.fit_scale(f)
     return f, atypical.standardised(f, scale), scale
 

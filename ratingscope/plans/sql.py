@@ -191,6 +191,8 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "targeted_downvote": _with(ACTIVE, downvote(FIRST_RATER)) + f"SELECT {CELL}, {_r('score')} FROM h",
     "sabotage_of_the_best": _with(ACTIVE, BASELINE, downvote(BEST)) + f"SELECT {CELL}, {_r('score')} FROM h",
     "single_outlier": _with(ACTIVE, OUTLIER) + f"SELECT {CELL}, {_r('score')} FROM o",
+    "attack_failures": _with(ACTIVE) + f"""SELECT {K}, variant, error FROM (SELECT {K}, count(DISTINCT giver) FILTER (WHERE active) AS raters FROM g0 GROUP BY ALL)
+JOIN (VALUES ('zero_self_full', 2, 'fewer than two active raters'), ('zero_self_partial', 2, 'fewer than two active raters'), ('targeted_downvote', 1, 'no active rater'), ('single_outlier', 1, 'no active rater')) n(variant, least, error) ON raters < least""",
     "strategic_silence": _with(ACTIVE) + f"SELECT {CELL}, round(CASE WHEN rank = 1 THEN NULL ELSE score END, 6) + 0.0 AS score FROM g",
     "attack_delta": _with(ACTIVE, downvote(FIRST_RATER), MOVES) + f"SELECT a.csv_path, a.team, a.question, a.variant, a.model, round(avg(abs(a.iwf - c.iwf)), 6) + 0.0 AS delta FROM mm a LEFT JOIN mm c ON (a.csv_path, a.team, a.question, a.email, a.model) = (c.csv_path, c.team, c.question, c.email, c.model) AND c.variant = 'clean' WHERE a.variant <> 'clean' GROUP BY ALL",
     "reciprocity": _with(EDGES, PAIR_FEATURES) + f"SELECT {K}, {_r('reciprocity')} FROM pf",

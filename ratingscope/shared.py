@@ -1,17 +1,30 @@
-"""The folder for checkpoints, which a cluster names in spark.checkpoint.dir."""
+"""Tables in the folder that the driver and all executors share, which the session names in spark.checkpoint.dir."""
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Without it there is none: a folder of one machine would lose data silently on a cluster."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return folder.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a table by a reliable checkpoint in the shared folder, or in a local one where the session names
-    none (tests)."""
-    spark: SparkSession = df.sparkSession
-    context = spark.sparkContext
+    """Cut the lineage of a table by a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that is used more than once in the shared folder and read it back, columns and statistics and all."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -34,7 +34,7 @@ def test_averages(spark):
     assert iwf(s, "baseline", "t1") == [10, 10, 10, 6] and iwf(s, "webpa", "t1") == pytest.approx([300 / 27] * 3 + [180 / 27])
     assert iwf(s, "baseline", "t2") == [7, 10, 6.5]
     assert iwf(s, "webpa", "t3")[0] == pytest.approx(34 / 28 * 10)
-    assert iwf(s, "baseline", "t4") == [6, 9, 6, 9, 36][:0] or iwf(s, "baseline", "t4") == pytest.approx([6, 9, 6, 9, 36])
+    assert iwf(s, "baseline", "t4") == pytest.approx([6, 9, 6, 9, 36])
     failed = {(x.team, x.model) for x in models.run_status(s).where("error is not null").collect()}
     assert failed == {("t5", "webpa")}
 
@@ -109,7 +109,7 @@ def test_members_and_checks(spark):
     assert {x.team for x in members.kept(r).select("team").distinct().collect()} == {"t0", "t1"}
     assert members.shape_errors(r).count() == 0
     off = {x.student_email for x in members.point_total_mismatch(members.kept(r)).where("team = 't0'").collect()}
-    assert off == {"s2", "s0"} or off == {"s2"} or off == {"s0", "s1", "s2"} or off
+    assert off == {"s2"}  # they gave 13, 12 and 7 points, the median is 12
     events = {x.event: x.n for x in report.event_counts(members.diagnostics(r)).collect()}
     assert events["team_excluded"] == 1 and events["rater_missing"] == 2
 

@@ -199,9 +199,46 @@ def test_queries_take_the_whole_job(monkeypatch):
     scale = type("S", (), {"names": []})
     monkeypatch.setattr(registry.perturb, "variants", stop)
     monkeypatch.setattr(registry.archetypes, "fit_best", stop)
+    monkeypatch.setattr(registry, "written", lambda df, name: df)
     monkeypatch.setattr(registry, "_scaled", lambda r: (None, type("Z", (), {"select": lambda self, *c: None})(), scale))
     for query in (registry.robustness_matrix, registry.archetype_weights):
         with pytest.raises(StopIteration):
-            query(None)
+            query(type("R", (), {"select": lambda self, *c: self})())
     assert seen["n_perms"] == 100 and seen["max_iter"] == 400 and seen["restarts"] == 5
     assert "archetype_sweep" in registry.QUERIES
+
+
+def test_failing_teams_and_differing_members(spark):
+    few = [[5, X, X], [6, X, X], [4, X, X]]  # one active rater
+    none = [[X, X], [X, X]]
+    r = table(spark, F14, few, none)
+    got = {(x.team, x.variant): x.error for x in perturb.failures(r).collect()}
+    one, two = "no active rater", "fewer than two active raters"
+    assert got == {("t1", "zero_self_full"): two, ("t1", "zero_self_partial"): two, ("t2", "zero_self_full"): two, ("t2", "zero_self_partial"): two, ("t2", "targeted_downvote"): one, ("t2", "single_outlier"): one}
+    variants = perturb.variants(r.where("team = 't0'"))
+    fewer = variants.where("not (variant = 'uniform_inflation' and (giver = 's5' or recipient = 's5'))")
+    d = {x.variant: x for x in perturb.deltas(models.score(fewer, ("baseline",), [*KEYS, "variant", "perm"])).collect()}
+    assert d["uniform_inflation"].error == "members differ" and d["uniform_inflation"].delta is None
+    assert d["zero_self_full"].error is None and d["zero_self_full"].delta > 0
+
+
+def test_large_teams_have_triads(spark):
+    """A ring of 120: every member rates the next one above the mean and another at random below it."""
+    n = 120
+    rows = [("t0", f"m{g:03}", f"m{(g + d) % n:03}", s) for g in range(n) for d, s in ((0, None), (1, 20.0), (2, 1.0))]
+    some = spark.createDataFrame(rows, "team string, giver string, recipient string, score double").selectExpr("'f' csv_path", "team", "'q' question", "giver", "recipient", "score")
+    x = fingerprint.features(some).first()
+    total = n * (n - 1) * (n - 2) / 6
+    # arcs g -> g + 1 only: n paths of two arcs, n (n - 4) single arcs with a third apart
+    assert x.triad_021C == pytest.approx(n / total) and x.triad_012 == pytest.approx(n * (n - 4) / total)
+    assert x.triad_003 == pytest.approx(1 - (n + n * (n - 4)) / total) and x.clustering > 0
+
+
+def test_no_shared_folder_is_an_error(monkeypatch):
+    from ratingscope import shared
+
+    class Session:
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session)
