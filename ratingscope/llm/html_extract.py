@@ -5,16 +5,19 @@ in their roots' labels and in the best ordered matching of their children. Runs
 items) are matched as one, member by member, so a page costs what its markup costs, not its square.
 
 The pages of a host that have the same frame of containers are a layout, and each layout has a reference of its own. Spark
-counts, for each text node of a reference, in how many pages of the layout it stands with the same text; pages
-with one main text count once. Nodes that stay constant over the layout are template and leave its pages; varying slots are content, unless they
-lie in a part that isn't the article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+counts, for each text node of a reference, in how many pages of the layout it stands with the same text, and how much text stands there;
+pages with one main text count once. Nodes that stay constant over the layout are template and leave its pages. The container that
+holds most of the text that varies from page to page and is no link is the layout's content, whatever it is called; what lies
+outside of it is template too, menus and adverts that change with every page as well. Names of elements and classes only choose inside of it:
+an article in it, and menus, forms, adverts and reader comments that are left out of it. Pages without a layout of their own go by names alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from functools import lru_cache
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,12 +35,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements, roles and words of class names or ids of what isn't the article.
 APART = frozenset("nav header footer aside form menu dialog button head title search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
-WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription share sharing social sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus reply replies related recommended recommendations widget login signin signup register pagination pager skip".split())
+WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus reply replies widget login signin signup pagination pager".split())
+#: Words that name such parts, but articles' sections as well; they count where a part is mostly links or has little text.
+VAGUE = frozenset("notice notification alert share sharing social related recommended recommendations register skip".split())
+#: Elements that are text by themselves; only a class that is one of WORDS as a whole tells them from the article.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th li dd dt figcaption span a b i em strong".split())
 #: A start tag that ends open elements: <p> and other blocks end a paragraph, items end the item before.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl article section div main body html td th".split())
-#: Elements that are nested deeper are kept flat.
+#: Elements that are nested deeper aren't aligned.
 DEPTH = 200
+#: A part with a vague name is left out if its text that is no link has fewer characters or is a smaller share.
+VAGUE_CHARS, VAGUE_SHARE = 80, 0.8
+#: The content of a layout is the smallest container with so large a share of the varying text.
+CONTENT_SHARE = 0.7
 #: A text node of the reference is constant if so large a share of the layout's pages has it with the same text; a layout has so
 #: many pages with different main texts at least.
 LEAST_PAGES, SAME_SHARE = 5, 0.95
@@ -54,25 +65,30 @@ _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An element, or a text (tag ``#text``). ``apart``: why it is no part of the article, from its own tag and attributes."""
+    """An element, or a text (tag ``#text``). ``apart``: it is no part of the article by its own tag and attributes;
+    ``vague``: it may be none."""
 
-    __slots__ = ("tag", "label", "apart", "children", "text", "index")
+    __slots__ = ("tag", "label", "apart", "vague", "children", "text", "index")
 
-    def __init__(self, tag: str, label: str, apart: bool = False, text: str = ""):
-        self.tag, self.label, self.apart, self.children, self.text, self.index = tag, label, apart, [], text, -1
+    def __init__(self, tag: str, label: str, apart: bool = False, text: str = "", vague: bool = False):
+        self.tag, self.label, self.apart, self.vague, self.children, self.text, self.index = tag, label, apart, vague, [], text, -1
 
 
 def _element(tag: str, attributes: str) -> Node:
     found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
     names = {w.lower() for w in _PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
+    if tag in PROSE:
+        names, vague = {w.lower() for w in f"{found.get('class', '')} {found.get('id', '')}".split()}, False
+    else:
+        vague = bool(names & VAGUE)
     apart = tag in APART or found.get("role", "").lower() in ROLES or bool(names & WORDS) or "hidden" in found or found.get("aria-hidden") == "true"
-    return Node(tag, f"{tag}.{found.get('class', '')}", apart)
+    return Node(tag, f"{tag}.{found.get('class', '')}", apart, vague=vague and not apart)
 
 
 def parse(page: str) -> Node:
     """A tree of a page. Never fails: what is open at the end is closed there, stray end tags are ignored."""
     root = Node("#root", "#root")
-    stack, at, end = [root], 0, len(page)
+    stack, at, end, opened = [root], 0, len(page), Counter()
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -83,7 +99,7 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            _close(stack, tag)
+            _close(stack, tag, opened)
             continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at) if not m[3].endswith("/") else None
@@ -93,11 +109,12 @@ def parse(page: str) -> Node:
             stop = re.compile(r"</title\b[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        _imply(stack, tag)
+        _imply(stack, tag, opened)
         node = _element(tag, m[3])
         stack[-1].children.append(node)
-        if tag not in VOID and not m[3].endswith("/") and len(stack) < DEPTH:
+        if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
@@ -108,21 +125,26 @@ def _add_text(parent: Node, text: str) -> None:
         parent.children.append(Node("#text", "#text", text=text))
 
 
-def _close(stack: list[Node], tag: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
+def _cut(stack: list[Node], k: int, opened: Counter) -> None:
+    for node in stack[k:]:
+        opened[node.tag] -= 1
+    del stack[k:]
+
+
+def _close(stack: list[Node], tag: str, opened: Counter) -> None:
+    for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
         if stack[k].tag == tag:
-            del stack[k:]
-            return
+            return _cut(stack, k, opened)
         if tag in INLINE and stack[k].tag in BLOCKS:
             return  # an inline end tag doesn't end a block
 
 
-def _imply(stack: list[Node], tag: str) -> None:
+def _imply(stack: list[Node], tag: str, opened: Counter) -> None:
     ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-    for k in range(len(stack) - 1, 0, -1):
+    for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
         if stack[k].tag in ends:
-            del stack[k:]
-            return _imply(stack, tag) if tag in CLOSES else None
+            _cut(stack, k, opened)
+            return _imply(stack, tag, opened) if tag in CLOSES else None
         if stack[k].tag in SCOPES:
             return
 
@@ -168,10 +190,12 @@ def _runs(node: Node) -> list[list[Node]]:
     return out
 
 
-def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size of the best ordered matching of two trees, and the text nodes that it pairs."""
+def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size of the best ordered matching of two trees, and the text nodes and containers that it pairs."""
     if a.label != b.label:
         return 0, []
+    if depth > DEPTH:
+        return 1, []
     if a.tag == "#text":
         return 1, [(a, b)]
     left, right = _runs(a), _runs(b)
@@ -184,7 +208,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             if x[0].label == y[0].label:
                 total, pairs = 0, []
                 for p, q in zip(x, y):
-                    n, more = match(p, q)
+                    n, more = match(p, q, depth + 1)
                     total += n
                     pairs += more
                 found[i, j] = total, pairs
@@ -199,7 +223,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[-1][-1], pairs
+    return 1 + best[-1][-1], [(a, b)] * (a.tag in FRAME) + pairs
 
 
 def plain(text: str) -> str:
@@ -213,19 +237,66 @@ def all_text(page: str | None) -> str:
     return "\n".join(x for x in (plain("".join(b)) for b in blocks) if x)
 
 
-def main_text(page: str | None, reference: str | None = None, constant: list[int] | None = None) -> str:
-    """The text of a page's article, blocks joined by line breaks. Text nodes that match a constant node of the reference
-    and have its text are template."""
+@lru_cache(maxsize=32)
+def _wrapper(reference: str, constant: tuple[int, ...], weights: tuple[float, ...]) -> tuple[Node, set[int], Node | None]:
+    """The tree of a reference, its template nodes and its content. ``weights``: mean length of each text node that isn't constant."""
+    root = parse(reference)
+    nodes = texts(root)
+    links, stack = set(), [(root, False)]
+    mass: dict[int, float] = {}
+    order = []
+    while stack:
+        node, link = stack.pop()
+        order.append(node)
+        if node.tag == "#text" and link:
+            links.add(node.index)
+        stack.extend((c, link or node.tag == "a") for c in node.children)
+    for node in reversed(order):  # children before their parents
+        own = weights[node.index] if 0 <= node.index < len(weights) and node.index not in links else 0.0
+        mass[id(node)] = own + sum(mass[id(c)] for c in node.children)
+    content, total = root, mass[id(root)]
+    while total > 0 and content.tag not in ("article", "main"):
+        inner = [c for c in content.children if c.tag in FRAME and mass[id(c)] >= CONTENT_SHARE * total]
+        if not inner or _headed([c for c in content.children if c is not inner[0]], mass):
+            break
+        content = inner[0]
+    fixed = set(constant)
+    return root, fixed - _copied(root, fixed), content if total > 0 and content.tag in FRAME and content.tag not in ("html", "body") and nodes else None
+
+
+def _headed(nodes: list[Node], mass: dict[int, float]) -> bool:
+    """Whether there is a heading of the first or second level that varies in these parts."""
+    stack = [n for n in nodes if not n.apart]
+    while stack:
+        node = stack.pop()
+        if node.tag in ("h1", "h2") and mass[id(node)] > 0:
+            return True
+        stack.extend(c for c in node.children if mass[id(c)] > 0 and not c.apart)
+    return False
+
+
+def main_text(page: str | None, reference: str | None = None, constant: list[int] | None = None, weights: list[float] | None = None) -> str:
+    """The text of a page's article, blocks joined by line breaks. With a wrapper, only what is aligned with the content of the
+    reference, or lies in it, is the article, and text nodes that match a constant node and have its text are template."""
     if not page:
         return ""
     root = parse(page)
-    template = set()
-    if constant and reference:
-        other, fixed = parse(reference), set(constant)
-        texts(root), texts(other)
-        fixed -= _copied(other, fixed)
-        template = {p.index for r, p in match(other, root)[1] if r.index in fixed and plain(r.text) == plain(p.text)}
-    tops = _articles(root) or [root]
+    template, content = set(), None
+    if reference:
+        other, fixed, inside = _wrapper(reference, tuple(constant or ()), tuple(weights or ()))
+        texts(root)
+        pairs = match(other, root)[1]
+        template = {p.index for r, p in pairs if r.index in fixed and plain(r.text) == plain(p.text)}
+        content = next((p for r, p in pairs if r is inside), None)
+    tops = _articles(root)
+    if content is not None:
+        held, stack = set(), [content]
+        while stack:
+            node = stack.pop()
+            held.add(id(node))
+            stack.extend(node.children)
+        tops = [t for t in tops if id(t) in held] or [content]
+    tops = tops or [root]
     blocks: list[list[str]] = [[]]
     for top in tops:
         blocks.append([])
@@ -281,7 +352,23 @@ def _leaves(node: Node) -> bool:
     """Whether an element is left out. A header with a heading of the first or second level is the article's own."""
     if node.tag == "header" and any(c.tag in ("h1", "h2", "hgroup") for c in node.children):
         return False
-    return node.apart and node.tag not in ("html", "body")
+    if node.tag in ("html", "body"):
+        return False
+    return node.apart or node.vague and not _says_much(node)
+
+
+def _says_much(top: Node) -> bool:
+    """Whether a part has text of its own, and not mostly links."""
+    own = links = 0
+    stack = [(top, False)]
+    while stack:
+        node, link = stack.pop()
+        if node.tag == "#text":
+            n = len(plain(node.text))
+            own, links = own + n * (not link), links + n * link
+        elif not node.apart:
+            stack.extend((c, link or node.tag == "a") for c in node.children)
+    return own >= VAGUE_CHARS and own >= VAGUE_SHARE * (own + links)
 
 
 # ---------------------------------------------------------------- Spark
@@ -340,8 +427,8 @@ def layouts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
 
 def wrappers(pages: DataFrame, placed: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_host, _layout, reference string, constant array<int>): the wrapper of each layout (of ``layouts``) that has constant
-    text nodes. The reference is the page with the least hash."""
+    """(_host, _layout, reference string, constant array<int>, weights array<double>): the wrapper of each layout (of ``layouts``):
+    its constant text nodes, and the mean length of the text at each other one. The reference is the page with the least hash."""
     own = _page(with_host(pages, url_col).where(F.length(html_col) > 0), html_col).select("_host", "_page", F.col(html_col).alias("html"))
     own = own.join(placed.where("counts").drop("counts"), "_page").groupBy("_host", "_layout", "_page").agg(F.first("html").alias("html"))
     reference = written(own.groupBy("_host", "_layout").agg(F.min_by("html", "_page").alias("reference"), F.count("*").alias("total")).where(F.col("total") >= LEAST_PAGES), "references")
@@ -349,23 +436,29 @@ def wrappers(pages: DataFrame, placed: DataFrame, url_col: str = "url", html_col
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], Node] = {}
         for batch in batches:
-            counts = defaultdict(int)
+            counts = defaultdict(lambda: [0, 0])
             for at in range(0, batch.num_rows, 64):
                 for host, kind, page, ref in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     if (host, kind) not in seen:
                         seen = {(host, kind): parse(ref)}  # the rows of a layout follow each other
                         texts(seen[host, kind])
                     for r, p in match(seen[host, kind], parse(page))[1]:
-                        if r.index >= 0 and (r.text == p.text or plain(r.text) == plain(p.text)):
-                            counts[host, kind, r.index] += 1
+                        if r.index >= 0:
+                            found = counts[host, kind, r.index]
+                            found[0] += r.text == p.text or plain(r.text) == plain(p.text)
+                            found[1] += len(p.text)
             hosts, kinds, nodes = zip(*counts) if counts else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int64()), pa.array(nodes, pa.int32()), pa.array(counts.values(), pa.int64())], names=["_host", "_layout", "node", "same"])
+            same, chars = zip(*counts.values()) if counts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(kinds, pa.int64()), pa.array(nodes, pa.int32()), pa.array(same, pa.int64()), pa.array(chars, pa.int64())], names=["_host", "_layout", "node", "same", "chars"])
 
     by = ["_host", "_layout"]
-    counted = own.join(reference, by).select(*by, "html", "reference").mapInArrow(align, "_host string, _layout long, node int, same long")
-    nodes = counted.groupBy(*by, "node").agg(F.sum("same").alias("same")).join(reference.select(*by, "total"), by)
-    constant = nodes.where(F.col("same") >= SAME_SHARE * F.col("total")).groupBy(*by).agg(F.sort_array(F.collect_list("node")).alias("constant"))
-    return written(reference.drop("total").join(constant, by), "wrappers")
+    counted = own.join(reference, by).select(*by, "html", "reference").mapInArrow(align, "_host string, _layout long, node int, same long, chars long")
+    nodes = counted.groupBy(*by, "node").agg(F.sum("same").alias("same"), F.sum("chars").alias("chars")).join(reference.select(*by, "total"), by)
+    nodes = nodes.withColumn("fixed", F.col("same") >= SAME_SHARE * F.col("total"))
+    slots = F.map_from_entries(F.collect_list(F.struct("node", F.when(F.col("fixed"), 0.0).otherwise(F.col("chars") / F.col("total")).alias("w"))))
+    found = nodes.groupBy(*by).agg(F.sort_array(F.collect_list(F.when(F.col("fixed"), F.col("node")))).alias("constant"), slots.alias("slots"), F.max("node").alias("last"))
+    weights = F.transform(F.sequence(F.lit(0), "last"), lambda k: F.coalesce(F.col("slots")[k], F.lit(0.0)))
+    return written(reference.drop("total").join(found.select(*by, "constant", weights.alias("weights")), by), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -380,7 +473,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     joined = joined.join(wrappers(pages, placed, url_col, html_col), ["_host", "_layout"], "left")
 
     def run(cols: list[list]) -> list[list]:
-        out = [main_text(h, r, c) for h, r, c in zip(*cols[2:])]
+        out = [main_text(*page) for page in zip(*cols[2:])]
         return [cols[0], cols[1], out, list(map(len, out))]
 
-    return map_slices(joined.select(id_col, url_col, html_col, "reference", "constant"), run, f"{kinds}, text string, n_chars long", rows=64)
+    return map_slices(joined.select(id_col, url_col, html_col, "reference", "constant", "weights"), run, f"{kinds}, text string, n_chars long", rows=64)

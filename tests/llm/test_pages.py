@@ -139,3 +139,39 @@ def test_copies_of_an_article_are_no_template(spark):
     assert all(got[50 + k].startswith("\n".join(["Long", *long])) for k in range(9))
     assert all(got[70 + k].startswith("\n".join(["Long", *long, f"unnamed slot {k}"])) for k in range(9))
     assert all(got[90 + k] == f"other {k}" for k in range(8))
+
+
+def test_alignment_decides_what_names_do_not(spark):
+    """No element or class says which part is the article: menus and adverts change with every page, and only the layout's
+    alignment tells that the long varying part is the content. Without the wrapper the rest comes too."""
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(["lorem", "ipsum", "dolor", "amet", "sed"]) + str(r.randrange(999)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(12):
+        title, body, links = say(4), [say(r.randint(15, 60)) for _ in range(r.randint(2, 6))], [say(1) for _ in range(r.randint(3, 6))]
+        top = "".join(f"<div class='e'><a href='/{x}'>{x}</a></div>" for x in links)
+        rows.append((k, "http://plain.example/", f"<body><div class='q'>{top}</div><div class='r'>{say(5)}</div><div class='z'><h1>{title}</h1>{''.join(f'<p>{p}</p>' for p in body)}</div><div class='y'><p>{say(6)}</p></div></body>"))
+        want[k] = "\n".join([title, *body])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in hx.extract(df).collect()}
+    assert got == want
+    assert all(hx.main_text(h) != want[k] and want[k] in hx.main_text(h) for k, _, h in rows)
+
+
+def test_article_text_does_not_go_by_its_names():
+    page = (
+        "<article><p>Body</p><p class='share-price'>Shares rose</p><p class='comment-on-law'>A comment on the law</p>"
+        "<section id='related-work'><h2>Related</h2><p>" + "Others have written about this before, at length. " * 3 + "</p></section>"
+        "<div class='share'><a>Tweet</a> <a>Mail</a></div><div class='comments'><p>" + "I have read this and I do not agree at all. " * 4 + "</p></div><p class='ad'>Buy</p></article>"
+    )
+    assert hx.main_text(page).split("\n") == ["Body", "Shares rose", "A comment on the law", "Related", ("Others have written about this before, at length. " * 3).strip()]
+
+
+def test_deep_nesting_keeps_its_structure(spark):
+    for deep in (250, 20_000):
+        page = "<div>" * deep + "<nav>menu</nav><p>text</p><p>more" + "</div>" * deep + "<p>end</p>"
+        assert hx.main_text(page) == "text\nmore\nend"
+    rows = [(k, "http://deep.example/", "<div>" * 3000 + f"<nav>m</nav><p>text {k}</p>" + "</i></q>" * 3000) for k in range(6)]
+    rows.append((None, None, "<article>" + "<p>" + "word " * 200_000 + "</article>"))
+    got = {x.page_id: x.text for x in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"text {k}" for k in range(6)) and len(got[None]) == 999_999
