@@ -203,7 +203,8 @@ def score(df: DataFrame, trusted: DataFrame, quantile: float = 0.01, fence: floa
     ``quantile`` of the mean log-likelihood of those that it was trained on, and 1 - ``quantile`` of those held out (one in
     ``HELD_OUT``, by a hash of the id), per language and power of two of the length, moved outwards by ``fence`` times their
     distance. A band with fewer than ``least`` held-out or trained texts takes the thresholds of the whole language, a language with fewer
-    those of all languages together; a language without any, or if these are fewer too, keeps all. Null and empty texts have no perplexity and are rejected. A null
+    those of all languages together (for which a ``HELD_OUT``th of ``least`` held-out texts will do); a language without any, or if these are
+    fewer too, keeps all. Null and empty texts have no perplexity and are rejected. A null
     language is a language; a null id is trusted by nobody. Repeated rows are scored alike, and count as often as they occur. Only the named
     columns are read."""
     ids = trusted.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_held", F.pmod(F.xxhash64("_id"), F.lit(HELD_OUT)) == 0)
@@ -214,18 +215,18 @@ def score(df: DataFrame, trusted: DataFrame, quantile: float = 0.01, fence: floa
     scored = scored.withColumns({"mean": F.try_divide("nll", "bytes"), "band": F.floor(F.log2(F.col("bytes") + 1)).cast("int")})
     sample = scored.where("bytes > 0").join(ids, F.col("id") == F.col("_id"))
 
-    def ends(*by: str, name: str) -> DataFrame:
+    def ends(*by: str, name: str, held: int = least) -> DataFrame:
         """(by, name): the ends of groups with enough texts of both kinds."""
         low = F.percentile_approx(F.when(~F.col("_held"), F.col("mean")), quantile, 10_000)
         high = F.percentile_approx(F.when(F.col("_held"), F.col("mean")), 1 - quantile, 10_000)
-        enough = F.least(F.count_if("_held"), F.count_if(~F.col("_held"))) >= least
+        enough = (F.count_if("_held") >= held) & (F.count_if(~F.col("_held")) >= least)
         found = sample.groupBy(*by).agg(F.struct(low.alias("low"), high.alias("high")).alias(name), enough.alias("_enough"))
         return found.where("_enough").select(*(F.col(c).alias(f"_{c}") for c in by), name)
 
     same = F.col("lang").eqNullSafe(F.col("_lang"))
     out = scored.join(F.broadcast(ends("lang", "band", name="q1")), same & (F.col("band") == F.col("_band")), "left").drop("_lang", "_band")
     out = out.join(F.broadcast(ends("lang", name="q2")), same, "left").drop("_lang")
-    rare = sample.select(F.col("lang").alias("_lang")).distinct().join(F.broadcast(ends(name="q3")), F.lit(True))  # a row a language
+    rare = sample.select(F.col("lang").alias("_lang")).distinct().join(F.broadcast(ends(name="q3", held=max(1, least // HELD_OUT))), F.lit(True))  # a row a language
     out = out.join(F.broadcast(rare), same, "left").drop("_lang")
     q = F.coalesce("q1", "q2", "q3")
     room = fence * F.greatest(q["high"] - q["low"], F.lit(0.0))
