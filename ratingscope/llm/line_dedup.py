@@ -26,8 +26,9 @@ from ratingscope.llm.common import if_small, map_slices, written
 _PART = re.compile(r"\s*\S+\s*")
 #: Ends of the lines that are counted: a line break, or white space after a clause.
 _END = re.compile(r"[.!?;:,…]\s+\Z|\n")
-#: A source text with more meetings than this is met in several tasks, so many meetings in each.
-HOT = 1000
+#: A source text with more meetings than this is met in several tasks, so many meetings in each: what a task compares in a few
+#: seconds, since to split a source means to read the meetings and the words once more.
+HOT = 10_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -168,7 +169,7 @@ def _with_sources(meets: DataFrame, each: DataFrame) -> DataFrame:
     cold = meets.join(theirs, F.col("source") == F.col("theirs._key"))
     if hot.isEmpty():
         return cold.select(cols)
-    hot = F.broadcast(hot)  # a row stands for a thousand meetings
+    hot = F.broadcast(hot)  # a row stands for ten thousand meetings
     cold = meets.join(hot, F.col("source") == F.col("hot"), "left_anti").join(theirs, F.col("source") == F.col("theirs._key")).select(cols)
     copies = each.join(hot, F.col("_key") == F.col("hot")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("hot", "part", "words").alias("theirs")
     many = meets.join(hot, F.col("source") == F.col("hot")).withColumn("part", F.pmod(F.xxhash64("later"), "parts")).drop("hot", "parts").alias("m")
