@@ -14,33 +14,103 @@ go too. Thus no run of ``sure_words`` words stays whole in two places.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratingscope.llm.common import if_small, map_slices, written
+from ratingscope.llm.common import if_small, map_slices, slices, written
 
-_PART = re.compile(r"\s*\S+\s*")
-#: Ends of the lines that are counted: a line break, or white space after a clause.
-_END = re.compile(r"[.!?;:,…]\s+\Z|\n")
+#: Which code points are white space, and which are marks at which a clause ends; those from 0x3001 on are neither. A line that
+#: is counted ends at a line break, or in white space after such a mark.
+_SPACE = np.array([chr(k).isspace() for k in range(0x3002)])
+_CLAUSE = np.array([chr(k) in ".!?;:,…" for k in range(0x3002)])
+#: The primes of XXH64.
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: A source text with more meetings than this is met in several tasks, so many meetings in each: what a task compares in a few
 #: seconds, since to split a source means to read the meetings and the words once more.
 HOT = 10_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _points(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of a text, which of them are white space, and where it begins and ends."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    space = _SPACE[np.minimum(points, len(_SPACE) - 1)]
+    return points, space, np.flatnonzero(space[1:] != space[:-1]) + 1
+
+
+def _parts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of a text begin, words with the white space after them, and its length; whether a line ends in each."""
+    points, space, edges = _points(text)
+    starts = edges[~space[edges]]
+    # white space before the first word belongs to it
+    starts = np.concatenate([[0], starts[1:] if len(space) and space[0] else starts, [len(points)]])
+    after = edges[space[edges]]  # the white space after a word begins here
+    after = after[_CLAUSE[np.minimum(points[after - 1], len(_CLAUSE) - 1)]]
+    ends = np.zeros(len(starts) - 1, bool)
+    for found in (np.flatnonzero(points == 10), after):
+        ends[np.searchsorted(starts, found, "right") - 1] = True
+    return starts, ends
+
+
 def lines(text: str) -> list[str]:
     """The parts of a text, words with the white space after them; joined they are the text."""
-    return _PART.findall(text) or [text] * bool(text)
+    starts = _parts(text)[0].tolist()
+    return [text[a:b] for a, b in zip(starts, starts[1:]) if a < b]
+
+
+def hash_words(texts: list[str]) -> list[np.ndarray]:
+    """XXH64 of each word of each text; case doesn't count. All words of one length at once."""
+    texts = [t.lower() for t in texts]
+    points, space, _ = _points(" ".join(texts))
+    plain = points.copy()
+    plain[space] = 32
+    data = plain.tobytes().decode("utf-32-le").encode()
+    # places of words in code points tell the texts apart, those in bytes are hashed
+    borders = _borders(~space)[::2]
+    stops = np.searchsorted(borders, np.cumsum([len(t) + 1 for t in texts]))
+    words = _borders(np.frombuffer(data, np.uint8) != 32)
+    starts, lengths = words[::2], words[1::2] - words[::2]
+    order = np.argsort(np.minimum(lengths, 32).astype(np.uint8), kind="stable")
+    groups = np.searchsorted(lengths[order], np.arange(1, 33)).tolist()
+    hashes, lanes = np.empty(len(starts), np.uint64), np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+    for length in range(1, 32):
+        at = order[groups[length - 1] : groups[length]]
+        if len(at):
+            hashes[at] = _xxh64(lanes, starts[at], length)
+    for k in order[groups[31] :].tolist():
+        hashes[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + lengths[k]])
+    return np.split(hashes, stops[:-1])
+
+
+def _xxh64(lanes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """XXH64 of strings of ``length`` bytes, less than 32, that begin at ``starts``; ``lanes`` has the eight bytes from each place on."""
+
+    def turned(x: np.ndarray, bits: int) -> np.ndarray:
+        return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+    x = np.full(len(starts), _P5 + np.uint64(length))
+    for at in range(0, length - 7, 8):
+        x = turned(x ^ turned(lanes[starts + at] * _P2, 31) * _P1, 27) * _P1 + _P4
+    at = length - length % 8
+    if length % 8 >= 4:
+        x, at = turned(x ^ (lanes[starts + at] & np.uint64(0xFFFFFFFF)) * _P1, 23) * _P2 + _P3, at + 4
+    rest = lanes[starts + at] if at < length else None
+    for k in range(length - at):
+        x = turned(x ^ ((rest >> np.uint64(8 * k)) & np.uint64(255)) * _P5, 11) * _P1
+    x = (x ^ (x >> np.uint64(33))) * _P2
+    x = (x ^ (x >> np.uint64(29))) * _P3
+    return x ^ (x >> np.uint64(32))
 
 
 def hashed(text: str) -> np.ndarray:
-    """Hash of each word; case doesn't count."""
-    words = text.lower().split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    """Hash of each word of a text."""
+    return hash_words([text])[0]
 
 
 def _slide(values: np.ndarray, span: int, least) -> np.ndarray:
@@ -84,6 +154,31 @@ def fingerprints(grams: np.ndarray, run_words: int, sure_words: int) -> tuple[np
     return keep, grams[keep]
 
 
+def all_fingerprints(words: list[np.ndarray], run_words: int, sure_words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``fingerprints`` of each text, given the hashes of its words: of all texts in a row at once, leaving out windows across a
+    border; one by one for texts that are shorter than a window or repeat a fingerprint within one."""
+    every, span = grams(np.concatenate(words), run_words), sure_words - run_words + 1
+    lengths = np.array([len(w) for w in words])
+    begins, many = np.cumsum(lengths) - lengths, np.maximum(lengths - run_words + 1, 0)
+    alone, long = (many > 0) & (many < span), many >= span
+    keep = np.empty(0, np.int64)
+    if long.any():
+        border = np.zeros(len(every) - span + 2, np.int8)
+        border[begins[long]] = 1
+        border[begins[long] + many[long] - span + 1] = -1
+        lows = np.where(np.cumsum(border[:-1], dtype=np.int8) > 0, _slide(every, span, np.minimum), np.uint64(0))
+        none = np.zeros(span - 1, np.uint64)
+        best = _slide(np.concatenate([none, lows, none]), span, np.maximum)
+        keep = np.flatnonzero((best == every) & (best > 0))
+        again = np.flatnonzero((np.diff(keep) < span) & (every[keep[1:]] == every[keep[:-1]])) + 1
+        alone[np.searchsorted(begins, keep[again], "right") - 1] = True
+    found, borders = [], [*np.searchsorted(keep, begins).tolist(), len(keep)]
+    for k, (begin, n, one_by_one) in enumerate(zip(begins.tolist(), many.tolist(), alone.tolist())):
+        at = keep[borders[k] : borders[k + 1]]
+        found.append(fingerprints(every[begin : begin + n], run_words, sure_words) if one_by_one else (at - begin, every[at]))
+    return found
+
+
 def repeated_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_words: int, sure_words: int) -> tuple[list[int], list[int], list[int], list[int]]:
     """Begins and ends of the runs of a text that are equal to those of a source, word k of the text standing opposite word
     k - offset of the source for one of the offsets, and have ``run_words`` words or more. Then begins and hashes of the
@@ -122,11 +217,7 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     texts = _keyed(df, id_col, text_col).where(F.col(text_col).isNotNull()).select("_id", "_key", F.col(text_col).alias("text"))
 
     def cut(cols: list[list]) -> list[list]:
-        words = [hashed(t) for t in cols[2]]
-        every, found, stop = grams(np.concatenate(words), run_words), [], 0
-        for w in words:
-            stop += len(w)  # of the grams of all texts in a row, those that lie in this one
-            found.append(fingerprints(every[stop - len(w) : max(stop - len(w), stop - run_words + 1)], run_words, sure_words))
+        found = all_fingerprints(hash_words(cols[2]), run_words, sure_words)
         return [cols[0], cols[1], [at for at, _ in found], [m.view(np.int64) for _, m in found]]
 
     # repeated rows (same id and text) are one text
@@ -143,7 +234,7 @@ def find_repeats(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_co
     # only texts that meet are needed again, as the lower halves of their hashes: the fingerprints have agreed in full
     keys = if_small(meets.select(F.explode(F.array("later", "source")).alias("k")).distinct(), "keys")
     again = texts.join(keys, F.col("_key") == F.col("k"), "left_semi").select("_key", "text")
-    words = map_slices(again, lambda cols: [cols[0], [hashed(t).astype(np.uint32).tobytes() for t in cols[1]]], "_key long, words binary")
+    words = map_slices(again, lambda cols: [cols[0], [h.astype(np.uint32).tobytes() for h in hash_words(cols[1])]], "_key long, words binary")
     # rows with the same _key have the same text, so any of them will do; all joins read one shuffle of this
     each = words.groupBy("_key").agg(F.first("words").alias("words"))
     pairs = _with_sources(meets, each).join(each.alias("own"), F.col("later") == F.col("own._key")).select("_id", "later", "offsets", "their_words", "own.words")
@@ -193,30 +284,44 @@ def dedup_lines(df: DataFrame, run_words: int = 25, sure_words: int = 50, id_col
     joined = _keyed(df, id_col, text_col).join(runs.withColumnsRenamed({"_key": "_run_key", "runs": "_runs"}), F.col("_key") == F.col("_run_key"), "left")
     rows = joined.select(*names, F.transform("_runs", lambda r: r["starts"]).alias("_starts"), F.transform("_runs", lambda r: r["stops"]).alias("_stops"))
 
-    def clean(text: str | None, starts: list[int] | None, stops: list[int] | None):
-        if text is None:
-            return None, None
-        if not starts:
-            return text, (0, 0)
-        parts = lines(text)
-        gone = np.zeros(len(parts), bool)
-        for a, b in zip(starts, stops):
-            gone[a:b] = True
-        ends = np.fromiter((_END.search(p) is not None for p in parts), bool, len(parts))
-        begins = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
-        whole = np.logical_and.reduceat(gone, begins)
-        kept = "".join(p for p, g in zip(parts, gone) if not g)
-        return kept.strip() and kept.rstrip(), (int(whole.sum()), int(gone.sum()))
-
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     at = names.index(text_col)
 
-    def run(cols: list[list]) -> list[list]:
-        out = [clean(t, a, b) for t, a, b in zip(cols[at], cols[-2], cols[-1])]
-        stats = [s and {"n_removed": s[0], "words_removed": s[1]} for _, s in out]
-        return [*(c if k != at else [t for t, _ in out] for k, c in enumerate(cols[:-2])), stats]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return map_slices(rows, run, f"{schema}, line_stats struct<n_removed: int, words_removed: int>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield _cleaned(part, at)
+
+    return rows.mapInArrow(run, f"{schema}, line_stats struct<n_removed: int, words_removed: int>")
+
+
+def without_runs(text: str, starts: list[int], stops: list[int]) -> tuple[str, int, int]:
+    """A text less the words [start, stop) of each run; the lines that went whole, the words that went."""
+    borders, ends = _parts(text)
+    gone = np.zeros(len(ends), bool)
+    for a, b in zip(starts, stops):
+        gone[a:b] = True
+    begins = np.flatnonzero(np.concatenate([[True], ends[:-1]]))
+    whole = np.logical_and.reduceat(gone, begins)
+    rest = borders[_borders(~gone)].tolist()
+    kept = "".join(text[a:b] for a, b in zip(rest[::2], rest[1::2]))
+    return "" if kept.isspace() else kept.rstrip(), int(whole.sum()), int(gone.sum())
+
+
+def _cleaned(part: pa.RecordBatch, at: int) -> pa.RecordBatch:
+    """Rows whose last two columns are begins and ends of their runs: column ``at`` without them, and line_stats. Rows
+    without runs stay as they are."""
+    texts, starts, stops = part.column(at), part.column(part.num_columns - 2), part.column(part.num_columns - 1)
+    hit = np.flatnonzero(texts.is_valid().to_numpy(False) & starts.is_valid().to_numpy(False))
+    n_lines, n_words, columns = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.int32), part.columns[:-2]
+    if len(hit):
+        new = [without_runs(*row) for row in zip(*(c.take(pa.array(hit)).to_pylist() for c in (texts, starts, stops)))]
+        n_lines[hit], n_words[hit] = [n for _, n, _ in new], [n for _, _, n in new]
+        mask = np.zeros(len(texts), bool)
+        mask[hit] = True
+        columns[at] = pc.replace_with_mask(texts, pa.array(mask), pa.array([t for t, _, _ in new], texts.type))
+    stats = pa.StructArray.from_arrays([pa.array(n_lines), pa.array(n_words)], names=["n_removed", "words_removed"], mask=texts.is_null())
+    return pa.RecordBatch.from_arrays([*columns, stats], names=[*part.schema.names[:-2], "line_stats"])
 
 
 def drop_emptied(df: DataFrame, text_col: str = "text", **more) -> DataFrame:

@@ -155,6 +155,25 @@ def test_window_minima_against_a_loop():
             assert at.tolist() == sorted(want) and marks.tolist() == [grams[k] for k in sorted(want)]
 
 
+def test_many_texts_at_once_as_one_by_one():
+    r = random.Random(4)
+    for vocab in (2, 10, 10**6):
+        texts = ["", " ", "\u3000x\xa0y\n", "Ärger " * 40 + "w" * 40, *(" ".join("w" * r.randrange(3) + str(r.randrange(vocab)) for _ in range(r.choice([0, 3, 24, 25, 26, 49, 50, 51, 90, 300]))) for _ in range(120))]
+        words = ld.hash_words(texts)
+        assert [w.tolist() for w in words] == [[xxhash.xxh64_intdigest(w) for w in t.lower().split()] for t in texts]
+        for w, (at, marks) in zip(words, ld.all_fingerprints(words, 25, 50), strict=True):
+            want = ld.fingerprints(ld.grams(w, 25), 25, 50)
+            assert at.tolist() == want[0].tolist() and marks.tolist() == want[1].tolist()
+
+
+def test_lines_that_went_whole_are_counted():
+    text = "\n one two, three.\n\nfour five\nsix. seven"
+    assert ld.lines(text) == ["\n one ", "two, ", "three.\n\n", "four ", "five\n", "six. ", "seven"]
+    assert ld.without_runs(text, [1, 3], [2, 5]) == ("\n one three.\n\nsix. seven", 2, 3)
+    assert ld.without_runs(text, [0, 2], [2, 3]) == ("four five\nsix. seven", 3, 3)
+    assert ld.without_runs(text, [0], [7]) == ("", 6, 7)
+
+
 def chains(seed, n=150):
     """Texts of pieces of few passages, so that earlier texts hold parts of what later ones share."""
     r = random.Random(seed)
