@@ -34,6 +34,8 @@ _P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D
 #: A source text with more meetings than this is met in several tasks, so many meetings in each: what a task compares in a few
 #: seconds, since to split a source means to read the meetings and the words once more.
 HOT = 10_000
+#: Words that are compared at once.
+PLACES = 1 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -183,28 +185,46 @@ def repeated_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_w
     """Begins and ends of the runs of a text that are equal to those of a source, word k of the text standing opposite word
     k - offset of the source for one of the offsets, and have ``run_words`` words or more. Then begins and hashes of the
     windows that share ``run_words`` words or more with such a run and reach beyond it."""
-    gone, open_at = np.zeros(len(own), bool), np.zeros(max(0, len(own) - sure_words + 1), bool)
-    for offset in sorted(offsets):
-        low, high = max(0, offset), min(len(own), len(theirs) + offset)
-        if gone[low:high].all():
-            continue  # nothing is left that this offset could reach
-        border = _borders(own[low:high] == theirs[low - offset : high - offset])
-        for start, stop in zip((border[::2] + low).tolist(), (border[1::2] + low).tolist()):
-            if stop - start >= run_words:
-                gone[start:stop] = True
-                open_at[max(0, start + run_words - sure_words) : start] = True
-                open_at[max(start, stop - sure_words + 1) : stop - run_words + 1] = True
-    border, at = _borders(gone), np.flatnonzero(open_at).tolist()
-    if at:
-        covered = np.concatenate([[0], np.cumsum(gone)])
-        at = [k for k in at if covered[k + sure_words] - covered[k] < sure_words]
-    data = own.tobytes()
-    hashes = [xxhash.xxh64_intdigest(data[4 * k : 4 * (k + sure_words)]) - (1 << 63) for k in at]
-    return border[::2].tolist(), border[1::2].tolist(), at, hashes
+    starts, stops = _equal_runs(offsets, theirs, own, run_words)
+    gone = _covered(starts, stops, len(own))
+    before, after = np.maximum(starts + run_words - sure_words, 0), np.maximum(starts, stops - sure_words + 1)
+    at = np.flatnonzero(_covered(np.concatenate([before, after]), np.concatenate([starts, stops - run_words + 1]), max(0, len(own) - sure_words + 1)))
+    if len(at):
+        so_far = np.concatenate([[0], np.cumsum(gone)])
+        at = at[so_far[at + sure_words] - so_far[at] < sure_words]
+    hashes = grams(own[at[0] : at[-1] + sure_words].astype(np.uint64), sure_words).view(np.int64)[at - at[0]] if len(at) else at
+    border = _borders(gone)
+    return border[::2].tolist(), border[1::2].tolist(), at.tolist(), hashes.tolist()
+
+
+def _equal_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begins and ends of all runs of ``run_words`` equal words or more, a row of words for each offset, so many rows at once
+    as have ``PLACES`` words, or one."""
+    width, found = len(own) + 1, []  # a place more in a row, so that no run goes on in the next one
+    block = max(1, PLACES // width)
+    for k in range(0, len(offsets), block):
+        same = np.zeros((len(offsets[k : k + block]), width), bool)
+        for row, offset in zip(same, offsets[k : k + block]):
+            low, high = max(0, offset), min(len(own), len(theirs) + offset)
+            np.equal(own[low:high], theirs[low - offset : high - offset], out=row[low:high])
+        border = _borders(same.ravel()).reshape(-1, 2)
+        found.append(border[border[:, 1] - border[:, 0] >= run_words] % width)
+    starts, stops = np.concatenate(found).T
+    return starts, stops
+
+
+def _covered(starts: np.ndarray, stops: np.ndarray, many: int) -> np.ndarray:
+    """Which of ``many`` places lie in one of the intervals [start, stop), which may reach beyond."""
+    starts = np.minimum(starts, many)
+    stops = np.maximum(starts, np.minimum(stops, many))
+    return np.cumsum(np.bincount(starts, minlength=many + 1) - np.bincount(stops, minlength=many + 1))[:many] > 0
 
 
 def _borders(same: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+    """Where the runs of true values begin and end, in turn."""
+    padded = np.zeros(len(same) + 2, bool)
+    padded[1:-1] = same
+    return np.flatnonzero(padded[1:] != padded[:-1])
 
 
 def _keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
