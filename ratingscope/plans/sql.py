@@ -73,6 +73,12 @@ x4 AS (SELECT *, coalesce(round(base_diff, 9) >= 1.5 AND aa IS NOT NULL AND ab I
 x5 AS (SELECT *, eligible AND round(adv_diff, 9) < 0 AS reversed FROM x4)"""
 SUMMARY = f"x6 AS (SELECT {K}, model, count(*) FILTER (WHERE reversed) AS reversed, count(*) FILTER (WHERE eligible) AS eligible, count(*) AS pairs FROM x5 GROUP BY ALL)"
 
+SIX = (BASELINE, WEBPA, *(peer(core, v) for core in ("peerrank", "peerhits") for v in ("impute", "exclude")))
+SIX_NAMES = ("baseline", "peerrank_impute", "peerrank_exclude", "webpa", "peerhits_impute", "peerhits_exclude")
+#: Six models' runs that fail, as (keys, model, error).
+FAILED = f"""SELECT DISTINCT {K}, 'webpa' AS model, 'all scores are zero' AS error FROM w1 WHERE mean = 0
+UNION ALL SELECT {K}, 'peerrank-impute', 'ValueError: ' || email || ' gave only zeros' FROM peerrank_impute_failed UNION ALL SELECT {K}, 'peerrank-exclude', 'ValueError: ' || email || ' gave only zeros' FROM peerrank_exclude_failed"""
+
 ACTIVE = f"""g0 AS (SELECT *, count(score) OVER (PARTITION BY {K}, giver) > 0 AS active FROM k),
 g1 AS (SELECT *, count(*) FILTER (WHERE active AND giver = recipient) OVER (PARTITION BY {K}) AS raters, count(*) FILTER (WHERE giver = recipient) OVER (PARTITION BY {K}) AS n FROM g0),
 g2 AS (SELECT {K}, giver, row_number() OVER (PARTITION BY {K} ORDER BY giver) AS rank FROM g1 WHERE active AND giver = recipient),
@@ -160,9 +166,14 @@ ORACLE_SQL: dict[str, str] = {
     "webpa_iwf": _with(WEBPA) + f"SELECT {K}, email, {_r('iwf')} FROM webpa",
     **{f"peerrank{v and '_' + v}_iwf": _with(peer("peerrank", v or "core")) + f"SELECT {K}, email, {_r('iwf')} FROM peerrank_{v or 'core'}" for v in ("", "impute", "exclude")},
     **{f"peerhits{v and '_' + v}_iwf": _with(peer("peerhits", v or "core")) + f"SELECT {K}, email, {_r('iwf', 'hub')} FROM peerhits_{v or 'core'}" for v in ("", "impute", "exclude")},
-    "run_failures": _with(WEBPA, peer("peerrank", "impute"), peer("peerrank", "exclude"))
-    + f"""SELECT DISTINCT {K}, 'webpa' AS model, 'all scores are zero' AS error FROM w1 WHERE mean = 0
-UNION ALL SELECT {K}, 'peerrank-impute', 'ValueError: ' || email || ' gave only zeros' FROM peerrank_impute_failed UNION ALL SELECT {K}, 'peerrank-exclude', 'ValueError: ' || email || ' gave only zeros' FROM peerrank_exclude_failed""",
+    "run_failures": _with(WEBPA, peer("peerrank", "impute"), peer("peerrank", "exclude")) + FAILED,
+    "batch_totals": _with(WEBPA, peer("peerrank", "impute"), peer("peerrank", "exclude"), f"bad AS (SELECT count(*) AS failed FROM ({FAILED}))")
+    + f"SELECT count(DISTINCT csv_path) AS files, count(DISTINCT ({K})) AS matrices, 6 * count(DISTINCT ({K})) AS runs, 6 * count(DISTINCT ({K})) - any_value(failed) AS succeeded, any_value(failed) AS failed FROM k, bad",
+    "convergence_stats": _with(*SIX[2:], "it AS (" + " UNION ALL ".join(f"SELECT '{n.replace('_', '-')}' AS model, t.csv_path, t.team, t.question, nullif(iterations, 0) AS iterations FROM (SELECT DISTINCT {K} FROM k) t LEFT JOIN {n}f USING ({K}) ANTI JOIN {n}_failed USING ({K})" for n in SIX_NAMES if n.startswith("peer")) + ")")
+    + """SELECT model, count(*) AS total_runs, count(*) FILTER (WHERE iterations < 1000) AS converged, count(*) FILTER (WHERE iterations >= 1000) AS non_converged, round(avg(iterations), 6) + 0.0 AS mean_iterations,
+round(median(iterations), 6) + 0.0 AS median_iterations, min(iterations) AS min_iterations, max(iterations) AS max_iterations FROM it GROUP BY model HAVING max(iterations) IS NOT NULL""",
+    "iwf_side_by_side": _with(*SIX) + f"SELECT w0.csv_path, w0.team, w0.question, w0.email, " + ", ".join(f"round({n}.iwf, 6) + 0.0 AS {n}" for n in SIX_NAMES)
+    + ", round(greatest(" + ", ".join(f"abs({n}.iwf - 10)" for n in SIX_NAMES) + "), 6) + 0.0 AS max_delta FROM w0 " + " ".join(f"LEFT JOIN {n} USING ({K}, email)" for n in SIX_NAMES),
     "iwf_pivot": _with(BASELINE, WEBPA) + f"SELECT b.csv_path, b.team, b.question, b.email, round(b.iwf, 6) + 0.0 AS baseline, round(w.iwf, 6) + 0.0 AS webpa, round(greatest(abs(b.iwf - 10), abs(w.iwf - 10)), 6) + 0.0 AS max_delta FROM baseline b LEFT JOIN webpa w USING ({K}, email)",
     "iwf_bands": _with(BASELINE, WEBPA)
     + f"""SELECT model, CASE WHEN iwf IS NULL THEN 'none' WHEN iwf <= 7 THEN 'low' WHEN iwf <= 8.5 THEN 'below' WHEN iwf <= 11.5 THEN 'normal' WHEN iwf <= 13 THEN 'above' ELSE 'high' END AS band, count(*) AS n
