@@ -201,14 +201,18 @@ def _equal_runs(offsets: list[int], theirs: np.ndarray, own: np.ndarray, run_wor
     """Begins and ends of all runs of ``run_words`` equal words or more, a row of words for each offset, so many rows at once
     as have ``PLACES`` words, or one."""
     width, found = len(own) + 1, []  # a place more in a row, so that no run goes on in the next one
-    block = max(1, PLACES // width)
+    block, offsets, gone = max(1, PLACES // width), sorted(offsets), np.zeros(len(own), bool)
     for k in range(0, len(offsets), block):
-        same = np.zeros((len(offsets[k : k + block]), width), bool)
-        for row, offset in zip(same, offsets[k : k + block]):
+        # after the first rows, an offset that could reach only what is gone is left out
+        part = [x for x in offsets[k : k + block] if k == 0 or not gone[max(0, x) : len(theirs) + x].all()]
+        same = np.zeros((len(part), width), bool)
+        for row, offset in zip(same, part):
             low, high = max(0, offset), min(len(own), len(theirs) + offset)
             np.equal(own[low:high], theirs[low - offset : high - offset], out=row[low:high])
         border = _borders(same.ravel()).reshape(-1, 2)
         found.append(border[border[:, 1] - border[:, 0] >= run_words] % width)
+        if k + block < len(offsets) and len(found[-1]):
+            gone |= _covered(*found[-1].T, len(own))
     starts, stops = np.concatenate(found).T
     return starts, stops
 
