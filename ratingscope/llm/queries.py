@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingscope.llm import bpe, decontaminate, html_extract, jaccard, kneser_ney, line_dedup, media, sharding, token_counts, warc
+from ratingscope.llm import bpe, decontaminate, html_extract, jaccard, kneser_ney, line_dedup, media, prefix_trie, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -81,6 +81,11 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(media.load(media.store(_table(spark, sf_dir, "documents"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op6_wrapper_induction, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns)}
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations")).drop("digest", "parent")
 
-ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.leaks_sql(window=6, coverage=0.5)}
+
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op6_wrapper_induction, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns, op11_prefix_trie)}
+
+ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.leaks_sql(window=6, coverage=0.5), "op11_prefix_trie": prefix_trie.TRIE_SQL}
