@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratingscope.llm import bpe, decontaminate, html_extract, jaccard, kneser_ney, line_dedup, media, prefix_trie, sharding, token_counts, warc
+from ratingscope.llm import alignment, bpe, decontaminate, html_extract, jaccard, kneser_ney, line_dedup, media, prefix_trie, secret_scan, sharding, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,16 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations")).drop("digest", "parent")
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op6_wrapper_induction, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns, op11_prefix_trie)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document under two tokenizers, aligned."""
+    return alignment.align(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: the three forms, and values that would cost many guesses."""
+    return secret_scan.find(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc_derivatives, op2_token_counts, op3_ngram_jaccard, op4_sharding, op5_line_dedup, op6_wrapper_induction, op7_decontaminate, op8_kneser_ney, op9_byte_bpe, op10_media_columns, op11_prefix_trie, op12_token_alignment, op13_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {"op7_decontaminate": decontaminate.leaks_sql(window=6, coverage=0.5), "op11_prefix_trie": prefix_trie.TRIE_SQL}
