@@ -1,8 +1,11 @@
 """Alignment of the tokens of two tokenizers (operator 12).
 
-Both tokenizers take the whole text. Where a token of each begins with a space at the same byte, both sequences are cut; what
-lies between two such anchors is a window, some words at most in prose, and one window comes back over and over. So a window's alignment
-is worked out once for its two tuples of ids and remembered: groups between shared ends, and links between overlapping tokens.
+Both tokenizers take the whole text. Neither joins anything across a single space between two words, so a worker has the libraries
+tokenise each word once and remembers which window it is. There lies an anchor: tokens of both end, verified on their bytes, and the
+next ones of both begin with the space. What lies between two anchors is a window, and one window comes back over and over. So the
+alignment of a window is worked out once for its two tuples of ids and remembered: groups between shared ends, and links between
+overlapping tokens. Every stretch between two neighbouring ends, of either tokenizer, lies in one token of each and is their link; so new windows
+are aligned all together, as arrays of ends.
 
 How many documents hold a pair of ids linked is known only after all of them were aligned. Documents are aligned in slices of some
 megabytes of text; a slice is a row with its distinct pairs and, packed, which of them each document holds how often. Pairs are
@@ -12,12 +15,15 @@ documents are full has a row a slice. No table of pairs is broadcast or passes t
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,31 +36,33 @@ from ratingscope.llm.token_counts import _byte_of_char
 
 #: Rows and bytes of a slice; a single text may be longer.
 SLICE_ROWS, SLICE_BYTES = 8_192, 4 << 20
-#: Windows that a worker remembers, and the bytes of ids of the longest.
-MEMO_WINDOWS, LONGEST_WINDOW = 300_000, 40
-#: Longer texts are tokenised in parts that end at a space between two words, where neither tokenizer joins anything.
-PART_CHARS = 1 << 16
+#: Words that a worker remembers.
+MEMO_WORDS = 200_000
 #: A pair of ids is one number: A's id times this plus B's.
 ID_B = 1 << 20
 
+#: Words that are tokenised at once.
+JOINED = 500
+
 _BETWEEN_WORDS = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
-def parts(text: str, most: int = PART_CHARS) -> list[str]:
-    """The text cut at single spaces, which are left off, into parts of ``most`` characters and up to the next such space."""
-    out, at = [], 0
-    while len(text) - at > most and (cut := _BETWEEN_WORDS.search(text, at + most)):
-        out.append(text[at : cut.start()])
-        at = cut.end()
-    return [*out, text[at:]]
+def _plain(word: str) -> bool:
+    """Whether spaces before and after the word are single ones between words."""
+    return word != "" and not word[0].isspace() and not word[-1].isspace() and "▁" not in word
+
+
+#: Groups as text, their number, pairs of overlapping tokens as 64-bit integers, tokens of A, tokens of B.
+Aligned = tuple[str, int, bytes, int, int]
 
 
 class Aligner:
-    """The two tokenizers, their tokens' bytes, and the windows met so far."""
+    """The two tokenizers, their tokens' bytes, and the words and windows met so far."""
 
-    def __init__(self, path_a: str, path_b: str):
+    def __init__(self, path_a: str, path_b: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(path_a)
@@ -64,115 +72,133 @@ class Aligner:
         self.bytes_a = [b""] * self.a.get_vocab_size()
         for s, i in self.a.get_vocab().items():
             self.bytes_a[i] = bytes(back[c] for c in s)
+        # where merges are in the order of their ids, as tiktoken has it, that library gives the same tokens in an eighth of the time
+        with open(path_a, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        made = [model["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {bytes(back[c] for c in s): i for s, i in model["vocab"].items() if s not in special}
+        self.quick = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) if made == sorted(made) else None
         piece, n = self.b.id_to_piece, self.b.get_piece_size()
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self.b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(n)]
         self.sizes = [np.array([len(t) for t in x]) for x in (self.bytes_a, self.bytes_b)]
-        self.spaced = [np.array([t[:1] == b" " for t in x]) for x in (self.bytes_a, self.bytes_b)]
-        self.memo = memos.Memo(__name__, MEMO_WINDOWS)
-
-    def tokens(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A for a space and the text, and of B for the text, which adds the space; none if their bytes aren't these."""
-        cut = [parts(t) for t in texts]
-        flat = [p for c in cut for p in c]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        ids_b = self.b.encode(flat, num_threads=1)
-        out, at = [], 0
-        for text, c in zip(texts, cut):
-            a, b = ([i for ids in x[at : at + len(c)] for i in ids] for x in (ids_a, ids_b))
-            at += len(c)
-            whole = (" " + text).encode()
-            same = text != "" and b"".join(map(self.bytes_a.__getitem__, a)) == whole and b"".join(map(self.bytes_b.__getitem__, b)) == whole
-            out.append((a, b) if same else ([], []))
+        # an id with what follows it: of A a comma or the bar, of B a comma or the end of the group
+        self.written = [f"{i}{c}" for n, end in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for i in range(n) for c in (",", end)]
+        self.known = memos.Memo(__name__, MEMO_WORDS)  # of each word the ids of its window; None: the tokens' bytes aren't the word's
+        self.windows = memos.Memo(__name__, MEMO_WORDS)
+
+    def _matching(self, words: list[bytes], ids: list[bytes], k: int) -> np.ndarray:
+        """Whether the bytes of each word's tokens are the word's."""
+        table = (self.bytes_a, self.bytes_b)[k]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.array([len(w) for w in words])
+        stops = np.cumsum([len(x) // 4 for x in ids])
+        ends = np.concatenate([[0], np.cumsum(self.sizes[k][flat])])[stops]
+        if (ends == np.cumsum(sizes)).all() and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(words):
+            return np.ones(len(words), bool)
+        parts = np.split(flat, stops[:-1])
+        return np.array([b"".join(map(table.__getitem__, x.tolist())) == w for x, w in zip(parts, words)], bool)
+
+    def _align_windows(self, keys: list[tuple[bytes, bytes]]) -> list[Aligned]:
+        """Of windows, each two tuples of ids that stand for the same bytes."""
+        (a, b), ends, counts = (np.frombuffer(b"".join(k[side] for k in keys), "<u4").astype(np.int64) for side in (0, 1)), [], []
+        for side, x in enumerate((a, b)):
+            ends.append(np.cumsum(self.sizes[side][x]))
+            counts.append(np.array([len(k[side]) // 4 for k in keys]))
+        marks = np.zeros(int(ends[0][-1]) + 1, np.int8)
+        marks[ends[0]] += 1
+        marks[ends[1]] += 1
+        every, shared = np.flatnonzero(marks), np.flatnonzero(marks == 2)
+        pairs = a[np.searchsorted(ends[0], every)] * ID_B + b[np.searchsorted(ends[1], every)]
+        stops = ends[0][np.cumsum(counts[0]) - 1]  # where windows end
+        links, groups = np.diff(np.searchsorted(every, stops, side="right"), prepend=0), np.diff(np.searchsorted(shared, stops, side="right"), prepend=0)
+        of = [np.searchsorted(shared, e) for e in ends]  # the group of each token
+        last = [np.append(g[1:] != g[:-1], True) for g in of]
+        codes = np.concatenate([2 * a + last[0], 2 * len(self.bytes_a) + 2 * b + last[1]])
+        codes = codes[np.argsort(np.concatenate([2 * of[0], 2 * of[1] + 1]), kind="stable")]
+        texts, packed = list(map(self.written.__getitem__, codes.tolist())), pairs.tobytes()
+        out, at, link = [], 0, 0
+        for n_a, n_b, n_groups, n_links in zip(counts[0].tolist(), counts[1].tolist(), groups.tolist(), links.tolist()):
+            out.append(("".join(texts[at : at + n_a + n_b])[:-1], n_groups, packed[8 * link : 8 * (link + n_links)], n_a, n_b))
+            at, link = at + n_a + n_b, link + n_links
         return out
 
-    def window(self, a: list[int], b: list[int]) -> tuple[str, int, list[int]]:
-        """The groups as text, their number, and the pairs of overlapping tokens."""
-        ends = [np.cumsum(s[x]).tolist() for s, x in zip(self.sizes, (a, b))]
-        i = j = 0
-        groups, pairs = [[[], []]], []
-        while i < len(a):
-            pairs.append(a[i] * ID_B + b[j])
-            end_a, end_b = ends[0][i], ends[1][j]
-            if end_a <= end_b:
-                groups[-1][0].append(str(a[i]))
-                i += 1
-            if end_b <= end_a:
-                groups[-1][1].append(str(b[j]))
-                j += 1
-            if end_a == end_b and i < len(a):
-                groups.append([[], []])
-        return ";".join(f"{','.join(x)}|{','.join(y)}" for x, y in groups), len(groups), pairs
-
-    def align(self, tokens: list[tuple[list[int], list[int]]]) -> tuple[list[list], np.ndarray, np.ndarray]:
-        """Of documents: per document (n_a, n_b, n_groups, n_links, groups_sha256); and for all together the number of the
-        document and the pair of each link."""
-        a, b = (np.array([i for t in tokens for i in t[k]], np.int64) for k in (0, 1))
-        count_a, count_b = (np.array([len(t[k]) for t in tokens], np.int64) for k in (0, 1))
-        begin = []  # of each token, over the bytes of all documents
-        for x, sizes in zip((a, b), self.sizes):
-            begin.append(np.concatenate([[0], np.cumsum(sizes[x])])[:-1] if len(x) else np.zeros(0, np.int64))
-        first_a, first_b = np.cumsum(count_a) - count_a, np.cumsum(count_b) - count_b
-        there = count_a > 0
-        anchor_a, anchor_b = self.spaced[0][a], self.spaced[1][b]
-        anchor_a[first_a[there]] = anchor_b[first_b[there]] = True
-        total = int(self.sizes[0][a].sum()) + 1
-        marked = np.zeros(total, bool)
-        marked[begin[0][anchor_a]] = True
-        cut_b = np.flatnonzero(anchor_b & marked[begin[1]]) if len(b) else np.zeros(0, np.int64)
-        marked[:] = False
-        marked[begin[1][cut_b]] = True
-        cut_a = np.flatnonzero(anchor_a & marked[begin[0]]) if len(a) else np.zeros(0, np.int64)
-        ids_a, ids_b = a.astype("<u4").tobytes(), b.astype("<u4").tobytes()
-        to_a, to_b = [*(4 * cut_a[1:]).tolist(), len(ids_a)], [*(4 * cut_b[1:]).tolist(), len(ids_b)]
-        seen: dict[tuple[bytes, bytes], int] = {}
-        found: list[tuple[str, int, list[int]]] = []
-        numbers, memo, fresh = [], self.memo, {}
-        from_a = from_b = 0
-        for stop_a, stop_b in zip(to_a, to_b) if len(cut_a) else ():
-            key = ids_a[from_a:stop_a], ids_b[from_b:stop_b]
-            from_a, from_b = stop_a, stop_b
-            number = seen.get(key)
-            if number is None:
-                number = seen[key] = len(found)
-                known = memo.get(key)
-                if known is None:
-                    known = self.window(np.frombuffer(key[0], "<u4").tolist(), np.frombuffer(key[1], "<u4").tolist())
-                    if len(key[0]) + len(key[1]) <= LONGEST_WINDOW:
-                        fresh[key] = known
-                found.append(known)
-            numbers.append(number)
-        memo.update(fresh)
-        while len(memo) > memo.limit:
-            memo.halve()
-        numbers = np.array(numbers, np.int64)
-        n_groups, n_links = (np.array([len(f[2]) if k else f[1] for f in found], np.int64) for k in (0, 1))
-        doc_of = np.searchsorted(np.cumsum(count_a), cut_a, side="right")  # of each window
-        groups = np.bincount(doc_of, n_groups[numbers], len(tokens)).astype(np.int64) if len(numbers) else np.zeros(len(tokens), np.int64)
-        links = np.bincount(doc_of, n_links[numbers], len(tokens)).astype(np.int64) if len(numbers) else np.zeros(len(tokens), np.int64)
-        upto = np.searchsorted(doc_of, np.arange(len(tokens)), side="right").tolist()
-        texts, listed, since, digests = [f[0] for f in found], numbers.tolist(), 0, []
-        for stop in upto:
-            digests.append(sha256(";".join([texts[k] for k in listed[since:stop]]).encode()).hexdigest() if stop > since else "")
+    def _tokens_a(self, words: list[str], whole: list[bytes]) -> list[bytes]:
+        """Packed ids of A for words with the space before them. Words between single spaces are tokenised in one go."""
+        out: dict[str, bytes] = {}
+        plain = [k for k, w in enumerate(words) if _plain(w)] if self.quick else []
+        for part in (plain[k : k + JOINED] for k in range(0, len(plain), JOINED)):
+            ids = np.array(self.quick.encode_ordinary(" " + " ".join([words[k] for k in part])), "<u4")
+            ends, stops = np.cumsum(self.sizes[0][ids]), np.cumsum([len(whole[k]) for k in part])
+            upto = np.searchsorted(ends, stops)
+            if (ends[upto] == stops).all():  # else they are tokenised one by one
+                packed, at = ids.tobytes(), 0
+                for k, stop in zip(part, (4 * (upto + 1)).tolist()):
+                    out[words[k]] = packed[at:stop]
+                    at = stop
+        rest = [w for w in words if w not in out]
+        out.update((w, array("I", e.ids).tobytes()) for w, e in zip(rest, self.a.encode_batch_fast([" " + w for w in rest], add_special_tokens=False)))
+        return [out[w] for w in words]
+
+    def _learn(self, new: list[str]) -> None:
+        """Tokenise words that haven't been met, A with the space before them, B adds it, and align new windows."""
+        whole = [b" " + w.encode() for w in new]
+        ids_a, ids_b = self._tokens_a(new, whole), [array("I", x).tobytes() for x in self.b.encode(new, num_threads=1)]
+        good = self._matching(whole, ids_a, 0) & self._matching(whole, ids_b, 1)
+        keys = [(x, y) if g else None for x, y, g in zip(ids_a, ids_b, good.tolist())]
+        self.known.update(zip(new, keys))
+        fresh = list({k for k in keys if k and k not in self.windows})
+        if fresh:
+            self.windows.update(zip(fresh, self._align_windows(fresh)))
+
+    def align(self, texts: list[str]) -> tuple[list[list], np.ndarray, np.ndarray]:
+        """Per document n_a, n_b, n_groups, n_links, groups_sha256; and for all links of all documents the number of the
+        document and the pair."""
+        cut = [t.split(" ") if t else [] for t in texts]
+        odd = {w for w in set().union(*cut) if not _plain(w)}
+        if odd:
+            cut = [c if odd.isdisjoint(c) else _BETWEEN_WORDS.split(t) for c, t in zip(cut, texts)]
+        distinct = list(set().union(*cut))
+        new = [w for w in distinct if w not in self.known]
+        if new:
+            self._learn(new)
+        ids = [self.known[w] for w in distinct]
+        found = [self.windows[k] if k else None for k in ids]
+        self.known.trim(new)
+        for gone in self.windows.keys() - set(self.known.values()) if len(self.windows) > len(self.known) else ():
+            del self.windows[gone]
+        numbers = np.fromiter(map({w: k for k, w in enumerate(distinct)}.__getitem__, chain.from_iterable(cut)), np.int64)
+        doc = np.repeat(np.arange(len(texts)), [len(c) for c in cut])
+        wrong = np.array([f is None for f in found], bool)
+        good = ~np.isin(doc, doc[wrong[numbers]])
+        numbers, doc = numbers[good], doc[good]
+        found = [f or ("", 0, b"", 0, 0) for f in found]
+        of = lambda k: np.array([f[k] for f in found], np.int64)
+        n_links = np.array([len(f[2]) // 8 for f in found], np.int64)
+        summed = [np.bincount(doc, x[numbers], len(texts)).astype(np.int64).tolist() for x in (of(3), of(4), of(1), n_links)]
+        parts, listed, digests, since = [f[0] for f in found], numbers.tolist(), [], 0
+        for stop in np.searchsorted(doc, np.arange(len(texts)), side="right").tolist():
+            digests.append(sha256(";".join(map(parts.__getitem__, listed[since:stop])).encode()).hexdigest() if stop > since else "")
             since = stop
-        flat = np.array([p for f in found for p in f[2]], np.int64)
-        starts = np.cumsum(n_links) - n_links
+        flat, first = np.frombuffer(b"".join(f[2] for f in found), np.int64), np.cumsum(n_links) - n_links
         each = n_links[numbers]
-        at = np.repeat(starts[numbers] - (np.cumsum(each) - each), each) + np.arange(each.sum()) if len(numbers) else np.zeros(0, np.int64)
-        return [count_a.tolist(), count_b.tolist(), groups.tolist(), links.tolist(), digests], np.repeat(doc_of, each) if len(numbers) else at, flat[at]
+        at = np.repeat(first[numbers] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return [*summed, digests], np.repeat(doc, each), flat[at]
 
 
 @lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    return Aligner(path_a, path_b)
+def aligner(path_a: str, path_b: str, pattern: str) -> Aligner:
+    return Aligner(path_a, path_b, pattern)
 
 
 _STATS = ("n_a long", "n_b long", "n_groups long", "n_links long", "groups_sha256 string")
 
 
-def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(df: DataFrame, path_a: str, path_b: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, n_best, count_sum long, groups_sha256) of every text.
 
-    A's tokens are those of a space and the text, B's those of the text, special strings being plain text. Bytes where tokens
+    A's tokens are those of a space and the text, B's those of the text, special strings being plain text; ``pattern`` is what A's
+    file splits texts by. Bytes where tokens
     of both end cut them into groups; n_links counts the pairs of overlapping tokens. A pair of ids counts the documents that
     hold it linked, rows that repeat being documents of their own; count_sum adds the counts of a document's links, n_best is how
     many of them have the highest count that A's id has. groups_sha256 is the digest of the groups in order, ``a1,a2|b1;a3|b2``.
@@ -188,17 +214,18 @@ def align(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_
 
     def of_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with memos.for_task(__name__):
-            tool = aligner(path_a, path_b)
+            tool = aligner(path_a, path_b, pattern)
             for batch in batches:
                 for part in slices(batch, SLICE_ROWS, SLICE_BYTES):
-                    stats, doc, pair = tool.align(tool.tokens([t or "" for t in part.column(1).to_pylist()]))
+                    stats, doc, pair = tool.align([t or "" for t in part.column(1).to_pylist()])
                     pairs, at = np.unique(pair, return_inverse=True)
                     held, times = np.unique(doc * max(1, len(pairs)) + at, return_counts=True)
                     doc, at = held // max(1, len(pairs)), held % max(1, len(pairs))
                     per_doc = np.bincount(doc, minlength=part.num_rows)
                     packed = zlib.compress(b"".join(x.astype("<u4").tobytes() for x in (per_doc, np.diff(at, prepend=0), times)), 1)
-                    row = [part.column(0).to_pylist(), *stats, pairs.tolist(), np.bincount(at, minlength=len(pairs)).tolist(), packed]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, arrow)], schema=arrow)
+                    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+                    arrays = [one(part.column(0)), *(one(pa.array(x, f.type.value_type)) for x, f in zip(stats, list(arrow)[1:])), one(pa.array(pairs)), one(pa.array(np.bincount(at, minlength=len(pairs)))), pa.array([packed])]
+                    yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(arrays, arrow)], schema=arrow)
 
     table = written(df.select(id_col, text_col).mapInArrow(of_slices, schema).withColumn("slice", F.monotonically_increasing_id()), "aligned")
     held = table.select(F.explode(F.arrays_zip("pairs", "held_by")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.held_by").alias("count"))

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from ratingscope.llm import alignment
 from ratingscope.llm.token_counts import _byte_of_char
 
-FILES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+FILES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN
 SCHEMA = "doc_id long, text string, n_a string, pairs int"
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
@@ -64,11 +64,9 @@ def texts():
     return [*out, None, "", " ", "the same", "the same", " leads", "▁", "ends ", " ".join(r.choice(words) for _ in range(900)), "y" * 3000]
 
 
-@pytest.mark.parametrize("part, rows", [(1 << 16, 8192), (20, 7)])
-def test_as_by_hand(spark, monkeypatch, part, rows):
-    """Also cut into short parts and small slices: neither changes a token."""
-    monkeypatch.setattr(alignment, "PART_CHARS", part)
-    monkeypatch.setattr(alignment.parts, "__defaults__", (part,))
+@pytest.mark.parametrize("rows", [8192, 7])
+def test_as_by_hand(spark, monkeypatch, rows):
+    """Also in small slices."""
     monkeypatch.setattr(alignment, "SLICE_ROWS", rows)
     docs = spark.createDataFrame([(k if k % 11 else None, t, "clash", 1) for k, t in enumerate(texts())], SCHEMA)
     got = alignment.align(docs, *FILES)
@@ -83,10 +81,11 @@ def test_no_piece_joins_words():
     assert not any("▁" in b.id_to_piece(i).lstrip("▁") for i in range(b.get_piece_size()))
 
 
-def test_windows_are_remembered_in_bounds():
+def test_what_is_remembered_is_bounded():
     tool = alignment.aligner(*FILES)
-    tool.align(tool.tokens(["the cat sat on the mat " * 50, "x" * 5000]))
-    assert 0 < len(tool.memo) < 20 and all(len(a) + len(b) <= alignment.LONGEST_WINDOW for a, b in tool.memo)
+    tool.align(["the cat sat on the mat " * 50 + "x" * 5000, " lead  two\nthree \tfour"])
+    assert tool.known["cat"] and "x" * 5000 not in tool.known
+    assert len(tool.known) <= alignment.MEMO_WORDS and max(map(len, tool.known)) <= 40 and tool.windows.keys() <= set(tool.known.values())
 
 
 def test_very_long_text_and_empty_table(spark):
