@@ -1,18 +1,23 @@
 """Structural fingerprint of a team: 25 numbers from who rated whom.
 
-Everything is joins and groupings within the keys of a team: pairs of members for reciprocity and asymmetry, triples for the
-triad census and for clustering. Triples grow with the cube of a team; they are rows of joins on two members, so those of a
-large team are dealt to many tasks.
+Complete teams of up to ``PACKED_MEMBERS`` are packed into rows, one shuffle for all 25, and computed as stacks of matrices.
+Larger and incomplete teams are joins and groupings over the scores that there are: the pairs that rated each other, and the
+triangles among linked pairs, from which the triad census and clustering follow; triples that aren't closed are counted,
+never listed. So their work grows with the scores times the root of their number, not with the cube of the team.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratingscope.operators import members
+from ratingscope.operators import members, team_kernel
+from ratingscope.operators.models import PACKED_MEMBERS, pack, split_by_size, stacks
 from ratingscope.schema import KEYS, pearson
 
 TRIADS = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
@@ -103,25 +108,6 @@ def above_mean(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return e.where("weight > _mean").select(*keys, "giver", "recipient")
 
 
-def _triples(pairs: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
-    """All triples a < b < c of members, from a table of all pairs (keys, a, b, values): values_ab, values_ac, values_bc."""
-    side = lambda x, y, tag: pairs.select(*keys, F.col("a").alias(x), F.col("b").alias(y), *(F.col(v).alias(f"{v}_{tag}") for v in values))
-    # all three share the shuffle by team
-    return side("a", "b", "ab").join(side("a", "c", "ac"), [*keys, "a"]).where("b < c").join(side("b", "c", "bc"), [*keys, "b", "c"])
-
-
-def _all_pairs(ratings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, a, b, ab, ba, up, down): every two members of a team, their scores, and whether these are
-    above the giver's mean (up: a's for b)."""
-    m = members.members(ratings, keys)
-    both = m.select(*keys, F.col("email").alias("a")).join(m.select(*keys, F.col("email").alias("b")), keys).where("a < b")
-    e = edges(ratings, keys).withColumn("_above", F.col("weight") > F.avg("weight").over(Window.partitionBy(*keys, "giver")))
-    fwd = e.select(*keys, F.col("giver").alias("a"), F.col("recipient").alias("b"), F.col("weight").alias("ab"), F.col("_above").alias("up"))
-    back = e.select(*keys, F.col("giver").alias("b"), F.col("recipient").alias("a"), F.col("weight").alias("ba"), F.col("_above").alias("down"))
-    out = both.join(fwd, [*keys, "a", "b"], "left").join(back, [*keys, "a", "b"], "left")
-    return out.fillna(False, ["up", "down"])
-
-
 def _int(c: Column) -> Column:
     return c.cast("int")
 
@@ -157,32 +143,127 @@ def triad_class() -> Column:
     )
 
 
-def triple_features(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, clustering, triad_003 .. triad_300), one pass over the triples. clustering: mean over all members of the directed
-    weighted coefficient of Fagiolo (2007), weights as the cube root of their share of the team's largest."""
-    p = _all_pairs(ratings, keys)
+#: What a member sees at the centre of two pairs: kinds of the two (o: it gives, i: it gets, m: both) and the class if the third pair is empty.
+WEDGES = {"021D": "oo", "021U": "ii", "021C": "oi", "111D": "mi", "111U": "mo", "201": "mm"}
+#: Classes of three pairs, and how many of these go one way and both ways.
+CLOSED = {"030T": (3, 0), "030C": (3, 0), "120D": (2, 1), "120U": (2, 1), "120C": (2, 1), "210": (1, 2), "300": (0, 3)}
+
+
+def linked_pairs(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, a, b, ab, ba, up, down): members a < b of whom at least one scored the other, the scores, and whether these are
+    above the giver's mean (up: a's for b). Pairs that aren't linked have no row."""
+    e = edges(ratings, keys).withColumn("_above", F.col("weight") > F.avg("weight").over(Window.partitionBy(*keys, "giver")))
+    first = F.col("giver") < F.col("recipient")
+    mine = lambda c, side: F.max(F.when(side, F.col(c)))
+    out = e.groupBy(*keys, F.least("giver", "recipient").alias("a"), F.greatest("giver", "recipient").alias("b"))
+    return out.agg(mine("weight", first).alias("ab"), mine("weight", ~first).alias("ba"), F.coalesce(mine("_above", first), F.lit(False)).alias("up"), F.coalesce(mine("_above", ~first), F.lit(False)).alias("down"))
+
+
+def triangles(pairs: DataFrame, values: list[str], keys: list[str] = KEYS) -> DataFrame:
+    """Triples of members all of whose pairs are among ``pairs`` (keys, a, b, values), each once: (keys, a, b, c, values_ab, values_ac,
+    values_bc). Pairs point from the member with fewer pairs to the one with more, and only pairs that begin at one member are
+    joined, of which a member has no more than the square root of twice the team's pairs, however popular it is.
+    ``up`` and ``down``, if among the values, change places with the direction."""
+    ends = pairs.select(*keys, F.explode(F.array("a", "b")).alias("email")).groupBy(*keys, "email").agg(F.count("*").alias("_deg"))
+    for side in "ab":
+        pairs = pairs.join(ends.withColumnsRenamed({"email": side, "_deg": f"_deg_{side}"}), [*keys, side])
+    order = lambda x: F.struct(F.col(f"_deg_{x}").alias("d"), F.col(x).alias("e"))
+    forth = order("a") < order("b")
+    other = {"up": "down", "down": "up"}
+    turned = pairs.select(*keys, F.when(forth, order("a")).otherwise(order("b")).alias("x"), F.when(forth, order("b")).otherwise(order("a")).alias("y"), *(F.when(forth, F.col(v)).otherwise(F.col(other.get(v, v))).alias(v) for v in values))
+    side = lambda x, y: turned.select(*keys, F.col("x").alias(x), F.col("y").alias(y), *(F.col(v).alias(f"{v}_{x}{y}") for v in values))
+    found = side("a", "b").join(side("a", "c"), [*keys, "a"]).where("b < c").join(side("b", "c"), [*keys, "b", "c"])
+    return found.withColumns({x: F.col(x)["e"] for x in "abc"})
+
+
+def census(pairs: DataFrame, sizes: DataFrame, closed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, triad_003 .. triad_300) as shares of all triples, for teams of three or more, without a row for a triple that isn't
+    closed. ``pairs``: linked_pairs; ``sizes`` (keys, n); ``closed``: triangles with up and down.
+
+    Classes of three linked pairs are counted over the triangles. Those of two linked pairs are wedges: a member that gives o, gets
+    i and has m both ways is the centre of so many of each kind, less those that a triangle closes. A linked pair meets n - 2
+    thirds; what of these isn't in a triple counted so far is 012 or 102, and the rest of all triples is 003."""
+    up, down = F.col("up"), F.col("down")
+    sides = F.array(F.struct(F.col("a").alias("email"), up.alias("out"), down.alias("into")), F.struct(F.col("b").alias("email"), down.alias("out"), up.alias("into")))
+    linked = pairs.where("up or down").select(*keys, F.explode(sides).alias("s")).select(*keys, "s.*")
+    kinds = {"o": F.count_if(F.expr("out and not into")), "i": F.count_if(F.expr("into and not out")), "m": F.count_if(F.expr("out and into"))}
+    member = linked.groupBy(*keys, "email").agg(*(c.alias(k) for k, c in kinds.items()))
+    several = {w: F.col(k[0]) * (F.col(k[0]) - 1) / 2 if k[0] == k[1] else F.col(k[0]) * F.col(k[1]) for w, k in WEDGES.items()}
+    wedges = member.groupBy(*keys).agg(*(F.sum(c).alias(f"w_{w}") for w, c in several.items()), (F.sum(F.col("o") + F.col("i")) / 2).alias("one_way"), (F.sum("m") / 2).alias("both_ways"))
+    three = closed.where("(up_ab or down_ab) and (up_ac or down_ac) and (up_bc or down_bc)").withColumn("class", triad_class())
+    # the kinds of pairs at each corner, sorted
+    kind = lambda out, into: F.when(F.col(out) & F.col(into), "m").when(F.col(out), "o").otherwise("i")
+    corners = {"a": (kind("up_ab", "down_ab"), kind("up_ac", "down_ac")), "b": (kind("down_ab", "up_ab"), kind("up_bc", "down_bc")), "c": (kind("down_ac", "up_ac"), kind("down_bc", "up_bc"))}
+    three = three.withColumns({f"corner_{x}": F.array_join(F.array_sort(F.array(*k)), "") for x, k in corners.items()})
+    at = {w: sum(_int(F.col(f"corner_{x}") == "".join(sorted(k))) for x in "abc") for w, k in WEDGES.items()}
+    counted = three.groupBy(*keys).agg(*(F.count_if(F.col("class") == c).alias(f"c_{c}") for c in CLOSED), *(F.sum(c).alias(f"x_{w}") for w, c in at.items()))
+    t = sizes.where("n >= 3").join(wedges, keys, "left").join(counted, keys, "left").fillna(0)
+    number = {c: F.col(f"c_{c}") for c in CLOSED} | {w: F.col(f"w_{w}") - F.col(f"x_{w}") for w in WEDGES}
+    ways = CLOSED | {w: (sum(x != "m" for x in k), k.count("m")) for w, k in WEDGES.items()}
+    for c, pairs_of, k in (("012", "one_way", 0), ("102", "both_ways", 1)):
+        number[c] = F.col(pairs_of) * (F.col("n") - 2) - sum(number[x] * w[k] for x, w in ways.items())
+    total = F.col("n").cast("double") * (F.col("n") - 1) * (F.col("n") - 2) / 6
+    number["003"] = total - sum(number.values())
+    return t.select(*keys, *((number[c] / total).alias(f"triad_{c}") for c in TRIADS))
+
+
+def sparse_triples(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """(keys, clustering, triad_003 .. triad_300) of teams of any size, as joins over the scores that there are. clustering: mean
+    over all members of the directed weighted coefficient of Fagiolo (2007), weights as the cube root of their share of the team's largest."""
+    sizes = members.members(ratings, keys).groupBy(*keys).agg(F.count("*").alias("n")).where("n >= 2")
+    p = linked_pairs(ratings, keys)
     top = F.max(F.greatest(F.coalesce("ab", F.lit(0.0)), F.coalesce("ba", F.lit(0.0)))).over(Window.partitionBy(*keys))
     cube = lambda c: F.coalesce(F.cbrt(F.try_divide(F.col(c), F.col("_top"))), F.lit(0.0))
     p = p.withColumn("_top", top).withColumn("tie", cube("ab") + cube("ba"))
-    # a member's ties: how many arcs, and how many with both ways
     arcs = _int(F.col("ab").isNotNull()) + _int(F.col("ba").isNotNull())
     ends = p.select(*keys, F.explode(F.array("a", "b")).alias("email"), arcs.alias("arcs"))
     degree = ends.groupBy(*keys, "email").agg(F.sum("arcs").alias("d"), F.count_if(F.col("arcs") == 2).alias("bi"))
-    t = _triples(p, ["up", "down", "tie"], keys).withColumn("class", triad_class()).withColumn("product", F.col("tie_ab") * F.col("tie_ac") * F.col("tie_bc"))
-    census = t.groupBy(*keys).agg(F.count("*").alias("_t"), *(F.count_if(F.col("class") == c).alias(f"triad_{c}") for c in TRIADS))
-    census = census.select(*keys, *((F.col(f"triad_{c}") / F.col("_t")).alias(f"triad_{c}") for c in TRIADS))
-    corner = t.select(*keys, "product", F.explode(F.array("a", "b", "c")).alias("email")).groupBy(*keys, "email").agg(F.sum("product").alias("triangles"))
+    t = triangles(p.select(*keys, "a", "b", "up", "down", "tie"), ["up", "down", "tie"], keys)
+    product = F.col("tie_ab") * F.col("tie_ac") * F.col("tie_bc")
+    corner = t.select(*keys, product.alias("product"), F.explode(F.array("a", "b", "c")).alias("email")).groupBy(*keys, "email").agg(F.sum("product").alias("triangles"))
     # both sums over ordered pairs are twice those over triples, and the formula halves them
-    node = degree.join(corner, [*keys, "email"], "left").withColumn("c", F.coalesce(F.try_divide("triangles", F.col("d") * (F.col("d") - 1) - 2 * F.col("bi")), F.lit(0.0)))
-    clustering = node.groupBy(*keys).agg(F.avg("c").alias("clustering"))
-    return clustering.join(census, keys, "left")
+    node = degree.join(corner, [*keys, "email"]).withColumn("c", F.coalesce(F.try_divide("triangles", F.col("d") * (F.col("d") - 1) - 2 * F.col("bi")), F.lit(0.0)))
+    local = sizes.join(node.groupBy(*keys).agg(F.sum("c").alias("c")), keys, "left")  # members without triangles count as 0
+    clustering = local.select(*keys, F.coalesce(F.col("c") / F.col("n"), F.lit(0.0)).alias("clustering"))
+    return clustering.join(census(p, sizes, t, keys), keys, "left")
+
+
+# ---------------------------------------------------------------- whole teams at once
+
+_PACKED = ("n_students", "non_submitter_count", *FEATURES)
+
+
+def packed_features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
+    """(keys, n_students, non_submitter_count, the 25 features) of complete teams, NULL where a team has no pairs, raters or
+    triples for a feature. One shuffle packs a team into a row; teams of one size are a stack of matrices in Arrow batches."""
+    packed = pack(ratings, keys)
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_students int, non_submitter_count int, " + ", ".join(f"{f} double" for f in FEATURES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, stack in stacks(batch):
+                found = team_kernel.features(stack, pool)
+                rows = batch.select(keys).take(pa.array(part))
+                yield pa.RecordBatch.from_arrays([*(rows.column(k) for k in keys), *(pa.array(found[f], mask=np.isnan(found[f])) if f in FEATURES else pa.array(found[f].astype(np.int32)) for f in _PACKED)], names=[*keys, *_PACKED])
+
+    return packed.mapInArrow(run, schema)
+
+
+def triple_features(ratings: DataFrame, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
+    """(keys, clustering, triad_003 .. triad_300) of teams of two or more, the triads NULL for two."""
+    small, large = split_by_size(ratings, most, keys)
+    names = ["clustering", *(f"triad_{t}" for t in TRIADS)]
+    return packed_features(small, keys=keys).where("n_students >= 2").select(*keys, *names).unionByName(sparse_triples(large, keys))
 
 
-def features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS) -> DataFrame:
+def features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
     """(keys, n_students, non_submitter_count, the 25 features). What a team has no pairs, raters or triples for is 0."""
-    out = submission(ratings, pool, keys)
-    for part in (pair_features(ratings, keys), gini(ratings, keys), rater_spread(ratings, keys), assortativity(ratings, keys), triple_features(ratings, keys)):
-        out = out.join(part, keys, "left")
+    small, large = split_by_size(ratings, most, keys)
+    joined = submission(large, pool, keys)
+    for part in (pair_features(large, keys), gini(large, keys), rater_spread(large, keys), assortativity(large, keys), sparse_triples(large, keys)):
+        joined = joined.join(part, keys, "left")
+    out = packed_features(small, pool, keys).unionByName(joined.select(*keys, *_PACKED))
     fill = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in FEATURES}
     return out.select(*keys, "n_students", "non_submitter_count", *(c.alias(f) for f, c in fill.items()))
 

@@ -1,9 +1,9 @@
 """Scoring models: individual weighting factors of all members of all teams.
 
-The averages are aggregates. The iterative models need a team's matrix over and over, so a team is packed into one row
-(one shuffle for all models) and solved in Arrow batches: teams of one size are one stack of matrices, iterated together until
-each has converged. A team of n members takes n * n numbers of a row; for teams of thousands
-``operators.large`` iterates PeerRank as joins.
+The averages are aggregates. The iterative models need a team's matrix over and over, so a complete team of up to ``PACKED_MEMBERS``
+is packed into one row (one shuffle for all models) and solved in Arrow batches: teams of one size are one stack of matrices, iterated
+together until each has converged. Larger and incomplete teams are iterated over the scores that there are (``operators.sparse``).
+Models of one's own are functions of a team's matrix, or of tables.
 """
 
 from __future__ import annotations
@@ -125,8 +125,28 @@ def _peerhits(s: np.ndarray, inside: np.ndarray, epsilon=1e-6, most=1000):
     return _mean_ten(a, inside), _mean_ten(h, inside), done, rounds, l1, np.full(b, -1)
 
 
+def _averages(s: np.ndarray, model: str):
+    """``baseline`` and ``webpa`` on a stack, as the iterative models give theirs; a team of zeros fails WebPA with member n."""
+    b, n, _ = s.shape
+    if model == "baseline":
+        peer = _peers(s)
+        there = ~np.isnan(peer)
+        iwf, fail = np.divide(np.where(there, peer, 0.0).sum(axis=2), there.sum(axis=2), out=np.full((b, n), np.nan), where=there.any(axis=2)), np.full(b, -1)
+    else:
+        points = np.nansum(s, axis=2)
+        mean = points.mean(axis=1, keepdims=True)
+        iwf, fail = np.divide(points, mean, out=np.full((b, n), np.nan), where=mean != 0) * 10, np.where(mean[:, 0] == 0, n, -1)
+    return iwf, np.full((b, n), np.nan), np.full(b, None), np.zeros(b, int), np.full(b, np.nan), fail
+
+
+#: What ``solve`` knows.
+STACKED = ("baseline", "webpa", *ITERATIVE)
+
+
 def solve(s: np.ndarray, model: str):
     """One model on a stack (teams, recipients, givers), NaN for missing."""
+    if model in ("baseline", "webpa"):
+        return _averages(s, model)
     core = _peerrank if model.startswith("peerrank") else _peerhits
     b, n, _ = s.shape
     everyone = np.ones((b, n), bool)
@@ -142,37 +162,91 @@ def solve(s: np.ndarray, model: str):
     return iwf, hub, np.where(few, None, converged), np.where(few, 0, rounds), np.where(few, np.nan, l1), np.where(few, -1, fail)
 
 
+def stacks(batch: pa.RecordBatch, times: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of a batch of packed teams: row numbers of teams of one size, and their matrices (teams, recipients, givers). ``times``:
+    how many matrices the caller makes of each."""
+    sizes = batch.column("n").to_numpy(zero_copy_only=False)
+    flat = batch.column("cells").flatten().to_numpy(zero_copy_only=False).astype(float)
+    starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) ** 2)])
+    for n in np.unique(sizes).tolist():
+        same = np.flatnonzero(sizes == n)
+        for part in np.array_split(same, max(1, -(-len(same) * n * n * times // STACK_CELLS))):
+            yield part, flat[(starts[part][:, None] + np.arange(n * n))].reshape(len(part), n, n)
+
+
+#: Complete teams of so many members are packed into rows as matrices.
+PACKED_MEMBERS = 64
+
+
+def split_by_size(ratings: DataFrame, most: int, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
+    """The ratings of complete teams of at most ``most`` members, and all others. Both come from one shuffle by team."""
+    w = Window.partitionBy(*keys)
+    sized = ratings.withColumns({"_cells": F.count("*").over(w), "_own": F.count_if(F.col("giver") == F.col("recipient")).over(w)})
+    packed = (F.col("_cells") == F.col("_own") * F.col("_own")) & (F.col("_own") <= most)
+    return sized.where(packed).drop("_cells", "_own"), sized.where(~packed).drop("_cells", "_own")
+
+
 def iterative(ratings: DataFrame, models: tuple[str, ...] = ITERATIVE, keys: list[str] = KEYS) -> DataFrame:
-    """All named models in one pass over packed teams. A team for which a model fails has rows with its error and NULL scores."""
+    """All named models in one pass over packed teams, which must be complete. A team for which a model fails has rows with its
+    error and NULL scores."""
     packed = pack(ratings, keys)
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + IWF
+    own = {m: MATRIX_MODELS[m] for m in models if m in MATRIX_MODELS}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("n").to_numpy(zero_copy_only=False)
-            cells = batch.column("cells")
-            flat = cells.flatten().to_numpy(zero_copy_only=False).astype(float)
-            starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) ** 2)])
-            for n in np.unique(sizes).tolist():
-                same = np.flatnonzero(sizes == n)
-                for part in np.array_split(same, max(1, -(-len(same) * n * n // STACK_CELLS))):
-                    stack = np.stack([flat[starts[k] : starts[k + 1]].reshape(n, n) for k in part])
-                    rows = batch.take(pa.array(np.repeat(part, n)))
-                    emails = batch.column("emails").take(pa.array(part)).flatten()
-                    for model in models:
+            for part, stack in stacks(batch):
+                n = stack.shape[1]
+                rows = batch.select(keys).take(pa.array(np.repeat(part, n)))
+                emails = batch.column("emails").take(pa.array(part)).flatten()
+                for model in models:
+                    if model in own:
+                        yield _by_matrix(own[model], rows, keys, emails, model, stack)
+                    else:
                         yield _as_batch(rows, keys, emails, model, solve(stack, model), n)
 
     return packed.mapInArrow(run, schema)
 
 
+def _by_matrix(fn: MatrixModel, rows: pa.RecordBatch, keys: list[str], emails: pa.Array, model: str, stack: np.ndarray) -> pa.RecordBatch:
+    """A model of one's own, team by team. What it raises, or a wrong number of scores, is that team's error, and others go on."""
+    b, n, _ = stack.shape
+    names, columns = emails.to_pylist(), {c: [] for c in ("iwf", "hub", "converged", "iterations", "final_l1", "error")}
+    for k in range(b):
+        team, found, error = names[k * n : (k + 1) * n], {}, None
+        try:
+            found = fn(stack[k].copy(), team)
+            found = dict(found) if isinstance(found, dict) else {"iwf": found}
+            for c in ("iwf", "hub"):
+                values = np.asarray([np.nan] * n if found.get(c) is None else found[c], float)
+                if values.shape != (n,):
+                    raise ValueError(f"{c} of {values.size} scores for {n} members")
+                found[c] = [None if np.isnan(v) else v for v in values.tolist()]
+        except Exception as e:  # whatever a model of one's own raises
+            found, error = {"iwf": [None] * n, "hub": [None] * n}, f"{type(e).__name__}: {e}"
+        for c in ("iwf", "hub"):
+            columns[c] += found[c]
+        for c, kind in (("converged", bool), ("iterations", int), ("final_l1", float)):
+            columns[c] += [None if found.get(c) is None else kind(found[c])] * n
+        columns["error"] += [error] * n
+    kinds = {"iwf": pa.float64(), "hub": pa.float64(), "converged": pa.bool_(), "iterations": pa.int32(), "final_l1": pa.float64(), "error": pa.string()}
+    arrays = [rows.column(c) for c in keys] + [emails, pa.array([model] * len(names))] + [pa.array(columns[c], kinds[c]) for c in kinds]
+    return pa.RecordBatch.from_arrays(arrays, names=[*keys, "email", "model", *kinds])
+
+
+def failure(model: str, members: list[str], failing: int) -> str:
+    """What is said of a run that fails because of a member."""
+    return "all scores are zero" if model == "webpa" else f"ValueError: {members[failing]} gave only zeros"
+
+
 def _as_batch(rows: pa.RecordBatch, keys: list[str], emails: pa.Array, model: str, solved, n: int) -> pa.RecordBatch:
     iwf, hub, converged, rounds, l1, fail = solved
     failed = np.repeat(fail >= 0, n)
     iwf, hub = iwf.ravel(), hub.ravel()
     idle = np.repeat(rounds == 0, n)
     names = emails.to_pylist()
-    message = [f"ValueError: {names[k * n + f]} gave only zeros" if f >= 0 else None for k, f in enumerate(fail.tolist())]
+    message = [failure(model, names[k * n : (k + 1) * n], f) if f >= 0 else None for k, f in enumerate(fail.tolist())]
     columns = [rows.column(k) for k in keys] + [
         emails,
         pa.array([model] * len(iwf)),
@@ -188,28 +262,56 @@ def _as_batch(rows: pa.RecordBatch, keys: list[str], emails: pa.Array, model: st
 
 # ---------------------------------------------------------------- registry
 
-MODELS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {}
+MODELS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {"baseline": baseline, "webpa": webpa}
+#: Names of registered models that packed teams can't run.
+REPLACED: set[str] = set()
+MatrixModel = Callable[[np.ndarray, list[str]], "np.ndarray | dict"]
+MATRIX_MODELS: dict[str, MatrixModel] = {}
 
 
 def register_model(name: str, fn: Callable[[DataFrame, list[str]], DataFrame]) -> None:
-    """Add a model: ratings and keys to rows of the iwf table (without the column model)."""
+    """Add a model of tables: ratings and keys to rows of the iwf table (without the column model)."""
     MODELS[name] = fn
+    REPLACED.add(name)
+
+
+def register_matrix_model(name: str, fn: MatrixModel) -> None:
+    """Add a model of one team: the matrix (recipients, givers; NaN for missing) and the members' e-mails to their scores, or to a
+    dictionary with iwf and, if it has them, hub, converged, iterations and final_l1. It runs in tasks, so it must be picklable.
+    A team for which it raises has the exception as its error."""
+    MATRIX_MODELS[name] = fn
 
 
-register_model("baseline", baseline)
-register_model("webpa", webpa)
 NAMES = ("baseline", "peerrank-impute", "peerrank-exclude", "webpa", "peerhits-impute", "peerhits-exclude")
 
 
-def score(ratings: DataFrame, models: tuple[str, ...] = NAMES, keys: list[str] = KEYS) -> DataFrame:
-    """The iwf table of the named models; unknown names are an error."""
-    unknown = [m for m in models if m not in MODELS and m not in ITERATIVE]
+def score(ratings: DataFrame, models: tuple[str, ...] = NAMES, keys: list[str] = KEYS, most: int = PACKED_MEMBERS, joins: bool = False) -> DataFrame:
+    """The iwf table of the named models; unknown names are an error. Complete teams of at most ``most`` members are packed. ``joins``: teams
+    with more scores than a task takes are iterated step by step, which runs when this is called; without it they raise an error."""
+    from ratingscope.operators import sparse
+
+    unknown = [m for m in models if m not in MODELS and m not in ITERATIVE and m not in MATRIX_MODELS]
     if unknown:
         raise ValueError(f"unknown models: {', '.join(unknown)}")
-    packed = tuple(m for m in models if m in ITERATIVE and m not in MODELS)
-    parts = [MODELS[m](ratings, keys).withColumn("model", F.lit(m)) for m in models if m in MODELS]
-    if packed:
-        parts.append(iterative(ratings, packed, keys))
+    own = [m for m in models if m in REPLACED or m in MODELS and m not in STACKED]
+    inside = tuple(m for m in models if m not in own)
+    tables = lambda df, names: [MODELS[m](df, keys).withColumn("model", F.lit(m)) for m in names]
+    parts = tables(ratings, own)
+    if set(inside) <= {"baseline", "webpa"}:
+        parts += tables(ratings, inside)
+    else:
+        small, large = split_by_size(ratings, most, keys)
+        steps = tuple(m for m in inside if m in ITERATIVE)
+        parts += [iterative(small, inside, keys), *tables(large, [m for m in inside if m in ("baseline", "webpa")])]
+        if steps and joins:
+            large_, huge = sparse.by_task(large, keys)
+            parts += [sparse.iterative(large_, steps, keys), *(sparse.joined(huge, m, keys=keys) for m in steps)]
+        elif steps:
+            parts.append(sparse.iterative(large, steps, keys))
+        if matrix := tuple(m for m in inside if m in MATRIX_MODELS):
+            from ratingscope.operators.members import grid
+
+            parts.append(iterative(grid(large, keys), matrix, keys))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,18 +1,23 @@
 """Counterfactual ratings: how far would the scores move if raters had rated otherwise.
 
 Each transform maps ratings to ratings and changes active raters' columns only. ``variants`` stacks the results under a key
-more, so that every model runs once over all of them.
+more, so that every model runs once over all of them. ``runs`` does the same inside of packed teams wherever it can.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingscope.operators import models
+from ratingscope.operators import perturb_kernel as kernel
+from ratingscope.operators.models import PACKED_MEMBERS, split_by_size
 from ratingscope.schema import KEYS
+from ratingscope.shared import written
 
 
 def _own() -> Column:
@@ -138,14 +143,19 @@ register_perturbation("zero_self_partial", lambda r, k: zero_self(r, colluders=2
 register_perturbation("targeted_downvote", lambda r, k: targeted_downvote(r, keys=k))
 
 
-def variants(ratings: DataFrame, n_perms: int = 0, seed: int = 0, keys: list[str] = KEYS) -> DataFrame:
-    """The clean ratings, each registered perturbation, and ``n_perms`` permutations, under the keys variant and perm."""
+#: Whose transforms ``packed_runs`` knows, too.
+BUILT_IN = dict(PERTURBATIONS)
+
+
+def variants(ratings: DataFrame, n_perms: int = 0, seed: int = 0, keys: list[str] = KEYS, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The clean ratings, each registered perturbation (those named), and ``n_perms`` permutations, under the keys variant and perm."""
     cols = [*keys, "giver", "recipient", "score"]
     slim = ratings.select(cols)
     tag = lambda df, name: df.select(*cols, F.lit(name).alias("variant"), F.lit(0).alias("perm"))
     out = tag(slim, "clean")
     for name, fn in PERTURBATIONS.items():
-        out = out.unionByName(tag(fn(slim, keys), name))
+        if names is None or name in names:
+            out = out.unionByName(tag(fn(slim, keys), name))
     if n_perms:
         many = slim.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perms))))
         shuffled = single_outlier(many, seed, [*keys, "perm"])
@@ -153,6 +163,75 @@ def variants(ratings: DataFrame, n_perms: int = 0, seed: int = 0, keys: list[str
     return out
 
 
+RUN = ("variant string", "perm int", "model string", "error string", "iterations int", "converged boolean", "delta double")
+
+
+def packed_runs(ratings: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NAMES, seed: int = 0, keys: list[str] = KEYS) -> DataFrame:
+    """What ``deltas`` gives for the scores of ``variants``, for complete teams. A team is packed once; its variants and permutations
+    are made in the task, as stacks of matrices, and every model runs over all of them together: one shuffle for all."""
+    packed = models.pack(ratings, keys).withColumn("_id", F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+    types = {f.name: f.dataType.simpleString() for f in packed.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + ", ".join(RUN)
+
+    def rows(batch: pa.RecordBatch, part: np.ndarray, emails: list[list[str]], variant: str, perms: list[int], model: str, solved: tuple, clean: tuple, fits: np.ndarray) -> pa.RecordBatch:
+        """One row a team and permutation, of the teams that fit the variant."""
+        iwf, _, converged, rounds, _, fail = solved
+        b, n, p = len(fits), iwf.shape[1], len(perms)
+        fail, rounds, base = fail.reshape(b, p), rounds.reshape(b, p), clean[0][fits]
+        far = kernel.distance(iwf.reshape(b, p, n), base[:, None], fail >= 0, np.broadcast_to((clean[5][fits] >= 0)[:, None], (b, p)))
+        texts = [None if f < 0 else models.failure(model, emails[k], f) for k, many in zip(fits.tolist(), fail.tolist()) for f in many]
+        idle = (rounds == 0).ravel()
+        taken = batch.select(keys).take(pa.array(np.repeat(part[fits], p)))
+        columns = [taken.column(k) for k in keys] + [
+            pa.array([variant] * (b * p)),
+            pa.array(np.tile(np.array(perms, np.int32), b)),
+            pa.array([model] * (b * p)),
+            pa.array(texts, pa.string()),
+            pa.array(rounds.ravel().astype(np.int32), mask=idle),
+            pa.array([None if i else bool(c) for c, i in zip(converged.tolist(), idle.tolist())], pa.bool_()),
+            pa.array(far.ravel(), mask=np.isnan(far.ravel())),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=[*keys, *(c.split()[0] for c in RUN)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, stack in models.stacks(batch, 1 + n_perms):
+                n = stack.shape[1]
+                emails, ids = batch.column("emails").take(pa.array(part)).to_pylist(), batch.column("_id").take(pa.array(part)).to_pylist()
+                raters = kernel.active(stack).sum(axis=1)
+                clean = {m: models.solve(stack, m) for m in names}
+                for variant, (fn, least) in kernel.VARIANTS.items():
+                    fits = np.flatnonzero(raters >= least)
+                    moved = fn(stack[fits])
+                    for m in names if len(fits) else ():
+                        yield rows(batch, part, emails, variant, [0], m, models.solve(moved, m), clean[m], fits)
+                fits = np.flatnonzero(raters >= 1)
+                if n_perms and len(fits):
+                    perms = list(range(1, n_perms + 1))
+                    moved = kernel.single_outlier(stack[fits], [ids[k] for k in fits], [emails[k] for k in fits], perms).reshape(-1, n, n)
+                    for m in names:
+                        yield rows(batch, part, emails, "single_outlier", perms, m, models.solve(moved, m), clean[m], fits)
+
+    return packed.mapInArrow(run, schema)
+
+
+def runs(ratings: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NAMES, seed: int = 0, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
+    """(keys, variant, perm, model, delta, error, iterations, converged) of every registered perturbation and ``n_perms`` permutations.
+
+    The built-in ones run in packed teams; larger and incomplete teams, registered perturbations and registered models take the
+    way over tables. ``ratings`` should be a table, as it is read for both."""
+    columns = [*keys, "variant", "perm", "model", "delta", "error", "iterations", "converged"]
+    tables = lambda df, perms, which: deltas(written(models.score(variants(df, perms, seed, keys, which), names, [*keys, "variant", "perm"]), "scores"), keys).select(columns)
+    if any(m not in models.STACKED or m in models.REPLACED for m in names):  # models of one's own
+        return tables(ratings, n_perms, None)
+    small, large = split_by_size(ratings, most, keys)
+    out = packed_runs(small, n_perms, names, seed, keys).select(columns)
+    own = tuple(v for v, fn in PERTURBATIONS.items() if BUILT_IN.get(v) is not fn)
+    if own:
+        out = out.where(~F.col("variant").isin(*own)).unionByName(tables(small, 0, own))
+    return out if large.isEmpty() else out.unionByName(tables(large, n_perms, None))
+
+
 def deltas(iwf: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, variant, perm, model, delta, error): mean distance of the scores from those of the clean ratings, over members
     with both; ``iwf`` is the score of ``variants``. Variants whose members aren't those of the clean ratings are an error."""

@@ -134,30 +134,30 @@ def non_submitter_kinds(r: DataFrame) -> DataFrame:
 
 @_query
 def rank_reversal_pairs(r: DataFrame) -> DataFrame:
-    pairs = compare.reversal_pairs(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute")))
+    pairs = compare.reversal_pairs(models.score(r))
     return _rounded(pairs, "base_diff", "adv_diff", "magnitude")
 
 
 @_query
 def rank_reversal_summary(r: DataFrame) -> DataFrame:
-    s = compare.reversal_summary(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute")))
+    s = compare.reversal_summary(models.score(r))
     return _rounded(s, "rate")
 
 
 @_query
 def rank_reversal_aggregate(r: DataFrame) -> DataFrame:
-    s = compare.reversal_summary(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute")))
+    s = compare.reversal_summary(models.score(r))
     return _rounded(compare.reversal_aggregate(s), "mean_rate", "pooled_rate")
 
 
 @_query
 def cross_model_delta(r: DataFrame) -> DataFrame:
-    return _rounded(compare.cross_model_delta(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute"))), "delta")
+    return _rounded(compare.cross_model_delta(models.score(r)), "delta")
 
 
 @_query
 def model_pair_delta(r: DataFrame) -> DataFrame:
-    return _rounded(compare.pair_delta(models.score(r, ("baseline", "webpa", "peerrank-impute", "peerhits-impute"))), "delta")
+    return _rounded(compare.pair_delta(models.score(r)), "delta")
 
 
 @_query
@@ -194,16 +194,14 @@ _transform("sabotage_of_the_best", perturb.sabotage_of_the_best)
 
 
 def _attacked(r: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NAMES) -> DataFrame:
-    """Deltas of all perturbations. The ratings are written once for all variants, and the scores for their three uses."""
-    slim = written(r.select(*KEYS, "giver", "recipient", "score"), "ratings")
-    scores = models.score(perturb.variants(slim, n_perms=n_perms), names, [*KEYS, "variant", "perm"])
-    return perturb.deltas(written(scores, "scores"))
+    """Deltas of all perturbations. The ratings are written once, as packed teams and others are taken from them."""
+    return perturb.runs(written(r.select(*KEYS, "giver", "recipient", "score"), "ratings"), n_perms, names)
 
 
 @_query
 def attack_delta(r: DataFrame) -> DataFrame:
-    """Every perturbation under baseline and WebPA, by team."""
-    d = _attacked(r, names=("baseline", "webpa"))
+    """Every perturbation under all six models, by team."""
+    d = _attacked(r)
     return _rounded(d.where("error is null").select(*KEYS, "variant", "model", "delta"), "delta")
 
 
@@ -223,17 +221,35 @@ def attack_failures(r: DataFrame) -> DataFrame:
 
 @_query
 def permutation_robustness(r: DataFrame) -> DataFrame:
-    """A hundred permutations of one rater under baseline and PeerRank."""
-    return _rounded(perturb.permutation_robustness(_attacked(r, 100, ("baseline", "peerrank-impute"))), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
+    """A hundred permutations of one rater under all six models."""
+    return _rounded(perturb.permutation_robustness(_attacked(r, 100)), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
 
 
 @_query
-def robustness_matrix(r: DataFrame) -> DataFrame:
-    wide = perturb.robustness_matrix(perturb.attack_summary(_attacked(r, 100)))
+def two_permutations(r: DataFrame) -> DataFrame:
+    """The same code at two permutations, which its SQL twin can follow."""
+    out = perturb.permutation_robustness(_attacked(r, 2)).select(*KEYS, "model", "n_perms", "mean_delta", "std_delta", "min_delta", "max_delta")
+    return _rounded(out, "mean_delta", "std_delta", "min_delta", "max_delta")
+
+
+def _matrix(r: DataFrame, n_perms: int) -> DataFrame:
+    wide = perturb.robustness_matrix(perturb.attack_summary(_attacked(r, n_perms)))
     names = [n.replace("-", "_") for n in models.NAMES]
     return _rounded(wide.toDF("variant", *names), *names)
 
 
+@_query
+def robustness_matrix(r: DataFrame) -> DataFrame:
+    """Mean deltas of every perturbation under every model, a hundred permutations of one rater among them."""
+    return _matrix(r, 100)
+
+
+@_query
+def robustness_of_two_permutations(r: DataFrame) -> DataFrame:
+    """The same code at two permutations."""
+    return _matrix(r, 2)
+
+
 def _feature(name: str, fn: Callable[[DataFrame], DataFrame], *cols: str) -> None:
     _query(lambda r: _rounded(fn(r).select(*KEYS, *cols), *cols), name=name)
 

@@ -7,16 +7,20 @@ from ratingscope.sources.ratings_view import VIEW_SQL
 
 K = "csv_path, team, question"
 
-BASELINE = f"baseline AS (SELECT {K}, recipient AS email, avg(score) FILTER (WHERE giver <> recipient) AS iwf FROM k GROUP BY ALL)"
-WEBPA = f"""w0 AS (SELECT {K}, recipient AS email, coalesce(sum(score), 0) AS points FROM k GROUP BY ALL),
-w1 AS (SELECT *, avg(points) OVER (PARTITION BY {K}) AS mean FROM w0),
-webpa AS (SELECT {K}, email, points / mean * 10 AS iwf FROM w1 WHERE mean <> 0)"""
+def averages(source: str = "k", p: str = "") -> tuple[str, str]:
+    """CTEs baseline and webpa (w0, w1) over a table of ratings; ``p`` begins their names."""
+    return f"{p}baseline AS (SELECT {K}, recipient AS email, avg(score) FILTER (WHERE giver <> recipient) AS iwf FROM {source} GROUP BY ALL)", f"""{p}w0 AS (SELECT {K}, recipient AS email, coalesce(sum(score), 0) AS points FROM {source} GROUP BY ALL),
+{p}w1 AS (SELECT *, avg(points) OVER (PARTITION BY {K}) AS mean FROM {p}w0),
+{p}webpa AS (SELECT {K}, email, points / mean * 10 AS iwf FROM {p}w1 WHERE mean <> 0)"""
 
 
-def peer(core: str, variant: str) -> str:
+BASELINE, WEBPA = averages()
+
+
+def peer(core: str, variant: str, source: str = "k", p: str = "") -> str:
     """CTEs that end in a table named core_variant (keys, email, iwf, hub) and core_variant_failed (keys, email)."""
-    n = f"{core}_{variant}"
-    sums = f"""{n}0 AS (SELECT *, count(score) FILTER (WHERE giver <> recipient) OVER (PARTITION BY {K}, giver) = 0 AS silent FROM k),
+    n = f"{p}{core}_{variant}"
+    sums = f"""{n}0 AS (SELECT *, count(score) FILTER (WHERE giver <> recipient) OVER (PARTITION BY {K}, giver) = 0 AS silent FROM {source}),
 {n}s AS (SELECT DISTINCT {K}, giver AS email, silent FROM {n}0)"""
     if variant == "impute":
         cells = f"{n}c AS (SELECT {K}, giver, recipient, CASE WHEN silent THEN 10.0 ELSE score END AS score FROM {n}0)"
@@ -63,21 +67,28 @@ def _r(*cols: str) -> str:
     return ", ".join(f"round({c}, 6) + 0.0 AS {c.split('.')[-1]}" for c in cols)
 
 
-FOUR = (BASELINE, WEBPA, peer("peerrank", "impute"), peer("peerhits", "impute"))
-FOUR_ROWS = f"""f4 AS (SELECT {K}, email, 'baseline' AS model, iwf FROM baseline UNION ALL SELECT {K}, email, 'webpa', iwf FROM webpa
-UNION ALL SELECT {K}, email, 'peerrank-impute', iwf FROM peerrank_impute UNION ALL SELECT {K}, email, 'peerhits-impute', iwf FROM peerhits_impute)"""
-PAIRS = f"""x1 AS (SELECT a.csv_path, a.team, a.question, a.email, a.model, b.iwf AS base, a.iwf AS adv FROM f4 a JOIN baseline b USING ({K}, email) WHERE a.model <> 'baseline'),
+SIX_NAMES = ("baseline", "peerrank_impute", "peerrank_exclude", "webpa", "peerhits_impute", "peerhits_exclude")
+
+
+def six(source: str = "k", p: str = "") -> tuple[str, ...]:
+    """CTEs of the six models over a table of ratings, and of all their rows (p_rows: keys, email, model, iwf) and failing runs
+    (p_bad: keys, model, error)."""
+    rows = " UNION ALL ".join(f"SELECT {K}, email, '{n.replace('_', '-')}' AS model, iwf FROM {p}{n}" for n in SIX_NAMES)
+    bad = " UNION ALL ".join(f"SELECT {K}, 'peerrank-{v}', 'ValueError: ' || email || ' gave only zeros' FROM {p}peerrank_{v}_failed" for v in ("impute", "exclude"))
+    peers = (peer(core, v, source, p) for core in ("peerrank", "peerhits") for v in ("impute", "exclude"))
+    return (*averages(source, p), *peers, f"{p}rows AS ({rows})", f"{p}bad AS (SELECT DISTINCT {K}, 'webpa' AS model, 'all scores are zero' AS error FROM {p}w1 WHERE mean = 0 UNION ALL {bad})")
+
+
+SIX = six()
+PAIRS = f"""x1 AS (SELECT a.csv_path, a.team, a.question, a.email, a.model, b.iwf AS base, a.iwf AS adv FROM rows a JOIN baseline b USING ({K}, email) WHERE a.model <> 'baseline'),
 x2 AS (SELECT p.csv_path, p.team, p.question, p.model, p.email AS ea, q.email AS eb, p.base AS ba, q.base AS bb, p.adv AS aa, q.adv AS ab FROM x1 p JOIN x1 q USING ({K}, model) WHERE p.email < q.email),
 x3 AS (SELECT *, ba >= bb AS up, abs(ba - bb) AS base_diff, CASE WHEN ba >= bb THEN aa - ab ELSE ab - aa END AS adv_diff FROM x2),
 x4 AS (SELECT *, coalesce(round(base_diff, 9) >= 1.5 AND aa IS NOT NULL AND ab IS NOT NULL, false) AS eligible FROM x3),
 x5 AS (SELECT *, eligible AND round(adv_diff, 9) < 0 AS reversed FROM x4)"""
 SUMMARY = f"x6 AS (SELECT {K}, model, count(*) FILTER (WHERE reversed) AS reversed, count(*) FILTER (WHERE eligible) AS eligible, count(*) AS pairs FROM x5 GROUP BY ALL)"
 
-SIX = (BASELINE, WEBPA, *(peer(core, v) for core in ("peerrank", "peerhits") for v in ("impute", "exclude")))
-SIX_NAMES = ("baseline", "peerrank_impute", "peerrank_exclude", "webpa", "peerhits_impute", "peerhits_exclude")
 #: Six models' runs that fail, as (keys, model, error).
-FAILED = f"""SELECT DISTINCT {K}, 'webpa' AS model, 'all scores are zero' AS error FROM w1 WHERE mean = 0
-UNION ALL SELECT {K}, 'peerrank-impute', 'ValueError: ' || email || ' gave only zeros' FROM peerrank_impute_failed UNION ALL SELECT {K}, 'peerrank-exclude', 'ValueError: ' || email || ' gave only zeros' FROM peerrank_exclude_failed"""
+FAILED = f"SELECT {K}, model, error FROM bad"
 
 ACTIVE = f"""g0 AS (SELECT *, count(score) OVER (PARTITION BY {K}, giver) > 0 AS active FROM k),
 g1 AS (SELECT *, count(*) FILTER (WHERE active AND giver = recipient) OVER (PARTITION BY {K}) AS raters, count(*) FILTER (WHERE giver = recipient) OVER (PARTITION BY {K}) AS n FROM g0),
@@ -101,12 +112,17 @@ h AS (SELECT {CELL}, CASE WHEN NOT active OR giver = victim THEN score WHEN reci
 
 FIRST_RATER = f"SELECT {K}, giver AS victim FROM g2 WHERE rank = 1"
 BEST = f"SELECT {K}, arg_min(email, struct_pack(x := -iwf, e := email)) AS victim FROM baseline WHERE iwf IS NOT NULL GROUP BY ALL"
-OUTLIER = f"""o1 AS (SELECT {K}, arg_min(giver, md5(concat_ws('|', '0', {K}, giver))) AS chosen FROM g2 GROUP BY ALL),
-o2 AS (SELECT g.csv_path, g.team, g.question, giver, recipient, score, giver = chosen AS out FROM g JOIN o1 USING ({K})),
-o3 AS (SELECT {CELL}, row_number() OVER (PARTITION BY {K}, giver ORDER BY recipient) AS r FROM o2 WHERE out AND giver <> recipient),
-o4 AS (SELECT {K}, giver, score AS dealt, row_number() OVER (PARTITION BY {K}, giver ORDER BY md5(concat_ws('|', '0', {K}, giver, recipient)), recipient) AS r FROM o2 WHERE out AND giver <> recipient),
-o5 AS (SELECT {CELL}, dealt FROM o3 JOIN o4 USING ({K}, giver, r)),
-o AS (SELECT {CELL}, CASE WHEN out THEN dealt ELSE score END AS score FROM o2 LEFT JOIN o5 USING ({CELL}))"""
+def outlier(perm: str = "", perms: str = "") -> str:
+    """``perm``: a column name and a comma, ``perms`` a join that has it."""
+    return f"""o1 AS (SELECT {K}, {perm} arg_min(giver, md5(concat_ws('|', '0', {K}, {perm} giver))) AS chosen FROM g2 {perms} GROUP BY ALL),
+o2 AS (SELECT g.csv_path, g.team, g.question, {perm} giver, recipient, score, giver = chosen AS out FROM g JOIN o1 USING ({K})),
+o3 AS (SELECT {perm} {CELL}, row_number() OVER (PARTITION BY {K}, {perm} giver ORDER BY recipient) AS r FROM o2 WHERE out AND giver <> recipient),
+o4 AS (SELECT {perm} {K}, giver, score AS dealt, row_number() OVER (PARTITION BY {K}, {perm} giver ORDER BY md5(concat_ws('|', '0', {K}, {perm} giver, recipient)), recipient) AS r FROM o2 WHERE out AND giver <> recipient),
+o5 AS (SELECT {perm} {CELL}, dealt FROM o3 JOIN o4 USING ({perm} {K}, giver, r)),
+o AS (SELECT {perm} {CELL}, CASE WHEN out THEN dealt ELSE score END AS score FROM o2 LEFT JOIN o5 USING ({perm} {CELL}))"""
+
+
+OUTLIER = outlier()
 
 EDGES = f"""e AS (SELECT {K}, giver, recipient, score AS weight FROM k WHERE score IS NOT NULL AND giver <> recipient)"""
 
@@ -155,21 +171,41 @@ cf AS (SELECT {K}, avg(coalesce(triangles / nullif(d * (d - 1) - 2 * bi, 0), 0))
 tf AS (SELECT cf.*, tc.* EXCLUDE (csv_path, team, question) FROM cf LEFT JOIN tc USING ({K}))"""
 _features = [*BEHAVIOUR, *(f"triad_{t}" for t in TRIADS)]
 ALL_FEATURES = (EDGES, PAIR_FEATURES, GINI, SPREAD, SUBMISSION, ASSORT, TRIPLES, f"fm AS (SELECT uf.csv_path, uf.team, uf.question, n_students, non_submitter_count, {', '.join(f'coalesce({c}, 0) AS {c}' for c in _features)} FROM uf LEFT JOIN pf USING ({K}) LEFT JOIN gf USING ({K}) LEFT JOIN sf USING ({K}) LEFT JOIN af USING ({K}) LEFT JOIN tf USING ({K}))")
-MOVES = f"""mv AS (SELECT 'clean' AS variant, {CELL}, score FROM k UNION ALL SELECT 'uniform_inflation', * FROM ({UNIFORM}) UNION ALL SELECT 'zero_self_full', * FROM ({ZERO})
-UNION ALL SELECT 'zero_self_partial', * FROM ({ZERO2}) UNION ALL SELECT 'targeted_downvote', * FROM h),
-mb AS (SELECT variant, {K}, recipient AS email, avg(score) FILTER (WHERE giver <> recipient) AS b, coalesce(sum(score), 0) AS points FROM mv GROUP BY ALL),
-mw AS (SELECT *, avg(points) OVER (PARTITION BY variant, {K}) AS mean FROM mb),
-mm AS (SELECT variant, {K}, email, 'baseline' AS model, b AS iwf FROM mw UNION ALL SELECT variant, {K}, email, 'webpa', points / mean * 10 FROM mw WHERE mean <> 0)"""
+
+
+def attacked(n_perms: int = 0) -> tuple[str, ...]:
+    """CTEs of every perturbation under the six models: d (keys, variant, perm, model, delta), and e (keys, variant, perm, model,
+    error). While models run, variant and permutation are part of the key csv_path."""
+    moves = {"clean": "SELECT * FROM k", "uniform_inflation": UNIFORM, "zero_self_full": ZERO, "zero_self_partial": ZERO2, "targeted_downvote": "SELECT * FROM h"}
+    parts = [f"SELECT csv_path || '#{v}#0' AS csv_path, team, question, giver, recipient, score FROM ({q})" for v, q in moves.items()]
+    more = ()
+    if n_perms:
+        more = (outlier("perm,", f"CROSS JOIN range(1, {n_perms + 1}) _p(perm)"),)
+        parts.append("SELECT csv_path || '#single_outlier#' || perm, team, question, giver, recipient, score FROM o")
+    back = "split_part(csv_path, '#', 1) AS csv_path, team, question, split_part(csv_path, '#', 2) AS variant, CAST(split_part(csv_path, '#', 3) AS INT) AS perm"
+    return (
+        ACTIVE, downvote(FIRST_RATER), *more, "mv AS MATERIALIZED (" + " UNION ALL ".join(parts) + ")", *six("mv", "m_"),
+        f"s AS MATERIALIZED (SELECT {back}, email, model, iwf FROM m_rows)",
+        f"""d AS (SELECT a.csv_path, a.team, a.question, a.variant, a.perm, a.model, avg(abs(a.iwf - c.iwf)) AS delta FROM s a LEFT JOIN s c
+ ON (a.csv_path, a.team, a.question, a.email, a.model) = (c.csv_path, c.team, c.question, c.email, c.model) AND c.variant = 'clean' WHERE a.variant <> 'clean' GROUP BY ALL)""",
+        f"e AS (SELECT {back}, model, error FROM m_bad)",
+    )
+
+
+ATTACK_FAILURES = f"""SELECT {K}, variant, error FROM (SELECT {K}, count(DISTINCT giver) FILTER (WHERE active) AS raters FROM g0 GROUP BY ALL)
+JOIN (VALUES ('zero_self_full', 2, 'fewer than two active raters'), ('zero_self_partial', 2, 'fewer than two active raters'), ('targeted_downvote', 1, 'no active rater'), ('single_outlier', 1, 'no active rater')) n(variant, least, error) ON raters < least"""
+#: Means over teams; permutations of a team count as one.
+SUMMARY_OF_ATTACKS = f"SELECT variant, model, avg(delta) AS mean_delta FROM (SELECT {K}, variant, model, avg(delta) AS delta FROM d GROUP BY ALL) WHERE delta IS NOT NULL GROUP BY ALL"
 
 ORACLE_SQL: dict[str, str] = {
     "baseline_iwf": _with(BASELINE) + f"SELECT {K}, email, {_r('iwf')} FROM baseline",
     "webpa_iwf": _with(WEBPA) + f"SELECT {K}, email, {_r('iwf')} FROM webpa",
     **{f"peerrank{v and '_' + v}_iwf": _with(peer("peerrank", v or "core")) + f"SELECT {K}, email, {_r('iwf')} FROM peerrank_{v or 'core'}" for v in ("", "impute", "exclude")},
     **{f"peerhits{v and '_' + v}_iwf": _with(peer("peerhits", v or "core")) + f"SELECT {K}, email, {_r('iwf', 'hub')} FROM peerhits_{v or 'core'}" for v in ("", "impute", "exclude")},
-    "run_failures": _with(WEBPA, peer("peerrank", "impute"), peer("peerrank", "exclude")) + FAILED,
-    "batch_totals": _with(WEBPA, peer("peerrank", "impute"), peer("peerrank", "exclude"), f"bad AS (SELECT count(*) AS failed FROM ({FAILED}))")
-    + f"SELECT count(DISTINCT csv_path) AS files, count(DISTINCT ({K})) AS matrices, 6 * count(DISTINCT ({K})) AS runs, 6 * count(DISTINCT ({K})) - any_value(failed) AS succeeded, any_value(failed) AS failed FROM k, bad",
-    "convergence_stats": _with(*SIX[2:], "it AS (" + " UNION ALL ".join(f"SELECT '{n.replace('_', '-')}' AS model, t.csv_path, t.team, t.question, nullif(iterations, 0) AS iterations FROM (SELECT DISTINCT {K} FROM k) t LEFT JOIN {n}f USING ({K}) ANTI JOIN {n}_failed USING ({K})" for n in SIX_NAMES if n.startswith("peer")) + ")")
+    "run_failures": _with(*SIX) + FAILED,
+    "batch_totals": _with(*SIX, f"nb AS (SELECT count(*) AS failed FROM ({FAILED}))")
+    + f"SELECT count(DISTINCT csv_path) AS files, count(DISTINCT ({K})) AS matrices, 6 * count(DISTINCT ({K})) AS runs, 6 * count(DISTINCT ({K})) - any_value(failed) AS succeeded, any_value(failed) AS failed FROM k, nb",
+    "convergence_stats": _with(*SIX, "it AS (" + " UNION ALL ".join(f"SELECT '{n.replace('_', '-')}' AS model, t.csv_path, t.team, t.question, nullif(iterations, 0) AS iterations FROM (SELECT DISTINCT {K} FROM k) t LEFT JOIN {n}f USING ({K}) ANTI JOIN {n}_failed USING ({K})" for n in SIX_NAMES if n.startswith("peer")) + ")")
     + """SELECT model, count(*) AS total_runs, count(*) FILTER (WHERE iterations < 1000) AS converged, count(*) FILTER (WHERE iterations >= 1000) AS non_converged, round(avg(iterations), 6) + 0.0 AS mean_iterations,
 round(median(iterations), 6) + 0.0 AS median_iterations, min(iterations) AS min_iterations, max(iterations) AS max_iterations FROM it GROUP BY model HAVING max(iterations) IS NOT NULL""",
     "iwf_side_by_side": _with(*SIX) + f"SELECT w0.csv_path, w0.team, w0.question, w0.email, " + ", ".join(f"round({n}.iwf, 6) + 0.0 AS {n}" for n in SIX_NAMES)
@@ -186,13 +222,13 @@ FROM (SELECT 'baseline' AS model, iwf FROM baseline UNION ALL SELECT 'webpa', CA
     + "SELECT 'rater_missing' AS event, count(*) AS n FROM t WHERE silent UNION ALL SELECT 'team_excluded', count(*) FROM c WHERE n_missing >= 0.5 * n_members UNION ALL SELECT 'point_total_mismatch', count(*) FROM zz WHERE abs(total - team_median) > 1.0",
     "non_submitter_kinds": _with(f"y AS (SELECT {K}, giver, count(score) AS s, count(score) FILTER (WHERE giver <> recipient) AS p FROM r GROUP BY ALL)")
     + "SELECT 'a' AS kind, count(*) AS n FROM y WHERE s = 0 UNION ALL SELECT 'b', count(*) FROM y WHERE p = 0 UNION ALL SELECT 'c', count(*) FROM y WHERE s = 0 UNION ALL SELECT 'd', count(*) FROM y WHERE s > 0",
-    "rank_reversal_pairs": _with(*FOUR, FOUR_ROWS, PAIRS) + f"SELECT {K}, model, CASE WHEN up THEN ea ELSE eb END AS higher, CASE WHEN up THEN eb ELSE ea END AS lower, {_r('base_diff', 'adv_diff')}, round(base_diff + abs(adv_diff), 6) + 0.0 AS magnitude FROM x5 WHERE reversed",
-    "rank_reversal_summary": _with(*FOUR, FOUR_ROWS, PAIRS, SUMMARY) + f"SELECT {K}, model, reversed, eligible, pairs, round(coalesce(reversed / nullif(eligible, 0), 0), 6) + 0.0 AS rate FROM x6",
-    "rank_reversal_aggregate": _with(*FOUR, FOUR_ROWS, PAIRS, SUMMARY)
+    "rank_reversal_pairs": _with(*SIX, PAIRS) + f"SELECT {K}, model, CASE WHEN up THEN ea ELSE eb END AS higher, CASE WHEN up THEN eb ELSE ea END AS lower, {_r('base_diff', 'adv_diff')}, round(base_diff + abs(adv_diff), 6) + 0.0 AS magnitude FROM x5 WHERE reversed",
+    "rank_reversal_summary": _with(*SIX, PAIRS, SUMMARY) + f"SELECT {K}, model, reversed, eligible, pairs, round(coalesce(reversed / nullif(eligible, 0), 0), 6) + 0.0 AS rate FROM x6",
+    "rank_reversal_aggregate": _with(*SIX, PAIRS, SUMMARY)
     + """SELECT model, round(coalesce(avg(reversed / eligible) FILTER (WHERE eligible > 0), 0), 6) + 0.0 AS mean_rate, CAST(sum(reversed) AS BIGINT) AS reversed, CAST(sum(eligible) AS BIGINT) AS eligible, CAST(sum(pairs) AS BIGINT) AS pairs,
 count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams, round(coalesce(sum(reversed) / nullif(sum(eligible), 0), 0), 6) + 0.0 AS pooled_rate FROM x6 GROUP BY model""",
-    "cross_model_delta": _with(*FOUR, FOUR_ROWS) + f"SELECT {K}, round(coalesce(avg(spread) FILTER (WHERE n >= 2), 0), 6) + 0.0 AS delta FROM (SELECT {K}, email, stddev_pop(iwf) AS spread, count(iwf) AS n FROM f4 GROUP BY ALL) GROUP BY ALL",
-    "model_pair_delta": _with(*FOUR, FOUR_ROWS) + f"SELECT a.csv_path, a.team, a.question, a.model AS model_a, b.model AS model_b, round(avg(abs(a.iwf - b.iwf)), 6) + 0.0 AS delta FROM f4 a JOIN f4 b USING ({K}, email) WHERE a.model < b.model AND a.iwf IS NOT NULL AND b.iwf IS NOT NULL GROUP BY ALL",
+    "cross_model_delta": _with(*SIX) + f"SELECT {K}, round(coalesce(avg(spread) FILTER (WHERE n >= 2), 0), 6) + 0.0 AS delta FROM (SELECT {K}, email, stddev_pop(iwf) AS spread, count(iwf) AS n FROM rows GROUP BY ALL) GROUP BY ALL",
+    "model_pair_delta": _with(*SIX) + f"SELECT a.csv_path, a.team, a.question, a.model AS model_a, b.model AS model_b, round(avg(abs(a.iwf - b.iwf)), 6) + 0.0 AS delta FROM rows a JOIN rows b USING ({K}, email) WHERE a.model < b.model AND a.iwf IS NOT NULL AND b.iwf IS NOT NULL GROUP BY ALL",
     "distinct_teams": _with() + "SELECT count(DISTINCT team) AS unique_teams, count(DISTINCT csv_path) AS sessions FROM k",
     "team_size_stats": _with(f"z AS (SELECT {K}, count(DISTINCT recipient) AS n FROM k GROUP BY ALL)") + "SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) + 0.0 AS mean_size, round(median(n), 6) + 0.0 AS median_size, count(*) AS matrices FROM z",
     "iwf_range": _with(BASELINE) + "SELECT round(min(iwf), 6) + 0.0 AS min_iwf, round(max(iwf), 6) + 0.0 AS max_iwf, round(avg(iwf), 6) + 0.0 AS mean_iwf, round(stddev_pop(iwf), 6) + 0.0 AS std_iwf FROM baseline",
@@ -202,10 +238,12 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "targeted_downvote": _with(ACTIVE, downvote(FIRST_RATER)) + f"SELECT {CELL}, {_r('score')} FROM h",
     "sabotage_of_the_best": _with(ACTIVE, BASELINE, downvote(BEST)) + f"SELECT {CELL}, {_r('score')} FROM h",
     "single_outlier": _with(ACTIVE, OUTLIER) + f"SELECT {CELL}, {_r('score')} FROM o",
-    "attack_failures": _with(ACTIVE) + f"""SELECT {K}, variant, error FROM (SELECT {K}, count(DISTINCT giver) FILTER (WHERE active) AS raters FROM g0 GROUP BY ALL)
-JOIN (VALUES ('zero_self_full', 2, 'fewer than two active raters'), ('zero_self_partial', 2, 'fewer than two active raters'), ('targeted_downvote', 1, 'no active rater'), ('single_outlier', 1, 'no active rater')) n(variant, least, error) ON raters < least""",
+    "attack_failures": _with(ACTIVE) + ATTACK_FAILURES,
     "strategic_silence": _with(ACTIVE) + f"SELECT {CELL}, round(CASE WHEN rank = 1 THEN NULL ELSE score END, 6) + 0.0 AS score FROM g",
-    "attack_delta": _with(ACTIVE, downvote(FIRST_RATER), MOVES) + f"SELECT a.csv_path, a.team, a.question, a.variant, a.model, round(avg(abs(a.iwf - c.iwf)), 6) + 0.0 AS delta FROM mm a LEFT JOIN mm c ON (a.csv_path, a.team, a.question, a.email, a.model) = (c.csv_path, c.team, c.question, c.email, c.model) AND c.variant = 'clean' WHERE a.variant <> 'clean' GROUP BY ALL",
+    "attack_delta": _with(*attacked()) + f"SELECT {K}, variant, model, round(delta, 6) + 0.0 AS delta FROM d",
+    "attack_runs": _with(*attacked()) + f"SELECT {K}, variant, model, round(delta, 6) + 0.0 AS delta, NULL AS error FROM d UNION ALL SELECT {K}, variant, model, NULL, error FROM e WHERE variant <> 'clean' UNION ALL SELECT {K}, variant, NULL, NULL, error FROM ({ATTACK_FAILURES})",
+    "robustness_of_two_permutations": _with(*attacked(2)) + "SELECT variant, " + ", ".join(f"round(max(mean_delta) FILTER (WHERE model = '{n.replace('_', '-')}'), 6) + 0.0 AS {n}" for n in SIX_NAMES) + f" FROM ({SUMMARY_OF_ATTACKS}) GROUP BY variant",
+    "two_permutations": _with(*attacked(2)) + f"SELECT {K}, model, count(delta) AS n_perms, round(avg(delta), 6) + 0.0 AS mean_delta, round(stddev_pop(delta), 6) + 0.0 AS std_delta, round(min(delta), 6) + 0.0 AS min_delta, round(max(delta), 6) + 0.0 AS max_delta FROM d WHERE variant = 'single_outlier' GROUP BY ALL",
     "reciprocity": _with(EDGES, PAIR_FEATURES) + f"SELECT {K}, {_r('reciprocity')} FROM pf",
     "asymmetry": _with(EDGES, PAIR_FEATURES) + f"SELECT {K}, {_r('asymmetry')} FROM pf",
     "gini_in_degree": _with(EDGES, GINI) + f"SELECT {K}, {_r('gini_in_degree')} FROM gf",

@@ -197,7 +197,7 @@ def test_queries_take_the_whole_job(monkeypatch):
         raise StopIteration
 
     scale = type("S", (), {"names": []})
-    monkeypatch.setattr(registry.perturb, "variants", stop)
+    monkeypatch.setattr(registry.perturb, "runs", lambda r, n, names: stop(n_perms=n))
     monkeypatch.setattr(registry.archetypes, "fit_best", stop)
     monkeypatch.setattr(registry, "written", lambda df, name: df)
     monkeypatch.setattr(registry, "_scaled", lambda r: (None, type("Z", (), {"select": lambda self, *c: None})(), scale))
@@ -222,18 +222,6 @@ def test_failing_teams_and_differing_members(spark):
     assert d["zero_self_full"].error is None and d["zero_self_full"].delta > 0
 
 
-def test_large_teams_have_triads(spark):
-    """A ring of 120: every member rates the next one above the mean and another at random below it."""
-    n = 120
-    rows = [("t0", f"m{g:03}", f"m{(g + d) % n:03}", s) for g in range(n) for d, s in ((0, None), (1, 20.0), (2, 1.0))]
-    some = spark.createDataFrame(rows, "team string, giver string, recipient string, score double").selectExpr("'f' csv_path", "team", "'q' question", "giver", "recipient", "score")
-    x = fingerprint.features(some).first()
-    total = n * (n - 1) * (n - 2) / 6
-    # arcs g -> g + 1 only: n paths of two arcs, n (n - 4) single arcs with a third apart
-    assert x.triad_021C == pytest.approx(n / total) and x.triad_012 == pytest.approx(n * (n - 4) / total)
-    assert x.triad_003 == pytest.approx(1 - (n + n * (n - 4)) / total) and x.clustering > 0
-
-
 def test_no_shared_folder_is_an_error(monkeypatch):
     from ratingscope import shared
 
@@ -242,3 +230,89 @@ def test_no_shared_folder_is_an_error(monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared.shared_folder(Session)
+
+
+def random_teams(seed=3, sizes=(2, 3, 4, 5, 6, 7, 9), holes=0.2):
+    r = np.random.default_rng(seed)
+    out = []
+    for n in sizes:
+        m = r.integers(0, 20, (n, n)).astype(object)
+        m[r.random((n, n)) < holes] = X
+        if n > 3:
+            m[:, n - 1] = X
+        out.append(m.tolist())
+    return [*out, [[X, X], [X, X]], [[5]], [[10] * 4] * 4, [[0, 0, 0]] * 3]
+
+
+def same_numbers(a, b, names, by=("team",)):
+    a, b = ({tuple(x[k] for k in by): x for x in df.collect()} for df in (a, b))
+    assert a.keys() == b.keys()
+    for k in a:
+        for n in names:
+            assert (a[k][n] is None) == (b[k][n] is None) and (a[k][n] is None or a[k][n] == pytest.approx(b[k][n], abs=1e-9)), (k, n, a[k][n], b[k][n])
+
+
+def test_packed_features_equal_joins(spark):
+    r = table(spark, *random_teams())
+    same_numbers(fingerprint.features(r), fingerprint.features(r, most=0), ["n_students", "non_submitter_count", *fingerprint.FEATURES])
+    same_numbers(fingerprint.triple_features(r), fingerprint.triple_features(r, most=0), ["clustering", *(f"triad_{t}" for t in fingerprint.TRIADS)])
+
+
+def test_census_by_brute_force():
+    from ratingscope.operators import team_kernel
+
+    r = np.random.default_rng(2)
+    for density in (0.15, 0.5, 0.8):
+        arcs = r.random((3, 8, 8)) < density
+        arcs[:, np.arange(8), np.arange(8)] = False
+        got = team_kernel.census(arcs)
+        for k in range(3):
+            seen = dict.fromkeys(fingerprint.TRIADS, 0)
+            for a in range(8):
+                for b in range(a):
+                    for c in range(b):
+                        seen[triad_of([(p, q) for p, x in enumerate((a, b, c)) for q, y in enumerate((a, b, c)) if p != q and arcs[k, x, y]])] += 1
+            assert {t: got[t][k] * 56 for t in seen} == pytest.approx(seen)
+
+
+def test_a_sparse_team_of_5000(spark):
+    """A ring: everyone rates the next one above the mean, and the one after below it. Its triples, some 20 billion, are counted."""
+    n = 5000
+    rows = [("t0", f"m{g:04}", f"m{(g + d) % n:04}", s) for g in range(n) for d, s in ((0, None), (1, 20.0), (2, 1.0))]
+    some = spark.createDataFrame(rows, "team string, giver string, recipient string, score double").selectExpr("'f' csv_path", "team", "'q' question", "giver", "recipient", "score")
+    x = fingerprint.features(some).first()
+    total = n * (n - 1) * (n - 2) / 6
+    assert x.triad_021C * total == pytest.approx(n) and x.triad_012 * total == pytest.approx(n * (n - 4)) and x.triad_003 == pytest.approx(1 - (n + n * (n - 4)) / total)
+    # a member is in three triangles of ties 1, 1 and a twentieth, and has four arcs
+    assert x.clustering == pytest.approx(3 * np.cbrt(0.05) / 12)
+
+
+def test_packed_runs_equal_tables(spark):
+    """Perturbed, scored and compared in packed teams as by transforms of tables, all models, errors and all."""
+    few = [[5, X, X], [6, X, X], [4, X, X]]
+    r = table(spark, *random_teams(), few, F14, F13)
+    columns = ["delta", "error", "iterations", "converged"]
+    by = ("team", "variant", "perm", "model")
+    packed = perturb.runs(r, 3)
+    plain = perturb.deltas(models.score(perturb.variants(r, 3), keys=[*KEYS, "variant", "perm"]).persist())
+    a, b = ({tuple(x[k] for k in by): x for x in df.collect()} for df in (packed, plain))
+    assert a.keys() == b.keys() and len(a) > 300
+    for k in a:
+        for c in columns:
+            if isinstance(b[k][c], float):
+                assert a[k][c] == pytest.approx(b[k][c], abs=1e-8), (k, c)
+            else:
+                assert a[k][c] == b[k][c], (k, c, a[k][c], b[k][c])
+
+
+def test_own_perturbations_and_large_teams_take_tables(spark):
+    r = table(spark, F14, F13)
+    perturb.register_perturbation("halved", lambda df, k=KEYS: df.withColumn("score", df.score / 2))
+    try:
+        got = {(x.team, x.variant, x.model): x.delta for x in perturb.runs(r, 0, ("baseline",)).collect()}
+    finally:
+        del perturb.PERTURBATIONS["halved"]
+    assert got["t0", "halved", "baseline"] == pytest.approx(np.mean([np.delete(np.array(F14[i], float), i).mean() for i in range(6)]) / 2)
+    assert {v for _, v, _ in got} == {"halved", *perturb.BUILT_IN}
+    large = {(x.team, x.variant, x.model): x.delta for x in perturb.runs(r, 1, ("baseline",), most=5).collect()}
+    assert large["t0", "zero_self_full", "baseline"] == pytest.approx(got["t0", "zero_self_full", "baseline"]) and ("t0", "single_outlier", "baseline") in large
