@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +21,17 @@ def mismatched_members(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> Da
     return only(x, y, "first").unionByName(only(y, x, "second"))
 
 
+def with_same_members(iwf: DataFrame, base: str = "baseline", keys: list[str] = KEYS) -> DataFrame:
+    """``iwf``, raising an error where a run that didn't fail has not exactly the members of the base model's run."""
+    names = F.array_sort(F.collect_set(F.when(F.col("error").isNull(), F.col("email"))))
+    runs = iwf.groupBy(*keys, "model").agg(names.alias("_names"))
+    first = runs.where(F.col("model") == base).select(*keys, F.col("_names").alias("_base"))
+    both = runs.join(first, keys).select(*keys, "model", ((F.size("_names") > 0) & (F.size("_base") > 0) & (F.col("_names") != F.col("_base"))).alias("_differ"))
+    text = F.concat(F.lit("members differ between "), F.lit(base), F.lit(" and "), F.col("model"))
+    checked = F.when(F.col("_differ"), F.raise_error(text).cast("double")).otherwise(F.col("iwf"))
+    return iwf.join(both, [*keys, "model"], "left").withColumn("iwf", checked).select(iwf.columns)
+
+
 def member_pairs(iwf: DataFrame, base: str = "baseline", keys: list[str] = KEYS) -> DataFrame:
     """Pairs of members of a team (email_a < email_b) with their scores under ``base`` and under each other model. Failed
     runs have no pairs."""
@@ -50,11 +66,83 @@ def reversal_detail(iwf: DataFrame, delta: float = 1.5, base: str = "baseline",
     return reversal_pairs(iwf, delta, base, keys).orderBy(F.desc("magnitude"), *keys, "model", "higher", "lower")
 
 
-def reversal_summary(iwf: DataFrame, delta: float = 1.5, base: str = "baseline", keys: list[str] = KEYS) -> DataFrame:
-    """(keys, model, reversed, eligible, pairs, rate) by team; the rate is 0 without eligible pairs."""
-    judged = _judged(member_pairs(iwf, base, keys), delta)
-    out = judged.groupBy(*keys, "model").agg(F.count_if("reversed").alias("reversed"), F.count_if("eligible").alias("eligible"), F.count("*").alias("pairs"))
-    return out.withColumn("rate", F.coalesce(F.try_divide("reversed", "eligible"), F.lit(0.0)))
+#: Teams of so many members are compared pair by pair, as stacks; larger ones by counting.
+PAIRWISE_MEMBERS = 64
+#: Half of the ninth digit, up to which differences count.
+_HALF = 5e-10
+
+
+def _pairwise(base: np.ndarray, adv: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of stacks (teams, members): reversed and eligible pairs."""
+    eligible = (base[:, :, None] - base[:, None, :] >= delta - _HALF) & ~np.isnan(adv[:, :, None] - adv[:, None, :])
+    return (eligible & (adv[:, :, None] - adv[:, None, :] <= -_HALF)).sum(axis=(1, 2)), eligible.sum(axis=(1, 2))
+
+
+def counted_reversals(base: np.ndarray, adv: np.ndarray, delta: float) -> tuple[int, int]:
+    """The same for one team of n members in n log n steps. By ascending base, a member's eligible partners are a growing beginning of
+    the order; a binary indexed tree over the ranks of ``adv`` says how many of them the other model puts above."""
+    known = ~np.isnan(base) & ~np.isnan(adv)
+    base, adv = base[known], adv[known]
+    order = np.argsort(base, kind="stable")
+    base, adv = base[order], adv[order]
+    partners, ranks = np.searchsorted(base, base - (delta - _HALF), side="right"), np.sort(adv)
+    place, least = (np.searchsorted(ranks, adv) + 1).tolist(), np.searchsorted(ranks, adv + _HALF).tolist()
+    n, tree, added, out = len(base), [0] * (len(base) + 1), 0, 0
+    for stop, below in zip(partners.tolist(), least):
+        while added < stop:
+            k, added = place[added], added + 1
+            while k <= n:
+                tree[k] += 1
+                k += k & -k
+        out += added
+        k = below  # members whose rank is less aren't above
+        while k:
+            out -= tree[k]
+            k -= k & -k
+    return out, int(partners.sum())
+
+
+def reversal_summary(iwf: DataFrame, delta: float = 1.5, base: str = "baseline", keys: list[str] = KEYS, pairwise: int = PAIRWISE_MEMBERS) -> DataFrame:
+    """(keys, model, reversed, eligible, pairs, rate) by team; the rate is 0 without eligible pairs. Pairs are counted, not listed: a
+    team's scores come to a task as one row. ``delta`` must be positive."""
+    if delta <= 0:
+        raise ValueError("delta must be positive")
+    fine = iwf.where("error is null").groupBy(*keys).agg(F.collect_list(F.struct("email", "model", "iwf")).alias("s"))
+    types = {f.name: f.dataType.simpleString() for f in fine.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", model string, reversed long, eligible long, pairs long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, lists = batch.column("s").flatten(), batch.column("s")
+            team = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            codes = [pc.dictionary_encode(rows.field(c)) for c in ("email", "model")]
+            (email, _), (model, models) = ((c.indices.to_numpy(), c.dictionary.to_pylist()) for c in codes)
+            value = rows.field("iwf").to_numpy(zero_copy_only=False).astype(float)
+            of_base = model == (models.index(base) if base in models else -1)
+            member = team * (int(email.max(initial=0)) + 1) + email
+            order = np.argsort(member[of_base])
+            there, known = member[of_base][order], value[of_base][order]
+            at = np.minimum(np.searchsorted(there, member), max(len(there) - 1, 0))
+            both = ~of_base & (there[at] == member) if len(there) else np.zeros(len(member), bool)
+            run_ = team[both] * len(models) + model[both]
+            order = np.argsort(run_, kind="stable")
+            first, adv = known[at[both]][order], value[both][order]
+            runs, starts, sizes = np.unique(run_[order], return_index=True, return_counts=True)
+            backward, eligible = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+            for n in np.unique(sizes).tolist():
+                same = np.flatnonzero(sizes == n)
+                for part in np.array_split(same, max(1, len(same) * n * n // 2_000_000)) if n <= pairwise else ():
+                    cells = starts[part][:, None] + np.arange(n)
+                    backward[part], eligible[part] = _pairwise(first[cells], adv[cells], delta)
+                for k in same.tolist() if n > pairwise else ():
+                    backward[k], eligible[k] = counted_reversals(first[starts[k] : starts[k] + n], adv[starts[k] : starts[k] + n], delta)
+            some = sizes >= 2
+            teams = batch.select(keys).take(pa.array(runs[some] // max(len(models), 1)))
+            names = pa.array([models[k] for k in (runs[some] % max(len(models), 1)).tolist()], pa.string())
+            numbers = (backward[some], eligible[some], (sizes * (sizes - 1) // 2)[some])
+            yield pa.RecordBatch.from_arrays([*teams.columns, names, *(pa.array(x) for x in numbers)], names=[*keys, "model", "reversed", "eligible", "pairs"])
+
+    return fine.mapInArrow(run, schema).withColumn("rate", F.coalesce(F.try_divide("reversed", "eligible"), F.lit(0.0)))
 
 
 def reversal_aggregate(summary: DataFrame) -> DataFrame:

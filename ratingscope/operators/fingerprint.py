@@ -236,7 +236,7 @@ _PACKED = ("n_students", "non_submitter_count", *FEATURES)
 def packed_features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
     """(keys, n_students, non_submitter_count, the 25 features) of complete teams, NULL where a team has no pairs, raters or
     triples for a feature. One shuffle packs a team into a row; teams of one size are a stack of matrices in Arrow batches."""
-    packed = pack(ratings, keys)
+    packed = pack(ratings, keys, most)
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", n_students int, non_submitter_count int, " + ", ".join(f"{f} double" for f in FEATURES)
 
@@ -251,19 +251,23 @@ def packed_features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KE
 
 
 def triple_features(ratings: DataFrame, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
-    """(keys, clustering, triad_003 .. triad_300) of teams of two or more, the triads NULL for two."""
+    """(keys, clustering, triad_003 .. triad_300) of teams of two or more, the triads NULL for two. ``ratings`` should be a table, as
+    it is asked whether it has teams that aren't packed."""
     small, large = split_by_size(ratings, most, keys)
-    names = ["clustering", *(f"triad_{t}" for t in TRIADS)]
-    return packed_features(small, keys=keys).where("n_students >= 2").select(*keys, *names).unionByName(sparse_triples(large, keys))
+    out = packed_features(small, keys=keys).where("n_students >= 2").select(*keys, "clustering", *(f"triad_{t}" for t in TRIADS))
+    return out if large.isEmpty() else out.unionByName(sparse_triples(large, keys))
 
 
 def features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS, most: int = PACKED_MEMBERS) -> DataFrame:
-    """(keys, n_students, non_submitter_count, the 25 features). What a team has no pairs, raters or triples for is 0."""
+    """(keys, n_students, non_submitter_count, the 25 features). What a team has no pairs, raters or triples for is 0. ``ratings``
+    should be a table, as it is asked whether it has teams that aren't packed."""
     small, large = split_by_size(ratings, most, keys)
-    joined = submission(large, pool, keys)
-    for part in (pair_features(large, keys), gini(large, keys), rater_spread(large, keys), assortativity(large, keys), sparse_triples(large, keys)):
-        joined = joined.join(part, keys, "left")
-    out = packed_features(small, pool, keys).unionByName(joined.select(*keys, *_PACKED))
+    out = packed_features(small, pool, keys)
+    if not large.isEmpty():
+        joined = submission(large, pool, keys)
+        for part in (pair_features(large, keys), gini(large, keys), rater_spread(large, keys), assortativity(large, keys), sparse_triples(large, keys)):
+            joined = joined.join(part, keys, "left")
+        out = out.unionByName(joined.select(*keys, *_PACKED))
     fill = {f: F.coalesce(F.col(f), F.lit(0.0)) for f in FEATURES}
     return out.select(*keys, "n_students", "non_submitter_count", *(c.alias(f) for f, c in fill.items()))
 

@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,12 +43,16 @@ def _plain(df: DataFrame, model: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, "email", F.lit(model).alias("model"), "iwf", null("double").alias("hub"), null("boolean").alias("converged"), null("int").alias("iterations"), null("double").alias("final_l1"), error.alias("error"))
 
 
-def pack(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, n, emails, cells): one row a team, cells row by row (recipient), members by e-mail; missing is NULL."""
-    cells = F.array_sort(F.collect_list(F.struct("recipient", "giver", "score")))
-    rows = ratings.groupBy(*keys).agg(cells.alias("c"))
-    emails = F.transform(F.filter("c", lambda x: x["recipient"] == x["giver"]), lambda x: x["recipient"])
-    return rows.select(*keys, F.sqrt(F.size("c")).cast("int").alias("n"), emails.alias("emails"), F.transform("c", lambda x: x["score"]).alias("cells"))
+def pack(ratings: DataFrame, keys: list[str] = KEYS, most: int | None = None) -> DataFrame:
+    """(keys, n, emails, cells, arcs): one row a team, members by e-mail. cells of a complete team of at most ``most`` members, row by row
+    (recipient), missing is NULL; of others arcs (recipient, giver, score) instead."""
+    team = ratings.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("recipient", "giver", "score"))).alias("c"))
+    own = F.transform(F.filter("c", lambda x: x["recipient"] == x["giver"]), lambda x: x["recipient"])
+    team = team.withColumn("own", own).withColumn("whole", (F.size("own") * F.size("own") == F.size("c")) & (F.size("own") <= (PACKED_MEMBERS if most is None else most)))
+    everyone = F.array_sort(F.array_distinct(F.concat(F.transform("c", lambda x: x["giver"]), F.transform("c", lambda x: x["recipient"]))))
+    emails = F.when(F.col("whole"), F.col("own")).otherwise(everyone)
+    cells = F.when(F.col("whole"), F.transform("c", lambda x: x["score"])).otherwise(F.array().cast("array<double>"))
+    return team.withColumn("emails", emails).select(*keys, F.size("emails").alias("n"), "emails", cells.alias("cells"), F.when(~F.col("whole"), F.col("c")).alias("arcs"))
 
 
 def _peers(s: np.ndarray) -> np.ndarray:
@@ -163,13 +168,14 @@ def solve(s: np.ndarray, model: str):
 
 
 def stacks(batch: pa.RecordBatch, times: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Of a batch of packed teams: row numbers of teams of one size, and their matrices (teams, recipients, givers). ``times``:
+    """Of a batch of packed teams: row numbers of complete teams of one size, and their matrices (teams, recipients, givers). ``times``:
     how many matrices the caller makes of each."""
-    sizes = batch.column("n").to_numpy(zero_copy_only=False)
+    whole = batch.column("arcs").is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(whole, batch.column("n").to_numpy(zero_copy_only=False), 0)
     flat = batch.column("cells").flatten().to_numpy(zero_copy_only=False).astype(float)
     starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64) ** 2)])
-    for n in np.unique(sizes).tolist():
-        same = np.flatnonzero(sizes == n)
+    for n in np.unique(sizes[whole]).tolist():
+        same = np.flatnonzero(whole & (sizes == n))
         for part in np.array_split(same, max(1, -(-len(same) * n * n * times // STACK_CELLS))):
             yield part, flat[(starts[part][:, None] + np.arange(n * n))].reshape(len(part), n, n)
 
@@ -186,10 +192,10 @@ def split_by_size(ratings: DataFrame, most: int, keys: list[str] = KEYS) -> tupl
     return sized.where(packed).drop("_cells", "_own"), sized.where(~packed).drop("_cells", "_own")
 
 
-def iterative(ratings: DataFrame, models: tuple[str, ...] = ITERATIVE, keys: list[str] = KEYS) -> DataFrame:
-    """All named models in one pass over packed teams, which must be complete. A team for which a model fails has rows with its
-    error and NULL scores."""
-    packed = pack(ratings, keys)
+def iterative(ratings: DataFrame, models: tuple[str, ...] = ITERATIVE, keys: list[str] = KEYS, most: int | None = None) -> DataFrame:
+    """All named models in one pass over packed teams: complete teams of at most ``most`` members as stacks of matrices, others over the
+    scores that there are. A team for which a model fails has rows with its error and NULL scores."""
+    packed = pack(ratings, keys, most)
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + IWF
     own = {m: MATRIX_MODELS[m] for m in models if m in MATRIX_MODELS}
@@ -205,10 +211,42 @@ def iterative(ratings: DataFrame, models: tuple[str, ...] = ITERATIVE, keys: lis
                         yield _by_matrix(own[model], rows, keys, emails, model, stack)
                     else:
                         yield _as_batch(rows, keys, emails, model, solve(stack, model), n)
+            for k in np.flatnonzero(batch.column("arcs").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                emails, cells = batch.column("emails").slice(k, 1).flatten(), batch.column("arcs").slice(k, 1).flatten()
+                n = len(emails)
+                rows = batch.select(keys).take(pa.array(np.full(n, k)))
+                r, g = (pc.index_in(cells.field(c), emails).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("recipient", "giver"))
+                s = cells.field("score").to_numpy(zero_copy_only=False).astype(float)
+                for model in models:
+                    if model in own:
+                        matrix = np.full((1, n, n), np.nan)
+                        matrix[0, r, g] = s
+                        yield _by_matrix(own[model], rows, keys, emails, model, matrix)
+                    else:
+                        yield _as_batch(rows, keys, emails, model, _sparse(n, r, g, s, model), n)
 
     return packed.mapInArrow(run, schema)
 
 
+def _sparse(n: int, r: np.ndarray, g: np.ndarray, s: np.ndarray, model: str):
+    """What ``solve`` gives for a stack of one, from a team's scores."""
+    from ratingscope.operators import sparse
+
+    there = ~np.isnan(s)
+    peer = there & (r != g)
+    if model == "baseline":
+        count = np.bincount(r[peer], minlength=n)
+        iwf, fail = np.divide(np.bincount(r[peer], s[peer], n), count, out=np.full(n, np.nan), where=count > 0), -1
+    elif model == "webpa":
+        points = np.bincount(r[there], s[there], n).astype(float)
+        mean = points.mean()
+        iwf, fail = (points / mean * 10, -1) if mean else (np.full(n, np.nan), n)
+    else:
+        iwf, hub, converged, rounds, l1, fail = sparse.solve(n, r[peer], g[peer], s[peer], model)
+        return iwf[None], hub[None], np.array([converged]), np.array([rounds]), np.array([l1]), np.array([fail])
+    return iwf[None], np.full((1, n), np.nan), np.array([None]), np.zeros(1, int), np.full(1, np.nan), np.array([fail])
+
+
 def _by_matrix(fn: MatrixModel, rows: pa.RecordBatch, keys: list[str], emails: pa.Array, model: str, stack: np.ndarray) -> pa.RecordBatch:
     """A model of one's own, team by team. What it raises, or a wrong number of scores, is that team's error, and others go on."""
     b, n, _ = stack.shape
@@ -285,9 +323,9 @@ def register_matrix_model(name: str, fn: MatrixModel) -> None:
 NAMES = ("baseline", "peerrank-impute", "peerrank-exclude", "webpa", "peerhits-impute", "peerhits-exclude")
 
 
-def score(ratings: DataFrame, models: tuple[str, ...] = NAMES, keys: list[str] = KEYS, most: int = PACKED_MEMBERS, joins: bool = False) -> DataFrame:
-    """The iwf table of the named models; unknown names are an error. Complete teams of at most ``most`` members are packed. ``joins``: teams
-    with more scores than a task takes are iterated step by step, which runs when this is called; without it they raise an error."""
+def score(ratings: DataFrame, models: tuple[str, ...] = NAMES, keys: list[str] = KEYS, most: int | None = None, joins: bool = False) -> DataFrame:
+    """The iwf table of the named models; unknown names are an error. A team is a row of one task, as a matrix or as its scores. ``joins``: teams
+    with more than ``sparse.TASK_ARCS`` scores are iterated step by step instead, which runs when this is called."""
     from ratingscope.operators import sparse
 
     unknown = [m for m in models if m not in MODELS and m not in ITERATIVE and m not in MATRIX_MODELS]
@@ -299,19 +337,12 @@ def score(ratings: DataFrame, models: tuple[str, ...] = NAMES, keys: list[str] =
     parts = tables(ratings, own)
     if set(inside) <= {"baseline", "webpa"}:
         parts += tables(ratings, inside)
+    elif joins:
+        fits, huge = sparse.by_task(ratings, keys)
+        parts.append(iterative(fits, inside, keys, most))
+        parts += [*tables(huge, [m for m in inside if m in MODELS]), *(sparse.joined(huge, m, keys=keys) for m in inside if m in ITERATIVE)]
     else:
-        small, large = split_by_size(ratings, most, keys)
-        steps = tuple(m for m in inside if m in ITERATIVE)
-        parts += [iterative(small, inside, keys), *tables(large, [m for m in inside if m in ("baseline", "webpa")])]
-        if steps and joins:
-            large_, huge = sparse.by_task(large, keys)
-            parts += [sparse.iterative(large_, steps, keys), *(sparse.joined(huge, m, keys=keys) for m in steps)]
-        elif steps:
-            parts.append(sparse.iterative(large, steps, keys))
-        if matrix := tuple(m for m in inside if m in MATRIX_MODELS):
-            from ratingscope.operators.members import grid
-
-            parts.append(iterative(grid(large, keys), matrix, keys))
+        parts.append(iterative(ratings, inside, keys, most))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -1,22 +1,19 @@
 """Iterative models for large and incomplete teams: what is computed grows with the scores that there are, not with n x n.
 
-A team's scores are packed as arcs (recipient, giver, score) with members numbered by e-mail, and iterated in one task as sums over arcs. The
+A team's scores are arcs (recipient, giver, score) with members numbered by e-mail, iterated in one task as sums over arcs. The
 column of tens that stands in for a silent giver is never written out: it gives every other member the same, so it is one sum and a
-correction for the own self. Teams of more than ``TASK_ARCS`` scores are iterated as joins of arcs with the members' values, step by
+correction for the own self. Teams of more than ``TASK_ARCS`` scores can be iterated as joins of arcs with the members' values, step by
 step, all of them together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ratingscope.operators import members
-from ratingscope.schema import IWF, KEYS
+from ratingscope.schema import KEYS
 from ratingscope.shared import checkpointed
 
 #: The most scores of a team that one task takes (some 24 bytes each, and as much again while it iterates).
@@ -93,6 +90,9 @@ def solve(n: int, r: np.ndarray, g: np.ndarray, s: np.ndarray, model: str, alpha
     return ten(a), ten(h), l1 < epsilon, rounds, l1, -1
 
 
+# ---------------------------------------------------------------- teams beyond a task
+
+
 def arcs(ratings: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFrame]:
     """Members (keys, email, idx), and the scores that they gave each other (keys, r, g, s) by their numbers."""
     people = members.members(ratings, keys)
@@ -102,40 +102,6 @@ def arcs(ratings: DataFrame, keys: list[str] = KEYS) -> tuple[DataFrame, DataFra
     return people, peer.select(*keys, "r", "g", "s")
 
 
-def iterative(ratings: DataFrame, models: tuple[str, ...], keys: list[str] = KEYS, most_arcs: int = TASK_ARCS) -> DataFrame:
-    """The iwf table of the iterative models named. A team with more scores than ``most_arcs`` raises an error; ``joined`` takes it."""
-    from ratingscope.operators.models import failure
-
-    people, peer = arcs(ratings, keys)
-    # a window streams, so a team too large for a task is an error before its scores are collected
-    count = F.count("*").over(Window.partitionBy(*keys))
-    fits = F.when(count > most_arcs, F.raise_error(F.lit("a team has more scores than a task takes: score(..., joins=True) iterates it as joins")).cast("int")).otherwise(F.col("r"))
-    packed = peer.withColumn("r", fits).groupBy(*keys).agg(F.collect_list(F.struct("r", "g", "s")).alias("arcs"))
-    names = people.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "email"))), lambda x: x["email"]).alias("emails"))
-    teams = names.join(packed, keys, "left")
-    types = {f.name: f.dataType.simpleString() for f in teams.schema}
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + IWF
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                emails, cells = batch.column("emails").slice(k, 1).flatten(), batch.column("arcs").slice(k, 1).flatten()
-                r, g, s = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("r", "g", "s")) if len(cells) else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-                n = len(emails)
-                row = batch.select(keys).take(pa.array(np.full(n, k)))
-                for model in models:
-                    iwf, hub, converged, rounds, l1, fail = solve(n, r, g, s, model)
-                    one = lambda x, kind, known=rounds > 0: pa.array([x if known else None] * n, kind)
-                    error = failure(model, emails.to_pylist(), fail) if fail >= 0 else None
-                    columns = [row.column(c) for c in keys] + [emails, pa.array([model] * n), pa.array(iwf, mask=np.isnan(iwf)), pa.array(hub, mask=np.isnan(hub)), one(bool(converged), pa.bool_()), one(rounds, pa.int32()), one(l1, pa.float64()), pa.array([error] * n, pa.string())]
-                    yield pa.RecordBatch.from_arrays(columns, names=[*keys, "email", "model", "iwf", "hub", "converged", "iterations", "final_l1", "error"])
-
-    return teams.mapInArrow(run, schema)
-
-
-# ---------------------------------------------------------------- teams beyond a task
-
-
 def by_task(ratings: DataFrame, keys: list[str] = KEYS, most_arcs: int = TASK_ARCS) -> tuple[DataFrame, DataFrame]:
     """The ratings of teams that a task takes, and of those with more scores."""
     count = F.count_if(F.col("score").isNotNull() & (F.col("giver") != F.col("recipient"))).over(Window.partitionBy(*keys))

@@ -195,7 +195,7 @@ _transform("sabotage_of_the_best", perturb.sabotage_of_the_best)
 
 def _attacked(r: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NAMES) -> DataFrame:
     """Deltas of all perturbations. The ratings are written once, as packed teams and others are taken from them."""
-    return perturb.runs(written(r.select(*KEYS, "giver", "recipient", "score"), "ratings"), n_perms, names)
+    return perturb.runs(_table(r), n_perms, names)
 
 
 @_query
@@ -250,6 +250,11 @@ def robustness_of_two_permutations(r: DataFrame) -> DataFrame:
     return _matrix(r, 2)
 
 
+def _table(r: DataFrame) -> DataFrame:
+    """The columns that operators use, written once: large teams and packed ones are taken from it."""
+    return written(r.select(*KEYS, "giver", "recipient", "score"), "ratings")
+
+
 def _feature(name: str, fn: Callable[[DataFrame], DataFrame], *cols: str) -> None:
     _query(lambda r: _rounded(fn(r).select(*KEYS, *cols), *cols), name=name)
 
@@ -260,30 +265,30 @@ _feature("gini_in_degree", fingerprint.gini, "gini_in_degree")
 _feature("rater_std", fingerprint.rater_spread, "mean_rater_std", "std_rater_std")
 _feature("self_share", fingerprint.submission, "non_submitter_frac", "mean_self_share")
 _feature("assortativity", fingerprint.assortativity, "assortativity")
-_feature("clustering", fingerprint.triple_features, "clustering")
-_feature("triad_census", fingerprint.triple_features, *(f"triad_{t}" for t in fingerprint.TRIADS))
+_feature("clustering", lambda r: fingerprint.triple_features(_table(r)), "clustering")
+_feature("triad_census", lambda r: fingerprint.triple_features(_table(r)), *(f"triad_{t}" for t in fingerprint.TRIADS))
 _feature("member_degrees", lambda r: fingerprint.degrees(r).withColumn("question", F.concat_ws("/", "question", "email")), "in_weight", "out_weight")
 _feature("scaled_edges", lambda r: fingerprint.scaled_edges(r).withColumn("question", F.concat_ws("/", "question", "giver", "recipient")), "scaled")
 
 
 @_query
 def feature_matrix(r: DataFrame) -> DataFrame:
-    return _rounded(_counts(fingerprint.features(r), "n_students", "non_submitter_count"), *fingerprint.FEATURES)
+    return _rounded(_counts(fingerprint.features(_table(r)), "n_students", "non_submitter_count"), *fingerprint.FEATURES)
 
 
 @_query
 def degenerate_cause(r: DataFrame) -> DataFrame:
-    return atypical.degenerate(fingerprint.features(r)).select(*KEYS, "cause")
+    return atypical.degenerate(fingerprint.features(_table(r))).select(*KEYS, "cause")
 
 
 @_query
 def metric_profile(r: DataFrame) -> DataFrame:
-    return _rounded(fingerprint.metric_profile(fingerprint.features(r)), *fingerprint.BEHAVIOUR[:6])
+    return _rounded(fingerprint.metric_profile(fingerprint.features(_table(r))), *fingerprint.BEHAVIOUR[:6])
 
 
 def _scaled(r: DataFrame) -> tuple[DataFrame, DataFrame, atypical.Scale]:
     # written before the means are taken, or the whole fingerprint would be computed for each statistic
-    f = atypical.degenerate(atypical.imputed(written(fingerprint.features(r), "features")))
+    f = atypical.degenerate(atypical.imputed(written(fingerprint.features(_table(r)), "features")))
     scale = atypical.fit_scale(f)
     return f, atypical.standardised(f, scale), scale
 

@@ -97,6 +97,34 @@ def test_reversals(spark, base, adv, want):
     assert agg.pooled_rate == pytest.approx(want[0] / want[1] if want[1] else 0)
 
 
+def test_counted_reversals_equal_pairs(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for t, n in enumerate((1, 2, 5, 5, 30, 70)):
+        for m in ("baseline", "other", "third"):
+            for k in range(n - (m == "third" and n == 5)):
+                v = float(r.integers(0, 12)) / 2 + (1e-12 if r.random() < 0.2 else 0)
+                rows.append(("f", f"t{t}", "q", f"s{k:02}", m, None if r.random() < 0.1 else v, "failed" if m == "third" and t == 3 else None))
+    df = spark.createDataFrame(rows, "csv_path string, team string, question string, email string, model string, iwf double, error string").persist()
+    listed = compare._judged(compare.member_pairs(df), 1.5).groupBy("team", "model").agg(models.F.count_if("reversed").alias("r"), models.F.count_if("eligible").alias("e"), models.F.count("*").alias("p"))
+    want = sorted(map(tuple, listed.collect()))
+    for pairwise in (64, 1, 5):
+        got = compare.reversal_summary(df, pairwise=pairwise).select("team", "model", "reversed", "eligible", "pairs")
+        assert sorted(map(tuple, got.collect())) == want and len(want) == 9
+    base, adv = r.normal(size=3000) * 3, r.normal(size=3000) * 3
+    assert compare.counted_reversals(base, adv, 1.5) == tuple(int(x[0]) for x in compare._pairwise(base[None], adv[None], 1.5))
+    with pytest.raises(ValueError):
+        compare.reversal_summary(df, 0)
+
+
+def test_runs_of_other_members_are_an_error(spark):
+    same = pairs(spark, [12, 10, 8], [9, 11, 10])
+    assert compare.with_same_members(same).count() == 6
+    with pytest.raises(Exception, match="members differ between baseline and other"):
+        compare.with_same_members(same.where("not (model = 'other' and email = 's2')")).collect()
+    assert {(x.email, x.only_in) for x in compare.mismatched_members(same.where("model = 'baseline'"), same.where("model = 'other' and email <> 's2'")).collect()} == {("s2", "first")}
+
+
 def test_members_and_checks(spark):
     own_only = [[5, 3, X], [4, 6, X], [4, 3, 7]]  # s2 scored only the own self
     r = table(spark, own_only, F2, [[X, 1], [X, 1]])
