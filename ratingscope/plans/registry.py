@@ -37,6 +37,11 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), 6) + 0.0 for c in cols})
 
 
+def _distances(df: DataFrame, *cols: str) -> DataFrame:
+    """Six digits of what nine say: means of distances often end in a five in the seventh digit, as scores are halves and eighths."""
+    return _rounded(df.withColumns({c: F.round(c, 9) for c in cols}), *cols)
+
+
 def _counts(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
@@ -152,12 +157,12 @@ def rank_reversal_aggregate(r: DataFrame) -> DataFrame:
 
 @_query
 def cross_model_delta(r: DataFrame) -> DataFrame:
-    return _rounded(compare.cross_model_delta(models.score(r)), "delta")
+    return _distances(compare.cross_model_delta(models.score(r)), "delta")
 
 
 @_query
 def model_pair_delta(r: DataFrame) -> DataFrame:
-    return _rounded(compare.pair_delta(models.score(r)), "delta")
+    return _distances(compare.pair_delta(models.score(r)), "delta")
 
 
 @_query
@@ -202,7 +207,7 @@ def _attacked(r: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NA
 def attack_delta(r: DataFrame) -> DataFrame:
     """Every perturbation under all six models, by team."""
     d = _attacked(r)
-    return _rounded(d.where("error is null").select(*KEYS, "variant", "model", "delta"), "delta")
+    return _distances(d.where("error is null").select(*KEYS, "variant", "model", "delta"), "delta")
 
 
 @_query
@@ -210,7 +215,7 @@ def attack_runs(r: DataFrame) -> DataFrame:
     """Every perturbation under all six models, by team; a run that fails is a row with its error."""
     slim = written(r.select(*KEYS, "giver", "recipient", "score"), "ratings")
     d = _attacked(slim).select(*KEYS, "variant", "model", "delta", "error")
-    return _rounded(d.unionByName(perturb.failures(slim), allowMissingColumns=True), "delta")
+    return _distances(d.unionByName(perturb.failures(slim), allowMissingColumns=True), "delta")
 
 
 @_query
@@ -222,20 +227,20 @@ def attack_failures(r: DataFrame) -> DataFrame:
 @_query
 def permutation_robustness(r: DataFrame) -> DataFrame:
     """A hundred permutations of one rater under all six models."""
-    return _rounded(perturb.permutation_robustness(_attacked(r, 100)), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
+    return _distances(perturb.permutation_robustness(_attacked(r, 100)), "mean_delta", "std_delta", "min_delta", "max_delta", "mean_iterations")
 
 
 @_query
 def two_permutations(r: DataFrame) -> DataFrame:
     """The same code at two permutations, which its SQL twin can follow."""
     out = perturb.permutation_robustness(_attacked(r, 2)).select(*KEYS, "model", "n_perms", "mean_delta", "std_delta", "min_delta", "max_delta")
-    return _rounded(out, "mean_delta", "std_delta", "min_delta", "max_delta")
+    return _distances(out, "mean_delta", "std_delta", "min_delta", "max_delta")
 
 
 def _matrix(r: DataFrame, n_perms: int) -> DataFrame:
     wide = perturb.robustness_matrix(perturb.attack_summary(_attacked(r, n_perms)))
     names = [n.replace("-", "_") for n in models.NAMES]
-    return _rounded(wide.toDF("variant", *names), *names)
+    return _distances(wide.toDF("variant", *names), *names)
 
 
 @_query

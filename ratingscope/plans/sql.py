@@ -227,8 +227,8 @@ FROM (SELECT 'baseline' AS model, iwf FROM baseline UNION ALL SELECT 'webpa', CA
     "rank_reversal_aggregate": _with(*SIX, PAIRS, SUMMARY)
     + """SELECT model, round(coalesce(avg(reversed / eligible) FILTER (WHERE eligible > 0), 0), 6) + 0.0 AS mean_rate, CAST(sum(reversed) AS BIGINT) AS reversed, CAST(sum(eligible) AS BIGINT) AS eligible, CAST(sum(pairs) AS BIGINT) AS pairs,
 count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams, round(coalesce(sum(reversed) / nullif(sum(eligible), 0), 0), 6) + 0.0 AS pooled_rate FROM x6 GROUP BY model""",
-    "cross_model_delta": _with(*SIX) + f"SELECT {K}, round(coalesce(avg(spread) FILTER (WHERE n >= 2), 0), 6) + 0.0 AS delta FROM (SELECT {K}, email, stddev_pop(iwf) AS spread, count(iwf) AS n FROM rows GROUP BY ALL) GROUP BY ALL",
-    "model_pair_delta": _with(*SIX) + f"SELECT a.csv_path, a.team, a.question, a.model AS model_a, b.model AS model_b, round(avg(abs(a.iwf - b.iwf)), 6) + 0.0 AS delta FROM rows a JOIN rows b USING ({K}, email) WHERE a.model < b.model AND a.iwf IS NOT NULL AND b.iwf IS NOT NULL GROUP BY ALL",
+    "cross_model_delta": _with(*SIX) + f"SELECT {K}, round(round(coalesce(avg(spread) FILTER (WHERE n >= 2), 0), 9), 6) + 0.0 AS delta FROM (SELECT {K}, email, stddev_pop(iwf) AS spread, count(iwf) AS n FROM rows GROUP BY ALL) GROUP BY ALL",
+    "model_pair_delta": _with(*SIX) + f"SELECT a.csv_path, a.team, a.question, a.model AS model_a, b.model AS model_b, round(round(avg(abs(a.iwf - b.iwf)), 9), 6) + 0.0 AS delta FROM rows a JOIN rows b USING ({K}, email) WHERE a.model < b.model AND a.iwf IS NOT NULL AND b.iwf IS NOT NULL GROUP BY ALL",
     "distinct_teams": _with() + "SELECT count(DISTINCT team) AS unique_teams, count(DISTINCT csv_path) AS sessions FROM k",
     "team_size_stats": _with(f"z AS (SELECT {K}, count(DISTINCT recipient) AS n FROM k GROUP BY ALL)") + "SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) + 0.0 AS mean_size, round(median(n), 6) + 0.0 AS median_size, count(*) AS matrices FROM z",
     "iwf_range": _with(BASELINE) + "SELECT round(min(iwf), 6) + 0.0 AS min_iwf, round(max(iwf), 6) + 0.0 AS max_iwf, round(avg(iwf), 6) + 0.0 AS mean_iwf, round(stddev_pop(iwf), 6) + 0.0 AS std_iwf FROM baseline",
@@ -240,10 +240,10 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "single_outlier": _with(ACTIVE, OUTLIER) + f"SELECT {CELL}, {_r('score')} FROM o",
     "attack_failures": _with(ACTIVE) + ATTACK_FAILURES,
     "strategic_silence": _with(ACTIVE) + f"SELECT {CELL}, round(CASE WHEN rank = 1 THEN NULL ELSE score END, 6) + 0.0 AS score FROM g",
-    "attack_delta": _with(*attacked()) + f"SELECT {K}, variant, model, round(delta, 6) + 0.0 AS delta FROM d",
-    "attack_runs": _with(*attacked()) + f"SELECT {K}, variant, model, round(delta, 6) + 0.0 AS delta, NULL AS error FROM d UNION ALL SELECT {K}, variant, model, NULL, error FROM e WHERE variant <> 'clean' UNION ALL SELECT {K}, variant, NULL, NULL, error FROM ({ATTACK_FAILURES})",
-    "robustness_of_two_permutations": _with(*attacked(2)) + "SELECT variant, " + ", ".join(f"round(max(mean_delta) FILTER (WHERE model = '{n.replace('_', '-')}'), 6) + 0.0 AS {n}" for n in SIX_NAMES) + f" FROM ({SUMMARY_OF_ATTACKS}) GROUP BY variant",
-    "two_permutations": _with(*attacked(2)) + f"SELECT {K}, model, count(delta) AS n_perms, round(avg(delta), 6) + 0.0 AS mean_delta, round(stddev_pop(delta), 6) + 0.0 AS std_delta, round(min(delta), 6) + 0.0 AS min_delta, round(max(delta), 6) + 0.0 AS max_delta FROM d WHERE variant = 'single_outlier' GROUP BY ALL",
+    "attack_delta": _with(*attacked()) + f"SELECT {K}, variant, model, round(round(delta, 9), 6) + 0.0 AS delta FROM d",
+    "attack_runs": _with(*attacked()) + f"SELECT {K}, variant, model, round(round(delta, 9), 6) + 0.0 AS delta, NULL AS error FROM d UNION ALL SELECT {K}, variant, model, NULL, error FROM e WHERE variant <> 'clean' UNION ALL SELECT {K}, variant, NULL, NULL, error FROM ({ATTACK_FAILURES})",
+    "robustness_of_two_permutations": _with(*attacked(2)) + "SELECT variant, " + ", ".join(f"round(round(max(mean_delta) FILTER (WHERE model = '{n.replace('_', '-')}'), 9), 6) + 0.0 AS {n}" for n in SIX_NAMES) + f" FROM ({SUMMARY_OF_ATTACKS}) GROUP BY variant",
+    "two_permutations": _with(*attacked(2)) + f"SELECT {K}, model, count(delta) AS n_perms, round(round(avg(delta), 9), 6) + 0.0 AS mean_delta, round(round(stddev_pop(delta), 9), 6) + 0.0 AS std_delta, round(round(min(delta), 9), 6) + 0.0 AS min_delta, round(round(max(delta), 9), 6) + 0.0 AS max_delta FROM d WHERE variant = 'single_outlier' GROUP BY ALL",
     "reciprocity": _with(EDGES, PAIR_FEATURES) + f"SELECT {K}, {_r('reciprocity')} FROM pf",
     "asymmetry": _with(EDGES, PAIR_FEATURES) + f"SELECT {K}, {_r('asymmetry')} FROM pf",
     "gini_in_degree": _with(EDGES, GINI) + f"SELECT {K}, {_r('gini_in_degree')} FROM gf",
