@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ratingscope.operators import members, team_kernel
 from ratingscope.operators.models import PACKED_MEMBERS, pack, split_by_size, stacks
 from ratingscope.schema import KEYS, pearson
+from ratingscope.shared import checkpointed
 
 TRIADS = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
 BEHAVIOUR = ("reciprocity", "gini_in_degree", "mean_rater_std", "std_rater_std", "asymmetry", "clustering", "assortativity", "non_submitter_frac", "mean_self_share")
@@ -272,10 +273,31 @@ def features(ratings: DataFrame, pool: float = 60.0, keys: list[str] = KEYS, mos
     return out.select(*keys, "n_students", "non_submitter_count", *(c.alias(f) for f, c in fill.items()))
 
 
+def percent_ranks(df: DataFrame, names: tuple[str, ...], parts: int = 64) -> DataFrame:
+    """``df`` with each named number as its percent rank over all rows: smaller rows over all rows but one, ties alike, as
+    ``percent_rank`` has it; NULL first. No task holds all rows: values are dealt to ranges, what each range begins with comes from
+    the counts of ranges, a few numbers, and distinct values are ranked inside of theirs."""
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    rows = checkpointed(rows)  # the ids must stay what they are
+    total = rows.count()
+    out = rows
+    for name in names:
+        counts = rows.groupBy(F.col(name).alias("_v")).agg(F.count("*").alias("_n"))
+        dealt = checkpointed(counts.repartitionByRange(parts, F.col("_v").asc_nulls_first()).withColumn("_part", F.spark_partition_id()))
+        sizes = dealt.groupBy("_part").agg(F.sum("_n").alias("_size"))  # at most ``parts`` rows
+        starts = sizes.withColumn("_start", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_start")
+        inside = F.sum("_n").over(Window.partitionBy("_part").orderBy(F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1))
+        ranks = dealt.withColumn("_before", F.coalesce(inside, F.lit(0))).join(F.broadcast(starts), "_part")
+        share = (F.col("_start") + F.col("_before")) / (total - 1) if total > 1 else F.lit(0.0)
+        ranks = ranks.select("_v", share.cast("double").alias("_rank"))
+        out = out.join(ranks, F.col(name).eqNullSafe(F.col("_v"))).drop("_v", name).withColumnRenamed("_rank", name)
+    return out.select(df.columns)
+
+
 def metric_profile(features_: DataFrame, names: tuple[str, ...] = BEHAVIOUR[:6], percentile: bool = False, keys: list[str] = KEYS) -> DataFrame:
     """Chosen features on a scale of 0 to 1 across teams: by minimum and maximum, or by rank."""
     if percentile:
-        return features_.select(*keys, *(F.percent_rank().over(Window.orderBy(n)).alias(n) for n in names))
+        return percent_ranks(features_.select(*keys, *names), names)
     ends = features_.agg(*(F.min(n).alias(f"{n}_low") for n in names), *(F.max(n).alias(f"{n}_high") for n in names))  # one row
     scaled = (F.coalesce(F.try_divide(F.col(n) - F.col(f"{n}_low"), F.col(f"{n}_high") - F.col(f"{n}_low")), F.lit(0.0)).alias(n) for n in names)
     return features_.crossJoin(F.broadcast(ends)).select(*keys, *scaled)

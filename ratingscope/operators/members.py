@@ -75,6 +75,14 @@ def kept(ratings: DataFrame, share: float = 0.5, keys: list[str] = KEYS) -> Data
     return out.where(F.col("_gone") < share * F.col("_n")).drop("_given", "_n", "_gone")
 
 
+def of_teams(ratings: DataFrame, teams: list[str]) -> DataFrame:
+    """The ratings of the named teams; names that no rating has are an error."""
+    found = {r.team for r in ratings.where(F.col("team").isin(*teams)).select("team").distinct().collect()} if teams else set()  # as many as were named
+    if unknown := [t for t in teams if t not in found]:
+        raise ValueError(f"unknown teams: {', '.join(unknown)}")
+    return ratings.where(F.col("team").isin(*teams)) if teams else ratings.limit(0)
+
+
 # ---------------------------------------------------------------- diagnostics
 
 

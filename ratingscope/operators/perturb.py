@@ -47,12 +47,18 @@ def uniform_inflation(ratings: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     return _done(df, F.when(~F.col("_active"), F.col("score")).when(~_own(), share), ratings.columns)
 
 
-def zero_self(ratings: DataFrame, colluders: int | None = None, self_share: float | None = None, keys: list[str] = KEYS) -> DataFrame:
+def zero_self(ratings: DataFrame, colluders: int | list[str] | None = None, self_share: float | None = None, keys: list[str] = KEYS) -> DataFrame:
     """Raters give themselves nothing and scale what they give by n/(n-1), or 1/(1 - self_share); ``colluders``: only the first
-    so many raters by e-mail. Teams with fewer than two raters are left out (``failures`` names them)."""
+    so many raters by e-mail, or the raters of these e-mails. Teams with fewer than two such raters are left out (``failures`` names
+    those with fewer than two raters)."""
     df = _with_raters(ratings, keys).where("_raters >= 2")
     factor = F.lit(1 / (1 - self_share)) if self_share is not None else F.col("_n") / (F.col("_n") - 1)
-    chosen = F.col("_active") & (F.lit(True) if colluders is None else F.col("_rank") <= colluders)
+    if isinstance(colluders, list):
+        df = df.withColumn("_in", F.col("giver").isin(*colluders) & F.col("_active") if colluders else F.lit(False))
+        df = df.withColumn("_many", F.count_if(_own() & F.col("_in")).over(Window.partitionBy(*keys))).where("_many >= 2")
+        chosen = F.col("_in")
+    else:
+        chosen = F.col("_active") & (F.lit(True) if colluders is None else F.col("_rank") <= colluders)
     return _done(df, F.when(chosen, F.col("score") * factor).otherwise(F.col("score")), ratings.columns)
 
 

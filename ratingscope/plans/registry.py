@@ -291,6 +291,13 @@ def metric_profile(r: DataFrame) -> DataFrame:
     return _rounded(fingerprint.metric_profile(fingerprint.features(_table(r))), *fingerprint.BEHAVIOUR[:6])
 
 
+@_query
+def metric_percentiles(r: DataFrame) -> DataFrame:
+    """The same features by rank among all teams. Features count to six digits, so that rounding in the last place makes no ranks."""
+    f = _rounded(fingerprint.features(_table(r)), *fingerprint.BEHAVIOUR[:6])
+    return _rounded(fingerprint.metric_profile(f, percentile=True), *fingerprint.BEHAVIOUR[:6])
+
+
 def _scaled(r: DataFrame) -> tuple[DataFrame, DataFrame, atypical.Scale]:
     # written before the means are taken, or the whole fingerprint would be computed for each statistic
     f = atypical.degenerate(atypical.imputed(written(fingerprint.features(_table(r)), "features")))

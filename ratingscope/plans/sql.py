@@ -257,5 +257,6 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "feature_matrix": _with(*ALL_FEATURES) + f"SELECT {K}, n_students, non_submitter_count, {_r(*_features)} FROM fm",
     "degenerate_cause": _with(*ALL_FEATURES) + f"SELECT {K}, CASE WHEN non_submitter_count > 0 AND mean_rater_std < 1e-9 THEN 'both' WHEN non_submitter_count > 0 THEN 'non_submitter' WHEN mean_rater_std < 1e-9 THEN 'flat' ELSE 'none' END AS cause FROM fm",
     "metric_profile": _with(*ALL_FEATURES) + f"SELECT {K}, " + ", ".join(f"round(coalesce(({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0), 0), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm",
+    "metric_percentiles": _with(*ALL_FEATURES, f"pr6 AS (SELECT {K}, " + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm)") + f"SELECT {K}, " + ", ".join(f"round(percent_rank() OVER (ORDER BY {f}), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM pr6",
     "session_parse_roundtrip": _with() + f"SELECT csv_path, team, 'Distribute a total of 60 points: ' || question AS question, substr(csv_path, 9, 4) AS year, 'S1' AS semester, CAST(1 AS BIGINT) AS session_number, giver, recipient, score FROM r",
 }

@@ -316,3 +316,44 @@ def test_own_perturbations_and_large_teams_take_tables(spark):
     assert {v for _, v, _ in got} == {"halved", *perturb.BUILT_IN}
     large = {(x.team, x.variant, x.model): x.delta for x in perturb.runs(r, 1, ("baseline",), most=5).collect()}
     assert large["t0", "zero_self_full", "baseline"] == pytest.approx(got["t0", "zero_self_full", "baseline"]) and ("t0", "single_outlier", "baseline") in large
+
+
+def test_assignment_is_the_cheapest():
+    from itertools import permutations
+
+    r = np.random.default_rng(8)
+    for n in range(1, 8):
+        for m in (n, n + 1):
+            for cost in (r.random((n, m)), r.integers(0, 3, (n, m)).astype(float), -r.random((n, m))):
+                got = archetypes.assignment(cost)
+                assert len(set(got.tolist())) == n
+                best = min(sum(cost[i, j] for i, j in enumerate(p)) for p in permutations(range(m), n)) if n < 7 or m == n else None
+                assert best is None or cost[np.arange(n), got].sum() == pytest.approx(best)
+    order = r.permutation(30)
+    a = r.normal(size=(30, 4))
+    assert archetypes.matched_distance(a, a[order]) == pytest.approx(0, abs=1e-9)
+
+
+def test_percent_ranks_without_one_task(spark):
+    r = np.random.default_rng(5)
+    rows = [("f", f"t{k}", "q", float(r.integers(0, 40)), None if k % 50 == 3 else float(r.integers(0, 3))) for k in range(500)]
+    df = spark.createDataFrame(rows, "csv_path string, team string, question string, a double, b double")
+    from pyspark.sql import Window, functions as F
+
+    want = {x.team: x for x in df.select("team", *(F.percent_rank().over(Window.orderBy(c)).alias(c) for c in "ab")).collect()}
+    got = {x.team: x for x in fingerprint.percent_ranks(df, ("a", "b"), parts=7).collect()}
+    assert len(got) == 500 and all(got[t].a == pytest.approx(want[t].a) and got[t].b == pytest.approx(want[t].b) for t in want)
+    assert fingerprint.percent_ranks(df.limit(1), ("a",)).first().a == 0 and fingerprint.percent_ranks(df.limit(0), ("a",)).count() == 0
+
+
+def test_named_colluders_and_teams(spark):
+    from ratingscope.operators import members
+
+    r = table(spark, F14, F13)
+    m = np.array(F14, float)
+    some = matrix(perturb.zero_self(r, colluders=["s1", "s4", "nobody"]))
+    assert some[:, [1, 4]] == pytest.approx(m[:, [1, 4]] * 6 / 5) and np.delete(some, [1, 4], 1) == pytest.approx(np.delete(m, [1, 4], 1))
+    assert perturb.zero_self(r, colluders=["s1"]).count() == 0
+    assert {x.team for x in members.of_teams(r, ["t1"]).collect()} == {"t1"}
+    with pytest.raises(ValueError, match="unknown teams: t9"):
+        members.of_teams(r, ["t1", "t9"])
