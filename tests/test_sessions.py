@@ -51,3 +51,10 @@ def test_diagnostics_and_round_trip(spark, tmp_path):
     again = sessions.parse(sessions.as_lines(out["ratings"]))["ratings"]
     key = lambda r: (r.giver, r.recipient, r.score is None, r.score or 0)
     assert sorted(map(key, again.collect())) == sorted(map(key, out["ratings"].collect()))
+
+
+def test_a_folder_without_files_is_an_error(spark, tmp_path):
+    import pytest
+
+    with pytest.raises(FileNotFoundError, match="no CSV files"):
+        sessions.read_lines(spark, str(tmp_path))
