@@ -175,6 +175,8 @@ RUN = ("variant string", "perm int", "model string", "error string", "iterations
 def packed_runs(ratings: DataFrame, n_perms: int = 0, names: tuple[str, ...] = models.NAMES, seed: int = 0, keys: list[str] = KEYS) -> DataFrame:
     """What ``deltas`` gives for the scores of ``variants``, for complete teams. A team is packed once; its variants and permutations
     are made in the task, as stacks of matrices, and every model runs over all of them together: one shuffle for all."""
+    if n_perms:  # much work for few bytes: as many tasks as there are partitions, whatever the bytes say
+        ratings = ratings.repartition(int(ratings.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
     packed = models.pack(ratings, keys).withColumn("_id", F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
     types = {f.name: f.dataType.simpleString() for f in packed.schema}
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", " + ", ".join(RUN)
