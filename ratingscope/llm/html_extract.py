@@ -2,23 +2,27 @@
 
 The pages of a host are aligned with one of them, the reference, by simple tree matching: two trees match
 in their roots' labels and in the best ordered matching of their children. Runs of like siblings (paragraphs, list
-items) are matched as one, member by member, so a page costs what its markup costs, not its square.
+items) are matched as one: members whose text stands once in both runs meet in their longest common order, the others by position
+between these. So a page costs what its markup costs, not its square. Trees of any depth are matched whole.
 
 The pages of a host that have the same frame of containers are a layout, and each layout has a reference of its own. Spark
 counts, for each text node of a reference, in how many pages of the layout it stands with the same text, and how much text stands there;
 pages with one main text count once. Nodes that stay constant over the layout are template and leave its pages. The container that
 holds most of the text that varies from page to page and is no link is the layout's content, whatever it is called; what lies
 outside of it is template too, menus and adverts that change with every page as well. Names of elements and classes only choose inside of it:
-an article in it, and menus, forms, adverts and reader comments that are left out of it. Pages without a layout of their own go by names alone.
+an article in it, and menus, forms, adverts and reader comments that are left out of it. Inside an article, a name that is only part of a
+longer one (``ads-history``) leaves nothing out that has text of its own, and headers stay. A form that holds the article, or nearly
+all of the page's text, is a container like others. Pages without a layout of their own go by names alone.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from functools import lru_cache
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -29,13 +33,15 @@ from ratingscope.llm.common import if_small, map_slices, written
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea select svg canvas object video audio math noframes".split())
+RAW = frozenset("script style noscript template iframe textarea select svg canvas video audio annotation annotation-xml noframes".split())
 BLOCKS = frozenset("address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead title tr ul caption".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Elements, roles and words of class names or ids of what isn't the article.
 APART = frozenset("nav header footer aside form menu dialog button head title search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments disqus reply replies widget login signin signup pagination pager".split())
+#: Those of WORDS that say the same as part of any longer name.
+READERS = frozenset("comment comments disqus reply replies".split())
 #: Words that name such parts, but articles' sections as well; they count where a part is mostly links or has little text.
 VAGUE = frozenset("notice notification alert share sharing social related recommended recommendations register skip".split())
 #: Elements that are text by themselves; only a class that is one of WORDS as a whole tells them from the article.
@@ -43,10 +49,12 @@ PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th li dd dt figcaption
 #: A start tag that ends open elements: <p> and other blocks end a paragraph, items end the item before.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl article section div main body html td th".split())
-#: Elements that are nested deeper aren't aligned.
-DEPTH = 200
 #: A part with a vague name is left out if its text that is no link has fewer characters or is a smaller share.
 VAGUE_CHARS, VAGUE_SHARE = 80, 0.8
+#: The same for a part of an article that has one of WORDS only as part of a longer name.
+LOOSE_CHARS = 200
+#: A form that holds so large a share of a page's text that is no link, and paragraphs or headings, is a plain container.
+FORM_SHARE = 0.8
 #: The content of a layout is the smallest container with so large a share of the varying text.
 CONTENT_SHARE = 0.7
 #: A text node of the reference is constant if so large a share of the layout's pages has it with the same text; a layout has so
@@ -55,40 +63,43 @@ LEAST_PAGES, SAME_SHARE = 5, 0.95
 #: Constant nodes inside <article> or <main> that make up a larger share of its text are no template: the pages are copies.
 MOST_TEMPLATE = 0.5
 #: Containers that make a layout, and how deep they are looked at; layouts with too few pages are pooled as one.
-FRAME, FRAME_DEPTH, POOLED = frozenset("html body div section main article center table tbody tr td".split()), 5, 0
+FRAME, FRAME_DEPTH, POOLED = frozenset("html body div section main article center form table tbody tr td".split()), 5, 0
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
 class Node:
-    """An element, or a text (tag ``#text``). ``apart``: it is no part of the article by its own tag and attributes;
-    ``vague``: it may be none."""
+    """An element, or a text (tag ``#text``). ``apart``: it is no part of the article by its own tag and attributes (``named``:
+    by its attributes; ``loose``: only by a part of a longer name); ``vague``: it may be none. ``key``: a number for label and text."""
 
-    __slots__ = ("tag", "label", "apart", "vague", "children", "text", "index")
+    __slots__ = ("tag", "label", "apart", "named", "loose", "vague", "children", "text", "index", "key")
 
-    def __init__(self, tag: str, label: str, apart: bool = False, text: str = "", vague: bool = False):
-        self.tag, self.label, self.apart, self.vague, self.children, self.text, self.index = tag, label, apart, vague, [], text, -1
+    def __init__(self, tag: str, label: str, named: bool = False, text: str = "", vague: bool = False, loose: bool = False):
+        self.tag, self.label, self.named, self.loose, self.vague, self.text = tag, label, named, loose, vague, text
+        self.apart, self.children, self.index, self.key = named or tag in APART, [], -1, None
 
 
 def _element(tag: str, attributes: str) -> Node:
-    found = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTRIBUTE.finditer(attributes)} if attributes else {}
-    names = {w.lower() for w in _PARTS.findall(f"{found.get('class', '')} {found.get('id', '')}")}
-    if tag in PROSE:
-        names, vague = {w.lower() for w in f"{found.get('class', '')} {found.get('id', '')}".split()}, False
-    else:
-        vague = bool(names & VAGUE)
-    apart = tag in APART or found.get("role", "").lower() in ROLES or bool(names & WORDS) or "hidden" in found or found.get("aria-hidden") == "true"
-    return Node(tag, f"{tag}.{found.get('class', '')}", apart, vague=vague and not apart)
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))  # the first of equal ones counts
+    own = f"{found.get('class', '')} {found.get('id', '')}"
+    whole = {w.lower() for w in own.split()}
+    parts = whole if tag in PROSE else whole | {w.lower() for w in _PARTS.findall(own)}
+    sure = bool(whole & WORDS or parts & READERS) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
+    named = sure or bool(parts & WORDS)
+    vague = tag not in PROSE and bool(parts & VAGUE) and not named
+    return Node(tag, f"{tag}.{found.get('class', '')}", named, vague=vague, loose=named and not sure and tag not in APART)
 
 
 def parse(page: str) -> Node:
     """A tree of a page. Never fails: what is open at the end is closed there, stray end tags are ignored."""
     root = Node("#root", "#root")
-    stack, at, end, opened = [root], 0, len(page), Counter()
+    stack, at, end, opened, forms = [root], 0, len(page), Counter(), []
     while at < end:
         m = _TOKEN.match(page, at)
         at = m.end()
@@ -112,12 +123,43 @@ def parse(page: str) -> Node:
         _imply(stack, tag, opened)
         node = _element(tag, m[3])
         stack[-1].children.append(node)
+        if tag == "form" and not node.named:
+            forms.append(node)
         if tag not in VOID and not m[3].endswith("/"):
             stack.append(node)
             opened[tag] += 1
+    if forms:
+        _plain_forms(root, forms)
     return root
 
 
+def _plain_forms(root: Node, forms: list[Node]) -> None:
+    """Forms around an article, or around nearly all of the text of a page without one, are plain containers."""
+
+    def held(top: Node) -> tuple[bool, bool, int]:
+        article = says = False
+        own, stack = 0, [top]
+        while stack:
+            node = stack.pop()
+            article |= node.tag in ("article", "main")
+            says |= node.tag in ("p", "h1", "h2", "h3")
+            own += len(plain(node.text)) if node.tag == "#text" else 0
+            stack.extend(c for c in node.children if c.tag not in ("a", "label", "legend", "option") and (not c.apart or c.tag in ("form", "header") or c.loose))
+        return article, says, own
+
+    any_article, _, total = held(root)
+    inside, stack = {}, [(root, None)]
+    while stack:  # a form within a form is a form
+        node, outer = stack.pop()
+        if node.tag == "form":
+            inside[id(node)] = outer
+        stack.extend((c, outer or (node if node.tag == "form" else None)) for c in node.children)
+    for form in forms:
+        if inside.get(id(form)) is None:
+            article, says, own = held(form)
+            form.apart = not (article or not any_article and says and own >= max(VAGUE_CHARS, FORM_SHARE * total))
+
+
 def _add_text(parent: Node, text: str) -> None:
     if parent.children and parent.children[-1].tag == "#text":
         parent.children[-1].text += text
@@ -170,7 +212,7 @@ def texts_below(top: Node) -> list[Node]:
         node = stack.pop()
         if node.tag == "#text":
             out += [node] * (node.index >= 0)
-        elif node is top or not _leaves(node):
+        elif node is top or not _leaves(node, inside=True):
             stack.extend(reversed(node.children))
     return out
 
@@ -190,14 +232,56 @@ def _runs(node: Node) -> list[list[Node]]:
     return out
 
 
-def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]]]:
-    """Size of the best ordered matching of two trees, and the text nodes and containers that it pairs."""
-    if a.label != b.label:
-        return 0, []
-    if depth > DEPTH:
-        return 1, []
-    if a.tag == "#text":
-        return 1, [(a, b)]
+def _key(top: Node) -> int:
+    """A number for the labels and texts of a tree."""
+    stack = [top]
+    while stack:
+        node = stack[-1]
+        if node.key is None:
+            if node.tag == "#text":
+                node.key = hash(" ".join(node.text.split()))
+            elif missing := [c for c in node.children if c.key is None]:
+                stack.extend(missing)
+                continue
+            else:
+                node.key = hash((node.label, *(c.key for c in node.children if c.tag != "#text" or not c.text.isspace())))
+        stack.pop()
+    return top.key
+
+
+def _members(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
+    """The members of two runs that meet."""
+    if len(x) == 1 and len(y) == 1:
+        return [(x[0], y[0])]
+    ours, theirs = [_key(n) for n in x], [_key(n) for n in y]
+    if ours == theirs:
+        return list(zip(x, y))
+    once, there = Counter(ours), Counter(theirs)
+    place = {k: j for j, k in enumerate(theirs) if there[k] == 1}
+    # the longest rising sequence of the places of such members: ends of sequences by length, and who stands before whom
+    ends: list[int] = []
+    last: list[int] = []
+    before: dict[int, int] = {}
+    for i, k in enumerate(ours):
+        if once[k] == 1 and k in place:
+            n = bisect_left(ends, place[k])
+            ends[n:n + 1], last[n:n + 1] = [place[k]], [i]
+            before[i] = last[n - 1] if n else -1
+    anchors, i = [], last[-1] if last else -1
+    while i >= 0:
+        anchors.append((i, place[ours[i]]))
+        i = before[i]
+    out, i, j = [], 0, 0
+    for p, q in (*reversed(anchors), (len(x), len(y))):
+        out += zip(x[i:p], y[j:q])
+        out += zip(x[p:p + 1], y[q:q + 1])
+        i, j = p + 1, q + 1
+    return out
+
+
+def _steps(a: Node, b: Node) -> Generator:
+    """Matches two trees of one label. Yields pairs of elements to match first and is sent their results; yields its own at last: the
+    size, and nested lists of pairs."""
     left, right = _runs(a), _runs(b)
     best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
     found: dict[tuple[int, int], tuple[int, list]] = {}
@@ -206,24 +290,50 @@ def match(a: Node, b: Node, depth: int = 0) -> tuple[int, list[tuple[Node, Node]
         for j, y in enumerate(right):
             top = max(above[j + 1], row[j])
             if x[0].label == y[0].label:
-                total, pairs = 0, []
-                for p, q in zip(x, y):
-                    n, more = match(p, q, depth + 1)
-                    total += n
-                    pairs += more
-                found[i, j] = total, pairs
+                total, parts = 0, []
+                for pair in _members(x, y):
+                    if pair[0].tag == "#text":
+                        total += 1
+                        parts.append(pair)
+                    else:
+                        n, more = yield pair
+                        total += n
+                        parts.append(more)
+                found[i, j] = total, parts
                 top = max(top, above[j] + total)
             row[j + 1] = top
-    pairs, i, j = [], len(left), len(right)
+    taken, i, j = [(a, b)] if a.tag in FRAME else [], len(left), len(right)
     while i and j:
         if (i - 1, j - 1) in found and best[i][j] == best[i - 1][j - 1] + found[i - 1, j - 1][0]:
             i, j = i - 1, j - 1
-            pairs = found[i, j][1] + pairs
+            taken.append(found[i, j][1])
         elif best[i][j] == best[i - 1][j]:
             i -= 1
         else:
             j -= 1
-    return 1 + best[-1][-1], [(a, b)] * (a.tag in FRAME) + pairs
+    yield 1 + best[-1][-1], taken
+
+
+def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
+    """Size of the best ordered matching of two trees, and the text nodes and containers that it pairs, in no order."""
+    if a.label != b.label:
+        return 0, []
+    if a.tag == "#text":
+        return 1, [(a, b)]
+    open_, answer = [_steps(a, b)], None  # trees may be deeper than calls can nest
+    while open_:
+        step = open_[-1].send(answer)
+        if isinstance(step[0], Node):
+            open_.append(_steps(*step))
+            answer = None
+        else:
+            open_.pop()
+            answer = step
+    pairs, stack = [], [answer[1]]
+    while stack:
+        for x in stack.pop():
+            (pairs if isinstance(x, tuple) else stack).append(x)
+    return answer[0], pairs
 
 
 def plain(text: str) -> str:
@@ -296,11 +406,10 @@ def main_text(page: str | None, reference: str | None = None, constant: list[int
             held.add(id(node))
             stack.extend(node.children)
         tops = [t for t in tops if id(t) in held] or [content]
-    tops = tops or [root]
     blocks: list[list[str]] = [[]]
-    for top in tops:
+    for top in tops or [root]:
         blocks.append([])
-        _walk(top, blocks, template)
+        _walk(top, blocks, template, inside=bool(tops))
     return "\n".join(x for x in (plain("".join(b)) for b in blocks) if x)
 
 
@@ -318,7 +427,7 @@ def _articles(root: Node) -> list[Node]:
         out, stack = [], [root]
         while stack:
             node = stack.pop()
-            if node.tag == want and not node.apart:
+            if node.tag == want and (not node.apart or _stays(node)):
                 out.append(node)
             elif not node.apart or loose and node.tag in ("div", "section") or node.tag in ("body", "html"):
                 stack.extend(reversed(node.children))
@@ -327,7 +436,7 @@ def _articles(root: Node) -> list[Node]:
     return []
 
 
-def _walk(top: Node, blocks: list[list[str]], template: set[int], whole: bool = False) -> None:
+def _walk(top: Node, blocks: list[list[str]], template: set[int], whole: bool = False, inside: bool = False) -> None:
     stack: list[Node | None] = [top]
     while stack:
         node = stack.pop()
@@ -338,7 +447,7 @@ def _walk(top: Node, blocks: list[list[str]], template: set[int], whole: bool =
                 blocks[-1].append(node.text)
         elif node.tag in ("br", "img", "wbr"):
             blocks[-1].append("" if node.tag == "wbr" else " ")
-        elif not whole and node is not top and _leaves(node):
+        elif not whole and node is not top and _leaves(node, inside):
             blocks.append([])
         else:
             block = node.tag in BLOCKS
@@ -348,16 +457,21 @@ def _walk(top: Node, blocks: list[list[str]], template: set[int], whole: bool =
             stack.extend(reversed(node.children))
 
 
-def _leaves(node: Node) -> bool:
-    """Whether an element is left out. A header with a heading of the first or second level is the article's own."""
-    if node.tag == "header" and any(c.tag in ("h1", "h2", "hgroup") for c in node.children):
+def _leaves(node: Node, inside: bool = False) -> bool:
+    """Whether an element is left out. Inside an article, or with a heading of the first or second level, a header is the article's own."""
+    if node.tag == "header" and (inside and not (node.named or node.vague) or any(c.tag in ("h1", "h2", "hgroup") for c in node.children)):
         return False
     if node.tag in ("html", "body"):
         return False
-    return node.apart or node.vague and not _says_much(node)
+    return node.apart and not (inside and _stays(node)) or node.vague and not _says_much(node)
+
+
+def _stays(node: Node) -> bool:
+    """Whether an element with a word for what is apart in a longer name is part of an article for all that."""
+    return node.loose and _says_much(node, LOOSE_CHARS)
 
 
-def _says_much(top: Node) -> bool:
+def _says_much(top: Node, least: int = VAGUE_CHARS) -> bool:
     """Whether a part has text of its own, and not mostly links."""
     own = links = 0
     stack = [(top, False)]
@@ -366,9 +480,9 @@ def _says_much(top: Node) -> bool:
         if node.tag == "#text":
             n = len(plain(node.text))
             own, links = own + n * (not link), links + n * link
-        elif not node.apart:
+        elif not node.apart or node is top:
             stack.extend((c, link or node.tag == "a") for c in node.children)
-    return own >= VAGUE_CHARS and own >= VAGUE_SHARE * (own + links)
+    return own >= least and own >= VAGUE_SHARE * (own + links)
 
 
 # ---------------------------------------------------------------- Spark
@@ -393,12 +507,12 @@ def layout(root: Node) -> int:
 
 
 def _page(pages: DataFrame, html_col: str) -> DataFrame:
-    """Adds _page: a hash of host and html."""
-    return pages.withColumn("_page", F.xxhash64("_host", F.col(html_col)))
+    """Adds _page: 128 bits that stand for host and html."""
+    return pages.withColumn("_page", F.unhex(F.md5(F.concat_ws("\0", F.col("_host"), F.col(html_col)))))
 
 
 def layouts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(_page long, _layout long, counts boolean) of each different page of a host: its layout, and whether it is the one that
+    """(_page binary, _layout long, counts boolean) of each different page of a host: its layout, and whether it is the one that
     counts for its main text (by its own markup). Layouts with fewer than ``LEAST_PAGES`` such pages are pooled; if the
     pool has too few as well, it goes by the host's largest layout."""
     own = _page(with_host(pages, url_col).where(F.length(html_col) > 0), html_col).select("_host", "_page", F.col(html_col).alias("html"))
@@ -408,10 +522,10 @@ def layouts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         for page in cols[2]:
             root = parse(page)
             kinds.append(layout(root))
-            mains.append(xxhash.xxh64_intdigest(main_text(page).encode("utf-8", "surrogatepass")) - (1 << 63))
+            mains.append(xxhash.xxh128_digest(main_text(page).encode("utf-8", "surrogatepass")))
         return [cols[0], cols[1], kinds, mains]
 
-    seen = written(map_slices(own, look, "_host string, _page long, kind long, main long", rows=64).distinct(), "looks")
+    seen = written(map_slices(own, look, "_host string, _page binary, kind long, main binary", rows=64).distinct(), "looks")
     once = seen.groupBy("_host", "kind", "main").agg(F.min("_page").alias("first"))
     sizes = once.groupBy("_host", "kind").agg(F.count("*").alias("n")).withColumn("big", F.col("n") >= LEAST_PAGES)
     hosts = sizes.groupBy("_host").agg(F.max(F.when(F.col("big"), F.struct("n", "kind"))).alias("largest"), F.coalesce(F.sum(F.when(~F.col("big"), F.col("n"))), F.lit(0)).alias("pool"))
@@ -466,7 +580,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     A null or empty page, and one without text, gives the empty text. A page of a host with fewer than
     ``LEAST_PAGES`` pages of different main texts has no wrapper and is read by its own markup. Pages without an address are taken as
-    one host. Repeated rows stay repeated; broken markup never fails; only the three columns are read."""
+    one host; ids may be null or repeated. Repeated rows stay repeated; broken markup never fails; only the three columns are read."""
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in (id_col, url_col))
     placed = if_small(layouts(pages, url_col, html_col), "layouts")
     joined = _page(with_host(pages.select(id_col, url_col, html_col), url_col), html_col).join(placed.drop("counts"), "_page", "left")

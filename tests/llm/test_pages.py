@@ -175,3 +175,52 @@ def test_deep_nesting_keeps_its_structure(spark):
     rows.append((None, None, "<article>" + "<p>" + "word " * 200_000 + "</article>"))
     got = {x.page_id: x.text for x in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[k] == f"text {k}" for k in range(6)) and len(got[None]) == 999_999
+
+
+PROSE = "Others have written about this before, and at some length, as the list below shows. " * 5
+
+
+def test_article_text_in_forms_headers_and_odd_elements():
+    """Forms around the article, headers in it, names that hold a word for an advert, formulas and fallbacks keep their text."""
+    say = PROSE.strip()
+    for page, want in {
+        f"<body><form id=aspnetForm><nav>m</nav><main><p>{say}</p></main><footer>f</footer></form></body>": say,
+        f"<body><form><article><h1>T</h1><p>{say}</p><form>x</form></article></form></body>": f"T\n{say}",
+        f"<body><form><div><h1>T</h1><p>{say}</p></div></form><p>after</p></body>": f"T\n{say}\nafter",
+        f"<body><p>{say}</p><form><p>Subscribe here</p></form></body>": say,
+        f"<article><p>{say}</p><form><p>{say}</p></form></article>": say,
+        f"<article><p>a</p><div class='widget-review'><p>{say}</p></div><section id='ads-history'><p>{say}</p></section><div class='newsletter-history'>{say}</div></article>": "\n".join(["a", say, say, say]),
+        f"<article class='widget-review'><p>{say}</p></article>": say,
+        f"<article><p>a</p><div class='newsletter-box'>Sign up</div><div class='ads-list'><a>{say}</a></div><div class='widget'>{say}</div><div class='user-comments'>{say}</div></article>": "a",
+        "<header><p>Site</p></header><article><header><p>Lead</p><nav>n</nav></header><p>x</p><header class='banner'>b</header></article>": "Lead\nx",
+        "<article><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> then <object data=f><param name=p>fallback</object></p></article>": "If x=1 then fallback",
+        "<article><p title='a hidden gem' data-class='ad'>kept</p><p hidden>gone</p></article>": "kept",
+    }.items():
+        got = hx.main_text(page)
+        assert got == want, (page[:80], got)
+
+
+def test_constant_parts_under_a_thousand_containers_and_in_longer_runs(spark):
+    deep = "<div>" * 1000 + "{}" + "</div>" * 1000
+    rows = [(k, "http://deep.example/", "<body>" + deep.format(f"<section><b>Notice to all of our readers</b></section><p>story {k} and {k * 7}</p>") + "</body>") for k in range(8)]
+    body = lambda k: "".join(f"<p>part {n} of {k}</p>" + "<p>Read this too</p>" * (n == k % 3) for n in range(3 + k % 4)) + "<p>Copyright line</p>"
+    rows += [(100 + k, "http://runs.example/", f"<body><div>{body(k)}</div></body>") for k in range(24)]
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"story {k} and {k * 7}" for k in range(8))
+    assert all(got[100 + k] == "\n".join(f"part {n} of {k}" for n in range(3 + k % 4)) for k in range(24))
+
+
+def test_members_of_runs_meet_by_text():
+    r = random.Random(8)
+    for _ in range(300):
+        make = lambda: [hx.Node("#text", "#text", text=r.choice("abcdefghij")) for _ in range(r.randint(1, 9))]
+        x, y = make(), make()
+        a, b = [n.text for n in x], [n.text for n in y]
+        pairs = [(x.index(p), y.index(q)) for p, q in hx._members(x, y)]
+        assert all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+        single = [t for t in a if a.count(t) == 1 and b.count(t) == 1]
+        longest = [0] * len(single)
+        for i, t in enumerate(single):
+            longest[i] = 1 + max((longest[k] for k in range(i) if b.index(single[k]) < b.index(t)), default=0)
+        met = [i for i, j in pairs if a[i] == b[j] and a[i] in single]
+        assert len(x) == 1 == len(y) or len(met) >= max(longest, default=0)
