@@ -234,6 +234,8 @@ def _runs(node: Node) -> list[list[Node]]:
 
 def _key(top: Node) -> int:
     """A number for the labels and texts of a tree."""
+    if top.key is None and len(top.children) == 1 and top.children[0].tag == "#text" and not top.children[0].text.isspace():
+        top.key = hash((top.label, hash(" ".join(top.children[0].text.split()))))  # as below, without the stack
     stack = [top]
     while stack:
         node = stack[-1]
@@ -398,6 +400,10 @@ def main_text(page: str | None, reference: str | None = None, constant: list[int
         pairs = match(other, root)[1]
         template = {p.index for r, p in pairs if r.index in fixed and plain(r.text) == plain(p.text)}
         content = next((p for r, p in pairs if r is inside), None)
+    return _article_text(root, template, content)
+
+
+def _article_text(root: Node, template: set[int], content: Node | None) -> str:
     tops = _articles(root)
     if content is not None:
         held, stack = set(), [content]
@@ -522,7 +528,7 @@ def layouts(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
         for page in cols[2]:
             root = parse(page)
             kinds.append(layout(root))
-            mains.append(xxhash.xxh128_digest(main_text(page).encode("utf-8", "surrogatepass")))
+            mains.append(xxhash.xxh128_digest(_article_text(root, set(), None).encode("utf-8", "surrogatepass")))
         return [cols[0], cols[1], kinds, mains]
 
     seen = written(map_slices(own, look, "_host string, _page binary, kind long, main binary", rows=64).distinct(), "looks")
