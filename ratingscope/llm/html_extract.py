@@ -48,6 +48,7 @@ VAGUE = frozenset("notice notification alert share sharing social related recomm
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th li dd dt figcaption span a b i em strong".split())
 #: A start tag that ends open elements: <p> and other blocks end a paragraph, items end the item before.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+ENDS = {t: CLOSES.get(t, set()) | ({"p"} if t in BLOCKS else set()) for t in (*CLOSES, *BLOCKS)}
 SCOPES = frozenset("table ul ol dl article section div main body html td th".split())
 #: A part with a vague name is left out if its text that is no link has fewer characters or is a smaller share.
 VAGUE_CHARS, VAGUE_SHARE = 80, 0.8
@@ -67,8 +68,8 @@ FRAME, FRAME_DEPTH, POOLED = frozenset("html body div section main article cente
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|[^<]+|<""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_TELLS = re.compile("class|id|role|hidden", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_BLANK = re.compile(r"\s+")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -83,7 +84,9 @@ class Node:
         self.apart, self.children, self.index, self.key = named or tag in APART, [], -1, None
 
 
-def _element(tag: str, attributes: str) -> Node:
+@lru_cache(maxsize=4096)
+def _kind(tag: str, attributes: str) -> tuple[str, bool, bool, bool]:
+    """Label, ``named``, ``vague`` and ``loose`` of an element."""
     found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attributes):
         found.setdefault(m[1].lower(), (m[2] or "").strip("\"'"))  # the first of equal ones counts
@@ -93,7 +96,12 @@ def _element(tag: str, attributes: str) -> Node:
     sure = bool(whole & WORDS or parts & READERS) or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
     named = sure or bool(parts & WORDS)
     vague = tag not in PROSE and bool(parts & VAGUE) and not named
-    return Node(tag, f"{tag}.{found.get('class', '')}", named, vague=vague, loose=named and not sure and tag not in APART)
+    return f"{tag}.{found.get('class', '')}", named, vague, named and not sure and tag not in APART
+
+
+def _element(tag: str, attributes: str) -> Node:
+    label, named, vague, loose = _kind(tag, attributes if _TELLS.search(attributes) else "")
+    return Node(tag, label, named, vague=vague, loose=loose)
 
 
 def parse(page: str) -> Node:
@@ -182,8 +190,13 @@ def _close(stack: list[Node], tag: str, opened: Counter) -> None:
 
 
 def _imply(stack: list[Node], tag: str, opened: Counter) -> None:
-    ends = CLOSES.get(tag, set()) | ({"p"} if tag in BLOCKS else set())
-    for k in range(len(stack) - 1, 0, -1) if any(opened[t] for t in ends) else ():
+    ends = ENDS.get(tag, ())
+    for t in ends:
+        if opened[t]:
+            break
+    else:
+        return
+    for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in ends:
             _cut(stack, k, opened)
             return _imply(stack, tag, opened) if tag in CLOSES else None
@@ -234,8 +247,15 @@ def _runs(node: Node) -> list[list[Node]]:
 
 def _key(top: Node) -> int:
     """A number for the labels and texts of a tree."""
-    if top.key is None and len(top.children) == 1 and top.children[0].tag == "#text" and not top.children[0].text.isspace():
-        top.key = hash((top.label, hash(" ".join(top.children[0].text.split()))))  # as below, without the stack
+    chain, node = [], top
+    while node.key is None and len(node.children) == 1:
+        chain.append(node)
+        node = node.children[0]
+    if node.tag == "#text" and not node.text.isspace():  # as below, without a stack
+        node.key = hash(" ".join(node.text.split()))
+        for above in reversed(chain):
+            above.key = hash((above.label, node.key))
+            node = above
     stack = [top]
     while stack:
         node = stack[-1]
@@ -281,6 +301,10 @@ def _members(x: list[Node], y: list[Node]) -> list[tuple[Node, Node]]:
     return out
 
 
+def _is_text(node: Node) -> bool:
+    return node.tag == "#text" and not node.text.isspace()
+
+
 def _steps(a: Node, b: Node) -> Generator:
     """Matches two trees of one label. Yields pairs of elements to match first and is sent their results; yields its own at last: the
     size, and nested lists of pairs."""
@@ -294,9 +318,15 @@ def _steps(a: Node, b: Node) -> Generator:
             if x[0].label == y[0].label:
                 total, parts = 0, []
                 for pair in _members(x, y):
-                    if pair[0].tag == "#text":
+                    p, q = pair
+                    if p.tag == "#text":
                         total += 1
                         parts.append(pair)
+                    elif len(p.children) == 1 == len(q.children) and _is_text(p.children[0]) and _is_text(q.children[0]):
+                        total += 2
+                        parts.append((p.children[0], q.children[0]))
+                        if p.tag in FRAME:
+                            parts.append(pair)
                     else:
                         n, more = yield pair
                         total += n
@@ -339,7 +369,7 @@ def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
 
 
 def plain(text: str) -> str:
-    return _BLANK.sub(" ", html.unescape(text)).strip()
+    return " ".join(html.unescape(text).split())
 
 
 def all_text(page: str | None) -> str:
@@ -555,17 +585,18 @@ def wrappers(pages: DataFrame, placed: DataFrame, url_col: str = "url", html_col
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], Node] = {}
+        own: list[str] = []
         for batch in batches:
             counts = defaultdict(lambda: [0, 0])
             for at in range(0, batch.num_rows, 64):
                 for host, kind, page, ref in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     if (host, kind) not in seen:
                         seen = {(host, kind): parse(ref)}  # the rows of a layout follow each other
-                        texts(seen[host, kind])
+                        own = [plain(n.text) for n in texts(seen[host, kind])]
                     for r, p in match(seen[host, kind], parse(page))[1]:
                         if r.index >= 0:
                             found = counts[host, kind, r.index]
-                            found[0] += r.text == p.text or plain(r.text) == plain(p.text)
+                            found[0] += r.text == p.text or own[r.index] == plain(p.text)
                             found[1] += len(p.text)
             hosts, kinds, nodes = zip(*counts) if counts else ((), (), ())
             same, chars = zip(*counts.values()) if counts else ((), ())
