@@ -311,6 +311,12 @@ def standardised_features(r: DataFrame) -> DataFrame:
     return _rounded(z.select(*KEYS, *scale.names), *scale.names)
 
 
+@_query
+def standardised_long(r: DataFrame) -> DataFrame:
+    _, z, scale = _scaled(r)
+    return _rounded(atypical.standardised_long(z, scale), "z")
+
+
 @_query
 def atypicality(r: DataFrame) -> DataFrame:
     _, z, scale = _scaled(r)

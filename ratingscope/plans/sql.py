@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ratingscope.functions.stats import chi2_quantile
 from ratingscope.operators.fingerprint import BEHAVIOUR, TRIADS
 from ratingscope.sources.ratings_view import VIEW_SQL
 
@@ -197,6 +198,30 @@ JOIN (VALUES ('zero_self_full', 2, 'fewer than two active raters'), ('zero_self_
 #: Means over teams; permutations of a team count as one.
 SUMMARY_OF_ATTACKS = f"SELECT variant, model, avg(delta) AS mean_delta FROM (SELECT {K}, variant, model, avg(delta) AS delta FROM d GROUP BY ALL) WHERE delta IS NOT NULL GROUP BY ALL"
 
+_cause = "CASE WHEN non_submitter_count > 0 AND mean_rater_std < 1e-9 THEN 'both' WHEN non_submitter_count > 0 THEN 'non_submitter' WHEN mean_rater_std < 1e-9 THEN 'flat' ELSE 'none' END"
+#: Features that vary as rows, standardised: the features of all teams, filled with their means first.
+LONG = f"""fl AS (UNPIVOT (SELECT {K}, {_cause} AS cause, {', '.join(f'coalesce({f}, avg({f}) OVER ())::DOUBLE AS {f}' for f in _features)} FROM fm) ON {', '.join(_features)} INTO NAME feature VALUE v),
+fs AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s, row_number() OVER (ORDER BY feature) - 1 AS i FROM fl GROUP BY feature HAVING stddev_pop(v) ** 2 > 1e-10),
+z AS (SELECT {K}, cause, feature, i, (v - m) / s AS z FROM fl JOIN fs USING (feature))"""
+#: The shrunk covariance, its inverse by sweeping one row and column after the other, and squared distances from the clean teams' centre.
+DISTANCE = f"""zn AS (SELECT count(DISTINCT ({K})) AS n, count(DISTINCT feature) AS p FROM z),
+zc AS (SELECT a.i, b.i AS j, sum(a.z * b.z) / (SELECT n FROM zn) AS s FROM z a JOIN z b USING ({K}) GROUP BY ALL),
+zq AS (SELECT sum(q * q) AS q FROM (SELECT sum(z * z) AS q FROM z GROUP BY {K})),
+zt AS (SELECT sum(s) FILTER (i = j) / any_value(p) AS mu, sum(s * s) AS s2, any_value(p) AS p, any_value(n) AS n FROM zc, zn),
+zb AS (SELECT mu, (s2 - p * mu * mu) / p AS d, (q / n - s2) / (p * n) AS b FROM zt, zq),
+zw AS (SELECT mu, CASE WHEN d > 0 THEN greatest(least(b, d), 0) / d ELSE 0 END AS w FROM zb),
+zs AS (SELECT i, j, (1 - w) * s + CASE WHEN i = j THEN w * mu ELSE 0 END AS s FROM zc, zw),
+zp AS (SELECT 0 AS k, list(s ORDER BY i, j) AS a FROM zs
+ UNION ALL SELECT k + 1, list_transform(range(p * p), lambda x: CASE WHEN x // p = k AND x % p = k THEN -1 / a[k * p + k + 1]
+  WHEN x // p = k OR x % p = k THEN a[x + 1] / a[k * p + k + 1] ELSE a[x + 1] - a[x // p * p + k + 1] * a[k * p + x % p + 1] / a[k * p + k + 1] END) FROM zp, zn WHERE k < p),
+zi AS (SELECT unnest(range(p * p)) // p AS i, unnest(range(p * p)) % p AS j, -unnest(a) AS w FROM zp, zn WHERE k = p),
+zm AS (SELECT i, coalesce(avg(z) FILTER (cause = 'none'), 0) AS c FROM z GROUP BY i),
+zx AS (SELECT {K}, cause, i, z - c AS x FROM z JOIN zm USING (i)),
+zd AS (SELECT a.csv_path, a.team, a.question, a.cause, sum(a.x * w * b.x) AS d2 FROM zx a JOIN zi ON zi.i = a.i
+ JOIN zx b ON (b.csv_path, b.team, b.question, b.i) = (a.csv_path, a.team, a.question, zi.j) GROUP BY ALL)"""
+_quantiles = ", ".join(f"({p}, {chi2_quantile(0.95, p)!r})" for p in range(1, len(_features) + 1))
+
+
 ORACLE_SQL: dict[str, str] = {
     "baseline_iwf": _with(BASELINE) + f"SELECT {K}, email, {_r('iwf')} FROM baseline",
     "webpa_iwf": _with(WEBPA) + f"SELECT {K}, email, {_r('iwf')} FROM webpa",
@@ -256,6 +281,8 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "scaled_edges": _with(EDGES) + f"SELECT csv_path, team, question || '/' || giver || '/' || recipient AS question, round(coalesce((weight - min(weight) OVER w) / nullif(max(weight) OVER w - min(weight) OVER w, 0), 0.5), 6) + 0.0 AS scaled FROM e WINDOW w AS (PARTITION BY {K})",
     "feature_matrix": _with(*ALL_FEATURES) + f"SELECT {K}, n_students, non_submitter_count, {_r(*_features)} FROM fm",
     "degenerate_cause": _with(*ALL_FEATURES) + f"SELECT {K}, CASE WHEN non_submitter_count > 0 AND mean_rater_std < 1e-9 THEN 'both' WHEN non_submitter_count > 0 THEN 'non_submitter' WHEN mean_rater_std < 1e-9 THEN 'flat' ELSE 'none' END AS cause FROM fm",
+    "standardised_long": _with(*ALL_FEATURES, LONG) + f"SELECT {K}, cause, feature, round(z, 6) + 0.0 AS z FROM z",
+    "atypicality": _with(*ALL_FEATURES, LONG, DISTANCE) + f"SELECT {K}, cause, round(sqrt(d2), 6) + 0.0 AS distance, CASE WHEN d2 > q THEN 'Anomalous' ELSE 'Typical' END AS flag FROM zd, zn JOIN (VALUES {_quantiles}) t(k, q) ON k = p",
     "metric_profile": _with(*ALL_FEATURES) + f"SELECT {K}, " + ", ".join(f"round(coalesce(({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0), 0), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm",
     "metric_percentiles": _with(*ALL_FEATURES, f"pr6 AS (SELECT {K}, " + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm)") + f"SELECT {K}, " + ", ".join(f"round(percent_rank() OVER (ORDER BY {f}), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM pr6",
     "session_parse_roundtrip": _with() + f"SELECT csv_path, team, 'Distribute a total of 60 points: ' || question AS question, substr(csv_path, 9, 4) AS year, 'S1' AS semester, CAST(1 AS BIGINT) AS session_number, giver, recipient, score FROM r",

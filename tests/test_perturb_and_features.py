@@ -129,6 +129,8 @@ def test_prototypes_and_atypicality(spark):
     z = atypical.standardised(f, scale).persist()
     x = np.array([[row[n] for n in scale.names] for row in z.collect()])
     assert x.mean(axis=0) == pytest.approx(np.zeros(x.shape[1]), abs=1e-9) and x.std(axis=0) == pytest.approx(np.ones(x.shape[1]))
+    rows = {(row.team, row.feature): row.z for row in atypical.standardised_long(z, scale).collect()}
+    assert rows == {(row.team, n): row[n] for row in z.collect() for n in scale.names}
     # the shrunk covariance by its definition
     s, n = np.cov(x.T, bias=True), len(x)
     mu = np.trace(s) / len(s)
