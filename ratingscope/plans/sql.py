@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ratingscope.functions.stats import chi2_quantile
+from ratingscope.operators.atypical import LABELS, PROTOTYPES
 from ratingscope.operators.fingerprint import BEHAVIOUR, TRIADS
 from ratingscope.sources.ratings_view import VIEW_SQL
 
@@ -200,7 +201,7 @@ SUMMARY_OF_ATTACKS = f"SELECT variant, model, avg(delta) AS mean_delta FROM (SEL
 
 _cause = "CASE WHEN non_submitter_count > 0 AND mean_rater_std < 1e-9 THEN 'both' WHEN non_submitter_count > 0 THEN 'non_submitter' WHEN mean_rater_std < 1e-9 THEN 'flat' ELSE 'none' END"
 #: Features that vary as rows, standardised: the features of all teams, filled with their means first.
-LONG = f"""fl AS (UNPIVOT (SELECT {K}, {_cause} AS cause, {', '.join(f'coalesce({f}, avg({f}) OVER ())::DOUBLE AS {f}' for f in _features)} FROM fm) ON {', '.join(_features)} INTO NAME feature VALUE v),
+LONG = f"""fl AS (UNPIVOT (SELECT {K}, {_cause} AS cause, {', '.join(f'coalesce({f}, avg({f}) OVER ())::DOUBLE AS {f}' for f in _features)} FROM fm WHERE csv_path <> 'prototypes') ON {', '.join(_features)} INTO NAME feature VALUE v),
 fs AS (SELECT feature, avg(v) AS m, stddev_pop(v) AS s, row_number() OVER (ORDER BY feature) - 1 AS i FROM fl GROUP BY feature HAVING stddev_pop(v) ** 2 > 1e-10),
 z AS (SELECT {K}, cause, feature, i, (v - m) / s AS z FROM fl JOIN fs USING (feature))"""
 #: The shrunk covariance, its inverse by sweeping one row and column after the other, and squared distances from the clean teams' centre.
@@ -219,6 +220,17 @@ zm AS (SELECT i, coalesce(avg(z) FILTER (cause = 'none'), 0) AS c FROM z GROUP B
 zx AS (SELECT {K}, cause, i, z - c AS x FROM z JOIN zm USING (i)),
 zd AS (SELECT a.csv_path, a.team, a.question, a.cause, sum(a.x * w * b.x) AS d2 FROM zx a JOIN zi ON zi.i = a.i
  JOIN zx b ON (b.csv_path, b.team, b.question, b.i) = (a.csv_path, a.team, a.question, zi.j) GROUP BY ALL)"""
+#: The prototypes are five teams more, which no mean or deviation counts; distances of each team from each of them.
+_proto = ", ".join(f"('prototypes', '{label}', '', 's{j}', 's{i}', {x}.0)" for label, m in zip(LABELS, PROTOTYPES) for i, row in enumerate(m) for j, x in enumerate(row))
+WITH_PROTOTYPES = f"k AS (SELECT {K}, giver, recipient, score FROM kept UNION ALL SELECT * FROM (VALUES {_proto}))"
+_names = {label: label.lower().replace("-", "_") for label in LABELS}
+NEAREST = f"""pl AS (UNPIVOT (SELECT team AS label, {', '.join(f'{f}::DOUBLE AS {f}' for f in _features)} FROM fm WHERE csv_path = 'prototypes') ON {', '.join(_features)} INTO NAME feature VALUE v),
+px AS (SELECT {K}, label, z.i, z - (v - m) / s AS x FROM z JOIN fs USING (feature) JOIN pl USING (feature)),
+pd AS (SELECT a.csv_path, a.team, a.question, a.label, sqrt(sum(a.x * w * b.x)) AS d FROM px a JOIN zi ON zi.i = a.i
+ JOIN px b ON (b.csv_path, b.team, b.question, b.label, b.i) = (a.csv_path, a.team, a.question, a.label, zi.j) GROUP BY ALL),
+pw AS (SELECT {K}, {', '.join(f"any_value(d) FILTER (label = '{k}') AS dist_{n}" for k, n in _names.items())}, min(d) AS low FROM pd GROUP BY {K}),
+pn AS (SELECT *, CASE {' '.join(f"WHEN dist_{n} = low THEN '{k}'" for k, n in _names.items())} END AS label, {' + '.join(f'exp(low - dist_{n})' for n in _names.values())} AS whole FROM pw),
+near AS (SELECT *, {', '.join(f'exp(low - dist_{n}) / whole AS weight_{n}' for n in _names.values())} FROM pn)"""
 _quantiles = ", ".join(f"({p}, {chi2_quantile(0.95, p)!r})" for p in range(1, len(_features) + 1))
 
 
@@ -282,6 +294,7 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "feature_matrix": _with(*ALL_FEATURES) + f"SELECT {K}, n_students, non_submitter_count, {_r(*_features)} FROM fm",
     "degenerate_cause": _with(*ALL_FEATURES) + f"SELECT {K}, CASE WHEN non_submitter_count > 0 AND mean_rater_std < 1e-9 THEN 'both' WHEN non_submitter_count > 0 THEN 'non_submitter' WHEN mean_rater_std < 1e-9 THEN 'flat' ELSE 'none' END AS cause FROM fm",
     "standardised_long": _with(*ALL_FEATURES, LONG) + f"SELECT {K}, cause, feature, round(z, 6) + 0.0 AS z FROM z",
+    "nearest_prototype": _with(WITH_PROTOTYPES, *ALL_FEATURES, LONG, DISTANCE, NEAREST).replace("\nk AS (SELECT r.*", "\nkept AS (SELECT r.*") + f"SELECT {K}, label, {_r(*(f'{c}_{n}' for c in ('dist', 'weight') for n in _names.values()))} FROM near",
     "atypicality": _with(*ALL_FEATURES, LONG, DISTANCE) + f"SELECT {K}, cause, round(sqrt(d2), 6) + 0.0 AS distance, CASE WHEN d2 > q THEN 'Anomalous' ELSE 'Typical' END AS flag FROM zd, zn JOIN (VALUES {_quantiles}) t(k, q) ON k = p",
     "metric_profile": _with(*ALL_FEATURES) + f"SELECT {K}, " + ", ".join(f"round(coalesce(({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0), 0), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm",
     "metric_percentiles": _with(*ALL_FEATURES, f"pr6 AS (SELECT {K}, " + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm)") + f"SELECT {K}, " + ", ".join(f"round(percent_rank() OVER (ORDER BY {f}), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM pr6",
