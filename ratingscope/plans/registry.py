@@ -335,7 +335,7 @@ def nearest_prototype(r: DataFrame) -> DataFrame:
 def delta_by_label(r: DataFrame) -> DataFrame:
     _, z, scale = _scaled(r)
     labelled = atypical.nearest_prototype(z, scale, atypical.prototype_features(r.sparkSession))
-    return _rounded(atypical.delta_by_label(labelled, compare.cross_model_delta(models.score(r))), "mean", "std", "median", "max")
+    return _distances(atypical.delta_by_label(labelled, compare.cross_model_delta(models.score(r))), "mean", "std", "median", "max")
 
 
 @_query

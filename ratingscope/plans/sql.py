@@ -231,6 +231,7 @@ pd AS (SELECT a.csv_path, a.team, a.question, a.label, sqrt(sum(a.x * w * b.x))
 pw AS (SELECT {K}, {', '.join(f"any_value(d) FILTER (label = '{k}') AS dist_{n}" for k, n in _names.items())}, min(d) AS low FROM pd GROUP BY {K}),
 pn AS (SELECT *, CASE {' '.join(f"WHEN dist_{n} = low THEN '{k}'" for k, n in _names.items())} END AS label, {' + '.join(f'exp(low - dist_{n})' for n in _names.values())} AS whole FROM pw),
 near AS (SELECT *, {', '.join(f'exp(low - dist_{n}) / whole AS weight_{n}' for n in _names.values())} FROM pn)"""
+DELTAS = f"""dl AS (SELECT {K}, coalesce(avg(spread) FILTER (WHERE n >= 2), 0) AS delta FROM (SELECT {K}, email, stddev_pop(iwf) AS spread, count(iwf) AS n FROM rows GROUP BY ALL) GROUP BY ALL)"""
 _quantiles = ", ".join(f"({p}, {chi2_quantile(0.95, p)!r})" for p in range(1, len(_features) + 1))
 
 
@@ -295,6 +296,7 @@ count(*) FILTER (WHERE eligible > 0) AS teams_with_eligible, count(*) AS teams,
     "degenerate_cause": _with(*ALL_FEATURES) + f"SELECT {K}, CASE WHEN non_submitter_count > 0 AND mean_rater_std < 1e-9 THEN 'both' WHEN non_submitter_count > 0 THEN 'non_submitter' WHEN mean_rater_std < 1e-9 THEN 'flat' ELSE 'none' END AS cause FROM fm",
     "standardised_long": _with(*ALL_FEATURES, LONG) + f"SELECT {K}, cause, feature, round(z, 6) + 0.0 AS z FROM z",
     "nearest_prototype": _with(WITH_PROTOTYPES, *ALL_FEATURES, LONG, DISTANCE, NEAREST).replace("\nk AS (SELECT r.*", "\nkept AS (SELECT r.*") + f"SELECT {K}, label, {_r(*(f'{c}_{n}' for c in ('dist', 'weight') for n in _names.values()))} FROM near",
+    "delta_by_label": _with(WITH_PROTOTYPES, *ALL_FEATURES, LONG, DISTANCE, NEAREST, *SIX, DELTAS).replace("\nk AS (SELECT r.*", "\nkept AS (SELECT r.*") + f"SELECT a.label, count(near.label) AS count, round(round(avg(delta), 9), 6) + 0.0 AS mean, round(round(stddev_pop(delta), 9), 6) + 0.0 AS std, round(round(quantile_cont(delta, 0.5), 9), 6) + 0.0 AS median, round(round(max(delta), 9), 6) + 0.0 AS max FROM (VALUES {', '.join(f'({k!r})' for k in LABELS)}) a(label) LEFT JOIN (near JOIN dl USING ({K})) near ON near.label = a.label GROUP BY a.label",
     "atypicality": _with(*ALL_FEATURES, LONG, DISTANCE) + f"SELECT {K}, cause, round(sqrt(d2), 6) + 0.0 AS distance, CASE WHEN d2 > q THEN 'Anomalous' ELSE 'Typical' END AS flag FROM zd, zn JOIN (VALUES {_quantiles}) t(k, q) ON k = p",
     "metric_profile": _with(*ALL_FEATURES) + f"SELECT {K}, " + ", ".join(f"round(coalesce(({f} - min({f}) OVER ()) / nullif(max({f}) OVER () - min({f}) OVER (), 0), 0), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm",
     "metric_percentiles": _with(*ALL_FEATURES, f"pr6 AS (SELECT {K}, " + ", ".join(f"round({f}, 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM fm)") + f"SELECT {K}, " + ", ".join(f"round(percent_rank() OVER (ORDER BY {f}), 6) + 0.0 AS {f}" for f in BEHAVIOUR[:6]) + " FROM pr6",
