@@ -359,3 +359,21 @@ def test_named_colluders_and_teams(spark):
     assert {x.team for x in members.of_teams(r, ["t1"]).collect()} == {"t1"}
     with pytest.raises(ValueError, match="unknown teams: t9"):
         members.of_teams(r, ["t1", "t9"])
+
+
+def test_archetypes_of_large_tables_step_together(spark):
+    """Few jobs, whatever the number of steps, starts and replicates; results as those of single tasks."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(k, *map(float, rng.normal(size=3))) for k in range(90)], "id int, f double, g double, h double")
+    names = ["f", "g", "h"]
+    small = {r.k: r for r in archetypes.sweep(df.drop("id"), names, range(2, 4), 4, 2, 2).collect()}
+    seen = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("together"))
+    spark.sparkContext.setJobGroup("together", "together")
+    large = {r.k: r for r in archetypes.sweep(df.drop("id"), names, range(2, 4), 4, 2, 2, most_cells=0).collect()}
+    assert seen() < 60
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    for k, r in small.items():
+        assert large[k].rss == pytest.approx(r.rss, abs=1e-6) and np.allclose(large[k].archetypes, r.archetypes, atol=1e-6) and 0 <= large[k].stability <= 1
+    one, many = (archetypes.fit_best(df, names, 3, 4, 2, most_cells=n)[1] for n in (10**6, 0))
+    weights = lambda rows: np.array([r.w for r in rows.orderBy("id").collect()])
+    assert np.allclose(weights(one), weights(many), atol=1e-6)
