@@ -75,3 +75,23 @@ def test_rounding_is_that_of_the_twins(spark):
     want = [r[0] for v in x for r in [duckdb.execute("SELECT round(round(?::DOUBLE, 9), 6) + 0.0", [v]).fetchone()]]
     got = registry._distances(spark.createDataFrame([(k, v) for k, v in enumerate(x)], "k int, x double"), "x").orderBy("k")
     assert [r.x for r in got.collect()] == want
+
+
+def test_session_results_in_order(spark):
+    """Rows come sorted, each team solved once: the plan sorts teams, not scores."""
+    packed = written(teams(spark, SF, 0.5), "teams")
+    got, want = inside.results(packed), compare.results(models.score(ratings(spark, SF, 0.5)), ratings(spark, SF, 0.5))
+    assert got.columns == want.columns
+    line = lambda r: (*r[:-1], r[-1] and round(r[-1], 12))
+    assert [line(r) for r in got.collect()] == [line(r) for r in want.collect()]
+
+
+def test_lines_without_quotes_are_split(spark):
+    from ratingscope.sources import sessions
+
+    lines = ["Course,COURSE-S1-2020", "Session Name,Peer Feedback Session 1 - S1, 2020", 'Question 1,"Distribute a total of 60 points: q"', "Team,Giver's Name,Email,Role,Recipient,Recipient Email,Points"]
+    body = ["t,A,a,,B,b,3", 't,"A, x",a,,A,a,4', "t,B,b,,A,a,No Response", "t,B,b,,B,b,", "t,C,c,,A,a", "t,C,c,,A", ",D,d,,A,a,1", " t , A , a ,, C , c , 5 ,z"]
+    df = spark.createDataFrame([("f", k, x) for k, x in enumerate(lines + body)], "csv_path string, pos long, line string")
+    quoted = spark.createDataFrame([("f", k, x if k < 4 or '"' in x else '"' + x.split(",")[0] + '"' + x[x.index(","):]) for k, x in enumerate(lines + body)], df.schema)
+    plain, other = (_rows(sessions.parse(d)["rows"].drop("pos")) for d in (df, quoted))
+    assert plain == other and len(plain) >= 5
