@@ -79,3 +79,21 @@ def test_batches_are_put_together():
     batches = [pa.record_batch([pa.array([[1.0, 2.0]] * 30, schema.field(0).type)], schema=schema) for _ in range(7)]
     assert [b.num_rows for b in models.gathered(iter(batches))] == [210]
     assert inside.models.gathered is models.gathered
+
+
+def test_only_failed_runs_leave_a_task(spark):
+    rows = [("f", t, "q", g, r, 0.0 if t == "zero" else 5.0) for t in ("zero", "fine") for g in "ab" for r in "ab"]
+    r = spark.createDataFrame(rows, "csv_path string, team string, question string, giver string, recipient string, score double")
+    every = inside.run_status(r)
+    assert every.count() == 12
+    assert sorted(inside.run_status(r, only_failed=True).collect()) == sorted(every.where("error is not null").collect()) != []
+
+
+def test_only_the_variants_asked_for_are_run(spark):
+    from ratingscope.operators import perturb
+
+    rows = [("f", "t", "q", g, r, float((3 * i + 5 * j) % 7)) for i, g in enumerate("abcd") for j, r in enumerate("abcd")]
+    r = spark.createDataFrame(rows, "csv_path string, team string, question string, giver string, recipient string, score double")
+    every, one = perturb.team_summaries(r, 2), perturb.team_summaries(r, 2, only=("single_outlier",))
+    assert {x.variant for x in one.collect()} == {"single_outlier"}
+    assert sorted(map(str, one.collect())) == sorted(map(str, every.where("variant = 'single_outlier'").collect()))
