@@ -72,3 +72,38 @@ def test_medians_without_a_task_for_a_label(spark):
 def test_labels_are_joined_with_no_deltas_and_no_percentile(spark):
     plan = _plan(registry.QUERIES["delta_by_label"](spark, SF)).lower()
     assert "percentile(" not in plan and "zip_with" not in plan and "l_orderkey" not in plan
+
+
+def test_percent_ranks_are_made_together(spark, monkeypatch):
+    df = spark.createDataFrame([(k, float(k % 4) if k % 5 else None, float(-k * k % 7)) for k in range(60)], "k long, a double, b double")
+    calls, real = [], fingerprint.ranked
+    monkeypatch.setattr(fingerprint, "ranked", lambda *a: calls.append(1) or real(*a))
+    want = _rows(df.selectExpr("k", "percent_rank() over (order by a) as a", "percent_rank() over (order by b) as b"))
+    for most in (0, 1_000_000):  # joined by a shuffle, and sent to all
+        monkeypatch.setattr(fingerprint, "BROADCAST_VALUES", most)
+        assert _rows(fingerprint.percent_ranks(df, ("a", "b"), parts=3)) == want
+    assert len(calls) == 2
+
+
+def test_scale_and_distances_are_made_of_batches(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 25)) * np.arange(1, 26) + 1000
+    x[:, 4] = 3.0  # doesn't vary
+    rows = [(str(k), "flat" if k % 3 == 0 else "none", *map(float, v)) for k, v in enumerate(x)]
+    f = spark.createDataFrame(rows, "team string, cause string, " + ", ".join(f"{n} double" for n in fingerprint.FEATURES))
+    scale = atypical.fit_scale(f.repartition(7))
+    names = [n for k, n in enumerate(fingerprint.FEATURES) if k != 4]
+    x = np.delete(x, 4, axis=1)
+    assert scale.names == names and list(scale.mean.values()) == pytest.approx(x.mean(axis=0)) and list(scale.std.values()) == pytest.approx(x.std(axis=0))
+    z = atypical.standardised(f, scale)
+    out = atypical.atypicality(z, scale)
+    assert "zip_with" not in _plan(out)
+    own = (x - x.mean(axis=0)) / x.std(axis=0)
+    off = own - own[np.arange(300) % 3 != 0].mean(axis=0)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", off, scale.precision, off))
+    got = {r.team: r.distance for r in out.select("team", "distance").collect()}
+    assert [got[str(k)] for k in range(300)] == pytest.approx(want.tolist())
+    # a number that is missing counts in no sum, and leaves no distance
+    gone = z.withColumn(names[0], registry.F.when(registry.F.col("team") != "7", registry.F.col(names[0])))
+    row = atypical.atypicality(gone, scale).where("team = '7'").first()
+    assert row.distance is None and row.flag == "Typical"
