@@ -50,6 +50,12 @@ def test_orders_that_go_over_batches(monkeypatch):
     assert got == [(1, "p2", [7, 8]), (4, "p6", [1]), (4, "p7", [1]), (5, "p48", list(range(40))), (6, "p50", [2])]
 
 
+@pytest.mark.parametrize("name", ["iwf_side_by_side"])
+def test_teams_are_made_and_solved_in_one_step(spark, name):
+    plan = _plan(registry.QUERIES[name](spark, SF))
+    assert plan.count("MapInArrow") == 1 and "collect_list" not in plan
+
+
 def test_features_and_delta_in_one_pass(odd):
     want = fingerprint.features(odd).join(compare.cross_model_delta(models.score(odd)), KEYS)
     got = fingerprint.feature_table(_to_be(odd), delta=True)
