@@ -50,7 +50,7 @@ def test_orders_that_go_over_batches(monkeypatch):
     assert got == [(1, "p2", [7, 8]), (4, "p6", [1]), (4, "p7", [1]), (5, "p48", list(range(40))), (6, "p50", [2])]
 
 
-@pytest.mark.parametrize("name", ["iwf_side_by_side", "rank_reversal_aggregate"])
+@pytest.mark.parametrize("name", ["iwf_side_by_side", "rank_reversal_aggregate", "cross_model_delta"])
 def test_teams_are_made_and_solved_in_one_step(spark, name):
     plan = _plan(registry.QUERIES[name](spark, SF))
     assert plan.count("MapInArrow") == 1 and "collect_list" not in plan
