@@ -47,3 +47,12 @@ def test_matrices_whose_hashes_meet_stay_apart(monkeypatch):
         first, which = models.distinct(s)
         assert (s[first][which] == s).all()
         monkeypatch.setattr(models.np.random, "default_rng", lambda *_: Zeros())
+def test_equal_matrices_are_solved_once(monkeypatch):
+    s, _, _ = _teams(40)
+    want, sizes, solve = {m: models.solve(s, m) for m in models.NAMES}, [], models.solve
+    monkeypatch.setattr(models, "solve", lambda x, m: sizes.append(len(x)) or solve(x, m))
+    got = models.solve_distinct(s, models.NAMES)
+    assert max(sizes) <= 2
+    for m, found in want.items():
+        for x, y in zip(got[m], found):
+            assert np.allclose(np.asarray(x, float), np.asarray(y, float), atol=1e-12, equal_nan=True)
