@@ -58,3 +58,21 @@ def test_a_folder_without_files_is_an_error(spark, tmp_path):
 
     with pytest.raises(FileNotFoundError, match="no CSV files"):
         sessions.read_lines(spark, str(tmp_path))
+
+
+def test_lines_are_read_once_for_marks_and_once_for_ratings(spark, tmp_path):
+    """The grid has one shuffle of the rows, whose two uses are the same; the later score of a pair counts unless it is missing."""
+    from pyspark.sql import functions as F
+
+    from ratingscope.operators import members
+    from ratingscope.schema import KEYS
+
+    (tmp_path / "one.csv").write_text(FILE, encoding="utf-8")
+    sessions.read_lines(spark, str(tmp_path)).write.parquet(str(tmp_path / "lines"))
+    out = sessions.parse(spark.read.parquet(str(tmp_path / "lines")))
+    columns = [*KEYS, "giver", "recipient", "score"]
+    want, got = members.grid(out["rows"], KEYS).select(columns), out["ratings"].select(columns)
+    assert got.count() == 9 and want.exceptAll(got).count() == 0 and got.exceptAll(want).count() == 0
+    plan = out["ratings"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning") == 2 and "SortMergeJoin" not in plan
+    assert out["ratings"].where(F.col("year") != "2024").count() == 0
